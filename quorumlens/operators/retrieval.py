@@ -163,8 +163,10 @@ def _blocked_search(
         )
 
     columns = [*cell, "embedding"]
+    # a fresh alias keeps both sides apart when queries and documents are the same table
+    own = F.col("embedding").alias("embedding")
     return (
-        q.select(QUERY, *columns)
+        q.select(QUERY, *cell, own)
         .groupBy(*cell)
         .cogroup(d.select(DOC, *columns).groupBy(*cell))
         .applyInPandas(search, schema)

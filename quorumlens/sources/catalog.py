@@ -251,28 +251,19 @@ def describe(df: DataFrame) -> DataFrame:
 def describe_with_samples(df: DataFrame, key: str, n: int = 3) -> DataFrame:
     """position, column, type and the column's values in the first ``n`` rows by ``key``."""
     sample = df.orderBy(key).limit(n)
-    order = F.sort_array(
-        F.collect_list(F.struct(F.col(key).alias("k_"), F.struct("*").alias("r_")))
-    )
-    values = sample.agg(order.alias("rows")).select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("position"),
-                        F.lit(f.name).alias("column"),
-                        F.lit(f.dataType.simpleString()).alias("type"),
-                        F.array_join(
-                            F.transform(
-                                "rows", lambda r, name=f.name: r["r_"][name].cast("string")
-                            ),
-                            " | ",
-                            "None",
-                        ).alias("samples"),
-                    )
-                    for i, f in enumerate(df.schema.fields)
-                ]
-            )
+    keyed = F.struct(F.col(key).alias("key_"), F.struct("*").alias("row_"))
+    rows = sample.agg(F.sort_array(F.collect_list(keyed))["row_"].alias("rows"))
+
+    def values(name: str) -> Column:
+        return F.array_join(F.col(f"rows.{name}").cast("array<string>"), " | ", "None")
+
+    entries = [
+        F.struct(
+            F.lit(i).alias("position"),
+            F.lit(f.name).alias("column"),
+            F.lit(f.dataType.simpleString()).alias("type"),
+            values(f.name).alias("samples"),
         )
-    )
-    return values
+        for i, f in enumerate(df.schema.fields)
+    ]
+    return rows.select(F.inline(F.array(*entries)))

@@ -1 +1,233 @@
-"""todo"""
+"""Agent traces, spans, stages, metric samples and evaluation suites."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quorumlens import fixed_values as fixed
+from quorumlens.operators import evaluation
+from suite import bindings as b
+from suite.bindings import sql_list
+from suite.registry import register
+
+
+@register(
+    "metric_summary",
+    """SELECT event_type AS name, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / COUNT(value) AS average,
+         COUNT(value) AS samples FROM events GROUP BY 1""",
+)
+def metric_summary(spark, folder):
+    samples = b.table(spark, folder, "events").select(
+        F.col("event_type").alias("name"), F.col("value").cast("decimal(18,2)").alias("value")
+    )
+    return evaluation.metric_summary(samples)
+
+
+@register(
+    "metric_counters",
+    """SELECT 'route_' || agent_name AS name, COUNT(*) AS total FROM traces GROUP BY 1
+       UNION ALL SELECT 'route_all', COUNT(*) FROM traces""",
+    "traces",
+)
+def metric_counters(spark, folder):
+    routed = F.array(F.concat(F.lit("route_"), "agent_name"), F.lit("route_all"))
+    increments = b.traces(spark, folder).select(F.explode(routed).alias("name"), F.lit(1).alias("amount"))
+    return evaluation.counters(increments)
+
+
+@register(
+    "agent_latency",
+    """SELECT 'latency_' || agent_name AS metric, COUNT(*) AS runs,
+         CAST(SUM(duration_ms) AS DOUBLE) / COUNT(*) AS average_ms FROM traces GROUP BY 1
+       UNION ALL SELECT 'latency_total', COUNT(*), CAST(SUM(duration_ms) AS DOUBLE) / COUNT(*) FROM traces""",
+    "traces",
+)
+def agent_latency(spark, folder):
+    return evaluation.agent_latency(b.traces(spark, folder))
+
+
+@register(
+    "session_rollup",
+    """SELECT session_id, COUNT(*) AS n_traces, CAST(SUM(tokens_used) AS BIGINT) AS total_tokens,
+         CAST(SUM(duration_ms) AS BIGINT) AS total_duration_ms,
+         COUNT(DISTINCT CASE WHEN error IS NOT NULL THEN agent_name || ': ' || error END) AS distinct_errors
+       FROM traces GROUP BY session_id""",
+    "traces",
+)
+def session_rollup(spark, folder):
+    return evaluation.session_rollup(b.traces(spark, folder))
+
+
+@register(
+    "session_errors",
+    """SELECT DISTINCT session_id, agent_name || ': ' || error AS error FROM traces WHERE error IS NOT NULL""",
+    "traces",
+)
+def session_errors(spark, folder):
+    return evaluation.session_errors(b.traces(spark, folder))
+
+
+_FLAGS = "flags AS (SELECT session_id, " + ", ".join(
+    f"""COALESCE(MAX(CASE WHEN agent_name = '{s}' THEN CASE action WHEN 'completed' THEN 2 ELSE 1 END END), 0)
+      AS {s}"""
+    for s in fixed.STAGES
+) + " FROM traces GROUP BY session_id)"
+
+
+@register(
+    "stage_status",
+    f"WITH {_FLAGS} "
+    + " UNION ALL ".join(
+        f"""SELECT session_id, '{s}' AS stage, CASE {s} WHEN 2 THEN 'completed' WHEN 1 THEN 'started'
+          ELSE 'not_run' END AS status FROM flags"""
+        for s in fixed.STAGES
+    ),
+    "traces",
+)
+def stage_status(spark, folder):
+    return evaluation.stage_status(b.traces(spark, folder))
+
+
+@register(
+    "stage_funnel",
+    f"WITH {_FLAGS} SELECT CASE "
+    + " ".join(f"WHEN {s} < 2 THEN '{s}'" for s in fixed.STAGES)
+    + " ELSE 'end' END AS next_stage, COUNT(*) AS sessions FROM flags GROUP BY 1",
+    "traces",
+)
+def stage_funnel(spark, folder):
+    return evaluation.stage_funnel(b.traces(spark, folder))
+
+
+@register(
+    "stage_semi",
+    """SELECT id AS session_id, question FROM query_log WHERE id IN
+         (SELECT session_id FROM traces WHERE agent_name = 'sql_agent' AND action = 'completed')""",
+    "query_log traces",
+)
+def stage_semi(spark, folder):
+    sessions = b.query_log(spark, folder).select(F.col("id").alias("session_id"), "question")
+    return evaluation.sessions_with_stage(sessions, b.traces(spark, folder), "sql_agent")
+
+
+@register(
+    "span_durations",
+    """SELECT trace_id, span_id, name, CAST(end_ms - start_ms AS BIGINT) AS duration_ms FROM spans""",
+    "spans",
+)
+def span_durations(spark, folder):
+    timed = evaluation.span_durations(b.spans(spark, folder))
+    return timed.select("trace_id", "span_id", "name", "duration_ms")
+
+
+@register(
+    "span_paths",
+    """, walk AS (
+         SELECT trace_id, span_id, name AS path, CAST(0 AS BIGINT) AS depth FROM spans WHERE parent_id IS NULL
+         UNION ALL SELECT s.trace_id, s.span_id, w.path || '/' || s.name, w.depth + 1
+         FROM walk w JOIN spans s ON s.trace_id = w.trace_id AND s.parent_id = w.span_id)
+       SELECT trace_id, span_id, path, depth FROM walk""",
+    "spans",
+    recursive=True,
+)
+def span_paths(spark, folder):
+    return evaluation.span_paths(b.spans(spark, folder))
+
+
+@register(
+    "trace_summary",
+    """SELECT COUNT(*) AS traces, CAST(SUM(COALESCE(end_ms - start_ms, 0)) AS BIGINT) AS total_ms,
+         CAST(SUM(COALESCE(end_ms - start_ms, 0)) AS DOUBLE) / COUNT(*) AS average_ms, COUNT(error) AS errors
+       FROM spans WHERE parent_id IS NULL""",
+    "spans",
+)
+def trace_summary(spark, folder):
+    roots = b.spans(spark, folder).filter(F.col("parent_id").isNull())
+    return evaluation.trace_summary(evaluation.span_durations(roots))
+
+
+@register(
+    "event_counts",
+    """SELECT CAST(ts AS DATE) AS day, event_type AS action, COUNT(*) AS n FROM events GROUP BY 1, 2""",
+)
+def event_counts(spark, folder):
+    rows = b.table(spark, folder, "events").withColumnRenamed("event_type", "action")
+    return evaluation.counts_by_day(rows, "ts", "action")
+
+
+# --- suites -------------------------------------------------------------------------------------------
+
+#: Expectations per question template: agents that must run, words that must occur, refusal.
+_EXPECTED = [
+    (0, ["definition_agent", "sql_agent"], ["DIGITAL"], False),
+    (1, list(fixed.STAGES), ["DIGITAL", "BRANCH"], False),
+    (2, [], [], True),
+    (5, ["definition_agent"], ["customer"], False),
+]
+
+_EXPECTED_SQL = ", ".join(
+    f"({c}, {sql_list(a)}::VARCHAR[], {sql_list(w)}::VARCHAR[], {str(r).lower()})"
+    for c, a, w, r in _EXPECTED
+)
+
+
+@register(
+    "eval_pass_rate",
+    f"""WITH expected(case_id, agents, words, refuse) AS (VALUES {_EXPECTED_SQL}),
+         results AS (SELECT CAST(k % 9 AS BIGINT) AS case_id, final_response AS response, k % 9 IN (2, 7) AS refused,
+           {sql_list(fixed.STAGES)}[1:4 - LEAST(error_count, 3)] AS ran FROM query_log),
+         judged AS (SELECT CASE WHEN refuse THEN refused ELSE NOT refused AND list_has_all(ran, agents)
+             AND len(list_filter(words, lambda w: NOT contains(response, w))) = 0 END AS ok
+           FROM results JOIN expected USING (case_id))
+       SELECT COUNT(*) AS total, COUNT(*) FILTER (ok) AS passed, COUNT(*) FILTER (NOT ok) AS failed,
+         CAST(round(CAST(COUNT(*) FILTER (ok) AS DOUBLE) * 100 / COUNT(*), 1) AS DOUBLE) AS pass_rate
+       FROM judged""",
+    "query_log",
+)
+def eval_pass_rate(spark, folder):
+    k = F.col("k")
+    stages = F.array(*[F.lit(s) for s in fixed.STAGES])
+    results = b.query_log(spark, folder).select(
+        (k % 9).cast("bigint").alias("case_id"),
+        F.slice(stages, 1, 4 - F.least(F.col("error_count"), F.lit(3))).alias("agents"),
+        F.col("final_response").alias("response"),
+        (k % 9).isin(2, 7).alias("refused"),
+    )
+    expected = spark.createDataFrame(
+        _EXPECTED,
+        "case_id bigint, expected_agents array<string>, expected_contains array<string>, "
+        "expected_out_of_scope boolean",
+    )
+    return evaluation.pass_rate(evaluation.judge(results, expected))
+
+
+@register(
+    "demo_verdict",
+    """WITH d AS (SELECT CASE WHEN error_count > 2 THEN 'engine stopped' END AS error, k % 13 <> 0 AS scoped,
+           k % 9 IN (2, 7) AS refuse, lower(final_response) AS r,
+           CASE k % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS c FROM query_log)
+       SELECT passed, reason, COUNT(*) AS n FROM (
+         SELECT CASE WHEN error IS NOT NULL THEN 'Error: ' || error
+             WHEN refuse THEN CASE WHEN NOT scoped THEN 'Correctly refused (privacy/safety)'
+               WHEN r LIKE '%cannot%' OR r LIKE '%not allowed%' OR r LIKE '%privacy%' OR r LIKE '%refuse%'
+                 OR r LIKE '%sorry%' THEN 'Query modified/refused for safety'
+               ELSE 'Should have refused but executed' END
+             WHEN NOT scoped THEN 'Incorrectly refused valid query'
+             WHEN c IN ('high', 'medium') THEN 'Executed successfully (' || c || ' confidence)'
+             ELSE 'Low confidence: ' || c END AS reason,
+           error IS NULL AND CASE WHEN refuse THEN NOT scoped OR r LIKE '%cannot%' OR r LIKE '%not allowed%'
+                 OR r LIKE '%privacy%' OR r LIKE '%refuse%' OR r LIKE '%sorry%'
+             ELSE scoped AND c <> 'low' END AS passed
+         FROM d) GROUP BY 1, 2""",
+    "query_log",
+)
+def demo_verdict(spark, folder):
+    k = F.col("k")
+    demos = b.query_log(spark, folder).select(
+        F.when(F.col("error_count") > 2, "engine stopped").alias("error"),
+        (k % 13 != 0).alias("is_in_scope"),
+        (k % 9).isin(2, 7).alias("should_refuse"),
+        "final_response",
+        F.when(k % 3 == 0, "high").when(k % 3 == 1, "medium").otherwise("low").alias("confidence"),
+    )
+    return evaluation.demo_tally(demos)

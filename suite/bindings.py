@@ -360,6 +360,8 @@ def with_views(sql: str, *names: str, recursive: bool = False) -> str:
     head = ", ".join(f"{n} AS ({_VIEWS[n]})" for n in names)
     start = "WITH RECURSIVE " if recursive else "WITH "
     body = sql.strip()
+    if body.startswith(","):
+        return f"{start}{head}{body}"
     if body[:4].upper() == "WITH":
         return f"{start}{head}, {body[4:]}"
     return f"{start}{head}\n{body}"

@@ -1 +1,273 @@
-"""todo"""
+"""Vector search over the embedding table: documents, history and collections.
+
+The queries are the mean vectors of the labels, so every search reads the whole table on both sides.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quorumlens.functions import vectors
+from quorumlens.operators import retrieval
+from quorumlens.sources import vector_table
+from suite import bindings as b
+from suite.registry import register
+
+_PAIRS = """pairs AS (
+  SELECT c.query_id, d.doc_id, d.type, d.collection, d.content,
+    round(1 - least(1.0, greatest(-1.0, list_dot_product(c.embedding, d.embedding)
+      / (sqrt(list_dot_product(c.embedding, c.embedding)) * sqrt(list_dot_product(d.embedding, d.embedding))))), 9)
+      AS distance
+  FROM centroids c, docs d)"""
+
+_SCORE = "round(1 / (1 + distance), 6) AS score"
+
+
+def _rank(partition: str) -> str:
+    return f"ROW_NUMBER() OVER (PARTITION BY {partition} ORDER BY distance, doc_id)"
+
+
+def _scored(hits, *columns):
+    return hits.select(*columns, F.round("score", 6).alias("score"))
+
+
+@register(
+    "cosine_score",
+    """SELECT d.doc_id, a.doc_id AS anchor, round(list_dot_product(d.embedding, a.embedding)
+           / (sqrt(list_dot_product(d.embedding, d.embedding)) * sqrt(list_dot_product(a.embedding, a.embedding))), 6)
+           AS cosine
+       FROM docs d JOIN docs a ON a.doc_id = (SELECT MIN(doc_id) FROM docs x WHERE x.label = d.label)""",
+    "docs",
+)
+def cosine_score(spark, folder):
+    docs = b.docs(spark, folder)
+    anchors = docs.groupBy("label").agg(
+        F.min("doc_id").alias("anchor"), F.min_by("embedding", "doc_id").alias("anchor_vector")
+    )
+    cosine = vectors.cosine(F.col("embedding"), F.col("anchor_vector"))
+    joined = docs.select("doc_id", "label", "embedding").join(anchors, "label")
+    return joined.select("doc_id", "anchor", F.round(cosine, 6).alias("cosine"))
+
+
+@register(
+    "vector_topk",
+    f"""WITH {_PAIRS} SELECT query_id, doc_id, rank, {_SCORE} FROM
+         (SELECT *, {_rank('query_id')} AS rank FROM pairs) WHERE rank <= 5""",
+    "docs centroids",
+)
+def vector_topk(spark, folder):
+    hits = retrieval.topk(b.centroids(spark, folder), b.docs(spark, folder), 5)
+    return _scored(hits, "query_id", "doc_id", "rank")
+
+
+@register(
+    "vector_topk_blocks",
+    f"""WITH {_PAIRS} SELECT query_id, doc_id, rank, {_SCORE} FROM
+         (SELECT *, {_rank('query_id')} AS rank FROM pairs) WHERE rank <= 5""",
+    "docs centroids",
+)
+def vector_topk_blocks(spark, folder):
+    """The way taken beyond the sent-query bound; the bound is set low to take it here."""
+    hits = retrieval.topk(
+        b.centroids(spark, folder), b.docs(spark, folder), 5, max_sent_queries=3, block_rows=256
+    )
+    return _scored(hits, "query_id", "doc_id", "rank")
+
+
+@register(
+    "vector_topk_filtered",
+    f"""WITH {_PAIRS} SELECT query_id, doc_id, rank, {_SCORE} FROM
+         (SELECT *, {_rank('query_id')} AS rank FROM pairs WHERE type = 'type2') WHERE rank <= 4""",
+    "docs centroids",
+)
+def vector_topk_filtered(spark, folder):
+    docs = b.docs(spark, folder)
+    hits = retrieval.topk(b.centroids(spark, folder), docs, 4, where=F.col("type") == "type2")
+    return _scored(hits, "query_id", "doc_id", "rank")
+
+
+_DUAL = f"""{_PAIRS}, hits AS (SELECT * FROM
+    (SELECT *, collection AS source, {_rank('query_id, collection')} AS rank FROM pairs)
+    WHERE rank <= CASE WHEN source = 'knowledge' THEN 5 ELSE 3 END)"""
+
+
+def _dual(spark, folder):
+    docs = b.docs(spark, folder)
+    knowledge = docs.filter(F.col("collection") == "knowledge")
+    schema = docs.filter(F.col("collection") == "schema")
+    presets = retrieval.PRESETS["default"]
+    hits = retrieval.dual(b.centroids(spark, folder), knowledge, schema, *presets)
+    return retrieval.with_content(hits, docs, "content", "type")
+
+
+@register(
+    "retrieve_dual",
+    f"WITH {_DUAL} SELECT query_id, source, doc_id, rank, content, {_SCORE} FROM hits",
+    "docs centroids",
+)
+def retrieve_dual(spark, folder):
+    return _scored(_dual(spark, folder), "query_id", "source", "doc_id", "rank", "content")
+
+
+@register(
+    "retrieval_context",
+    f"""WITH {_DUAL}, sections AS (
+         SELECT query_id, source, CASE source WHEN 'knowledge' THEN '### Retrieved Knowledge'
+             ELSE '### Retrieved Schema Information' END || chr(10)
+           || string_agg(chr(10) || rank || '. ' || content || chr(10), '' ORDER BY rank) AS section
+         FROM hits GROUP BY query_id, source)
+       SELECT query_id, string_agg(section, chr(10) ORDER BY source) AS context
+       FROM sections GROUP BY query_id""",
+    "docs centroids",
+)
+def retrieval_context(spark, folder):
+    return retrieval.context(_dual(spark, folder))
+
+
+@register(
+    "retrieval_summary",
+    f"WITH {_DUAL} SELECT query_id, source, type, COUNT(*) AS n FROM hits GROUP BY 1, 2, 3",
+    "docs centroids",
+)
+def retrieval_summary(spark, folder):
+    return retrieval.summary(_dual(spark, folder), "type")
+
+
+@register("vector_ann")
+def vector_ann(spark, folder):
+    """Every document's nearest documents by hashing; both sides are the whole table."""
+    docs = b.docs(spark, folder).select("doc_id", "embedding")
+    queries = docs.withColumnRenamed("doc_id", "query_id")
+    hits = retrieval.ann(queries, docs, 5, bits=5, tables=6)
+    return _scored(hits, "query_id", "doc_id", "rank")
+
+
+@register(
+    "vec_append_ids",
+    """SELECT vec_id, collection || '_' || (n + ROW_NUMBER() OVER (PARTITION BY collection ORDER BY vec_id) - 1)
+         AS doc_id
+       FROM (SELECT doc_id AS vec_id, collection FROM docs)
+         JOIN (SELECT collection, COUNT(*) AS n FROM docs GROUP BY 1) USING (collection)""",
+    "docs",
+)
+def vec_append_ids(spark, folder):
+    stored = b.docs(spark, folder)
+    new = stored.select(F.col("doc_id").alias("vec_id"), "collection")
+    return vector_table.with_default_ids(new, stored, "vec_id").select("vec_id", "doc_id")
+
+
+@register(
+    "vec_collection_counts",
+    "SELECT collection, COUNT(*) AS n FROM docs GROUP BY collection",
+    "docs",
+)
+def vec_collection_counts(spark, folder):
+    return vector_table.collection_counts(b.docs(spark, folder))
+
+
+# --- history ------------------------------------------------------------------------------------------
+
+#: Every embedding belongs to the question of one session; sessions beyond the log have no record.
+STRIDE = 30
+
+
+def _history_docs(spark, folder):
+    session = F.concat(F.lit("s"), (F.col("doc_id") * STRIDE).cast("string"))
+    return b.docs(spark, folder).select(
+        F.concat(F.lit("history_"), session).alias("doc_id"),
+        session.alias("session_id"),
+        "content",
+        "embedding",
+    )
+
+
+_HISTORY = f"""hits AS (
+    SELECT query_id, 's' || (doc_id * {STRIDE}) AS session_id, content, distance,
+      'history_s' || (doc_id * {STRIDE}) AS hist_id FROM pairs),
+  cut AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY distance, hist_id) AS r
+    FROM hits) WHERE r <= 10),
+  joined AS (SELECT query_id, session_id, COALESCE(question, content) AS question, sql_query, user_score,
+      self_score, 1 / (1 + distance) AS similarity, distance, hist_id
+    FROM cut LEFT JOIN query_log ON cut.session_id = query_log.id)"""
+
+
+@register(
+    "history_match",
+    f"""WITH {_PAIRS}, {_HISTORY}
+       SELECT query_id, session_id, question, sql_query, CAST(user_score AS BIGINT) AS user_score, self_score,
+         rank, round(similarity, 6) AS similarity
+       FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY distance, hist_id) AS rank
+         FROM joined WHERE similarity >= 0.3 AND (COALESCE(user_score >= 3, false)
+           OR COALESCE(self_score >= 60, false))) WHERE rank <= 5""",
+    "docs centroids query_log",
+)
+def history_match(spark, folder):
+    matches = retrieval.history(
+        b.centroids(spark, folder),
+        _history_docs(spark, folder),
+        b.query_log(spark, folder),
+        k=5,
+        successful_only=True,
+    )
+    return matches.drop("final_response").withColumn("similarity", F.round("similarity", 6))
+
+
+@register(
+    "history_context",
+    f"""WITH {_PAIRS}, {_HISTORY}, best AS (
+         SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY distance, hist_id) AS rank
+         FROM (SELECT * FROM joined WHERE hist_id IN (SELECT hist_id FROM cut c WHERE c.query_id = joined.query_id
+             AND r <= 6) AND similarity >= 0.5 AND (COALESCE(user_score >= 3, false)
+           OR COALESCE(self_score >= 60, false))))
+       SELECT query_id, '### Similar Past Queries' || chr(10) || chr(10) || string_agg(
+         '**Query ' || rank || '** (similarity: ' || printf('%.2f', similarity) || ')' || chr(10)
+           || 'Question: ' || question || chr(10)
+           || COALESCE('SQL: ' || CASE WHEN length(sql_query) > 200 THEN left(sql_query, 200) || '...'
+             ELSE sql_query END || chr(10), ''), chr(10) ORDER BY rank) AS context
+       FROM best WHERE rank <= 3 GROUP BY query_id""",
+    "docs centroids query_log",
+)
+def history_context(spark, folder):
+    matches = retrieval.history(
+        b.centroids(spark, folder),
+        _history_docs(spark, folder),
+        b.query_log(spark, folder),
+        k=3,
+        min_score=0.5,
+        successful_only=True,
+    )
+    return retrieval.history_context(matches)
+
+
+@register(
+    "history_unindexed",
+    f"""SELECT id, question FROM query_log WHERE 'history_' || id NOT IN
+         (SELECT 'history_s' || (doc_id * {STRIDE}) FROM docs)""",
+    "docs query_log",
+)
+def history_unindexed(spark, folder):
+    missing = retrieval.unindexed(b.query_log(spark, folder), _history_docs(spark, folder))
+    return missing.select("id", "question")
+
+
+@register(
+    "history_index",
+    f"""SELECT 'history_' || id AS doc_id, id AS session_id, question AS content, len(embedding) AS dimension
+       FROM query_log JOIN docs ON id = 's' || (docs.doc_id * {STRIDE})""",
+    "docs query_log",
+)
+def history_index(spark, folder):
+    embedded = _history_docs(spark, folder).select(F.col("session_id").alias("id"), "embedding")
+    indexed = retrieval.history_documents(b.query_log(spark, folder), embedded)
+    return indexed.select("doc_id", "session_id", "content", F.size("embedding").alias("dimension"))
+
+
+@register(
+    "history_success",
+    """SELECT COALESCE(user_score >= 3, false) OR COALESCE(self_score >= 60, false) AS successful,
+         COUNT(*) AS n FROM query_log GROUP BY 1""",
+    "query_log",
+)
+def history_success(spark, folder):
+    ok = retrieval.was_successful(F.col("user_score"), F.col("self_score")).alias("successful")
+    return b.query_log(spark, folder).groupBy(ok).agg(F.count(F.lit(1)).alias("n"))

@@ -1 +1,148 @@
-"""todo"""
+"""The event table read as a stream, drained with an available-now trigger.
+
+Windows that the watermark has not passed stay open, so append results hold the closed windows only;
+the SQL states the same condition on the newest event time.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quorumlens.streaming import jobs
+from suite import bindings as b
+from suite.texts import REDACTED_SQL
+from suite.registry import register
+
+DELAY = "10 minutes"
+
+
+def _stream(spark, folder, name):
+    schema = b.table(spark, folder, name).schema
+    return jobs.read_files(spark, folder, schema, f"{name}.parquet")
+
+
+def _events(spark, folder):
+    events = _stream(spark, folder, "events")
+    return events.withColumns(
+        {"ts": F.col("ts").cast("timestamp"), "value": F.col("value").cast("decimal(18,2)")}
+    )
+
+
+def _times(df):
+    """Window bounds as text, which has no time zone."""
+    text = {
+        c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        for c in ("window_start", "window_end")
+        if c in df.columns
+    }
+    return df.withColumns(text)
+
+
+@register(
+    "stream_counters",
+    """SELECT event_type AS name, COUNT(*) AS n, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
+       FROM events GROUP BY 1""",
+)
+def stream_counters(spark, folder):
+    running = jobs.counters(_events(spark, folder), "event_type", "value")
+    return jobs.drain(running, "counters", "complete").select(
+        F.col("event_type").alias("name"), "n", "total"
+    )
+
+
+_CLOSED = f"(SELECT MAX(ts) - INTERVAL {DELAY} FROM events)"
+
+
+@register(
+    "stream_windowed",
+    f"""SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start,
+         strftime(w + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, event_type, COUNT(*) AS n,
+         CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
+       FROM (SELECT date_trunc('hour', ts) AS w, event_type, value FROM events)
+       WHERE w + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY w, event_type""",
+)
+def stream_windowed(spark, folder):
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")]
+    hourly = jobs.windowed(_events(spark, folder), "ts", aggs, "1 hour", None, DELAY, ["event_type"])
+    return _times(jobs.drain(hourly, "windowed"))
+
+
+@register(
+    "stream_sliding",
+    f"""SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start,
+         strftime(w + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, COUNT(*) AS n
+       FROM (SELECT unnest([h, h - INTERVAL 30 MINUTE]) AS w
+             FROM (SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS h FROM events))
+       WHERE w + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY w""",
+)
+def stream_sliding(spark, folder):
+    counted = [F.count(F.lit(1)).alias("n")]
+    sliding = jobs.windowed(_events(spark, folder), "ts", counted, "1 hour", "30 minutes", DELAY)
+    return _times(jobs.drain(sliding, "sliding"))
+
+
+@register(
+    "stream_sessions",
+    f"""WITH marked AS (SELECT user_id, ts, CASE WHEN ts - LAG(ts) OVER u <= INTERVAL 5 HOUR THEN 0 ELSE 1 END AS new
+           FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)),
+         grouped AS (SELECT user_id, ts, SUM(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)
+           AS session FROM marked)
+       SELECT user_id, strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+         strftime(MAX(ts) + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, COUNT(*) AS n
+       FROM grouped GROUP BY user_id, session HAVING MAX(ts) + INTERVAL 5 HOUR <= {_CLOSED}""",
+)
+def stream_sessions(spark, folder):
+    counted = [F.count(F.lit(1)).alias("n")]
+    found = jobs.sessions(_events(spark, folder), "user_id", "ts", "5 hours", counted, DELAY)
+    return _times(jobs.drain(found, "sessions"))
+
+
+@register(
+    "stream_pairing",
+    f"""WITH s AS (SELECT event_id // 2 AS op, ts FROM events WHERE event_id % 2 = 0),
+         e AS (SELECT event_id // 2 AS op, ts FROM events WHERE event_id % 2 = 1 AND event_type <> 'error')
+       SELECT s.op, e.ts IS NOT NULL AS finished FROM s LEFT JOIN e
+         ON s.op = e.op AND e.ts BETWEEN s.ts AND s.ts + INTERVAL 5 MINUTE
+       WHERE e.ts IS NOT NULL OR s.ts < (SELECT date_trunc('milliseconds', MIN(m)) - INTERVAL {DELAY}
+         - INTERVAL 5 MINUTE FROM (SELECT MAX(ts) AS m FROM s UNION ALL SELECT MAX(ts) FROM e))""",
+)
+def stream_pairing(spark, folder):
+    operation = F.floor(F.col("event_id") / 2).alias("op")
+    events = _events(spark, folder)
+    begun = events.filter(F.col("event_id") % 2 == 0)
+    done = events.filter((F.col("event_id") % 2 == 1) & (F.col("event_type") != "error"))
+    pairs = jobs.pair(
+        begun.select(operation, F.col("ts").alias("start_ts")),
+        done.select(operation, F.col("ts").alias("end_ts")),
+        "op",
+        "5 minutes",
+        DELAY,
+    )
+    drained = jobs.drain(pairs, "pairing")
+    return drained.select("op", F.col("end_ts").isNotNull().alias("finished"))
+
+
+@register(
+    "stream_redact",
+    # the same text as the batch query: redaction has no state
+    f"SELECT doc_id, {REDACTED_SQL} AS text FROM documents",
+)
+def stream_redact(spark, folder):
+    documents = _stream(spark, folder, "documents").select("doc_id", "text")
+    return jobs.drain(jobs.redact(documents, "text"), "redact")
+
+
+@register(
+    "stream_k_anon",
+    f"""SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start,
+         strftime(w + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end, event_type,
+         COUNT(DISTINCT user_id) AS entities, COUNT(*) AS n_events,
+         CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
+       FROM (SELECT date_trunc('day', ts) AS w, event_type, user_id, value FROM events)
+       WHERE w + INTERVAL 1 DAY <= {_CLOSED} GROUP BY w, event_type HAVING COUNT(DISTINCT user_id) >= 5""",
+)
+def stream_k_anon(spark, folder):
+    safe = jobs.k_anon_stream(
+        _events(spark, folder), "ts", ["event_type"], "user_id", 5, "1 day", "value", DELAY
+    )
+    return _times(jobs.drain(safe, "k_anon"))
