@@ -42,19 +42,30 @@ def _count_of(text: Column, words: Sequence[str]) -> Column:
 # --- questions ----------------------------------------------------------------------------------
 
 
-def scope(question: Column) -> Column:
-    """struct(status, reason, confidence, allowed) of a question; substring rules on lower case."""
-    q = F.lower(question)
-    off_topic = F.lit(None).cast("string")
-    for word in reversed(fixed.SCOPE_OUT_KEYWORDS):
-        off_topic = F.when(F.contains(q, F.lit(word)), word).otherwise(off_topic)
-    hits = _count_of(q, fixed.SCOPE_IN_KEYWORDS) + _count_of(q, fixed.SCOPE_PATTERNS)
-    asks = F.lit(False)
+def off_topic(lower: Column) -> Column:
+    """First off-topic word, in list order, of a question in lower case."""
+    return F.coalesce(
+        *[F.when(F.contains(lower, F.lit(word)), word) for word in fixed.SCOPE_OUT_KEYWORDS]
+    )
+
+
+def analytics_hits(lower: Column) -> Column:
+    return _count_of(lower, fixed.SCOPE_IN_KEYWORDS) + _count_of(lower, fixed.SCOPE_PATTERNS)
+
+
+def asks(lower: Column) -> Column:
+    """Whether a question starts with an interrogative."""
+    hit = F.lit(False)
     for word in fixed.SCOPE_INTERROGATIVES:
-        asks = asks | F.startswith(q, F.lit(word))
+        hit = hit | F.startswith(lower, F.lit(word))
+    return hit
+
+
+def scope(off: Column, hits: Column, asking: Column) -> Column:
+    """struct(status, reason, confidence, allowed) from the three findings above."""
     about = F.concat(
         F.lit("Question appears to be about '"),
-        off_topic,
+        off,
         F.lit("', which is outside banking analytics scope."),
     )
 
@@ -69,10 +80,10 @@ def scope(question: Column) -> Column:
     reasons = {key: F.lit(text) for key, text in fixed.SCOPE_REASONS.items()}
     return _first_match(
         [
-            (off_topic.isNotNull(), verdict("out_of_scope", about, 0.9)),
+            (off.isNotNull(), verdict("out_of_scope", about, 0.9)),
             (hits >= 2, verdict("in_scope", reasons["multiple"], 0.9)),
             (hits == 1, verdict("in_scope", reasons["single"], 0.7)),
-            (asks, verdict("unclear", reasons["unclear"], 0.5)),
+            (asking, verdict("unclear", reasons["unclear"], 0.5)),
         ],
         verdict("out_of_scope", reasons["rejected"], 0.6),
     )
@@ -88,13 +99,18 @@ def intent(question: Column) -> Column:
 # --- SQL texts ----------------------------------------------------------------------------------
 
 
-def _strip(text: Column) -> Column:
+def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def _has(text: Column, pattern: str) -> Column:
-    """Pattern search where only a newline ends a line."""
-    return text.rlike("(?d)" + pattern)
+#: A piece of text without which the dangerous pattern at the same position cannot match.
+_NEEDED = [";", "--", "/*", "UNION", "OR", "'"]
+
+
+def _has(text: Column, pattern: str, needed: str | None = None) -> Column:
+    """Pattern search where only a newline ends a line; a plain substring test comes first."""
+    found = text.rlike("(?d)" + pattern)
+    return found if needed is None else F.contains(text, F.lit(needed)) & found
 
 
 def sanitize(sql: Column) -> Column:
@@ -107,33 +123,46 @@ def sanitize(sql: Column) -> Column:
 def unknown_columns(sql: Column, known: Sequence[str] = EVENTS.names()) -> Column:
     """Sorted words with an underscore that are neither keywords nor columns of the table."""
     words = F.regexp_extract_all(F.lower(sql), F.lit(r"\b([a-z_][a-z0-9_]*)\b"), F.lit(1))
-    ignored = F.array(*[F.lit(w) for w in [*fixed.SQL_NOT_COLUMNS, *known]])
-    other = F.array_except(F.array_distinct(words), ignored)
-    return F.array_sort(
-        F.filter(other, lambda w: (F.length(w) > 2) & F.contains(w, F.lit("_")))
+    ignored = [*fixed.SQL_NOT_COLUMNS, *known]
+    unknown = F.filter(
+        words, lambda w: F.contains(w, F.lit("_")) & (F.length(w) > 2) & ~w.isin(ignored)
     )
+    return F.array_sort(F.array_distinct(unknown))
 
 
-def warnings(sql: Column, known: Sequence[str] = EVENTS.names()) -> Column:
-    """Warnings of an acceptable query, unknown columns last."""
-    upper = F.upper(_strip(sql))
+def warnings(upper: Column, unknown: Column) -> Column:
+    """Warnings of an acceptable query from its stripped upper-case text and its unknown columns."""
     general = F.array(*[F.when(_has(upper, p), F.lit(t)) for p, t in fixed.SQL_WARNINGS])
     columns = F.transform(
-        unknown_columns(sql, known),
-        lambda w: F.concat(F.lit("Possible invalid column reference: '"), w, F.lit("'")),
+        unknown, lambda w: F.concat(F.lit("Possible invalid column reference: '"), w, F.lit("'"))
     )
     return F.concat(F.array_compact(general), columns)
 
 
-def verdict(
-    sql: Column, known: Sequence[str] = EVENTS.names(), strict: bool = False
-) -> Column:
-    """struct(status, reason, allowed) of a SQL text; the first failing rule decides.
+def refusal(upper: Column, strict: bool = False) -> Column:
+    """Reason of the first failing rule of a stripped upper-case SQL text; NULL when none fails.
 
     ``strict`` also blocks MERGE, which the written policy forbids but the word list leaves out.
     """
-    upper = F.upper(_strip(sql))
-    blocked_words = fixed.SQL_BLOCKED_WORDS + (["MERGE"] if strict else [])
+    rules = [(upper == "", F.lit("Empty SQL query"))]
+    for word in fixed.SQL_BLOCKED_WORDS + (["MERGE"] if strict else []):
+        text = f"Disallowed SQL operation: {word}. Only SELECT queries are permitted."
+        rules.append((_has(upper, rf"\b{word}\b", word), F.lit(text)))
+    starts = F.lit(False)
+    for word in fixed.SQL_STARTS:
+        starts = starts | F.startswith(upper, F.lit(word))
+    got = F.concat(
+        F.lit("Query must start with SELECT or WITH. Got: "), F.left(upper, F.lit(20)), F.lit("...")
+    )
+    rules.append((~starts, got))
+    for (pattern, description), needed in zip(fixed.SQL_DANGEROUS, _NEEDED):
+        text = f"Potentially dangerous SQL pattern detected: {description}"
+        rules.append((_has(upper, pattern, needed), F.lit(text)))
+    return _first_match(rules, F.lit(None).cast("string"))
+
+
+def verdict(refused: Column, warned: Column) -> Column:
+    """struct(status, reason, allowed) from the refusal and the list of warnings."""
 
     def outcome(status: str, reason: Column) -> Column:
         return F.struct(
@@ -142,23 +171,13 @@ def verdict(
             F.lit(status != "invalid").alias("allowed"),
         )
 
-    rules = [(upper == "", outcome("invalid", F.lit("Empty SQL query")))]
-    for word in blocked_words:
-        text = f"Disallowed SQL operation: {word}. Only SELECT queries are permitted."
-        rules.append((_has(upper, rf"\b{word}\b"), outcome("invalid", F.lit(text))))
-    starts = F.lit(False)
-    for word in fixed.SQL_STARTS:
-        starts = starts | F.startswith(upper, F.lit(word))
-    got = F.concat(
-        F.lit("Query must start with SELECT or WITH. Got: "), F.left(upper, F.lit(20)), F.lit("...")
+    return _first_match(
+        [
+            (refused.isNotNull(), outcome("invalid", refused)),
+            (F.size(warned) > 0, outcome("warning", F.lit("Query is valid but has warnings"))),
+        ],
+        outcome("valid", F.lit("SQL query is valid")),
     )
-    rules.append((~starts, outcome("invalid", got)))
-    for pattern, description in fixed.SQL_DANGEROUS:
-        text = f"Potentially dangerous SQL pattern detected: {description}"
-        rules.append((_has(upper, pattern), outcome("invalid", F.lit(text))))
-    warned = F.size(warnings(sql, known)) > 0
-    rules.append((warned, outcome("warning", F.lit("Query is valid but has warnings"))))
-    return _first_match(rules, outcome("valid", F.lit("SQL query is valid")))
 
 
 def add_limit(sql: Column, n: int = 1000) -> Column:
@@ -179,7 +198,7 @@ def _may_match(text: Column, position: int) -> Column:
     return F.contains(text, F.lit("@")) if position == _EMAIL else F.lit(True)
 
 
-def pii(text: Column) -> Column:
+def pii(text: Column, lower: Column) -> Column:
     """struct(safe, reason): the first personal-data pattern or sensitive word found in a text."""
 
     def outcome(safe: bool, reason: str) -> Column:
@@ -191,7 +210,7 @@ def pii(text: Column) -> Column:
         rules.append((found, outcome(False, f"Output may contain PII: {name}")))
     for word in fixed.SENSITIVE_WORDS:
         reason = f"Output may contain sensitive information: {word}"
-        rules.append((text.rlike("(?i)" + word), outcome(False, reason)))
+        rules.append((F.contains(lower, F.lit(word)), outcome(False, reason)))
     return _first_match(rules, outcome(True, "Output is safe."))
 
 
@@ -218,4 +237,4 @@ def json_from_text(text: Column) -> Column:
         .when(F.contains(text, F.lit("```")), plain)
         .otherwise(text)
     )
-    return F.try_parse_json(_strip(body))
+    return F.try_parse_json(strip(body))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlens import fixed_values as fixed
-from quorumlens.functions import scoring, terms, textguard
+from quorumlens.functions import scoring, terms
+from quorumlens.operators import triage
 from quorumlens.session import enable_checkpoints
 
 # --- scores ---------------------------------------------------------------------------------------
@@ -124,8 +125,8 @@ def improvement_insights(log: DataFrame, themes: int = 3) -> DataFrame:
 
 def sql_validity(log: DataFrame, ts: str = "created_at") -> DataFrame:
     """Checked and acceptable SQL texts per day."""
-    ok = F.count_if(textguard.verdict(F.col("sql_query"))["allowed"])
-    return log.groupBy(F.to_date(ts).alias("day")).agg(
+    ok = F.count_if(F.col("verdict.allowed"))
+    return triage.sql(log, "sql_query").groupBy(F.to_date(ts).alias("day")).agg(
         F.count("sql_query").alias("sql_total"),
         ok.alias("sql_valid"),
         terms.ratio(ok, F.count("sql_query")).alias("validity_rate"),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlens.functions import textguard
+from quorumlens.operators import triage
 from quorumlens.plans.schema import EVENT_STRUCT
 from quorumlens.policy import GovernancePolicy, PolicyViolation
 
@@ -42,10 +43,9 @@ def register_file(spark: SparkSession, name: str, path: str) -> None:
 
 def check_sql(spark: SparkSession, sql: str, strict: bool = True) -> str:
     """Sanitised text of an acceptable query; a rejected one raises with the reason."""
-    text = F.lit(sql)
-    row = spark.range(1).select(
-        textguard.verdict(text, strict=strict).alias("v"), textguard.sanitize(text).alias("clean")
-    ).first()
+    text = spark.range(1).select(F.lit(sql).alias("sql"))
+    checked = triage.sql(text, "sql", "v", strict=strict)
+    row = checked.select("v", textguard.sanitize(F.col("sql")).alias("clean")).first()
     if not row.v.allowed:
         raise PolicyViolation(row.v.reason)
     return row.clean

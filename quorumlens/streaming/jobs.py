@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quorumlens.functions import textguard
+from quorumlens.operators import triage
 from quorumlens.operators.privacy import ENTITIES
 from quorumlens.session import scratch_path
 from quorumlens.sources.log_table import LogTable
@@ -114,10 +115,9 @@ def redact(stream: DataFrame, text: str) -> DataFrame:
     return stream.withColumn(text, textguard.redact(F.col(text)))
 
 
-def triage(stream: DataFrame, question: str) -> DataFrame:
+def classify(stream: DataFrame, question: str) -> DataFrame:
     """Stateless scope and intent of a question column."""
-    q = F.col(question)
-    return stream.withColumns({"scope": textguard.scope(q), "intent": textguard.intent(q)})
+    return triage.scope(stream, question).withColumn("intent", textguard.intent(F.col(question)))
 
 
 def _flat(df: DataFrame) -> DataFrame:

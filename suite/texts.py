@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quorumlens import fixed_values as fixed
 from quorumlens.functions import textguard
-from quorumlens.operators import evaluation
+from quorumlens.operators import evaluation, triage
 from quorumlens.plans.schema import EVENTS
 from suite import bindings as b
 from suite.bindings import sql_list, sql_text
@@ -43,8 +43,7 @@ verdicts AS (
     "query_log",
 )
 def scope_triage(spark, folder):
-    scope = textguard.scope(F.col("question")).alias("s")
-    return b.query_log(spark, folder).select("id", scope).select("id", "s.*")
+    return triage.scope(b.query_log(spark, folder), "question").select("id", "scope.*")
 
 
 @register(
@@ -54,8 +53,8 @@ def scope_triage(spark, folder):
     "query_log",
 )
 def scope_summary(spark, folder):
-    status = textguard.scope(F.col("question"))["status"].alias("status")
-    return evaluation.counts_by_day(b.query_log(spark, folder), "created_at", status)
+    scoped = triage.scope(b.query_log(spark, folder), "question")
+    return evaluation.counts_by_day(scoped, "created_at", F.col("scope.status").alias("status"))
 
 
 _INTENT = "CASE " + " ".join(
@@ -132,8 +131,7 @@ _STATUS = "CASE WHEN refusal IS NOT NULL THEN 'invalid' WHEN len(warned) > 0 THE
     "query_log",
 )
 def sql_verdict(spark, folder):
-    verdict = textguard.verdict(F.col("sql_query")).alias("v")
-    return b.query_log(spark, folder).select("id", verdict).select("id", "v.*")
+    return triage.sql(b.query_log(spark, folder), "sql_query").select("id", "verdict.*")
 
 
 @register(
@@ -142,8 +140,8 @@ def sql_verdict(spark, folder):
     "query_log",
 )
 def sql_warnings(spark, folder):
-    warnings = F.array_join(textguard.warnings(F.col("sql_query")), "; ")
-    return b.query_log(spark, folder).select("id", warnings.alias("warnings"))
+    checked = triage.sql(b.query_log(spark, folder), "sql_query")
+    return checked.select("id", F.array_join("warnings", "; ").alias("warnings"))
 
 
 @register(
@@ -202,8 +200,7 @@ _PII = (
     f"SELECT doc_id, {_PII} = 'Output is safe.' AS safe, {_PII} AS reason FROM documents",
 )
 def pii_detect(spark, folder):
-    found = textguard.pii(F.col("text")).alias("p")
-    return b.table(spark, folder, "documents").select("doc_id", found).select("doc_id", "p.*")
+    return triage.pii(b.table(spark, folder, "documents"), "text").select("doc_id", "pii.*")
 
 
 REDACTED_SQL = "text"
@@ -225,8 +222,8 @@ def pii_redact(spark, folder):
        FROM (SELECT lang, source, {_PII} AS r FROM documents) GROUP BY 1, 2""",
 )
 def pii_profile(spark, folder):
-    reason = textguard.pii(F.col("text"))["reason"].alias("r")
-    found = b.table(spark, folder, "documents").select("lang", "source", reason)
+    checked = triage.pii(b.table(spark, folder, "documents"), "text")
+    found = checked.select("lang", "source", F.col("pii.reason").alias("r"))
     return found.groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("r") != "Output is safe.").alias("unsafe"),
