@@ -26,6 +26,8 @@ MAX_SENT_QUERIES = 4096
 BLOCK_ROWS = 8192
 #: Documents compared at once inside a task; bounds the distance matrix to queries x this.
 CHUNK_ROWS = 1024
+#: Hits up to this number may be sent to every task.
+MAX_SENT_HITS = 1_000_000
 #: Bucket tables up to this many rows are sent to every task.
 MAX_SENT_BUCKETS = 100_000
 #: Places to which distances are rounded before ranking, so that ties do not depend on summation order.
@@ -173,34 +175,56 @@ def _blocked_search(
     )
 
 
-def topk(
+def _search(
     queries: DataFrame,
     docs: DataFrame,
     k: int,
-    where: Column | None = None,
     max_sent_queries: int = MAX_SENT_QUERIES,
     block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Exact ``k`` nearest documents of every query: query_id, doc_id, rank, distance, score.
-
-    ``queries`` has query_id and embedding, ``docs`` has doc_id and embedding. ``where`` filters
-    documents before the search. Ties in distance are broken by the smaller doc_id. Fewer documents
-    than ``k``, or none, give as many hits as there are.
-    """
-    chosen = docs if where is None else docs.filter(where)
+) -> tuple[DataFrame, bool]:
+    """Ranked hits, and whether their number is known to be small enough to send to every task."""
     q = queries.select(QUERY, "embedding").filter(F.col("embedding").isNotNull())
-    d = chosen.select(DOC, "embedding").filter(F.col("embedding").isNotNull())
+    d = docs.select(DOC, "embedding").filter(F.col("embedding").isNotNull())
     schema = _hit_type(q, d)
     if k <= 0:
-        return _ranked(d.sparkSession.createDataFrame([], schema), 0)
+        return _ranked(d.sparkSession.createDataFrame([], schema), 0), True
     probe = q.limit(max_sent_queries + 1).toArrow()
     if probe.num_rows <= max_sent_queries:
-        return _ranked(_sent_search(probe, d, k, schema), k)
+        small = probe.num_rows * k <= MAX_SENT_HITS
+        return _ranked(_sent_search(probe, d, k, schema), k), small
     one = F.lit(0).alias("bucket")
     hits = _blocked_search(
         q.select("*", one), d.select("*", one), ["bucket"], k, schema, block_rows, max_buckets=1
     )
-    return _ranked(hits, k)
+    return _ranked(hits, k), False
+
+
+def _with_columns(hits: DataFrame, small: bool, docs: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Fetch document columns for the hits only, after the search."""
+    if not columns:
+        return hits
+    sent = F.broadcast(hits) if small else hits
+    return docs.select(DOC, *columns).join(sent, DOC)
+
+
+def topk(
+    queries: DataFrame,
+    docs: DataFrame,
+    k: int,
+    where: Column | None = None,
+    columns: Sequence[str] = (),
+    max_sent_queries: int = MAX_SENT_QUERIES,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Exact ``k`` nearest documents of every query: query_id, doc_id, rank, distance, score.
+
+    ``queries`` has query_id and embedding, ``docs`` has doc_id and embedding. ``where`` filters
+    documents before the search; ``columns`` adds document columns to the hits. Ties in distance are
+    broken by the smaller doc_id. Fewer documents than ``k``, or none, give as many hits as there are.
+    """
+    chosen = docs if where is None else docs.filter(where)
+    hits, small = _search(queries, chosen, k, max_sent_queries, block_rows)
+    return _with_columns(hits, small, chosen, columns)
 
 
 def ann(
@@ -254,30 +278,24 @@ def suggested_bits(n_docs: int, block_rows: int = BLOCK_ROWS) -> int:
     return max(1, math.ceil(math.log2(max(2.0, n_docs / block_rows))))
 
 
+#: (knowledge hits, schema hits) for each use of the dual search.
+PRESETS = {"default": (5, 3), "definition": (5, 2), "sql": (3, 5)}
+
+
 def dual(
     queries: DataFrame,
     knowledge: DataFrame,
     schema_docs: DataFrame,
     k_knowledge: int = 5,
     k_schema: int = 3,
+    columns: Sequence[str] = (),
 ) -> DataFrame:
     """Hits of two collections together, marked by ``source``; k = 0 leaves a side out."""
-    left = topk(queries, knowledge, k_knowledge).withColumn("source", F.lit("knowledge"))
-    right = topk(queries, schema_docs, k_schema).withColumn("source", F.lit("schema"))
-    return left.unionByName(right)
-
-
-#: (knowledge hits, schema hits) for each use of the dual search.
-PRESETS = {"default": (5, 3), "definition": (5, 2), "sql": (3, 5)}
-
-
-def with_content(hits: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
-    """Fetch document columns for the hits only, after the search.
-
-    The hits are bounded by ``k`` per query, so they are the side to ship; Spark checks their real
-    size at run time and falls back to a sorted join when there are many queries.
-    """
-    return docs.select(DOC, *columns).join(hits, DOC)
+    left = topk(queries, knowledge, k_knowledge, columns=columns)
+    right = topk(queries, schema_docs, k_schema, columns=columns)
+    return left.withColumn("source", F.lit("knowledge")).unionByName(
+        right.withColumn("source", F.lit("schema"))
+    )
 
 
 def context(hits: DataFrame, text: str = "content", max_chunks: int = 10) -> DataFrame:
@@ -348,12 +366,15 @@ def history(
     Twice ``k`` hits are fetched; score and success filters follow, so fewer than ``k`` may remain.
     A hit without a log record keeps the document's own text.
     """
-    found = topk(queries, documents, 2 * k).filter(F.col(SCORE) >= min_score)
-    hits = with_content(found, documents, "session_id", "content")
+    found, small = _search(queries, documents, 2 * k)
+    near = found.filter(F.col(SCORE) >= min_score)
+    hits = _with_columns(near, small, documents, ["session_id", "content"])
     # The log is far larger than the hits: cut it to the hits' sessions before the outer join.
     wanted = hits.select(F.col("session_id").alias("id")).distinct()
     columns = ["id", "question", "sql_query", "final_response", "user_score", "self_score"]
-    records = log.select(*columns).join(wanted, "id", "left_semi")
+    records = log.select(*columns).join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
+    if small:
+        records = F.broadcast(records)
     joined = hits.join(records, hits["session_id"] == records["id"], "left").select(
         QUERY,
         "session_id",

@@ -42,21 +42,29 @@ def latest_per_key(df: DataFrame, key: str, version: Sequence[str]) -> DataFrame
     return df.groupBy(F.col(key).alias("key_")).agg(row).select("row_.*")
 
 
+#: Key tables up to this many rows are sent to every task, so the log itself is not shuffled.
+MAX_SENT_KEYS = 1_000_000
+
+
+def _sent_if_small(df: DataFrame) -> DataFrame:
+    """Mark a table for broadcast after counting that it is small; the count stops at the bound."""
+    return F.broadcast(df) if df.limit(MAX_SENT_KEYS + 1).count() <= MAX_SENT_KEYS else df
+
+
 def upsert(base: DataFrame, changes: DataFrame, key: str, version: str) -> DataFrame:
-    """Base rows replaced or extended by changes; of equal versions the change wins."""
-    both = base.withColumn("side_", F.lit(0)).unionByName(changes.withColumn("side_", F.lit(1)))
-    return latest_per_key(both, key, ["side_", version]).drop("side_")
+    """Base rows, one per key, replaced or extended by the latest change of each key."""
+    latest = latest_per_key(changes, key, [version])
+    replaced = _sent_if_small(changes.select(key).distinct())
+    return base.join(replaced, key, "left_anti").unionByName(latest)
 
 
 def update(
-    base: DataFrame, changes: DataFrame, key: str, columns: Sequence[str], version: str | None = None
+    base: DataFrame, changes: DataFrame, key: str, columns: Sequence[str], version: str
 ) -> DataFrame:
-    """Overwrite columns of matching rows, with NULL too; unknown keys are ignored."""
-    if version is None:
-        new = changes.dropDuplicates([key])
-    else:
-        new = latest_per_key(changes, key, [version])
-    new = new.select(key, F.struct(*columns).alias("new_"))
+    """Overwrite columns of matching rows with the latest change, with NULL too; unknown keys are
+    ignored."""
+    latest = latest_per_key(changes, key, [version])
+    new = _sent_if_small(latest.select(key, F.struct(*columns).alias("new_")))
     joined = base.join(new, key, "left")
     matched = F.col("new_").isNotNull()
     return joined.select(
@@ -69,15 +77,26 @@ def update(
     )
 
 
+def _known_keys(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Keys of the changes that are in the table; only these are looked up in the log."""
+    asked = _sent_if_small(changes.select(key).distinct())
+    return base.select(key).join(asked, key, "left_semi").distinct()
+
+
 def unmatched(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Changes whose key is not in the table."""
-    return changes.join(base.select(key), key, "left_anti")
+    return changes.join(_known_keys(base, changes, key), key, "left_anti")
+
+
+def matched_count(base: DataFrame, changes: DataFrame, key: str) -> int:
+    """How many table rows an update with these changes touches."""
+    return base.join(_sent_if_small(changes.select(key).distinct()), key, "left_semi").count()
 
 
 def feedback_intake(log: DataFrame, feedback: DataFrame) -> DataFrame:
     """id, score, outcome: saved, unknown_session, or invalid_score for ratings outside 1..5."""
     valid = F.coalesce(F.col("score").between(1, 5), F.lit(False))
-    known = log.select("id", F.lit(True).alias("known_")).distinct()
+    known = _known_keys(log, feedback, "id").withColumn("known_", F.lit(True))
     outcome = (
         F.when(~valid, "invalid_score").when(F.col("known_"), "saved").otherwise("unknown_session")
     )

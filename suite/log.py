@@ -65,14 +65,15 @@ def log_update(spark, folder):
         "id",
         F.when(F.col("k") % 2 == 1, 5).alias("user_score"),
         F.lit("changed").alias("user_feedback"),
+        "created_at",
     )
-    updated = log_table.update(
+    return log_table.update(
         log.select("id", "user_score", "user_feedback"),
         changes,
         "id",
         ["user_score", "user_feedback"],
+        version="created_at",
     )
-    return updated
 
 
 @register(

@@ -96,8 +96,8 @@ def _dual(spark, folder):
     knowledge = docs.filter(F.col("collection") == "knowledge")
     schema = docs.filter(F.col("collection") == "schema")
     presets = retrieval.PRESETS["default"]
-    hits = retrieval.dual(b.centroids(spark, folder), knowledge, schema, *presets)
-    return retrieval.with_content(hits, docs, "content", "type")
+    queries = b.centroids(spark, folder)
+    return retrieval.dual(queries, knowledge, schema, *presets, columns=["content", "type"])
 
 
 @register(
