@@ -22,7 +22,8 @@ def norm(v: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity in [-1, 1]; NULL when either vector has length zero."""
     raw = F.try_divide(_dot(a, b), norm(a) * norm(b))
-    return F.least(F.lit(1.0), F.greatest(F.lit(-1.0), raw))
+    # least and greatest skip NULL, so the clamp applies to known values only
+    return F.when(raw.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(-1.0), raw)))
 
 
 def score(distance: Column) -> Column:

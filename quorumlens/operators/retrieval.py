@@ -117,40 +117,40 @@ def _sent_search(queries: pa.Table, docs: DataFrame, k: int, schema: T.StructTyp
     return docs.select(DOC, "embedding").mapInArrow(search, schema)
 
 
-def _cells(
-    df: DataFrame, id_column: str, keys: Sequence[str], own: str, other: str, blocks: DataFrame
-) -> DataFrame:
-    """Give each row its own block of its bucket and a copy for every block of the other side."""
-    sized = df.join(blocks, list(keys))
+def _cells(df: DataFrame, id_column: str, own: str, other: str) -> DataFrame:
+    """Give each row its own block and a copy for every block of the other side.
+
+    The columns n_qblock and n_dblock hold the number of blocks of each side.
+    """
     own_block = F.pmod(F.xxhash64(id_column), F.col(f"n_{own}")).cast("int")
     others = F.sequence(F.lit(0), F.col(f"n_{other}").cast("int") - 1)
-    return (
-        sized.withColumn(own, own_block)
-        .withColumn(other, F.explode(others))
-        .drop("n_qblock", "n_dblock")
-    )
+    copies = df.withColumn(own, own_block).withColumn(other, F.explode(others))
+    return copies.drop("n_qblock", "n_dblock")
 
 
-def _blocked_search(
-    queries: DataFrame,
-    docs: DataFrame,
-    keys: Sequence[str],
-    k: int,
-    schema: T.StructType,
-    block_rows: int,
-    max_buckets: int,
+def _blocks(rows: Column, block_rows: int) -> Column:
+    return F.ceil(rows / F.lit(block_rows)).cast("int")
+
+
+def _bucket_blocks(
+    queries: DataFrame, docs: DataFrame, keys: Sequence[str], block_rows: int
 ) -> DataFrame:
-    """Search inside equal ``keys``; a hot bucket is cut into cells of about block_rows per side."""
+    """Number of blocks of both sides for every bucket that both sides use."""
+    count = F.count(F.lit(1))
+    sizes = [
+        df.groupBy(*keys).agg(_blocks(count, block_rows).alias(name))
+        for df, name in ((queries, "n_qblock"), (docs, "n_dblock"))
+    ]
+    return sizes[0].join(sizes[1], list(keys))
 
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        size = F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int")
-        return df.groupBy(*keys).agg(size.alias(name))
 
-    blocks = counted(queries, "n_qblock").join(counted(docs, "n_dblock"), list(keys))
-    if max_buckets <= MAX_SENT_BUCKETS:
-        blocks = F.broadcast(blocks)
-    q = _cells(queries, QUERY, keys, "qblock", "dblock", blocks)
-    d = _cells(docs, DOC, keys, "dblock", "qblock", blocks)
+def _search_cells(
+    queries: DataFrame, docs: DataFrame, keys: Sequence[str], k: int, schema: T.StructType
+) -> DataFrame:
+    """Best ``k`` per query of every cell. A cell is one query block and one document block of one
+    bucket, so a hot bucket is spread over many tasks and no task holds all of it."""
+    q = _cells(queries, QUERY, "qblock", "dblock")
+    d = _cells(docs, DOC, "dblock", "qblock")
     cell = [*keys, "qblock", "dblock"]
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -164,13 +164,12 @@ def _blocked_search(
             k,
         )
 
-    columns = [*cell, "embedding"]
     # a fresh alias keeps both sides apart when queries and documents are the same table
     own = F.col("embedding").alias("embedding")
     return (
         q.select(QUERY, *cell, own)
         .groupBy(*cell)
-        .cogroup(d.select(DOC, *columns).groupBy(*cell))
+        .cogroup(d.select(DOC, *cell, "embedding").groupBy(*cell))
         .applyInPandas(search, schema)
     )
 
@@ -192,10 +191,9 @@ def _search(
     if probe.num_rows <= max_sent_queries:
         small = probe.num_rows * k <= MAX_SENT_HITS
         return _ranked(_sent_search(probe, d, k, schema), k), small
-    one = F.lit(0).alias("bucket")
-    hits = _blocked_search(
-        q.select("*", one), d.select("*", one), ["bucket"], k, schema, block_rows, max_buckets=1
-    )
+    counts = {"n_qblock": q.count(), "n_dblock": d.count()}
+    blocks = {name: _blocks(F.lit(n), block_rows) for name, n in counts.items()}
+    hits = _search_cells(q.withColumns(blocks), d.withColumns(blocks), [], k, schema)
     return _ranked(hits, k), False
 
 
@@ -259,16 +257,13 @@ def ann(
         found = known.select("*", buckets("embedding").alias("buckets_"))
         return found.select(key, "embedding", F.posexplode("buckets_").alias("table_", "bucket"))
 
+    keys = ["table_", "bucket"]
+    q, d = hashed(queries, QUERY), hashed(docs, DOC)
+    blocks = _bucket_blocks(q, d, keys, block_rows)
+    if tables * 2**bits <= MAX_SENT_BUCKETS:
+        blocks = F.broadcast(blocks)
     schema = _hit_type(queries, docs)
-    hits = _blocked_search(
-        hashed(queries, QUERY),
-        hashed(docs, DOC),
-        ["table_", "bucket"],
-        k,
-        schema,
-        block_rows,
-        max_buckets=tables * 2**bits,
-    )
+    hits = _search_cells(q.join(blocks, keys), d.join(blocks, keys), keys, k, schema)
     # a pair found in several tables is one hit
     return _ranked(hits.groupBy(QUERY, DOC).agg(F.min(DISTANCE).alias(DISTANCE)), k)
 

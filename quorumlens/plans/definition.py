@@ -173,4 +173,5 @@ def run(
     ]
     measures = [m.expression(schema) for m in definition.measures]
     kept = k_anon(rows, dims, measures, schema.entity, policy.k)
-    return policy.check_columns(kept.orderBy(*definition.dimensions).limit(policy.limit))
+    ordered = kept.orderBy(*definition.dimensions) if definition.dimensions else kept
+    return policy.check_columns(ordered.limit(policy.limit))
