@@ -150,12 +150,16 @@ def counters(increments: DataFrame) -> DataFrame:
 
 def agent_latency(traces: DataFrame) -> DataFrame:
     """Runs and average duration per agent, with the total of all agents as ``latency_total``."""
+    timed = traces.filter(F.col("duration_ms").isNotNull())
+    per_agent = timed.groupBy("agent_name").agg(
+        F.count(F.lit(1)).alias("runs"), F.sum("duration_ms").alias("ms")
+    )
+    # the total comes from the agents' sums, not from a second copy of the traces
     return (
-        traces.filter(F.col("duration_ms").isNotNull())
-        .rollup("agent_name")
+        per_agent.rollup("agent_name")
         .agg(
-            F.count(F.lit(1)).alias("runs"),
-            terms.ratio(F.sum("duration_ms"), F.count(F.lit(1))).alias("average_ms"),
+            F.sum("runs").alias("runs"),
+            terms.ratio(F.sum("ms"), F.sum("runs")).alias("average_ms"),
             F.grouping("agent_name").alias("all_"),
         )
         .select(

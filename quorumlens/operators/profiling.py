@@ -156,14 +156,17 @@ def event_rules(schema: EventSchema = EVENTS) -> dict[str, Column]:
 def rule_violations(
     df: DataFrame, rules: Mapping[str, Column], unique: str | None = None
 ) -> DataFrame:
-    """Violations per rule in one pass; ``unique`` adds the number of repeated key values."""
+    """Violations per rule in one pass without a shuffle of rows.
+
+    ``unique`` adds the number of surplus rows of repeated key values; only the key column is shuffled.
+    """
     counts = [F.count_if(violated).alias(rule) for rule, violated in rules.items()]
-    names = list(rules)
-    if unique is not None:
-        repeated = F.count(unique) - F.countDistinct(unique)
-        counts.append(repeated.alias(f"unique_{unique}"))
-        names.append(f"unique_{unique}")
-    return df.agg(*counts).unpivot([], names, "rule", "violations")
+    found = df.agg(*counts).unpivot([], list(rules), "rule", "violations")
+    if unique is None:
+        return found
+    per_key = df.filter(F.col(unique).isNotNull()).groupBy(unique).agg(F.count(F.lit(1)).alias("n"))
+    surplus = per_key.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations"))
+    return found.unionByName(surplus.select(F.lit(f"unique_{unique}").alias("rule"), "violations"))
 
 
 def balance_continuity(

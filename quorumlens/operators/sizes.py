@@ -1,0 +1,18 @@
+"""Checked broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Tables up to this many rows may be sent to every task.
+MAX_SENT_ROWS = 1_000_000
+
+
+def sent_if_small(df: DataFrame, bound: int | None = None) -> DataFrame:
+    """Mark a table for broadcast after counting that it is small.
+
+    The count stops one row above the bound. A larger table stays as it is and joins by a shuffle.
+    """
+    limit = MAX_SENT_ROWS if bound is None else bound
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

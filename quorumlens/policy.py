@@ -22,6 +22,7 @@ class GovernancePolicy:
     window_days: int = 90
     discovery_limit: int = 50
     forbidden: tuple[str, ...] = ("customer_id", "account_id")
+    require_aggregation: bool = True
 
     def forbidden_in(self, columns: Iterable[str]) -> list[str]:
         """Columns of a result that are identifiers, compared without case."""
@@ -34,3 +35,20 @@ class GovernancePolicy:
         if found:
             raise PolicyViolation(f"PRIVACY VIOLATION: Forbidden columns in output: {found}")
         return df
+
+    def check_aggregated(self, df: DataFrame) -> DataFrame:
+        """Refuse a result that shows table rows as they are; no job is started."""
+        plan = df._jdf.queryExecution().analyzed()
+        if self.require_aggregation and not _summarises(plan):
+            raise PolicyViolation("row-level results are not allowed; aggregate the data")
+        return df
+
+
+def _summarises(plan) -> bool:
+    """Whether every table below a logical plan node passes through a grouping."""
+    if plan.nodeName() in ("Aggregate", "Distinct"):
+        return True
+    children = plan.children()
+    if children.isEmpty():
+        return plan.nodeName() == "OneRowRelation"
+    return all(_summarises(children.apply(i)) for i in range(children.size()))

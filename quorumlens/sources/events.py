@@ -56,10 +56,11 @@ def query(
 ) -> DataFrame:
     """Run guarded SQL in Spark's dialect over the registered views.
 
-    The text is checked first, the result's columns second and its size is limited. Errors of the
+    The text is checked first, then the result's columns and that it shows no raw rows; its size is
+    limited. Errors of the
     analysis are raised, not turned into an empty result.
     """
-    result = policy.check_columns(spark.sql(check_sql(spark, sql)))
+    result = policy.check_aggregated(policy.check_columns(spark.sql(check_sql(spark, sql))))
     return result.limit(policy.max_rows)
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quorumlens.operators.sizes import sent_if_small
+
 
 LOG_STRUCT = T.StructType(
     [
@@ -42,19 +44,12 @@ def latest_per_key(df: DataFrame, key: str, version: Sequence[str]) -> DataFrame
     return df.groupBy(F.col(key).alias("key_")).agg(row).select("row_.*")
 
 
-#: Key tables up to this many rows are sent to every task, so the log itself is not shuffled.
-MAX_SENT_KEYS = 1_000_000
-
-
-def _sent_if_small(df: DataFrame) -> DataFrame:
-    """Mark a table for broadcast after counting that it is small; the count stops at the bound."""
-    return F.broadcast(df) if df.limit(MAX_SENT_KEYS + 1).count() <= MAX_SENT_KEYS else df
-
-
-def upsert(base: DataFrame, changes: DataFrame, key: str, version: str) -> DataFrame:
+def upsert(
+    base: DataFrame, changes: DataFrame, key: str, version: Sequence[str]
+) -> DataFrame:
     """Base rows, one per key, replaced or extended by the latest change of each key."""
-    latest = latest_per_key(changes, key, [version])
-    replaced = _sent_if_small(changes.select(key).distinct())
+    latest = latest_per_key(changes, key, version)
+    replaced = sent_if_small(changes.select(key).distinct())
     return base.join(replaced, key, "left_anti").unionByName(latest)
 
 
@@ -64,7 +59,7 @@ def update(
     """Overwrite columns of matching rows with the latest change, with NULL too; unknown keys are
     ignored."""
     latest = latest_per_key(changes, key, [version])
-    new = _sent_if_small(latest.select(key, F.struct(*columns).alias("new_")))
+    new = sent_if_small(latest.select(key, F.struct(*columns).alias("new_")))
     joined = base.join(new, key, "left")
     matched = F.col("new_").isNotNull()
     return joined.select(
@@ -79,7 +74,7 @@ def update(
 
 def _known_keys(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Keys of the changes that are in the table; only these are looked up in the log."""
-    asked = _sent_if_small(changes.select(key).distinct())
+    asked = sent_if_small(changes.select(key).distinct())
     return base.select(key).join(asked, key, "left_semi").distinct()
 
 
@@ -90,7 +85,7 @@ def unmatched(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 def matched_count(base: DataFrame, changes: DataFrame, key: str) -> int:
     """How many table rows an update with these changes touches."""
-    return base.join(_sent_if_small(changes.select(key).distinct()), key, "left_semi").count()
+    return base.join(sent_if_small(changes.select(key).distinct()), key, "left_semi").count()
 
 
 def feedback_intake(log: DataFrame, feedback: DataFrame) -> DataFrame:
@@ -162,51 +157,56 @@ def result_summary(result: DataFrame, order: Sequence[str], n: int = 3) -> DataF
 
 
 class LogTable:
-    """Versioned Parquet table with one writer at a time.
+    """Keyed log on plain Parquet with one writer at a time.
 
-    Every write adds a complete new ``version`` partition and readers use the newest one, so a job
-    that fails half-way leaves the former version in force.
+    A write appends its changes as one ``version``; nothing else is read or rewritten, so its cost
+    depends on the changes only. A read overlays the newest full copy with the later changes.
+    ``compact`` stores the overlay as a new full copy. A job that fails half-way leaves no committed
+    files of its version, and a repeated version replaces itself.
     """
 
     def __init__(self, spark: SparkSession, path: str, struct: T.StructType = LOG_STRUCT):
         self.spark, self.path, self.struct = spark, path, struct
 
-    def _versions(self) -> DataFrame | None:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(root):
-            return None
+    def _stored(self, part: str) -> DataFrame:
         struct = T.StructType([*self.struct.fields, T.StructField("version", T.LongType())])
-        return self.spark.read.schema(struct).parquet(self.path)
-
-    def current_version(self, before: int | None = None) -> int:
-        """Newest version, or the newest one below ``before``; 0 when there is none."""
-        versions = self._versions()
-        if versions is None:
-            return 0
-        if before is not None:
-            versions = versions.filter(F.col("version") < before)
-        return versions.agg(F.max("version")).first()[0] or 0
-
-    def read(self, before: int | None = None) -> DataFrame:
-        version = self.current_version(before)
-        if version == 0:
-            return self.spark.createDataFrame([], self.struct)
-        return self._versions().filter(F.col("version") == version).drop("version")
-
-    def write(self, df: DataFrame, version: int | None = None) -> int:
-        """Store a full table as a new version; repeating a version replaces it."""
-        number = self.current_version() + 1 if version is None else version
+        folder = f"{self.path}/{part}"
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if root.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(root):
+            return self.spark.read.schema(struct).parquet(folder)
+        return self.spark.createDataFrame([], struct)
+
+    def _newest(self, part: str) -> int:
+        return self._stored(part).agg(F.max("version")).first()[0] or 0
+
+    def current_version(self) -> int:
+        return max(self._newest("changes"), self._newest("full"))
+
+    def read(self) -> DataFrame:
+        full = self._newest("full")
+        base = self._stored("full").filter(F.col("version") == full).drop("version")
+        changes = self._stored("changes").filter(F.col("version") > full)
+        keyed = base.withColumn("version", F.lit(full).cast("bigint"))
+        return upsert(keyed, changes, "id", ["version", "created_at"]).drop("version")
+
+    def _write(self, df: DataFrame, part: str, version: int) -> None:
         (
-            df.withColumn("version", F.lit(number).cast("bigint"))
+            df.select(*self.struct.fieldNames())
+            .withColumn("version", F.lit(version).cast("bigint"))
             .write.option("partitionOverwriteMode", "dynamic")
             .mode("overwrite")
             .partitionBy("version")
-            .parquet(self.path)
+            .parquet(f"{self.path}/{part}")
         )
-        return number
 
     def upsert(self, changes: DataFrame, version: int | None = None) -> int:
-        """Merge changes into the version before ``version``, so a repeated batch changes nothing."""
-        base = self.read(before=version)
-        return self.write(upsert(base, changes, "id", "created_at"), version)
+        """Insert or replace rows by id; returns the version."""
+        number = self.current_version() + 1 if version is None else version
+        self._write(changes, "changes", number)
+        return number
+
+    def compact(self) -> int:
+        """Store the present rows as one full copy that later reads start from."""
+        number = self.current_version()
+        self._write(self.read(), "full", number)
+        return number

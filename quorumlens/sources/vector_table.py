@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quorumlens.operators.sizes import sent_if_small
+
 VECTOR_STRUCT = T.StructType(
     [
         T.StructField("doc_id", T.StringType(), False),
@@ -57,7 +59,8 @@ def dense_numbers(df: DataFrame, group: str, order: str, pieces: int = 64) -> Da
 def with_default_ids(new: DataFrame, existing: DataFrame, order: str) -> DataFrame:
     """Give new documents the ids ``<collection>_<n>``, counting on from the stored documents."""
     start = collection_counts(existing).withColumnRenamed("n", "start_")
-    numbered = dense_numbers(new, "collection", order).join(start, "collection", "left")
+    numbered = dense_numbers(new, "collection", order)
+    numbered = numbered.join(sent_if_small(start), "collection", "left")
     number = F.coalesce("start_", F.lit(0)) + F.col("number")
     return numbered.withColumn(
         "doc_id", F.concat("collection", F.lit("_"), number.cast("string"))
@@ -129,10 +132,11 @@ class VectorTable:
             status = "indexed"
             parts = []
             for name, chunks in ((KNOWLEDGE, knowledge), (SCHEMA, schema)):
-                key = F.xxhash64("content").cast("string")
+                # the chunks of one document are few
+                number = F.row_number().over(Window.partitionBy(F.lit(name)).orderBy("content")) - 1
                 parts.append(
                     chunks.select(
-                        F.concat(F.lit(f"{name}_"), key).alias("doc_id"),
+                        F.concat(F.lit(f"{name}_"), number.cast("string")).alias("doc_id"),
                         "content",
                         "metadata",
                         embed.cast("array<float>").alias("embedding"),

@@ -46,7 +46,7 @@ def _changes(spark, folder):
     "query_log",
 )
 def log_upsert(spark, folder):
-    merged = log_table.upsert(_base(spark, folder), _changes(spark, folder), "id", "created_at")
+    merged = log_table.upsert(_base(spark, folder), _changes(spark, folder), "id", ["created_at"])
     created = log_table.display_time(F.col("created_at")).alias("created")
     return merged.select("id", "question", created, "user_score")
 

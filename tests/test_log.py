@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from quorumlens.operators import evaluation
+from quorumlens.operators import evaluation, sizes
 from quorumlens.sources import log_table
 from quorumlens.sources.log_table import LogTable
 from tests.conftest import rows
@@ -14,13 +14,13 @@ NARROW = "id string, user_score int, user_feedback string, v int"
 def test_upsert_replaces_and_adds(spark):
     base = spark.createDataFrame([("a", 1, "x", 1), ("b", 2, None, 1)], NARROW)
     changes = spark.createDataFrame([("b", 9, "n", 2), ("b", 8, "o", 1), ("c", 3, None, 1)], NARROW)
-    got = rows(log_table.upsert(base, changes, "id", "v"))
+    got = rows(log_table.upsert(base, changes, "id", ["v"]))
     assert got == [("a", 1, "x", 1), ("b", 9, "n", 2), ("c", 3, None, 1)]
 
 
 @pytest.mark.parametrize("bound", [0, 1_000_000])
 def test_update_writes_null_and_ignores_unknown(spark, bound, monkeypatch):
-    monkeypatch.setattr(log_table, "MAX_SENT_KEYS", bound)
+    monkeypatch.setattr(sizes, "MAX_SENT_ROWS", bound)
     base = spark.createDataFrame([("a", 1, "x", 1), ("b", 2, "y", 1)], NARROW)
     changes = spark.createDataFrame([("a", None, None, 2), ("z", 5, "w", 2)], NARROW)
     columns = ["user_score", "user_feedback"]
@@ -77,7 +77,11 @@ def test_versioned_table(spark, tmp_path):
     table.upsert(change, version=2)  # a repeated batch
     assert table.current_version() == 2
     assert rows(table.read().select("id", "question")) == [("a", "two"), ("b", "new")]
-    assert rows(table.read(before=2).select("id", "question")) == [("a", "one")]
+    assert table.compact() == 2
+    table.upsert(_log(spark, ("c", "later", 3, None), ("b", "newer", 1, None)))
+    expected = [("a", "two"), ("b", "newer"), ("c", "later")]
+    assert rows(table.read().select("id", "question")) == expected
+    assert table.compact() == 3 and rows(table.read().select("id", "question")) == expected
 
 
 # --- statistics ---------------------------------------------------------------------------------------

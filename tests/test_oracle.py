@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.conftest import TESTDATA
+from tests.test_plans import check_rules
 from tools.check_queries import compare, connect
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
@@ -21,6 +22,7 @@ def test_query(key, spark, folder, duck):
         assert compare(df, duck, ORACLES[key]) is None
     else:
         assert df.count() > 0
+    check_rules(key, df)
 
 
 def test_entry_is_not_empty(spark):

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quorumlens import PolicyViolation
+from quorumlens import GovernancePolicy, PolicyViolation
 from quorumlens.functions import scoring, textguard
 from quorumlens.operators import triage
 from quorumlens.sources import events
@@ -177,6 +177,9 @@ def test_query_over_both_names(spark, bank):
         "SELECT account_id FROM events LIMIT 1",
         "SELECT 1 AS Customer_Id",
         "SELECT 1 UNION ALL SELECT 2",
+        "SELECT channel FROM events LIMIT 5",
+        "SELECT channel FROM events UNION SELECT x FROM (SELECT event_name AS x FROM events) LIMIT 5 --",
+        "WITH t AS (SELECT COUNT(*) AS n FROM events) SELECT channel, n FROM events JOIN t ON n > 1",
     ],
 )
 def test_query_refuses(spark, bank, sql):
@@ -185,6 +188,13 @@ def test_query_refuses(spark, bank, sql):
         events.query(spark, sql)
 
 
+def test_row_level_results_can_be_allowed(spark, bank):
+    events.register(bank)
+    sql = "SELECT channel FROM events LIMIT 5"
+    assert events.query(spark, sql, GovernancePolicy(require_aggregation=False)).count() == 5
+    assert events.query(spark, "SELECT DISTINCT channel FROM events LIMIT 5").count() == 3
+
+
 def test_query_raises_analysis_errors(spark, bank):
     events.register(bank)
     with pytest.raises(Exception, match="UNRESOLVED_COLUMN"):
