@@ -81,7 +81,9 @@ def k_anon_rollup(
         .drop("gid")
     )
     level = F.col("level")
-    top = nodes.filter(level == 1).agg(F.min(ENTITIES)).scalar()
+    # a scan of two columns is cheaper here than a second roll-up
+    widest = df.groupBy(dims[0]).agg(F.countDistinct(entity).alias(ENTITIES))
+    top = widest.agg(F.min(ENTITIES)).scalar()
     # split_<m>: fewest entities among the children at level m of a node's ancestor at level m - 1
     splits = [top.alias("split_1")]
     for m in range(2, depth + 1):

@@ -32,17 +32,17 @@ def date_range(df: DataFrame, date: str) -> DataFrame:
     )
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows per (column, value) for several columns in one pass; nulls are left out."""
+def _pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value) rows of several columns from one scan, without nulls."""
     pairs = [
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns
     ]
-    return (
-        df.select(F.inline(F.array(*pairs)))
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
+    return df.select(F.inline(F.array(*pairs))).filter(F.col("value").isNotNull())
+
+
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows per (column, value) for several columns in one pass; nulls are left out."""
+    return _pairs(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def discover(
@@ -124,18 +124,23 @@ def distinct_values(df: DataFrame, column: str, limit: int) -> DataFrame:
 
 
 def enum_conformance(df: DataFrame, enums: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Values outside their enum with row counts, and enum values that never occur."""
-    found = value_counts(df, list(enums))
-    pairs = [(c, v) for c, values in enums.items() for v in values]
-    expected = df.sparkSession.createDataFrame(pairs, "column string, value string")
-    keys = ["column", "value"]
-    unexpected = found.join(F.broadcast(expected), keys, "left_anti").select(
-        *keys, F.lit("unexpected").alias("issue"), "cnt"
+    """Values outside their enum with row counts, and enum values that never occur.
+
+    The expected values join the data's own values as rows, so one scan and one shuffle of partial
+    counts find both.
+    """
+    listed = [(c, v) for c, values in enums.items() for v in values]
+    expected = df.sparkSession.createDataFrame(listed, "column string, value string")
+    both = _pairs(df, list(enums)).withColumn("seen", F.lit(1)).unionByName(
+        expected.withColumn("seen", F.lit(0))
+    )
+    judged = both.groupBy("column", "value").agg(
+        F.sum("seen").alias("cnt"), F.min("seen").alias("first")
     )
-    missing = expected.join(found, keys, "left_anti").select(
-        *keys, F.lit("missing").alias("issue"), F.lit(0).cast("bigint").alias("cnt")
+    issue = F.when(F.col("first") == 1, "unexpected").when(F.col("cnt") == 0, "missing")
+    return judged.select("column", "value", issue.alias("issue"), "cnt").filter(
+        F.col("issue").isNotNull()
     )
-    return unexpected.unionByName(missing)
 
 
 def event_rules(schema: EventSchema = EVENTS) -> dict[str, Column]:
