@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorumlens.operators.sizes import sent_if_small
+
 _SCHEMA_DOCUMENT = """
   table_name string, `table` string, source string, description string,
   query_hints struct<
@@ -127,6 +129,18 @@ def question_mapping(knowledge: DataFrame) -> DataFrame:
     return knowledge.select(F.inline("question_mapping"))
 
 
+def match_questions(questions: DataFrame, knowledge: DataFrame, column: str) -> DataFrame:
+    """Questions with the filters and aggregation of their template, NULL when there is none.
+
+    Templates are compared without case and outer blanks.
+    """
+    templates = question_mapping(knowledge).select(
+        F.lower(F.trim("question_pattern")).alias("key_"), "key_filters", "aggregation"
+    )
+    keyed = questions.withColumn("key_", F.lower(F.trim(column)))
+    return keyed.join(sent_if_small(templates), "key_", "left").drop("key_")
+
+
 # --- text chunks for retrieval --------------------------------------------------------------------
 
 

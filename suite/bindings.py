@@ -94,7 +94,7 @@ def bank_orders(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderdate").alias("event_ts"),
         F.col("o_orderdate").cast("date").alias("event_date"),
         F.col("o_custkey").alias("account_id"),
-        F.floor(F.col("o_custkey") / 5).alias("customer_id"),
+        F.expr("o_custkey div 5").alias("customer_id"),
         F.col("o_orderpriority").alias("product_type"),
         F.when(status == "P", "fee").otherwise("money_movement").alias("event_type"),
         name.alias("event_name"),
@@ -156,7 +156,7 @@ def bank_events(spark: SparkSession, folder: str) -> DataFrame:
             F.col("ts").cast("timestamp").alias("event_ts"),
             F.col("ts").cast("date").alias("event_date"),
             F.col("user_id").alias("account_id"),
-            F.floor(F.col("user_id") / 3).alias("customer_id"),
+            F.expr("user_id div 3").alias("customer_id"),
             pick(PRODUCTS, k % 3).alias("product_type"),
             role.alias("event_type"),
             name.alias("event_name"),
@@ -271,7 +271,7 @@ def traces(spark: SparkSession, folder: str) -> DataFrame:
         pick(fixed.STAGES, F.col("turn") % 4).alias("agent_name"),
         action.alias("action"),
         size.cast("bigint").alias("duration_ms"),
-        F.floor(size / 4).alias("tokens_used"),
+        F.expr("length(text) div 4").alias("tokens_used"),
         F.when(size % 7 == 0, F.concat(F.lit("code "), (size % 3).cast("string"))).alias("error"),
     )
 
@@ -291,7 +291,7 @@ def spans(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "conversations").select(
         F.col("conv_id").alias("trace_id"),
         F.col("turn").alias("span_id"),
-        F.when(F.col("turn") > 0, F.floor((F.col("turn") - 1) / 2)).alias("parent_id"),
+        F.when(F.col("turn") > 0, F.expr("(turn - 1) div 2")).alias("parent_id"),
         F.col("role").alias("name"),
         start.alias("start_ms"),
         F.when(size % 5 != 0, start + size).alias("end_ms"),
@@ -336,7 +336,7 @@ def centroids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 CENTROIDS = """
-  SELECT label AS query_id, list(x ORDER BY pos) AS embedding
+  SELECT CAST(label AS BIGINT) AS query_id, list(x ORDER BY pos) AS embedding
   FROM (
     SELECT label, pos, round(avg(CAST(embedding[pos] AS DOUBLE)), 6) AS x
     FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings)

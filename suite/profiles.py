@@ -190,7 +190,7 @@ def account_fanout(spark, folder):
 @register(
     "schema_doc",
     """WITH s AS (SELECT * FROM events ORDER BY event_id LIMIT 3)
-       SELECT 0 AS position, 'event_id' AS "column", 'bigint' AS type,
+       SELECT CAST(0 AS BIGINT) AS position, 'event_id' AS "column", 'bigint' AS type,
          string_agg(event_id, ' | ' ORDER BY event_id) AS samples FROM s
        UNION ALL SELECT 1, 'user_id', 'bigint', string_agg(user_id, ' | ' ORDER BY event_id) FROM s
        UNION ALL SELECT 2, 'event_type', 'string', string_agg(event_type, ' | ' ORDER BY event_id) FROM s

@@ -178,7 +178,7 @@ def question_mapping(spark, folder):
     channels = rows.groupBy("channel").agg(one.alias("n"))
     # the customer ranking is answered by a distribution, so no identifier is shown
     active = rows.groupBy("customer_id").agg(one.alias("events"))
-    active = active.groupBy(F.floor(F.col("events") / 20).alias("bucket")).agg(one.alias("n"))
+    active = active.groupBy(F.expr("events div 20").alias("bucket")).agg(one.alias("n"))
     daily = patterns.daily_deposit_trend(rows)
     return (
         answers.select("question", F.lit("").alias("label"), F.col("answer").cast("double"))

@@ -107,7 +107,7 @@ def stream_sessions(spark, folder):
          - INTERVAL 5 MINUTE FROM (SELECT MAX(ts) AS m FROM s UNION ALL SELECT MAX(ts) FROM e))""",
 )
 def stream_pairing(spark, folder):
-    operation = F.floor(F.col("event_id") / 2).alias("op")
+    operation = F.expr("event_id div 2").alias("op")
     events = _events(spark, folder)
     begun = events.filter(F.col("event_id") % 2 == 0)
     done = events.filter((F.col("event_id") % 2 == 1) & (F.col("event_type") != "error"))

@@ -112,6 +112,10 @@ def test_knowledge_document(spark, files):
     assert rows(catalog.sql_patterns(doc)) == [("daily", "per day", "SELECT 1")]
     assert rows(catalog.business_rules(doc)) == [(0, "never negative")]
     assert rows(catalog.question_mapping(doc)) == [("how big?", None, "SUM(amount)")]
+    asked = spark.createDataFrame([(" How big?",), ("else",)], "q string")
+    assert rows(catalog.match_questions(asked, doc, "q")) == [
+        (" How big?", None, "SUM(amount)"), ("else", None, None),
+    ]
     chunks = {r.content: r.metadata for r in catalog.knowledge_chunks(doc).collect()}
     assert chunks["Product Term: Jar\nDefinition: holds coins"]["category"] == "product"
     assert "Business Term: Flow\nDefinition: in minus out" in chunks

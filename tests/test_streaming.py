@@ -105,3 +105,13 @@ def test_log_stream_end_to_end(spark, tmp_path):
     )
     query.awaitTermination()
     assert rows(table.read().select("id", "question")) == [("a", "q3")]
+
+
+def test_session_documents_as_a_stream(spark, tmp_path):
+    ddl = "session_id string, timestamp timestamp, errors array<string>"
+    (tmp_path / "in").mkdir()
+    for i in range(2):
+        text = f'{{"session_id": "s{i}", "timestamp": "2024-01-01T00:0{i}:00", "errors": ["e"]}}'
+        (tmp_path / "in" / f"2024-01-01_s{i}.json").write_text(text)
+    stream = jobs.read_sessions(spark, str(tmp_path / "in"), ddl)
+    assert rows(jobs.drain(stream.select("session_id"), "sessions")) == [("s0",), ("s1",)]
