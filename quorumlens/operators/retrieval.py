@@ -240,16 +240,49 @@ def ann(
     hash tables; only documents that share a bucket with a query are compared. Choose ``bits`` near
     log2(number of documents / block_rows). A bucket that many vectors fall into is cut into cells, so
     no task ever holds a whole bucket, and no cell returns more than ``k`` hits per query.
+
+    Equal vectors would all share their buckets, so they are searched once: of equal documents only
+    the ``k`` smallest ids can be hits, and equal queries have equal hits.
     """
-    dim = docs.select(F.size("embedding")).limit(1).collect()
+    dim = docs.select(F.size("embedding")).filter(F.col("embedding").isNotNull()).limit(1).collect()
     if not dim:
         return topk(queries, docs, k)
-    planes = np.random.default_rng(seed).standard_normal((tables * bits, dim[0][0]))
+    asked = queries.select(QUERY, "embedding", _vector_key().alias("copy_"))
+    one_each = asked.groupBy(F.col("copy_").alias(QUERY)).agg(
+        F.any_value("embedding").alias("embedding")
+    )
+    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim[0][0]))
+    found = _ann_of_distinct(one_each, _smallest_ids(docs, k), k, planes, block_rows)
+    return found.withColumnRenamed(QUERY, "copy_").join(
+        asked.select(QUERY, "copy_"), "copy_"
+    ).drop("copy_")
+
+
+def _vector_key() -> Column:
+    """128 hash bits of a vector as text."""
+    # the hash of each argument seeds the next one, so the constant comes first
+    first, second = F.xxhash64("embedding"), F.xxhash64(F.lit(1), F.col("embedding"))
+    return F.concat_ws(":", first.cast("string"), second.cast("string"))
+
+
+def _smallest_ids(docs: DataFrame, k: int) -> DataFrame:
+    """The ``k`` smallest ids of every distinct vector; larger ones lose every tie against them."""
+    copies = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy(DOC)
+    numbered = docs.select(DOC, "embedding").withColumn("copy_", F.row_number().over(copies))
+    return numbered.filter(F.col("copy_") <= k).drop("copy_")
+
+
+def _ann_of_distinct(
+    queries: DataFrame, docs: DataFrame, k: int, planes: np.ndarray, block_rows: int
+) -> DataFrame:
+    """Search inside hash buckets; ``planes`` holds one normal vector per table and bit."""
+    tables, bits, dimension = planes.shape
+    flat = planes.reshape(tables * bits, dimension)
     weights = 2 ** np.arange(bits)
 
     @F.pandas_udf("array<int>")
     def buckets(column: pd.Series) -> pd.Series:
-        signs = (_stacked(column) @ planes.T > 0).reshape(len(column), tables, bits)
+        signs = (_stacked(column) @ flat.T > 0).reshape(len(column), tables, bits)
         return pd.Series(list((signs * weights).sum(axis=2).astype(np.int32)))
 
     def hashed(df: DataFrame, key: str) -> DataFrame:

@@ -23,6 +23,7 @@ def register(
 
     def keep(fn: Query) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return plain(fn(spark, folder))
 
         if key in QUERIES:

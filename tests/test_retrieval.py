@@ -82,6 +82,17 @@ def test_approximate_search_recall_and_size(clouds):
     assert len(pairs & {e[:2] for e in exact}) / len(exact) > 0.8
 
 
+def test_equal_vectors_are_searched_once_with_whole_results(clouds):
+    _, d, _, docs = clouds
+    queries = docs.withColumnRenamed("doc_id", "query_id")
+    near = retrieval.ann(queries, docs, 4, bits=4, tables=3, block_rows=64).collect()
+    hits = {}
+    for r in sorted(near, key=lambda r: (r.query_id, r.rank)):
+        hits.setdefault(r.query_id, []).append(r.doc_id)
+    assert len(hits) == len(d)
+    assert all(hits[q] == [7, 100, 101, 102] for q in [7, *range(100, 220)])
+
+
 def test_cosine_column(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0]), ([1.0, 1.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])],
                                "a array<double>, b array<double>")
