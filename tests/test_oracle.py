@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from suite import all_queries
 from tests.conftest import TESTDATA
 from tests.test_plans import check_rules
 from tools.check_queries import compare, connect
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = all_queries()
 
 
 @pytest.fixture(scope="module")
