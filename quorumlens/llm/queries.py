@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlens.llm import mixing, warc
+from quorumlens.llm import mixing, outliers, warc
 from quorumlens.llm.common import n_words
 from quorumlens.session import scratch_path, written
 
@@ -72,3 +72,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("copies") * F.col("size")).alias("taken"),
         "copies",
     )
+
+
+@register("op3_robust_outliers", outliers.oracle_sql())
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return outliers.judged(documents).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
