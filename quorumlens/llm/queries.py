@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlens.llm import mixing, outliers, warc
+from quorumlens.llm import minhash, mixing, outliers, warc
 from quorumlens.llm.common import n_words
 from quorumlens.session import scratch_path, written
 
@@ -80,3 +80,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return outliers.judged(documents).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@register("op9_minhash_join")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, folder, "documents"), width=2)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
