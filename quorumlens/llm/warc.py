@@ -70,7 +70,8 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
         .agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
         .where("copies > 1 AND first IS NOT NULL")
     )
-    pages = pages.join(groups.select("digest", "first"), "digest", "left")
+    # As a table its size is known before the join, so Spark moves the pages only if there are many groups.
+    pages = pages.join(written(groups.select("digest", "first"), "warc-groups"), "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     http = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
