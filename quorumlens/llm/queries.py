@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlens.llm import minhash, mixing, outliers, warc
+from quorumlens.llm import minhash, mixing, outliers, tiling, token_shards, warc
 from quorumlens.llm.common import n_words
 from quorumlens.session import scratch_path, written
 
@@ -86,3 +86,15 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, folder, "documents"), width=2)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+@register("op8_string_tiling")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return tiling.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@register("op6_training_order")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "shards")
+    size = token_shards.write_shards(table(spark, folder, "documents"), path)
+    return token_shards.read_shards(spark, path, size=size).drop("tokens")
