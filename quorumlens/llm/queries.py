@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlens.llm import minhash, mixing, outliers, tiling, token_shards, warc
+from quorumlens.llm import html_text, minhash, mixing, outliers, tiling, token_shards, warc
 from quorumlens.llm.common import n_words
 from quorumlens.session import scratch_path, written
 
@@ -98,3 +98,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "shards")
     size = token_shards.write_shards(table(spark, folder, "documents"), path)
     return token_shards.read_shards(spark, path, size=size).drop("tokens")
+
+
+@register("op2_tag_path_text")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
