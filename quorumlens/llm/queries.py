@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlens.llm import html_text, minhash, mixing, outliers, tiling, token_shards, warc
+from quorumlens.llm import html_text, line_chunks, minhash, mixing, outliers, tiling, token_shards, warc
 from quorumlens.llm.common import n_words
 from quorumlens.session import scratch_path, written
 
@@ -103,3 +103,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @register("op2_tag_path_text")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
+
+
+@register("op10_line_chunks")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return line_chunks.deduplicated(table(spark, folder, "documents"))
