@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlens.llm import html_text, line_chunks, minhash, mixing, outliers, tiling, token_shards, warc
+from quorumlens.llm import credentials, html_text, line_chunks, minhash, mixing, outliers, tiling, token_shards, warc
 from quorumlens.llm.common import n_words
 from quorumlens.session import scratch_path, written
 
@@ -108,3 +108,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @register("op10_line_chunks")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return line_chunks.deduplicated(table(spark, folder, "documents"))
+
+
+@register("op7_inferred_formats")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return credentials.secrets(table(spark, folder, "documents"))

@@ -1,0 +1,76 @@
+import hashlib
+import random
+import re
+
+from quorumlens.llm import credentials
+
+SCHEMA = "doc_id bigint, text string, spans int"
+WORD = r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+
+
+def brute(text):
+    out = []
+    for m in re.finditer(WORD + r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text or ""):
+        if len(m[2]) >= 6:
+            out.append(("assign", m.start(), m.end()))
+    out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text or "") if m.end() - m.start() >= 20]
+    out += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text or "") if m.end() - m.start() >= 24]
+    return out
+
+
+HEX = "0123456789abcdef"
+
+
+def make(rnd, alphabet, n):
+    return "".join(rnd.choice(alphabet) for _ in range(n))
+
+
+def texts():
+    rnd = random.Random(6)
+    out = [
+        None, "", "no secrets", "token: token : abcdefgh", "token=abc secret='abcdef'", "API_KEY = \"a.b-c/d+e\"", "apikey:abcdef",
+        "TOKEN\"=\"x\" password = hunter22", "ſecret=abcdef toKen=abcdef", "\U0001f600 passwd:aaaaaa",
+        "AKIAAKIA AKIA" + "A1" * 10, "x" + "AKIA" + "Z" * 16 + "y", "g" + "a" * 24 + "g", "a" * 23, "deadbeef" * 4 + "." + "12" * 13,
+        "secret=" + "ab" * 20, ("token = \"" + "0f" * 20 + "\" ") * 300,
+    ]
+    out += [" ".join(rnd.choice(["token", "=", ":", "'", "\"", "abcdef1", "secret=", "x"]) for _ in range(12)) for _ in range(100)]
+    return out
+
+
+def test_base(spark):
+    rows = [(i, t, 0) for i, t in enumerate(texts())] + [(3, texts()[3], 0), (None, texts()[5], 0)]
+    found = credentials.secrets(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = sorted(((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in found), key=str)
+    expected = []
+    for i, text, _ in rows:
+        spans = sorted(brute(text), key=lambda s: (s[1], credentials.KINDS.index(s[0])))
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        n = [sum(s[0] == k for s in spans) for k in credentials.KINDS[:3]]
+        expected.append((i, *n, hashlib.sha256(joined.encode()).hexdigest()))
+    assert got == sorted(expected, key=str)
+    assert credentials.secrets(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_inferred_formats(spark):
+    """Bare credentials of a labelled format are found, ordinary long words are not."""
+    rnd = random.Random(9)
+    plain = lambda: " ".join(make(rnd, "etaoinshrdlu", rnd.randint(2, 9)) for _ in range(60))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(i, f"{plain()} secret = 'sk-{make(rnd, mixed, 40)}' {plain()}", 0) for i in range(60)]
+    bare = [f"sk-{make(rnd, mixed, 40)}" for _ in range(20)]
+    rows += [(100 + i, f"{plain()} {b} {plain()}", 0) for i, b in enumerate(bare)]
+    words = ["verantwortungsbewusstsein2", "item-number-2024-in-the-list", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "chapter_1_of_the_long_story"]
+    rows += [(200 + i, f"{plain()} {w} {plain()}", 0) for i, w in enumerate(words)]
+    found = {r.doc_id: r for r in credentials.secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, b in enumerate(bare):
+        start = rows[60 + i][1].index(b)
+        assert found[100 + i].spans == f"format:{start}:{start + len(b)}"
+    assert all(found[200 + i].spans == "" for i in range(len(words)))
+    assert all(found[i].n_assign == 1 and found[i].n_format == 0 for i in range(60))
+
+
+def test_merging_finds_the_loop():
+    rnd = random.Random(1)
+    a = credentials.Automaton([make(rnd, HEX, 40) for _ in range(200)])
+    assert a.rate(make(rnd, HEX, 40)) >= a.least
+    assert a.rate("g" * 40) == float("-inf")
