@@ -104,24 +104,41 @@ def start_weights(vocabulary: Vocabulary, seed: int = 7) -> dict[str, np.ndarray
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
-def forward(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Log class probabilities (windows, WINDOW, CLASSES) of the next token after each input, and what led there."""
+def attend(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Class logits (windows * WINDOW, CLASSES) of the next token after each input, and what led there."""
     e = w["e"][x] + w["p"]
     qkv = e.reshape(-1, WIDTH) @ np.concatenate([w["q"], w["k"], w["v"]], axis=1)
     q, k, v = (qkv[:, i * WIDTH : (i + 1) * WIDTH].reshape(e.shape) for i in range(3))
     a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(WIDTH**-0.5)
+    a *= e.dtype.type(WIDTH**-0.5)
     a += _MASK
     np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
+    a /= a @ np.ones((WINDOW, 1), e.dtype)
     c = a @ v
     h = e + (c.reshape(-1, WIDTH) @ w["o"]).reshape(e.shape)
-    logits = h.reshape(-1, WIDTH) @ w["c"] + w["b"]
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    logits = h.reshape(-1, WIDTH) @ w["c"]
+    logits += w["b"]
     return logits, e, q, k, v, a, c, h
 
 
+def normalised(logits: np.ndarray) -> np.ndarray:
+    """log of the sum of exponentials of each row; overwrites the logits."""
+    top = logits.max()
+    logits -= top
+    low = logits.min()
+    if low < -80:  # far apart: each row by its own largest value
+        own = logits.max(axis=1)
+        return np.log(np.exp(logits - own[:, None]).sum(axis=1)) + own + top
+    np.exp(logits, out=logits)
+    return np.log(logits @ np.ones(CLASSES, logits.dtype)) + top
+
+
+def forward(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Log class probabilities instead of logits."""
+    logits, *rest = attend(w, x)
+    return logits - normalised(logits.copy())[:, None], *rest
+
+
 def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, used: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean loss over the positions in ``used``."""
     logits, e, q, k, v, a, c, h = forward(w, x)
@@ -177,9 +194,9 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, place * STRIDE, np.where(place == 0, 0, WINDOW - STRIDE)
 
 
-def gathered(vocabulary: Vocabulary, tokens: np.ndarray, lengths: np.ndarray, chosen=slice(None)) -> tuple[np.ndarray, ...]:
-    """Inputs, targets, and scored places of the chosen windows; targets are token ids."""
-    owner, start, least = (z[chosen] for z in windows(lengths))
+def gathered(vocabulary: Vocabulary, tokens: np.ndarray, lengths: np.ndarray, placed, chosen=slice(None)) -> tuple[np.ndarray, ...]:
+    """Inputs, targets, scored places and document of the chosen windows; targets are token ids."""
+    owner, start, least = (z[chosen] for z in placed)
     first = (np.cumsum(lengths) - lengths)[owner]
     place = start[:, None] + np.arange(WINDOW)
     inside = place < lengths[owner][:, None]
@@ -193,11 +210,14 @@ def gathered(vocabulary: Vocabulary, tokens: np.ndarray, lengths: np.ndarray, ch
 def score_tokens(w: dict[str, np.ndarray], vocabulary: Vocabulary, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """log10 probability of each document of ``lengths`` tokens."""
     total = np.zeros(len(lengths))
-    owner_all = windows(lengths)[0]
-    for at in range(0, len(owner_all), 512):
-        x, y, used, owner = gathered(vocabulary, tokens, lengths, slice(at, at + 512))
-        logits = forward(w, x)[0]
-        own = logits[np.arange(len(logits)), vocabulary.classes[y].ravel()].reshape(y.shape) / np.log(10)
+    placed = windows(lengths)
+    n = len(placed[0])
+    for at in range(0, n, 192):
+        part = slice(at, at + 192)
+        x, y, used, owner = gathered(vocabulary, tokens, lengths, placed, part)
+        logits = attend(w, x)[0]
+        own = logits.ravel()[np.arange(0, logits.size, CLASSES) + vocabulary.classes[y].ravel()]
+        own = (own - normalised(logits)).reshape(y.shape) * np.log10(np.e)
         own = np.where(used, own + vocabulary.share[y], 0.0).sum(axis=1)
         total += np.bincount(owner, own, len(lengths))
     return total
@@ -246,9 +266,10 @@ def _training_windows(ranks: dict[bytes, int], vocabulary: Vocabulary, every: in
             lengths = np.asarray([len(tokens)])
             # Windows at a fixed distance through the whole text, from a start that depends on the text.
             first = zlib.crc32(tokens.tobytes()) % every
-            n = len(windows(lengths)[0])
+            placed = windows(lengths)
+            n = len(placed[0])
             chosen = np.arange(first % n if n < every else first, n, every)
-            x, y, used, _ = gathered(vocabulary, tokens, lengths, chosen)
+            x, y, used, _ = gathered(vocabulary, tokens, lengths, placed, chosen)
             x, y, used = x.astype("<u2"), vocabulary.classes[y].astype("u1"), used.astype("u1")
             for i in range(len(chosen)):
                 number += 1

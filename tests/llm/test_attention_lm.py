@@ -52,7 +52,7 @@ def test_each_token_is_scored_once_with_its_context_only():
     lengths = np.asarray([1, 2, 15, 16, 17, 28, 29, 100])
     tokens = rng.integers(0, lm.VOCABULARY, lengths.sum())
     w = lm.start_weights(v)
-    x, y, used, owner = lm.gathered(v, tokens, lengths)
+    x, y, used, owner = lm.gathered(v, tokens, lengths, lm.windows(lengths))
     assert np.bincount(owner, used.sum(axis=1)).tolist() == lengths.tolist()
     found = lm.score_tokens(w, v, tokens, lengths)
     first = 0
@@ -71,6 +71,13 @@ def test_each_token_is_scored_once_with_its_context_only():
         assert value == pytest.approx(logp, abs=1e-3)
 
 
+def test_normalised_far_apart():
+    logits = np.zeros((2, lm.CLASSES))
+    logits[0] -= 500
+    logits[1, 0] = 700
+    assert np.allclose(lm.normalised(logits.copy()), [-500 + math.log(lm.CLASSES), 700])
+
+
 def brute(rows):
     counts = Counter()
     out = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
