@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 from quorumlens.llm.common import Batches, WordHashes, rows_of, shingle_hashes
 from quorumlens.session import written
 
-COORDINATES = 128
+COORDINATES = 96
 #: A linked pair is missed by the match threshold with this probability at most.
 MISS = 1e-6
 #: Shared prefix lists that a pair needs; each asks one more list of the prefix.
 SHARED = 4
-#: Rounds that compare each document with one pivot of its lists before the rest is compared pair by pair.
-STAR_ROUNDS = 2
+#: Rounds that compare documents with pivots of their lists before the rest is compared pair by pair.
+STAR_ROUNDS = 3
+#: Pivots of a list in each round.
+PIVOTS = 4
 
 
 def match_threshold(coordinates: int, similarity: float, miss: float = MISS) -> int:
@@ -53,12 +55,12 @@ def _factors(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
 def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
     """Least scrambled value of each coordinate, 32 bits."""
     odd, mask = _factors(coordinates)
-    found = np.empty(coordinates, np.uint32)
-    for k in range(coordinates):
-        x = (shingles ^ mask[k]) * odd[k]
-        x ^= x >> np.uint64(32)
-        found[k] = (x * odd[coordinates - 1 - k]).min() >> np.uint64(32)
-    return found
+    found = np.full(coordinates, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 256):  # a part that stays in the cache
+        part = shingles[at : at + 256] ^ mask[:, None]
+        part *= odd[:, None]
+        np.minimum(found, part.min(axis=1), out=found)
+    return (found >> np.uint64(32)).astype(np.uint32)
 
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
@@ -90,7 +92,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(nodes)], names=["list", "node"])
 
 
-def _matching(least: int):
+def _matching(least: int, more: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
@@ -98,7 +100,9 @@ def _matching(least: int):
                 for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)
             ]
             keep = pa.array(np.asarray(found, np.int64) >= least)
-            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.int64())], names=["a", "b", "matches"])
+            names = ["a", "b", *more]
+            columns = [*map(batch.column, names), pa.array(found, pa.int64())]
+            out = pa.RecordBatch.from_arrays(columns, names=[*names, "matches"])
             yield out.filter(keep)
 
     return run
@@ -164,14 +168,15 @@ class _Join:
         self.sets, self.texts = sets.select("node", "n", "signature"), texts
         self.least, self.width, self.percent = least, width, percent
 
-    def matched(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with enough equal coordinates and sizes that allow the similarity: a, b, matches."""
+    def matched(self, pairs: DataFrame, *more: str) -> DataFrame:
+        """Pairs (a, b) with enough equal coordinates and sizes that allow the similarity: a, b, ``more``, matches."""
         sets = self.sets
         left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
         right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
         fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent
-        both = pairs.select("a", "b").join(left, "a").join(right, "b").where(fits)
-        return both.select("a", "b", "sa", "sb").mapInArrow(_matching(self.least), "a bigint, b bigint, matches bigint")
+        both = pairs.select("a", "b", *more).join(left, "a").join(right, "b").where(fits)
+        schema = ", ".join(f"{c} bigint" for c in ("a", "b", *more, "matches"))
+        return both.select("a", "b", *more, "sa", "sb").mapInArrow(_matching(self.least, more), schema)
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose full sets are similar enough."""
@@ -187,6 +192,7 @@ def near_duplicates(
     percent: int = 80,
     coordinates: int = COORDINATES,
     star_rounds: int = STAR_ROUNDS,
+    pivots: int = PIVOTS,
     shared: int = SHARED,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id BIGINT, text STRING).
@@ -197,9 +203,9 @@ def near_duplicates(
     1. Each class posts its node under every (coordinate, value) of its signature. Lists of one node are
        left out; a node with fewer than the threshold of other lists can match nobody and is skipped.
     2. Nodes keep the rarest lists only, as many as a pair above the threshold cannot miss together.
-    3. In two rounds each list compares its nodes with one pivot, which joins large groups of near copies
-       without all their pairs. What lists still hold nodes of different components is then joined pair by
-       pair, collisions are counted, and pairs with enough of them are compared.
+    3. In a few rounds each list compares its nodes with some pivots, which joins large groups of near copies
+       without all their pairs. Where lists still hold nodes of different components, these are then joined pair
+       by pair, collisions are counted, and pairs with enough of them are compared.
     4. A pair needs enough equal coordinates and is confirmed on the full sets.
 
     Rows without words, text or doc_id are linked with nothing. Rows that repeat a doc_id are rows of
@@ -232,23 +238,29 @@ def near_duplicates(
 
     labels = written(nodes.select("node", F.col("node").alias("component")), "labels")
     links: list[DataFrame] = []
+    seeds = [int(x) for x in np.random.default_rng(11).integers(0, 1 << 62, star_rounds * pivots)]
     for turn in range(star_rounds + 1):
         open_ = posts.join(labels, "node")
-        split = open_.groupBy("list").agg(
-            F.min("component").alias("low"),
-            F.max("component").alias("high"),
-            F.min_by(F.struct("node", "component"), F.xxhash64(F.lit(turn), "node")).alias("pivot"),
-        )
-        open_ = written(open_.join(split.where("low <> high").select("list", "pivot"), "list"), "open-lists")
+        split = open_.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        open_ = written(open_.join(split.where("low <> high").select("list"), "list"), "open-lists")
         if turn < star_rounds:
-            pairs = open_.where("component <> pivot.component").select(F.col("pivot.node").alias("a"), F.col("node").alias("b"))
+            # The node nearest to a seed in the exclusive-or sense: each seed prefers another node, in all lists alike.
+            own = seeds[turn * pivots : (turn + 1) * pivots]
+            nearest = [F.min(F.col("node").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)) for x in own]
+            star = open_.groupBy("list").agg(F.array_distinct(F.array(*nearest)).alias("pivots"))
+            pairs = open_.join(star, "list").select(F.explode("pivots").alias("a"), F.col("node").alias("b")).where("a <> b")
         else:
             other = open_.select("list", F.col("node").alias("b"), F.col("component").alias("cb"))
             pairs = open_.join(other, "list").where("node < b AND component <> cb").select(F.col("node").alias("a"), "b")
         pairs = pairs.groupBy("a", "b").count().where(F.col("count") >= min(shared, least))
-        matched = join.matched(pairs)
-        if turn < star_rounds:  # one confirmed link is enough to join a component
-            matched = matched.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a"))
+        if turn < star_rounds:
+            left, right = (labels.select(F.col("node").alias(x), F.col("component").alias("c" + x)) for x in "ab")
+            pairs = pairs.join(left, "a").join(right, "b").where("ca <> cb")
+            # One confirmed link is enough to join a component, so each tries its best one.
+            matched = join.matched(pairs, "cb").groupBy("cb").agg(F.max_by(F.struct("a", "b"), F.struct("matches", "a", "b")).alias("best"))
+            matched = matched.select("best.a", "best.b")
+        else:
+            matched = join.matched(pairs)
         links.append(written(join.confirmed(matched), "confirmed"))
         labels = components(nodes, reduce(DataFrame.union, links))
 

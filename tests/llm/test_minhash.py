@@ -70,7 +70,7 @@ def test_edge_cases(spark):
 
 def test_threshold_keeps_pairs():
     least = minhash.match_threshold(128, 0.8)
-    assert 75 < least < 85
+    assert 75 < least < 85 and minhash.match_threshold(minhash.COORDINATES, 0.8) < 0.64 * minhash.COORDINATES
 
 
 def test_components_of_a_path(spark):
