@@ -5,12 +5,64 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quorumlens.session import written
+from quorumlens.llm import minhash, mixing, outliers, tiling, token_shards
+from quorumlens.llm.common import n_words
+from quorumlens.session import scratch_path, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source."""
+    return outliers.kept(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8), the one with the smallest doc_id.
+
+    Of rows that share a doc_id, or have none and share a text, the one with the smallest text hash stays.
+    """
+    found = minhash.near_duplicates(docs)
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(first, "doc_id", "left_semi")
+    rows = named.unionByName(docs.where("doc_id IS NULL")).withColumn("_hash", F.xxhash64("text"))
+    rank = "row_number() OVER (PARTITION BY doc_id, if(doc_id IS NULL, _hash, 0) ORDER BY _hash)"
+    return rows.withColumn("_rank", F.expr(rank)).where("_rank = 1").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return tiling.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, once or twice."""
+    key = F.xxhash64("doc_id", "text")
+    sized = written(docs.select(key.alias("key"), "source", n_words(F.col("text")).alias("size")), "sizes")
+    held = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
+    quota = mixing.quotas([(r["source"], r["size"]) for r in held])
+    mixed = mixing.mix(sized.select("key", F.array("source").alias("members"), "size"), quota)
+    taken = mixed.where("copies > 0").select("key", "copies").dropDuplicates(["key"])
+    rows = docs.withColumn("key", key).join(taken, "key")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).select(*docs.columns)
+
+
+def training_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequences of the shards, as read back."""
+    path = scratch_path(spark, "training-shards")
+    size = token_shards.write_shards(docs, path)
+    return token_shards.read_shards(spark, path, size).drop("tokens")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("source_mix", source_mix),
+    ("training_shards", training_shards),
+]
 
 #: SQL cannot express greedy tiling, min-cost flow or the keyed permutation.
 ORACLE_SQL = None

@@ -234,32 +234,55 @@ def _concentrated(vectors: DataFrame, factor: DataFrame) -> DataFrame:
     return _with(sums, [*means, *covariance_sql(), *cholesky_sql()]).select("group", "start", *_FACTOR)
 
 
-def judged(docs: DataFrame, steps: int = STEPS) -> DataFrame:
-    """Statistics and verdict of each row: ``docs`` without its text, with n_words ... base_failed, distance, kept.
+def _matches(a: DataFrame, b: DataFrame) -> Column:
+    return a["lang"].eqNullSafe(b["lang"]) & a["source"].eqNullSafe(b["source"])
 
-    ``docs`` has text, lang, source and any other columns. A row fails the base rules, or its statistic vector
-    lies beyond the cutoff of its language and source. Estimates use the rows that pass the base rules. A null
-    text has no words, null languages and sources are groups of their own, repeated rows count as often as they
-    occur, an empty table gives no rows.
-    """
-    thousandths = [(z, f"CAST(floor(1000e0 * ({text}) + 0.5e0) AS BIGINT)") for z, text in VECTOR.items()]
-    rows = _with(described(docs).drop("text"), thousandths).withColumn("fit", ~F.col("base_failed"))
-    rows = written(rows, "text-statistics")
-    keys = _group_keys(rows)
-    same = lambda a, b: a["lang"].eqNullSafe(b["lang"]) & a["source"].eqNullSafe(b["source"])
-    vectors = rows.where("fit").select("lang", "source", *VECTOR)
-    vectors = written(vectors.join(keys, same(vectors, keys)).select("group", *VECTOR), "text-vectors")
+
+def _measured(docs: DataFrame) -> DataFrame:
+    return _with(described(docs), [(z, f"CAST(floor(1000e0 * ({text}) + 0.5e0) AS BIGINT)") for z, text in VECTOR.items()])
+
+
+def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+    """Center and Cholesky factor for each language and source, of rows with VECTOR and base_failed that pass the base rules."""
+    keys = _group_keys(rows.withColumn("fit", ~F.col("base_failed")))
+    vectors = rows.where("NOT base_failed").select("lang", "source", *VECTOR)
+    vectors = written(vectors.join(keys, _matches(vectors, keys)).select("group", *VECTOR), "text-vectors")
     factor = written(_starts(vectors), "mcd")
     for _ in range(steps):
         factor = written(_concentrated(vectors, factor), "mcd")
     best = factor.groupBy("group").agg(F.min_by(F.struct(*_FACTOR), F.struct("det", "start")).alias("f")).select("group", "f.*")
-    own = keys.join(best, "group", "left").withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    return written(keys.join(best, "group", "left").drop("group"), "mcd-groups")
+
+
+def _verdict(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    names = rows.columns
+    own = groups.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     joined = rows.join(own, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     joined = joined.withColumn("distance", F.expr(distance_sql()))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)
-    return joined.withColumn("kept", kept).drop(
-        "_lang", "_source", "group", *_FACTOR, *VECTOR, "fit"
-    )
+    return joined.withColumn("kept", kept).select(*[n for n in names if n not in VECTOR], "distance", "kept")
+
+
+def judged(docs: DataFrame, steps: int = STEPS) -> DataFrame:
+    """Statistics and verdict of each row: ``docs`` without its text, with n_words ... base_failed, distance, kept.
+
+    ``docs`` has text, lang, source and any other columns. A row fails the base rules, or its statistic vector
+    lies beyond the cutoff of its language and source. Estimates use the rows that pass the base rules. A null
+    text has no words, null languages and sources are groups of their own, repeated rows count as often as they
+    occur, an empty table gives no rows. Columns with the names of results are replaced.
+    """
+    clash = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"}
+    docs = docs.drop(*clash, *VECTOR, *_FACTOR)
+    rows = written(_measured(docs).drop("text"), "text-statistics")
+    return _verdict(rows, estimates(rows, steps))
+
+
+def kept(docs: DataFrame, steps: int = STEPS) -> DataFrame:
+    """The rows of ``docs`` that :func:`judged` keeps, as they are, without a shuffle of their texts."""
+    rows = written(_measured(docs.select("lang", "source", "text")).select("lang", "source", "base_failed", *VECTOR), "text-statistics")
+    groups = estimates(rows, steps)
+    numbered = _measured(docs.select(F.struct(*docs.columns).alias("_doc"), "lang", "source", "text")).drop("text")
+    return _verdict(numbered, groups).where("kept").select("_doc.*")
 
 
 def oracle_sql(steps: int = STEPS) -> str:

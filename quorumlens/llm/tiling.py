@@ -110,47 +110,65 @@ def _candidate(item: np.ndarray, text: np.ndarray, at: np.ndarray, percent: int,
     return sum(t[2] for t in found), len(found)
 
 
-def _compare(items: list[tuple[int, np.ndarray]], percent: int, shortest: int):
-    """Map-side comparison with one block of benchmark items (item_id, word hashes)."""
+def _finder(items: list[tuple[int, np.ndarray]], percent: int, shortest: int):
+    """Function from a text to (item_id, item words, covered words, tiles) of the items of one block that it holds."""
+    arrays = [(i, v) for i, v in items if len(v) >= shortest]
+    brief = {v.tobytes(): i for i, v in items if len(v) < shortest}
+    seeds = [shingle_hashes(v, shortest) for _, v in arrays]
+    flat = np.concatenate([np.empty(0, np.uint64), *seeds])
+    owner = np.repeat(np.arange(len(arrays)), np.asarray([len(s) for s in seeds], np.int64))
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    sieve = np.zeros(1 << 24, bool)
+    sieve[(flat >> np.uint64(40)).astype(np.int64)] = True
+    hashes = WordHashes()
+
+    def find(text: bytes | None) -> Iterator[tuple[int, int, int, int]]:
+        words = hashes.array((text or b"").lower().split())
+        if len(words) < shortest:
+            if words.tobytes() in brief:
+                yield brief[words.tobytes()], len(words), len(words), 1
+            return
+        own = shingle_hashes(words, shortest)
+        at = np.flatnonzero(sieve[(own >> np.uint64(40)).astype(np.int64)])
+        low = np.searchsorted(flat, own[at], "left")
+        high = np.searchsorted(flat, own[at], "right")
+        at, low, high = at[high > low], low[high > low], high[high > low]
+        places: dict[int, list[int]] = {}
+        for p, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
+            for k in set(owner[a:b].tolist()):
+                places.setdefault(k, []).append(p)
+        for k in sorted(places):
+            item, values = arrays[k]
+            covered, n = _candidate(values, words, np.asarray(places[k]), percent, shortest)
+            if n and 100 * covered >= percent * len(values):
+                yield item, len(values), covered, n
+
+    return find
+
 
+def _compare(items: list[tuple[int, np.ndarray]], percent: int, shortest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = [(i, v) for i, v in items if len(v) >= shortest]
-        brief = {v.tobytes(): i for i, v in items if len(v) < shortest}
-        seeds = [shingle_hashes(v, shortest) for _, v in arrays]
-        flat = np.concatenate([np.empty(0, np.uint64), *seeds])
-        owner = np.repeat(np.arange(len(arrays)), np.asarray([len(s) for s in seeds], np.int64))
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        sieve = np.zeros(1 << 24, bool)
-        sieve[(flat >> np.uint64(40)).astype(np.int64)] = True
-        hashes, out = WordHashes(), Batches(_FOUND)
+        find, out = _finder(items, percent, shortest), Batches(_FOUND)
         for doc, text in rows_of(batches, "doc_id", "text"):
-            words = hashes.array((text or b"").lower().split())
-            if len(words) < shortest:
-                if words.tobytes() in brief:
-                    yield from out.add((doc, brief[words.tobytes()], len(words), len(words), 1))
-                continue
-            own = shingle_hashes(words, shortest)
-            at = np.flatnonzero(sieve[(own >> np.uint64(40)).astype(np.int64)])
-            low = np.searchsorted(flat, own[at], "left")
-            high = np.searchsorted(flat, own[at], "right")
-            at, low, high = at[high > low], low[high > low], high[high > low]
-            if not len(at):
-                continue
-            places: dict[int, list[int]] = {}
-            for p, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
-                for k in set(owner[a:b].tolist()):
-                    places.setdefault(k, []).append(p)
-            for k in sorted(places):
-                item, values = arrays[k]
-                covered, n = _candidate(values, words, np.asarray(places[k]), percent, shortest)
-                if n and 100 * covered >= percent * len(values):
-                    yield from out.add((doc, item, len(values), covered, n))
+            for found in find(text):
+                yield from out.add((doc, *found))
         yield from out.end()
 
     return run
 
 
+def _clean(items: list[tuple[int, np.ndarray]], percent: int, shortest: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _finder(items, percent, shortest)
+        for batch in batches:
+            texts = batch.column("_text")
+            kept = [next(find(texts[i].as_py()), None) is None for i in range(batch.num_rows)]
+            yield batch.drop_columns(["_text"]).filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
     """Items in blocks of bounded words, each distinct word sequence once under its least item_id."""
 
@@ -198,3 +216,13 @@ def contaminated(
     for block in _blocks(benchmark, block_words):
         found = found.unionByName(source.mapInArrow(_compare(block, percent, shortest), FOUND))
     return found
+
+
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, shortest: int = TILE, block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, as they are; one pass over them for each block, no shuffle."""
+    for block in _blocks(benchmark, block_words):
+        texts = docs.select(*docs.columns, F.col("text").cast("binary").alias("_text"))
+        docs = texts.mapInArrow(_clean(block, percent, shortest), docs.schema)
+    return docs

@@ -48,7 +48,7 @@ def test_junk_goes_and_prose_stays(spark):
     rnd = random.Random(5)
     rows = [(i, prose(rnd, rnd.randint(60, 900), i % 10 == 0), "en" if i % 3 else None, "s%d" % (i % 2), i) for i in range(400)]
     rows += [(1000, None, None, None, 0), (1001, "few words", "xx", "rare", 0), (None, rows[1][1], "en", "s1", 0)]
-    df = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string, start int")
+    df = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string, kept int")
     found = {r.doc_id: r.kept for r in outliers.judged(df).collect()}
     assert len(found) == len(rows)
     for i, *_ in rows[:400]:
