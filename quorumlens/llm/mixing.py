@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quorumlens.session import written
 
 #: Documents that one range of tickets holds on average; a range is sorted in one task.
-RANGE_DOCUMENTS = 20_000
+RANGE_DOCUMENTS = 2_000
 
 
 def quotas(
@@ -130,7 +130,7 @@ def route(
 
 
 def _fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First fit in ticket order: a document is taken when it fits into what is left of the gap."""
+    """First fit in ticket order, and at last one more document if that comes nearer to the gap's end."""
     for frame in frames:
         frame = frame.sort_values(["ticket", "key", "size"], kind="stable", na_position="last")
         left, extra = int(frame["gap"].iloc[0]), []
@@ -138,6 +138,9 @@ def _fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             fits = size <= left
             left -= size if fits else 0
             extra.append(int(fits))
+        more = [(abs(left - n), i) for i, n in enumerate(frame["size"]) if not extra[i] and n < 2 * left]
+        if more:
+            extra[min(more)[1]] = 1
         yield frame[["key", "members", "size", "copies"]].assign(copies=frame["copies"] + extra)
 
 
