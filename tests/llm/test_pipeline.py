@@ -70,7 +70,7 @@ def test_stages(spark, made):
             for r in found:
                 taken[r[3]] += len(r[1].split())
             assert set(found) <= set(expected) and max(Counter(found).values()) <= 2
-            assert all(abs(taken[s] - quota[s]) <= 60 for s in size)
+            assert all(abs(taken[s] - quota[s]) <= 150 for s in size)
             expected = found
         else:
             encoder, ids = token_shards.Encoder(token_shards.read_ranks(token_shards.TOKENIZER)), []
