@@ -11,13 +11,12 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumlens.llm.common import Batches, rows_of
-from quorumlens.llm.token_shards import END, PATTERN, TOKENIZER, read_ranks
+from quorumlens.llm.token_shards import END, TOKENIZER, Encoder, read_ranks
 from quorumlens.session import written
 
 #: Tokens of a context window, and how far the next window starts behind it.
@@ -40,22 +39,15 @@ RATE = 0.02
 FREQUENT = 200_000
 
 
-class Subwords(dict):
-    """Ids of a lower-cased word with a space before it, as 16-bit bytes, remembered up to ``most`` words."""
+class Subwords(Encoder):
+    """Ids of lower-cased words with a space before each."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 400_000):
-        super().__init__()
-        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.most = most
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        ids = self[word] = np.asarray(self.encoding.encode_ordinary(" " + word.decode()), "<u2").tobytes()
-        return ids
+    def words(self, words: list[bytes]) -> np.ndarray:
+        return self.ids("".join([" " + w.decode() for w in words]))
 
     def text(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, words)) + END.to_bytes(2, "little"), "<u2")
+        """The same with the end of the text."""
+        return np.append(self.ids((b" " + b" ".join(words)).decode() if words else ""), np.uint16(END))
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -244,9 +236,9 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _token_counts(ranks: dict[bytes, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, total = Subwords(ranks, 1), np.zeros(VOCABULARY, np.int64)
+        subwords, total = Subwords(ranks), np.zeros(VOCABULARY, np.int64)
         for word, n in rows_of(batches, "word", "n"):
-            ids = [END] if word == b"" else np.frombuffer(subwords[word], "<u2")
+            ids = [END] if word == b"" else subwords.words([word])
             np.add.at(total, ids, n)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids])], names=["token", "n"])

@@ -22,7 +22,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 END = 50256
 LENGTH = 256
 #: Sequences of a shard.
-PER_SHARD = 32_768
+PER_SHARD = 8_192
 KEY = 0x5EED_0F_0DE5
 ROUNDS = 6
 _HEAD = "<qii"  # doc_id, number of the sequence in its document, tokens
@@ -30,35 +30,16 @@ _NO_ID = -(1 << 63)
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian 16-bit bytes.
+    """Token ids of whole texts as little-endian 16-bit bytes."""
 
-    A text is cut before each space that follows a non-space: no token of the vocabulary's pattern crosses
-    such a place, so the pieces can be remembered. Other texts are encoded as a whole.
-    """
-
-    def __init__(self, ranks: dict[bytes, int], most: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int]):
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.most = most
-        self.known: dict[str, bytes] = {}
 
-    def _piece(self, text: str) -> bytes:
-        return np.asarray(self.encoding.encode_ordinary(text), "<u2").tobytes()
+    def ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.encoding.encode_ordinary(text), "<u2")
 
     def encode(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        known, out = self.known, [self._piece(first)]
-        before = first
-        for part in rest:
-            if not before or before[-1].isspace() or not part:
-                return self._piece(text)
-            before = part
-            ids = known.get(part)
-            if ids is None:
-                if len(known) >= self.most:
-                    known.clear()
-                ids = known[part] = self._piece(" " + part)
-            out.append(ids)
-        return b"".join(out)
+        return self.ids(text).tobytes()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -90,7 +71,7 @@ def _counting(ranks: dict[bytes, int], length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, n = Encoder(ranks), 0
         for (text,) in rows_of(batches, "text"):
-            n += -(-(len(encoder.encode(text or "")) // 2 + 1) // length)
+            n += -(-(len(encoder.ids(text or "")) + 1) // length)
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([n], pa.int64())})
 

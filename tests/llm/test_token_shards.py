@@ -22,12 +22,13 @@ TEXTS = [
 ]
 
 
-def test_pieces_are_whole_encodings():
+def test_encoder():
     ranks = ts.read_ranks(ts.TOKENIZER)
-    encoder = ts.Encoder(ranks, most=10)
+    encoder = ts.Encoder(ranks)
     plain = tiktoken.Encoding("t", pat_str=ts.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rnd = random.Random(1)
-    texts = TEXTS + ["".join(rnd.choice("ab c.\n\t'é1") for _ in range(60)) for _ in range(300)]
+    texts = TEXTS + ["\0 a \0 b .\0 ,\0 word. \0", "x .", "a , b", "é. ü, a.b, 'tis, don't. \n", "ab. ab ab, ab.\nab,\nab"]
+    texts += ["".join(rnd.choice("ab c.\n\t'é1") for _ in range(60)) for _ in range(300)]
     for text in texts:
         assert np.frombuffer(encoder.encode(text), "<u2").tolist() == plain.encode_ordinary(text), repr(text)
 
