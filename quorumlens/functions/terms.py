@@ -96,5 +96,16 @@ def metric(name: str, schema: EventSchema = EVENTS) -> Column:
     return _METRICS[name](schema).alias(name)
 
 
+#: Names of the knowledge base that differ from the metric's own name (fixed values).
+_OTHER_NAMES = {"total_fees_collected": "total_fees", "fee_events_count": "fee_events"}
+
+
+def metric_name(text: str) -> str | None:
+    """A metric by its own name or by the one of the knowledge base, such as ``Net Flow``."""
+    plain = "_".join(text.lower().split())
+    plain = _OTHER_NAMES.get(plain, plain)
+    return plain if plain in _METRICS else None
+
+
 def metrics() -> tuple[str, ...]:
     return tuple(_METRICS)

@@ -242,19 +242,23 @@ def span_paths(spans: DataFrame, max_rounds: int = 32) -> DataFrame:
 
     Every round doubles the number of ancestors a span knows, so a tree of depth d needs about
     log2(d) equi-joins on the unique (trace, span) key; a large trace is spread over all tasks. Each
-    round is checkpointed to keep the plan short.
+    round is checkpointed to keep the plan short. A path longer than its trace has spans is a cycle.
     """
     enable_checkpoints(spans.sparkSession)
     key = ["trace_id", "span_id"]
     # above: nearest ancestor that is not yet part of the path; nodes: names in the path
-    state = spans.select(
+    sizes = spans.groupBy("trace_id").agg(F.count(F.lit(1)).alias("spans_"))
+    state = spans.join(sizes, "trace_id").select(
         *key,
+        "spans_",
         F.col("parent_id").alias("above"),
         F.col("name").alias("path"),
         F.lit(1).cast("bigint").alias("nodes"),
     )
     for _ in range(max_rounds):
         state = state.checkpoint()
+        if not state.filter("nodes > spans_").isEmpty():
+            break
         if state.filter(F.col("above").isNotNull()).isEmpty():
             return state.select(*key, "path", (F.col("nodes") - 1).alias("depth"))
         upper = state.select(
@@ -268,6 +272,7 @@ def span_paths(spans: DataFrame, max_rounds: int = 32) -> DataFrame:
         path = F.concat("upper.path", F.lit("/"), "path")
         state = joined.select(
             *key,
+            "spans_",
             F.col("upper.above").alias("above"),
             F.when(known, path).otherwise(F.col("path")).alias("path"),
             (F.col("nodes") + F.coalesce("upper.nodes", F.lit(0))).alias("nodes"),
@@ -290,20 +295,23 @@ def trace_summary(roots: DataFrame) -> DataFrame:
 
 
 def judge(results: DataFrame, expected: DataFrame) -> DataFrame:
-    """Results with ``passed``: expected refusals refused, expected agents run, expected words found.
+    """Every expected case with ``passed``: expected refusals refused, expected agents run, expected words found.
+
+    A case without a result has not passed; results of unknown cases are left out.
 
     results: case_id, agents array<string>, response, refused. expected: case_id, expected_agents,
     expected_contains (arrays), expected_out_of_scope.
     """
-    joined = results.join(expected, "case_id")
-    ran = F.size(F.array_except("expected_agents", "agents")) == 0
+    joined = expected.join(results.withColumn("ran_", F.lit(True)), "case_id", "left")
+    agents = F.coalesce("agents", F.array().cast("array<string>"))
+    ran = F.size(F.array_except("expected_agents", agents)) == 0
     text = F.coalesce("response", F.lit(""))
     words = F.forall("expected_contains", lambda w: F.contains(text, w))
     refused = F.coalesce("refused", F.lit(False))
     passed = F.when(F.coalesce("expected_out_of_scope", F.lit(False)), refused).otherwise(
         ~refused & ran & words
     )
-    return joined.withColumn("passed", passed)
+    return joined.withColumn("passed", F.coalesce("ran_", F.lit(False)) & passed).drop("ran_")
 
 
 def pass_rate(judged: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quorumlens.functions import terms
 from quorumlens.operators.privacy import k_anon
 from quorumlens.plans.schema import EVENTS, EventSchema, latest
-from quorumlens.policy import GovernancePolicy
+from quorumlens.policy import GovernancePolicy, cut
 
 
 def _movements(df: DataFrame, s: EventSchema) -> DataFrame:
@@ -169,11 +169,12 @@ def safe_summary(
     dims: Sequence[str],
     policy: GovernancePolicy = GovernancePolicy(),
     s: EventSchema = EVENTS,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Bounded summary given in place of raw rows."""
+    """Summary given in place of raw rows; with a ``limit`` it says how many groups there were."""
     aggs = [F.count(F.lit(1)).alias("events"), F.sum(s.amount).alias("total_amount")]
     summary = k_anon(df, dims, aggs, s.entity, policy.k, keep_entities=True)
-    return summary.orderBy(F.desc("events"), *dims).limit(policy.limit)
+    return cut(summary.orderBy(F.desc("events"), *dims), limit)
 
 
 def channel_compare(

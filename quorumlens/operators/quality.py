@@ -59,12 +59,15 @@ def negative_counts(result: DataFrame, count_columns: Sequence[str] | None = Non
 
 
 def row_cap(result: DataFrame, policy: GovernancePolicy = GovernancePolicy()) -> DataFrame:
-    """The row_count check alone. Counting stops one row above the cap."""
+    """The row_count check alone, with the number of all rows."""
     n = F.count(F.lit(1))
-    return result.limit(policy.max_rows + 1).agg(n.alias("n")).select(
+    large = F.concat(
+        F.lit("Large result set ("), "n", F.lit(f" rows) exceeds recommended limit of {policy.max_rows}")
+    )
+    return result.agg(n.alias("n")).select(
         F.lit("row_count").alias("check"),
         F.when(F.col("n") > policy.max_rows, "warning").otherwise("pass").alias("status"),
-        F.when(F.col("n") > policy.max_rows, F.lit(f"more than {policy.max_rows} rows"))
+        F.when(F.col("n") > policy.max_rows, large)
         .when(F.col("n") == 1, F.lit("Single aggregate result"))
         .otherwise(F.concat(F.lit("Row count ("), F.col("n"), F.lit(") is reasonable")))
         .alias("message"),
@@ -119,7 +122,7 @@ def percentages_in_range(result: DataFrame, columns: Sequence[str]) -> DataFrame
 
 
 def reconcile(df: DataFrame, dims: Sequence[str], measure: str) -> DataFrame:
-    """Whether the grouped sums add up to the ungrouped sum, from one grouped pass."""
+    """Whether the grouped sums add up to the ungrouped sum; each side is a scan of its own."""
     parts = df.groupBy(*dims).agg(F.sum(measure).alias("part"))
     whole = df.agg(F.sum(measure)).scalar()
     return parts.agg(F.sum("part").alias("sum_of_parts")).select(

@@ -50,10 +50,15 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if len(column) == 0:
         return np.empty((0, 0))
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if (lengths != lengths[0]).any():
+        raise ValueError("the vectors have unequal lengths")
     return _unit_rows(flat.reshape(len(column), -1))
 
 
 def _stacked(column: pd.Series) -> np.ndarray:
+    if len({len(v) for v in column}) > 1:
+        raise ValueError("the vectors have unequal lengths")
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
@@ -68,6 +73,8 @@ def _nearest(qids, queries: np.ndarray, dids, docs: np.ndarray, k: int) -> pd.Da
 
 
 def _nearest_of_chunk(qids, queries, dids, docs, k: int) -> pd.DataFrame:
+    if queries.size and docs.size and queries.shape[1] != docs.shape[1]:
+        raise ValueError(f"queries have {queries.shape[1]} dimensions, documents {docs.shape[1]}")
     distance = np.round(1.0 - np.clip(queries @ docs.T, -1.0, 1.0), RANK_DIGITS)
     usable = ~np.isnan(distance)
     if distance.shape[1] > k:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quorumlens.functions import terms
 from quorumlens.operators.privacy import k_anon
 from quorumlens.plans.schema import EVENTS, EventSchema, grain
-from quorumlens.policy import GovernancePolicy, PolicyViolation
+from quorumlens.policy import GovernancePolicy, PolicyViolation, cut
 
 GRAINS = ("day", "week", "month", "quarter", "year")
 
@@ -57,8 +57,11 @@ class Measure:
         return self.alias or f"{self.function.lower()}_{plain}"
 
     def expression(self, schema: EventSchema) -> Column:
-        if self.function in terms.metrics():
-            return terms.metric(self.function, schema).alias(self.name)
+        named = terms.metric_name(self.function)
+        if named is not None:
+            return terms.metric(named, schema).alias(self.alias or named)
+        if self.function.upper() not in _FUNCTIONS:
+            raise ValueError(f"unknown metric or function: {self.function}")
         fn = _FUNCTIONS[self.function.upper()]
         return fn(F.lit(1) if self.column == "*" else F.col(self.column)).alias(self.name)
 
@@ -104,13 +107,65 @@ def _date(text: Any) -> dt.date | None:
 
 
 def _filter_of_condition(column: str, condition: Any) -> Filter:
-    """One ``column: condition`` entry; the condition is a value, a list or text like '> 0'."""
+    """One ``column: condition`` entry; the condition is a value, a list or text like ``> 0`` or ``IN ('a', 'b')``."""
     if isinstance(condition, (list, tuple)):
         return Filter(column, "IN", tuple(condition))
-    match = re.fullmatch(r"\s*(>=|<=|!=|=|>|<)\s*'?(.*?)'?\s*", str(condition))
-    if match:
-        return Filter(column, match[1], match[2])
-    return Filter(column, "=", condition)
+    if not isinstance(condition, str):
+        return Filter(column, "=", condition)
+    text = condition.strip()
+    for pattern, operator in _TEXT_FORMS:
+        match = pattern.fullmatch(text)
+        if match:
+            return Filter(column, operator or match[1].replace("<>", "!="), _VALUES[operator](match))
+    if _LOOKS_LIKE_SQL.match(text):
+        raise ValueError(f"unknown condition on {column}: {condition}")
+    return Filter(column, "=", _unquoted(text))
+
+
+def _unquoted(text: str) -> str:
+    text = text.strip()
+    if len(text) > 1 and text[0] == text[-1] and text[0] in "'\"":
+        return text[1:-1].replace(text[0] * 2, text[0])
+    return text
+
+
+def _list(text: str) -> tuple[str, ...]:
+    return tuple(_unquoted(m[0]) for m in re.finditer(r"'(?:[^']|'')*'|\"[^\"]*\"|[^,\s][^,]*", text))
+
+
+#: Written forms of a condition; no operator means that the first group names it.
+_TEXT_FORMS = tuple(
+    (re.compile(pattern, re.IGNORECASE | re.DOTALL), operator)
+    for pattern, operator in (
+        (r"is\s+not\s+null", "IS NOT NULL"),
+        (r"is\s+null", "IS NULL"),
+        (r"in\s*\((.*)\)", "IN"),
+        (r"like\s+(.+)", "LIKE"),
+        (r"between\s+(\S+|'[^']*')\s+and\s+(\S+|'[^']*')", "BETWEEN"),
+        (r"(>=|<=|!=|<>|=|>|<)\s*(.+)", None),
+    )
+)
+_VALUES = {
+    "IS NOT NULL": lambda m: None,
+    "IS NULL": lambda m: None,
+    "IN": lambda m: _list(m[1]),
+    "LIKE": lambda m: _unquoted(m[1]),
+    "BETWEEN": lambda m: (_unquoted(m[1]), _unquoted(m[2])),
+    None: lambda m: _unquoted(m[2]),
+}
+_LOOKS_LIKE_SQL = re.compile(r"(?:not\s|in\s*\(|is\s|like\s|between\s|exists\s*\(|[<>=!~])", re.IGNORECASE)
+
+
+def _filter_of_text(text: str) -> Filter | None:
+    """A whole condition such as ``channel IN ('DIGITAL')``; a bare column name sets no condition."""
+    match = re.fullmatch(r"\s*[\"'`]?(\w+)[\"'`]?\s*(.*)", text, re.DOTALL)
+    if not match:
+        raise ValueError(f"unknown filter: {text}")
+    if not match[2].strip():
+        return None
+    if not _LOOKS_LIKE_SQL.match(match[2].lstrip()):
+        raise ValueError(f"unknown filter: {text}")
+    return _filter_of_condition(match[1], match[2])
 
 
 def _measure_of_text(text: str) -> Measure:
@@ -122,23 +177,51 @@ def _measure_of_text(text: str) -> Measure:
     return Measure(function, match[3])
 
 
+def _filter_of_struct(f: Mapping[str, Any]) -> Filter:
+    operator, value = f.get("operator", "="), f.get("value")
+    if operator.upper() not in _COMPARE:
+        raise ValueError(f"unknown operator: {operator}")
+    if isinstance(value, str) and operator.upper() == "IN":
+        value = _list(value.strip().removeprefix("(").removesuffix(")"))
+    return Filter(f["column"], operator, value)
+
+
+#: Periods as they are written; those without a grain leave the dimensions as they are.
+_PERIODS = {
+    "daily": "day", "weekly": "week", "monthly": "month", "quarterly": "quarter", "yearly": "year", "annual": "year",
+    "all_time": None, "all": None, "total": None, "none": None, "null": None, "": None, "custom": None, "etc": None,
+}
+
+
+def _grain_of(text: str | None) -> str | None:
+    if text is None:
+        return None
+    plain = text.strip().lower().replace(" ", "_")
+    if plain in GRAINS:
+        return plain
+    if plain not in _PERIODS:
+        raise ValueError(f"unknown time grain or period: {text}")
+    return _PERIODS[plain]
+
+
 def normalise(spec: Mapping[str, Any]) -> Definition:
     """Read either written form of a definition: one ``metric`` struct, or a ``metrics`` list."""
     if "metric" in spec:
         m = spec["metric"]
-        measures = (Measure(m["function"], m.get("column", "*"), m.get("alias")),)
+        measures = (Measure(m["function"], m.get("column") or "*", m.get("alias")),)
     else:
         measures = tuple(_measure_of_text(t) for t in spec.get("metrics", ()))
     raw = spec.get("filters") or ()
     if isinstance(raw, Mapping):
         filters = tuple(_filter_of_condition(c, v) for c, v in raw.items())
     else:
-        filters = tuple(Filter(f["column"], f.get("operator", "="), f.get("value")) for f in raw)
+        parts = [_filter_of_text(f) if isinstance(f, str) else _filter_of_struct(f) for f in raw]
+        filters = tuple(f for f in parts if f is not None)
     times = spec.get("time_range") or {}
     dimensions = tuple(spec.get("dimensions") or ())
-    unit = spec.get("time_grain")
-    if unit in GRAINS and unit not in dimensions:
-        dimensions = (unit, *dimensions)
+    for unit in (_grain_of(spec.get("time_grain")), _grain_of(times.get("period"))):
+        if unit is not None and not set(dimensions) & set(GRAINS):
+            dimensions = (unit, *dimensions)
     return Definition(
         measures, dimensions, filters, TimeRange(_date(times.get("start")), _date(times.get("end")))
     )
@@ -157,8 +240,11 @@ def run(
     definition: Definition,
     policy: GovernancePolicy = GovernancePolicy(),
     schema: EventSchema = EVENTS,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Filtered, grouped, k-anonymous, ordered and limited answer to a definition.
+    """Filtered, grouped, k-anonymous and ordered answer to a definition.
+
+    All groups are given; with a ``limit`` the answer says how many there were (total_rows, truncated).
 
     Filters and the needed columns reach the scan; one shuffle on (dimensions, entity) feeds the
     distinct count, a second on the dimensions moves only partial results.
@@ -174,4 +260,4 @@ def run(
     measures = [m.expression(schema) for m in definition.measures]
     kept = k_anon(rows, dims, measures, schema.entity, policy.k)
     ordered = kept.orderBy(*definition.dimensions) if definition.dimensions else kept
-    return policy.check_columns(ordered.limit(policy.limit))
+    return cut(policy.check_columns(ordered), limit)

@@ -6,6 +6,9 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quorumlens import lineage
 
 
 class PolicyViolation(ValueError):
@@ -22,6 +25,8 @@ class GovernancePolicy:
     window_days: int = 90
     discovery_limit: int = 50
     forbidden: tuple[str, ...] = ("customer_id", "account_id")
+    #: Columns that tell single rows apart; they may be aggregated, not listed.
+    row_level: tuple[str, ...] = ("event_id", "event_ts", "event_amount", "balance_after")
     require_aggregation: bool = True
 
     def forbidden_in(self, columns: Iterable[str]) -> list[str]:
@@ -36,6 +41,21 @@ class GovernancePolicy:
             raise PolicyViolation(f"PRIVACY VIOLATION: Forbidden columns in output: {found}")
         return df
 
+    def check_origins(self, df: DataFrame) -> DataFrame:
+        """Refuse a result whose values come from identifiers, under any name; no job is started.
+
+        An identifier may only be counted. A row-level column may be aggregated, or cut to a period.
+        """
+        blocked = {name.lower() for name in self.forbidden}
+        listed = {name.lower() for name in self.row_level}
+        for column, found in lineage.origins(df).items():
+            for name, aggregated in sorted(found):
+                if name in blocked:
+                    raise PolicyViolation(f"PRIVACY VIOLATION: {column} shows values of {name}")
+                if self.require_aggregation and name in listed and not aggregated:
+                    raise PolicyViolation(f"row-level results are not allowed; {column} lists {name}")
+        return df
+
     def check_aggregated(self, df: DataFrame) -> DataFrame:
         """Refuse a result that shows table rows as they are; no job is started."""
         plan = df._jdf.queryExecution().analyzed()
@@ -44,11 +64,29 @@ class GovernancePolicy:
         return df
 
 
-def _summarises(plan) -> bool:
+def cut(df: DataFrame, rows: int | None) -> DataFrame:
+    """The first rows of an ordered result, marked: total_rows, and whether rows were left out.
+
+    Without a number the whole result is given as it is.
+    """
+    if rows is None:
+        return df
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return df.limit(rows).withColumn("total_rows", total).withColumn("truncated", F.col("total_rows") > rows)
+
+
+def _summarises(plan, ctes: dict[int, bool] | None = None) -> bool:
     """Whether every table below a logical plan node passes through a grouping."""
-    if plan.nodeName() in ("Aggregate", "Distinct"):
+    ctes = {} if ctes is None else ctes
+    kind = plan.nodeName()
+    if kind == "WithCTE":
+        parts = plan.cteDefs()
+        for part in (parts.apply(i) for i in range(parts.size())):
+            ctes[part.id()] = _summarises(part.child(), ctes)
+        return _summarises(plan.plan(), ctes)
+    if kind in ("Aggregate", "Distinct"):
         return True
     children = plan.children()
     if children.isEmpty():
-        return plan.nodeName() == "OneRowRelation"
-    return all(_summarises(children.apply(i)) for i in range(children.size()))
+        return kind == "OneRowRelation" or (kind == "CTERelationRef" and ctes.get(plan.cteId(), False))
+    return all(_summarises(children.apply(i), ctes) for i in range(children.size()))

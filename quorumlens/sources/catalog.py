@@ -11,7 +11,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlens.operators.sizes import sent_if_small
 
 _SCHEMA_DOCUMENT = """
   table_name string, `table` string, source string, description string,
@@ -138,7 +137,7 @@ def match_questions(questions: DataFrame, knowledge: DataFrame, column: str) ->
         F.lower(F.trim("question_pattern")).alias("key_"), "key_filters", "aggregation"
     )
     keyed = questions.withColumn("key_", F.lower(F.trim(column)))
-    return keyed.join(sent_if_small(templates), "key_", "left").drop("key_")
+    return keyed.join(templates, "key_", "left").drop("key_")
 
 
 # --- text chunks for retrieval --------------------------------------------------------------------

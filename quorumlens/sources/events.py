@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,18 @@ from quorumlens.operators import triage
 from quorumlens.plans.schema import EVENT_STRUCT
 from quorumlens.policy import GovernancePolicy, PolicyViolation
 
+#: The event file as queries quote it (fixed value).
+_QUOTED_FILE = re.compile(r"'data/sample_events\.csv'", re.IGNORECASE)
+
+_STRFTIME_PARTS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%y": "yy", "%j": "DDD"}
+_PATTERN = "f"
+for _from, _to in _STRFTIME_PARTS.items():
+    _PATTERN = f"replace({_PATTERN}, '{_from}', '{_to}')"
+_STRFTIME = (
+    "CREATE OR REPLACE TEMPORARY FUNCTION strftime(t TIMESTAMP, f STRING) RETURNS STRING "
+    f"RETURN date_format(t, {_PATTERN})"
+)
+
 #: A table of events answers to both names.
 VIEW_NAMES = ("events", "sample_events")
 
@@ -54,18 +68,29 @@ def check_sql(spark: SparkSession, sql: str, strict: bool = True) -> str:
 def query(
     spark: SparkSession, sql: str, policy: GovernancePolicy = GovernancePolicy()
 ) -> DataFrame:
-    """Run guarded SQL in Spark's dialect over the registered views.
+    """Run guarded SQL in Spark's dialect over the registered views; the whole result is given.
 
-    The text is checked first, then the result's columns and that it shows no raw rows; its size is
-    limited. Errors of the
+    The text is checked first, then the result's columns, where their values come from, and that it shows
+    no raw rows. A quoted event file stands for the events, and ``strftime`` is known. Errors of the
     analysis are raised, not turned into an empty result.
     """
-    result = policy.check_aggregated(policy.check_columns(spark.sql(check_sql(spark, sql))))
-    return result.limit(policy.max_rows)
+    text = _QUOTED_FILE.sub(VIEW_NAMES[0], check_sql(spark, sql))
+    if re.search(r"\bstrftime\s*\(", text, re.IGNORECASE):
+        spark.sql(_STRFTIME)
+    result = spark.sql(text)
+    return policy.check_origins(policy.check_aggregated(policy.check_columns(result)))
 
 
 def query_pandas(
     spark: SparkSession, sql: str, policy: GovernancePolicy = GovernancePolicy()
 ) -> pd.DataFrame:
-    """The same result as a local table; bounded by the policy's row limit."""
-    return query(spark, sql, policy).toPandas()
+    """The same result as a local table of at most ``policy.max_rows`` rows, in the query's order.
+
+    ``attrs`` of the table says how many rows there were (total_rows) and whether some were left out (truncated).
+    """
+    result = query(spark, sql, policy)
+    frame = result.limit(policy.max_rows + 1).toPandas()
+    more = len(frame) > policy.max_rows
+    frame = frame.head(policy.max_rows)
+    frame.attrs.update(total_rows=result.count() if more else len(frame), truncated=more)
+    return frame

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quorumlens.operators.sizes import sent_if_small
 
 
 LOG_STRUCT = T.StructType(
@@ -49,7 +48,7 @@ def upsert(
 ) -> DataFrame:
     """Base rows, one per key, replaced or extended by the latest change of each key."""
     latest = latest_per_key(changes, key, version)
-    replaced = sent_if_small(changes.select(key).distinct())
+    replaced = changes.select(key).distinct()
     return base.join(replaced, key, "left_anti").unionByName(latest)
 
 
@@ -59,7 +58,7 @@ def update(
     """Overwrite columns of matching rows with the latest change, with NULL too; unknown keys are
     ignored."""
     latest = latest_per_key(changes, key, [version])
-    new = sent_if_small(latest.select(key, F.struct(*columns).alias("new_")))
+    new = latest.select(key, F.struct(*columns).alias("new_"))
     joined = base.join(new, key, "left")
     matched = F.col("new_").isNotNull()
     return joined.select(
@@ -74,7 +73,7 @@ def update(
 
 def _known_keys(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Keys of the changes that are in the table; only these are looked up in the log."""
-    asked = sent_if_small(changes.select(key).distinct())
+    asked = changes.select(key).distinct()
     return base.select(key).join(asked, key, "left_semi").distinct()
 
 
@@ -85,7 +84,7 @@ def unmatched(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 def matched_count(base: DataFrame, changes: DataFrame, key: str) -> int:
     """How many table rows an update with these changes touches."""
-    return base.join(sent_if_small(changes.select(key).distinct()), key, "left_semi").count()
+    return base.join(changes.select(key).distinct(), key, "left_semi").count()
 
 
 def feedback_intake(log: DataFrame, feedback: DataFrame) -> DataFrame:

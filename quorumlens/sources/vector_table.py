@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quorumlens.operators.sizes import sent_if_small
 
 VECTOR_STRUCT = T.StructType(
     [
@@ -60,7 +59,7 @@ def with_default_ids(new: DataFrame, existing: DataFrame, order: str) -> DataFra
     """Give new documents the ids ``<collection>_<n>``, counting on from the stored documents."""
     start = collection_counts(existing).withColumnRenamed("n", "start_")
     numbered = dense_numbers(new, "collection", order)
-    numbered = numbered.join(sent_if_small(start), "collection", "left")
+    numbered = numbered.join(start, "collection", "left")
     number = F.coalesce("start_", F.lit(0)) + F.col("number")
     return numbered.withColumn(
         "doc_id", F.concat("collection", F.lit("_"), number.cast("string"))

@@ -163,6 +163,7 @@ _EXPECTED = [
     (1, list(fixed.STAGES), ["DIGITAL", "BRANCH"], False),
     (2, [], [], True),
     (5, ["definition_agent"], ["customer"], False),
+    (99, ["definition_agent"], [], False),  # never ran
 ]
 
 _EXPECTED_SQL = ", ".join(
@@ -178,8 +179,8 @@ _EXPECTED_SQL = ", ".join(
            {sql_list(fixed.STAGES)}[1:4 - LEAST(error_count, 3)] AS ran FROM query_log),
          judged AS (SELECT CASE WHEN refuse THEN refused ELSE NOT refused AND list_has_all(ran, agents)
              AND len(list_filter(words, lambda w: NOT contains(response, w))) = 0 END AS ok
-           FROM results JOIN expected USING (case_id))
-       SELECT COUNT(*) AS total, COUNT(*) FILTER (ok) AS passed, COUNT(*) FILTER (NOT ok) AS failed,
+           FROM expected LEFT JOIN results USING (case_id))
+       SELECT COUNT(*) AS total, COUNT(*) FILTER (ok) AS passed, COUNT(*) FILTER (ok IS NOT TRUE) AS failed,
          CAST(round(CAST(COUNT(*) FILTER (ok) AS DOUBLE) * 100 / COUNT(*), 1) AS DOUBLE) AS pass_rate
        FROM judged""",
     "query_log",

@@ -433,6 +433,21 @@ def sql_passthrough(spark, folder):
     )
 
 
+@register(
+    "sql_passthrough_dialect",
+    """SELECT strftime(event_date, '%Y-%m') AS month, COUNT(*) AS n, COUNT(DISTINCT account_id) AS accounts
+       FROM bank_events GROUP BY 1 ORDER BY 1""",
+    "bank_events",
+)
+def sql_passthrough_dialect(spark, folder):
+    event_source.register(b.bank_events(spark, folder))
+    return event_source.query(
+        spark,
+        """SELECT strftime(event_date, '%Y-%m') AS month, COUNT(*) AS n, COUNT(DISTINCT account_id) AS accounts
+           FROM 'data/sample_events.csv' GROUP BY strftime(event_date, '%Y-%m') ORDER BY month""",
+    )
+
+
 _JOIN = """SELECT r.r_name AS region, c.c_mktsegment AS segment, COUNT(*) AS n
            FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
            LEFT JOIN region r ON n.n_regionkey = r.r_regionkey

@@ -260,7 +260,7 @@ def dq_null_rate(spark, folder):
 @register(
     "row_cap_check",
     """SELECT 'row_count' AS "check", CASE WHEN n > 200 THEN 'warning' ELSE 'pass' END AS status,
-         CASE WHEN n > 200 THEN 'more than 200 rows' WHEN n = 1 THEN 'Single aggregate result'
+         CASE WHEN n > 200 THEN 'Large result set (' || n || ' rows) exceeds recommended limit of 200' WHEN n = 1 THEN 'Single aggregate result'
            ELSE 'Row count (' || n || ') is reasonable' END AS message
        FROM (SELECT COUNT(*) AS n FROM (SELECT event_date, channel FROM bank_orders GROUP BY 1, 2))
        UNION ALL SELECT 'row_count', 'pass', 'Row count (' || COUNT(*) || ') is reasonable'

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from quorumlens.functions import vectors
 from quorumlens.operators import retrieval
-from quorumlens.operators.sizes import sent_if_small
 from quorumlens.sources import vector_table
 from suite import bindings as b
 from suite.registry import register
@@ -47,7 +46,7 @@ def cosine_score(spark, folder):
     )
     cosine = vectors.cosine(F.col("embedding"), F.col("anchor_vector"))
     joined = docs.select("doc_id", "label", "embedding").join(
-        sent_if_small(anchors), "label"
+        anchors, "label"
     )
     return joined.select("doc_id", "anchor", F.round(cosine, 6).alias("cosine"))
 

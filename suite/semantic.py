@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from quorumlens.functions import terms
@@ -19,7 +21,7 @@ MONTH = "strftime(event_date, '%Y-%m')"
 
 NET_FLOW_SQL = f"""SELECT {MONTH} AS month, product_type, CAST(SUM(event_amount) AS DOUBLE) AS net_flow
   FROM bank_orders WHERE {MOVEMENT} GROUP BY 1, 2
-  HAVING COUNT(DISTINCT account_id) >= 5 ORDER BY 1, 2 LIMIT 100"""
+  HAVING COUNT(DISTINCT account_id) >= 5"""
 
 
 @register("definition_agg", NET_FLOW_SQL, "bank_orders")
@@ -33,6 +35,66 @@ def definition_agg(spark, folder):
     return definition.run(b.bank_orders(spark, folder), definition.normalise(spec))
 
 
+@register(
+    "definition_text_filters",
+    f"""SELECT channel, COUNT(*) AS n, CAST(SUM(event_amount) AS DOUBLE) AS total FROM bank_orders
+       WHERE channel IN ('DIGITAL', 'BRANCH') AND event_type LIKE 'money%' AND event_amount BETWEEN 10 AND 100000
+         AND product_type IS NOT NULL AND event_amount > 20 AND currency <> 'it''s'
+       GROUP BY channel HAVING COUNT(DISTINCT account_id) >= 5
+       UNION ALL SELECT 'total', COUNT(*), CAST(SUM(event_amount) AS DOUBLE) FROM bank_orders
+       WHERE channel IN ('DIGITAL', 'BRANCH') AND event_amount > 20 HAVING COUNT(DISTINCT account_id) >= 5""",
+    "bank_orders",
+)
+def definition_text_filters(spark, folder):
+    rows = b.bank_orders(spark, folder)
+    spec = {
+        "metrics": ["COUNT(*)", "SUM(event_amount)"],
+        "dimensions": ["channel"],
+        "filters": {
+            "channel": "IN ('DIGITAL', 'BRANCH')",
+            "event_type": "LIKE 'money%'",
+            "event_amount": "BETWEEN 10 AND 100000",
+            "product_type": "IS NOT NULL",
+        },
+    }
+    more = ["event_amount > 20", "currency != 'it''s'", "channel"]
+    first = definition.normalise(spec)
+    second = definition.normalise(spec | {"filters": more})
+    both = replace(first, filters=first.filters + second.filters)
+    whole = definition.normalise(
+        spec | {"dimensions": [], "filters": [{"column": "channel", "operator": "IN", "value": "'DIGITAL', 'BRANCH'"}, more[0]]}
+    )
+    names = {"count_rows": "n", "sum_event_amount": "total"}
+    total = definition.run(rows, whole).select(F.lit("total").alias("channel"), *names)
+    return definition.run(rows, both).select("channel", *names).unionByName(total).withColumnsRenamed(names)
+
+
+@register(
+    "definition_period",
+    f"""SELECT {MONTH} AS month, COUNT(*) AS n FROM bank_orders GROUP BY 1 HAVING COUNT(DISTINCT account_id) >= 5""",
+    "bank_orders",
+)
+def definition_period(spark, folder):
+    spec = {
+        "metric": {"function": "COUNT", "column": None, "alias": "n"},
+        "time_range": {"start": "null", "end": None, "period": "monthly"},
+    }
+    return definition.run(b.bank_orders(spark, folder), definition.normalise(spec))
+
+
+@register(
+    "definition_named_metrics",
+    f"""SELECT product_type, CAST(SUM(event_amount) FILTER ({MOVEMENT}) AS DOUBLE) AS net_flow,
+         COUNT(*) FILTER ({MOVEMENT}) AS transaction_count,
+         CAST(ABS(SUM(event_amount) FILTER (event_type = 'fee')) AS DOUBLE) AS total_fees
+       FROM bank_events GROUP BY 1 HAVING COUNT(DISTINCT account_id) >= 5""",
+    "bank_events",
+)
+def definition_named_metrics(spark, folder):
+    spec = {"metrics": ["Net Flow", "Transaction Count", "Total Fees Collected"], "dimensions": ["product_type"]}
+    return definition.run(b.bank_events(spark, folder), definition.normalise(spec))
+
+
 _METRIC_SQL = {
     "m_total_deposits": (
         "total_deposits",
@@ -284,7 +346,7 @@ def avg_balance_by_product(spark, folder):
     """SELECT product_type, event_type, COUNT(*) AS events,
          CAST(SUM(event_amount) AS DOUBLE) AS total_amount, COUNT(DISTINCT account_id) AS entities
        FROM bank_events GROUP BY 1, 2 HAVING COUNT(DISTINCT account_id) >= 5
-       ORDER BY events DESC, product_type, event_type LIMIT 100""",
+""",
     "bank_events",
 )
 def safe_summary(spark, folder):

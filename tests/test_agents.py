@@ -20,7 +20,7 @@ def test_span_paths(spark):
 
 def test_span_cycle_is_an_error(spark):
     with pytest.raises(ValueError, match="cycle"):
-        evaluation.span_paths(spark.createDataFrame([(1, 1, 2, "a"), (1, 2, 1, "b")], SPANS), max_rounds=3)
+        evaluation.span_paths(spark.createDataFrame([(1, 1, 2, "a"), (1, 2, 1, "b")], SPANS))
 
 
 def test_unfinished_span_has_no_duration(spark):
@@ -147,6 +147,8 @@ def test_suite(spark):
     judged = evaluation.judge(results, expected)
     assert {r.case_id: r.passed for r in judged.collect()} == {1: True, 2: False, 3: True, 4: False}
     assert [float(v) for v in evaluation.pass_rate(judged).first()] == [4, 2, 2, 50.0]
+    some = evaluation.judge(results.where("case_id = 1"), expected)
+    assert {r.case_id: r.passed for r in some.collect()} == {1: True, 2: False, 3: False, 4: False}
 
 
 def test_demo_verdicts(spark):

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from quorumlens.operators import evaluation, sizes
+from quorumlens.operators import evaluation
 from quorumlens.sources import log_table
 from quorumlens.sources.log_table import LogTable
 from tests.conftest import rows
@@ -18,9 +18,7 @@ def test_upsert_replaces_and_adds(spark):
     assert got == [("a", 1, "x", 1), ("b", 9, "n", 2), ("c", 3, None, 1)]
 
 
-@pytest.mark.parametrize("bound", [0, 1_000_000])
-def test_update_writes_null_and_ignores_unknown(spark, bound, monkeypatch):
-    monkeypatch.setattr(sizes, "MAX_SENT_ROWS", bound)
+def test_update_writes_null_and_ignores_unknown(spark):
     base = spark.createDataFrame([("a", 1, "x", 1), ("b", 2, "y", 1)], NARROW)
     changes = spark.createDataFrame([("a", None, None, 2), ("z", 5, "w", 2)], NARROW)
     columns = ["user_score", "user_feedback"]

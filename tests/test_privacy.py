@@ -8,6 +8,7 @@ from quorumlens import GovernancePolicy, PolicyViolation
 from quorumlens.operators import patterns, privacy
 from quorumlens.plans import definition
 from quorumlens.plans.definition import Definition, Filter, Measure, TimeRange
+from quorumlens.sources import events as event_source
 from tests.conftest import rows
 
 
@@ -154,7 +155,63 @@ def test_definition_refuses_identifiers(bank):
 def test_definition_applies_limit_even_when_a_column_contains_the_word(bank):
     renamed = bank.withColumnRenamed("channel", "credit_limit")
     made = Definition((Measure("COUNT"),), ("credit_limit", "event_date"))
-    assert definition.run(renamed, made, GovernancePolicy(k=1, limit=2)).count() == 2
+    whole = definition.run(renamed, made, GovernancePolicy(k=1))
+    assert whole.count() > 2 and "truncated" not in whole.columns
+    part = definition.run(renamed, made, GovernancePolicy(k=1), limit=2).collect()
+    assert [(r.truncated, r.total_rows) for r in part] == [(True, whole.count())] * 2
+
+
+@pytest.mark.parametrize(
+    "spec",
+    [
+        {"filters": {"channel": "NOT IN ('A')"}},
+        {"filters": ["channel ~ 'A'"]},
+        {"filters": [{"column": "channel", "operator": "~", "value": 1}]},
+        {"time_grain": "fortnight"},
+        {"time_range": {"period": "sometimes"}},
+        {"metrics": ["Happiness"]},
+    ],
+)
+def test_unknown_forms_of_a_definition_are_errors(bank, spec):
+    with pytest.raises(ValueError):
+        definition.run(bank, definition.normalise({"metrics": ["COUNT(*)"]} | spec))
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT account_id AS a, COUNT(*) AS n FROM events GROUP BY account_id",
+        "SELECT MIN(customer_id) AS c FROM events",
+        "SELECT DISTINCT event_id, event_amount FROM events LIMIT 10",
+        "WITH t AS (SELECT account_id AS a FROM events) SELECT a AS b, COUNT(*) AS n FROM t GROUP BY a",
+        "SELECT channel, MAX(x) AS m FROM (SELECT channel, concat(account_id, 'x') AS x FROM events) GROUP BY channel",
+        "SELECT channel AS x, COUNT(*) AS n FROM events GROUP BY channel UNION SELECT account_id, COUNT(*) FROM events GROUP BY 1",
+        "SELECT COUNT(*) AS n, (SELECT MAX(account_id) FROM events) AS m FROM events",
+    ],
+)
+def test_identifiers_do_not_leave_under_other_names(spark, bank, sql):
+    event_source.register(bank)
+    with pytest.raises(PolicyViolation):
+        event_source.query(spark, sql)
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT channel, COUNT(DISTINCT account_id) AS n, SUM(event_amount) AS s FROM events GROUP BY channel",
+        "SELECT date_format(event_ts, 'yyyy-MM') AS month, COUNT(*) AS n FROM events GROUP BY 1",
+        "WITH t AS (SELECT channel, COUNT(DISTINCT account_id) AS n FROM events GROUP BY channel) SELECT * FROM t WHERE n > 1",
+    ],
+)
+def test_aggregates_are_answered_in_full(spark, bank, sql):
+    event_source.register(bank)
+    assert event_source.query(spark, sql).count() > 0
+
+
+def test_local_result_says_what_was_cut(spark, bank):
+    event_source.register(bank)
+    frame = event_source.query_pandas(spark, "SELECT channel, event_date, COUNT(*) AS n FROM events GROUP BY 1, 2 ORDER BY 2, 1", GovernancePolicy(max_rows=3))
+    assert len(frame) == 3 and frame.attrs["truncated"] and frame.attrs["total_rows"] > 3
 
 
 def test_values_are_never_read_as_sql(bank):

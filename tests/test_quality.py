@@ -42,6 +42,8 @@ def test_row_limit(spark):
     wide = spark.range(201).withColumnRenamed("id", "n")
     assert _status(quality.report(wide))["row_count"][0] == "warning"
     assert quality.row_cap(wide).first().status == "warning"
+    large = quality.row_cap(spark.range(5000)).first().message
+    assert large == "Large result set (5000 rows) exceeds recommended limit of 200"
     assert quality.row_cap(spark.range(1)).first().message == "Single aggregate result"
 
 

@@ -180,3 +180,12 @@ def test_vector_table(spark, tmp_path):
     assert rows(table.collections()) == [("knowledge",), ("query_history",)]
     table.reset()
     assert rows(table.read()) == []
+
+
+@pytest.mark.parametrize("bound", [4096, 1])
+def test_unequal_lengths_are_an_error(spark, bound):
+    docs = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0, 0.0, 1.0])], "doc_id bigint, embedding array<float>")
+    queries = _vectors(spark, np.ones((2, 4)), "query_id")
+    for some in (docs, docs.where("doc_id = 1")):
+        with pytest.raises(Exception, match="unequal lengths|dimensions"):
+            retrieval.topk(queries, some, 1, max_sent_queries=bound).collect()
