@@ -36,6 +36,20 @@ def read_sessions(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return spark.readStream.schema(ddl).json(path)
 
 
+def ended(stream: DataFrame, ts: str, **keys: object) -> DataFrame:
+    """A finite stream with a marker row far in the future, so that its watermark passes all real rows.
+
+    Windows, sessions and pairs of the newest rows are then given too; the marker's own window never closes.
+    Its columns are null but for ``keys``: a join drops null keys early, so give the marker a key that no row has.
+    """
+    spark = stream.sparkSession
+    folder = scratch_path(spark, "end-of-input")
+    values = {ts: "2200-01-01", **keys}
+    empty = [F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in stream.schema.fields]
+    spark.range(1).select(*empty).write.parquet(folder)
+    return stream.unionByName(read_files(spark, folder, stream.schema))
+
+
 def counters(stream: DataFrame, name: str = "name", value: str = "value") -> DataFrame:
     """Running count, sum and average per name, for ``complete`` or ``update`` output."""
     return stream.groupBy(name).agg(
@@ -143,6 +157,14 @@ def upsert_batches(log: LogTable) -> Batch:
     return merge
 
 
+def _result(spark: SparkSession, schema: T.StructType, out: str) -> DataFrame:
+    """What was written; an empty table when there was no batch to write."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(out)
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process everything that is available now and return the result as a table.
 
@@ -155,7 +177,7 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     writer = stream.writeStream.option("checkpointLocation", progress).trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").outputMode("append").start(out).awaitTermination()
-        return spark.read.schema(stream.schema).parquet(out)
+        return _result(spark, stream.schema, out)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_", F.lit(batch_id)).write.mode("overwrite").option(
@@ -164,7 +186,7 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
     writer.outputMode(mode).foreachBatch(store).start().awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField("batch_", T.LongType())])
-    table = spark.read.schema(schema).parquet(out)
+    table = _result(spark, schema, out)
     if mode == "complete":
         table = table.filter(F.col("batch_") == table.agg(F.max("batch_")).scalar())
     return table.drop("batch_")

@@ -1,7 +1,7 @@
 """The event table read as a stream, drained with an available-now trigger.
 
-Windows that the watermark has not passed stay open, so append results hold the closed windows only;
-the SQL states the same condition on the newest event time.
+The streams are finite and end with a marker, so their results are those of the whole table. One query shows
+a stream that goes on: windows that its watermark has not passed stay open.
 """
 
 from __future__ import annotations
@@ -53,18 +53,36 @@ def stream_counters(spark, folder):
 _CLOSED = f"(SELECT MAX(ts) - INTERVAL {DELAY} FROM events)"
 
 
+def _ended(spark, folder):
+    return jobs.ended(_events(spark, folder), "ts")
+
+
 @register(
     "stream_windowed",
+    """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start,
+         strftime(w + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, event_type, COUNT(*) AS n,
+         CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
+       FROM (SELECT date_trunc('hour', ts) AS w, event_type, value FROM events)
+       GROUP BY w, event_type""",
+)
+def stream_windowed(spark, folder):
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")]
+    hourly = jobs.windowed(_ended(spark, folder), "ts", aggs, "1 hour", None, DELAY, ["event_type"])
+    return _times(jobs.drain(hourly, "windowed"))
+
+
+@register(
+    "stream_open_windows",
     f"""SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start,
          strftime(w + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, event_type, COUNT(*) AS n,
          CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
        FROM (SELECT date_trunc('hour', ts) AS w, event_type, value FROM events)
        WHERE w + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY w, event_type""",
 )
-def stream_windowed(spark, folder):
+def stream_open_windows(spark, folder):
     aggs = [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")]
     hourly = jobs.windowed(_events(spark, folder), "ts", aggs, "1 hour", None, DELAY, ["event_type"])
-    return _times(jobs.drain(hourly, "windowed"))
+    return _times(jobs.drain(hourly, "open_windows"))
 
 
 @register(
@@ -73,11 +91,11 @@ def stream_windowed(spark, folder):
          strftime(w + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, COUNT(*) AS n
        FROM (SELECT unnest([h, h - INTERVAL 30 MINUTE]) AS w
              FROM (SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS h FROM events))
-       WHERE w + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY w""",
+       GROUP BY w""",
 )
 def stream_sliding(spark, folder):
     counted = [F.count(F.lit(1)).alias("n")]
-    sliding = jobs.windowed(_events(spark, folder), "ts", counted, "1 hour", "30 minutes", DELAY)
+    sliding = jobs.windowed(_ended(spark, folder), "ts", counted, "1 hour", "30 minutes", DELAY)
     return _times(jobs.drain(sliding, "sliding"))
 
 
@@ -89,11 +107,11 @@ def stream_sliding(spark, folder):
            AS session FROM marked)
        SELECT user_id, strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS window_start,
          strftime(MAX(ts) + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, COUNT(*) AS n
-       FROM grouped GROUP BY user_id, session HAVING MAX(ts) + INTERVAL 5 HOUR <= {_CLOSED}""",
+       FROM grouped GROUP BY user_id, session""",
 )
 def stream_sessions(spark, folder):
     counted = [F.count(F.lit(1)).alias("n")]
-    found = jobs.sessions(_events(spark, folder), "user_id", "ts", "5 hours", counted, DELAY)
+    found = jobs.sessions(_ended(spark, folder), "user_id", "ts", "5 hours", counted, DELAY)
     return _times(jobs.drain(found, "sessions"))
 
 
@@ -102,9 +120,7 @@ def stream_sessions(spark, folder):
     f"""WITH s AS (SELECT event_id // 2 AS op, ts FROM events WHERE event_id % 2 = 0),
          e AS (SELECT event_id // 2 AS op, ts FROM events WHERE event_id % 2 = 1 AND event_type <> 'error')
        SELECT s.op, e.ts IS NOT NULL AS finished FROM s LEFT JOIN e
-         ON s.op = e.op AND e.ts BETWEEN s.ts AND s.ts + INTERVAL 5 MINUTE
-       WHERE e.ts IS NOT NULL OR s.ts < (SELECT date_trunc('milliseconds', MIN(m)) - INTERVAL {DELAY}
-         - INTERVAL 5 MINUTE FROM (SELECT MAX(ts) AS m FROM s UNION ALL SELECT MAX(ts) FROM e))""",
+         ON s.op = e.op AND e.ts BETWEEN s.ts AND s.ts + INTERVAL 5 MINUTE""",
 )
 def stream_pairing(spark, folder):
     operation = F.expr("event_id div 2").alias("op")
@@ -112,8 +128,8 @@ def stream_pairing(spark, folder):
     begun = events.filter(F.col("event_id") % 2 == 0)
     done = events.filter((F.col("event_id") % 2 == 1) & (F.col("event_type") != "error"))
     pairs = jobs.pair(
-        begun.select(operation, F.col("ts").alias("start_ts")),
-        done.select(operation, F.col("ts").alias("end_ts")),
+        jobs.ended(begun.select(operation, F.col("ts").alias("start_ts")), "start_ts", op=-1),
+        jobs.ended(done.select(operation, F.col("ts").alias("end_ts")), "end_ts", op=-2),
         "op",
         "5 minutes",
         DELAY,
@@ -139,10 +155,10 @@ def stream_redact(spark, folder):
          COUNT(DISTINCT user_id) AS entities, COUNT(*) AS n_events,
          CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
        FROM (SELECT date_trunc('day', ts) AS w, event_type, user_id, value FROM events)
-       WHERE w + INTERVAL 1 DAY <= {_CLOSED} GROUP BY w, event_type HAVING COUNT(DISTINCT user_id) >= 5""",
+       GROUP BY w, event_type HAVING COUNT(DISTINCT user_id) >= 5""",
 )
 def stream_k_anon(spark, folder):
     safe = jobs.k_anon_stream(
-        _events(spark, folder), "ts", ["event_type"], "user_id", 5, "1 day", "value", DELAY
+        _ended(spark, folder), "ts", ["event_type"], "user_id", 5, "1 day", "value", DELAY
     )
     return _times(jobs.drain(safe, "k_anon"))
