@@ -21,7 +21,7 @@ MISS = 1e-6
 #: Shared prefix lists that a pair needs; each asks one more list of the prefix.
 SHARED = 4
 #: Rounds that compare documents with pivots of their lists before the rest is compared pair by pair.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Pivots of a list in each round.
 PIVOTS = 4
 
@@ -161,6 +161,22 @@ def components(nodes: DataFrame, links: DataFrame, name: str = "component") -> D
     return labels
 
 
+def _hooked(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after each label with a link (a, b) has moved two steps along the links, from b's label to a's.
+
+    Nodes of one label stay connected, but not all connected nodes get one label; that is left to the end.
+    """
+    left, right = (labels.select(F.col("node").alias(x), F.col("component").alias("c" + x)) for x in "ab")
+    step = links.join(left, "a").join(right, "b").groupBy(F.col("cb").alias("component")).agg(F.min("ca").alias("one"))
+    step = written(step, "hooks")
+    again = step.select(F.col("component").alias("one"), F.col("one").alias("two"))
+    both = step.join(again, "one", "left")
+    # Two labels that point at each other meet in the smaller one.
+    target = F.when(F.col("two") == F.col("component"), F.least("component", "one")).otherwise(F.coalesce("two", "one"))
+    moved = labels.join(both.select("component", target.alias("to")), "component", "left")
+    return written(moved.select("node", F.coalesce("to", "component").alias("component")), "labels")
+
+
 class _Join:
     """Comparison of candidate pairs of one table."""
 
@@ -262,7 +278,9 @@ def near_duplicates(
         else:
             matched = join.matched(pairs)
         links.append(written(join.confirmed(matched), "confirmed"))
-        labels = components(nodes, reduce(DataFrame.union, links))
+        if turn < star_rounds:
+            labels = _hooked(labels, links[-1])
+    labels = components(nodes, reduce(DataFrame.union, links))
 
     found = labels.where("component <> node")
     placed = named.select("doc_id", "digest").distinct().join(sets.select("digest", "node"), "digest")
