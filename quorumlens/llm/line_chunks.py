@@ -137,7 +137,9 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR,
     def same(a: DataFrame, b: DataFrame):
         return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["row"] == b["row"])
 
-    once = full.join(named, same(full, named)).select(full["doc_id"], full["row"], "text", "named")
+    # Both joins always move the documents by key, so the plan is the same at every size.
+    named, once = named.hint("merge"), full
+    once = once.join(named, same(once, named)).select(full["doc_id"], full["row"], "text", "named")
     contents = once.mapInArrow(
         _contents(window, divisor), "doc_id bigint, row bigint, chunk int, value binary, first boolean, content binary"
     )
@@ -145,7 +147,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR,
     first = contents.where("first").groupBy("value").agg(F.min("content").alias("kept"))
     gone = contents.where("NOT first").join(first, "value").where("content = kept")
     gone = gone.groupBy("doc_id", "row").agg(F.collect_set("chunk").alias("gone"))
-    gone = written(gone, "removed-chunks")
+    gone = written(gone, "removed-chunks").hint("merge")
     left = source.join(gone, same(source, gone), "left").select(source["doc_id"], "text", "gone")
     return left.mapInArrow(
         _without(window, divisor), "doc_id bigint, text string, n_lines bigint, removed_lines bigint, removed_chunks bigint"
