@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,6 +55,19 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.upper(F.concat(*parts)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def _packing(change):
+    """Applies zlib to the column data."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                data = pa.array([change(x) for x in part.column("data").to_pylist()], pa.binary())
+                yield part.set_column(part.schema.get_field_index("data"), "data", data)
+
+    return run
+
+
 def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", records_per_file: int = 4096) -> None:
     """One WARC/1.1 record for each row of ``pages`` (page_id BIGINT, url STRING, html STRING).
 
@@ -63,15 +77,20 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
     The text sink writes the records with the record end as its line separator, so files are committed by
     Spark and whatever store it knows can hold them.
     """
-    payload = F.coalesce(F.col("html"), F.lit(""))
-    pages = pages.select("page_id", "url", payload.alias("html"), base32_sha1(payload.cast("binary")).alias("digest"))
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    pages = pages.select("page_id", "url", base32_sha1(payload).alias("digest"), payload.alias("data"))
     groups = (
         pages.groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
         .where("copies > 1 AND first IS NOT NULL")
     )
-    # As a table its size is known before the join, so Spark moves the pages only if there are many groups.
-    pages = pages.join(written(groups.select("digest", "first"), "warc-groups"), "digest", "left")
+    # The payloads move once, packed; the plan is the same however many groups there are.
+    packed = pages.mapInArrow(_packing(zlib.compress), "page_id bigint, url string, digest string, data binary")
+    joined = packed.join(groups.select("digest", "first").hint("merge"), "digest", "left")
+    pages = joined.select("page_id", "url", "digest", "first", "data").mapInArrow(
+        _packing(zlib.decompress), "page_id bigint, url string, digest string, first bigint, data binary"
+    )
+    pages = pages.withColumn("html", F.col("data").cast("string"))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     http = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
