@@ -1,8 +1,8 @@
-"""Removal of repeated multi-line chunks with content-defined boundaries."""
+"""Removal of repeated multi-line passages: of content-defined chunks, or of every run of lines that was there before."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +49,15 @@ def _cut(hashes: WordHashes, text: bytes, window: int, divisor: int) -> tuple[li
     return lines, chunk_ends(hashes.array(lines), window, divisor)
 
 
+_PIECES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("chunk", pa.int32()), ("value", pa.binary())])
+_RESULT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("removed_lines", pa.int64()), ("removed_chunks", pa.int64())])
+
+
 def _chunks(window: int, divisor: int, least: int):
     """(doc_id, row, chunk, value) of each chunk of enough lines; ``row`` and ``value`` are hashes of text and chunk."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("chunk", pa.int32()), ("value", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, out = WordHashes(200_000), Batches(schema)
+        hashes, out = WordHashes(200_000), Batches(_PIECES)
         for doc, row, text in rows_of(batches, "doc_id", "row", "text"):
             lines, ends = _cut(hashes, text, window, divisor)
             start = 0
@@ -67,8 +70,36 @@ def _chunks(window: int, divisor: int, least: int):
     return run
 
 
-def _contents(window: int, divisor: int):
-    """Texts of the named chunks."""
+def _windows(least: int):
+    """(doc_id, row, chunk, value) of each ``least`` successive lines; ``chunk`` is the number of the first one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Batches(_PIECES)
+        for doc, row, text in rows_of(batches, "doc_id", "row", "text"):
+            lines = text.split(b"\n")
+            for k in range(len(lines) - least + 1):
+                yield from out.add((doc, row, k, xxhash.xxh3_128_digest(b"\n".join(lines[k : k + least]))))
+        yield from out.end()
+
+    return run
+
+
+def _ranges(window: int, divisor: int):
+    """First line and end of each chunk of a text."""
+
+    def of(hashes: WordHashes, text: bytes) -> tuple[list[bytes], Callable[[int], tuple[int, int]]]:
+        lines, ends = _cut(hashes, text, window, divisor)
+        return lines, lambda k: (ends[k - 1] if k else 0, ends[k])
+
+    return of
+
+
+def _window_ranges(least: int):
+    return lambda _, text: (text.split(b"\n"), lambda k: (k, k + least))
+
+
+def _contents(ranges):
+    """Texts of the named pieces."""
     schema = pa.schema(
         [("doc_id", pa.int64()), ("row", pa.int64()), ("chunk", pa.int32()), ("value", pa.binary()), ("first", pa.bool_()), ("content", pa.binary())]
     )
@@ -76,21 +107,19 @@ def _contents(window: int, divisor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, out = WordHashes(200_000), Batches(schema)
         for doc, row, text, named in rows_of(batches, "doc_id", "row", "text", "named"):
-            lines, ends = _cut(hashes, text, window, divisor)
+            lines, at = ranges(hashes, text)
             for x in named:
-                k = x["chunk"]
-                content = b"\n".join(lines[ends[k - 1] if k else 0 : ends[k]])
-                yield from out.add((doc, row, k, x["value"], x["first"], content), len(content))
+                start, end = at(x["chunk"])
+                content = b"\n".join(lines[start:end])
+                yield from out.add((doc, row, x["chunk"], x["value"], x["first"], content), len(content))
         yield from out.end()
 
     return run
 
 
 def _without(window: int, divisor: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("removed_lines", pa.int64()), ("removed_chunks", pa.int64())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, out = WordHashes(200_000), Batches(schema)
+        hashes, out = WordHashes(200_000), Batches(_RESULT)
         for doc, text, gone in rows_of(batches, "doc_id", "text", "gone"):
             if text is None:
                 yield from out.add((doc, None, 0, 0, 0))
@@ -109,23 +138,53 @@ def _without(window: int, divisor: int):
     return run
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, least_lines: int = LEAST_LINES) -> DataFrame:
-    """doc_id, text without repeated chunks, n_lines, removed_lines, removed_chunks of each row of ``docs`` (doc_id BIGINT, text STRING).
+def kept_lines(n: int, gone: Iterable[int], first: Iterable[int], least: int) -> np.ndarray:
+    """Which of ``n`` lines stay: those in no window of ``gone``, and those in a window of ``first``."""
+    keep = np.ones(n, bool)
+    for k in gone:
+        keep[k : k + least] = False
+    for k in first:
+        keep[k : k + least] = True
+    return keep
 
-    Lines are cut into chunks where the rolling hash says so. Of equal chunks of ``least_lines`` lines or more the
-    one in the smallest (doc_id, text hash, place) stays, others are removed after their bytes were compared with it.
-    Only hashes are shuffled to find repeats; then the texts of repeated chunks go to the text of the first
-    one, where a chunk that half of the documents share is split like any skewed join.
-    Null texts stay null; null ids come after all others; rows equal in id and text are treated alike and keep
-    what the first of them keeps; a document that is all repeats has an empty text; an empty table gives no rows.
-    """
+
+def _without_windows(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Batches(_RESULT)
+        for doc, text, gone, first in rows_of(batches, "doc_id", "text", "gone", "first"):
+            if text is None:
+                yield from out.add((doc, None, 0, 0, 0))
+                continue
+            lines = text.split(b"\n")
+            keep = kept_lines(len(lines), gone or (), first or (), least)
+            result = text if keep.all() else b"\n".join([lines[i] for i in np.flatnonzero(keep).tolist()])
+            runs = np.count_nonzero(np.diff(keep.astype(np.int8), prepend=1) < 0)
+            yield from out.add((doc, result.decode(), len(lines), len(lines) - int(keep.sum()), runs), len(result))
+        yield from out.end()
+
+    return run
+
+
+def _source(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("binary")
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row"), text.alias("text"))
+
+
+def _same(a: DataFrame, b: DataFrame):
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["row"] == b["row"])
+
+
+def _with_repeats(source: DataFrame, pieces, ranges) -> DataFrame:
+    """doc_id, text, gone, first of each row of ``source``.
+
+    ``gone`` numbers the pieces that repeat an earlier one byte by byte, ``first`` those that are repeated later.
+    Only hashes are shuffled to find repeats; then the texts of repeated pieces go to the text of the first
+    one, where a piece that half of the documents share is split like any skewed join.
+    """
     full = source.where("text IS NOT NULL")
-    chunks = full.mapInArrow(_chunks(window, divisor, least_lines), "doc_id bigint, row bigint, chunk int, value binary")
-    chunks = written(chunks, "line-chunks")
+    chunks = written(full.mapInArrow(pieces, "doc_id bigint, row bigint, chunk int, value binary"), "line-chunks")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "chunk")
-    repeated = chunks.groupBy("value").agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n > 1")
+    repeated = chunks.groupBy("value").agg(F.min(place).alias("at"), F.max(place).alias("end")).where("at < end")
     named = chunks.join(repeated, "value").select(
         "doc_id", "row", "chunk", "value", place.eqNullSafe(F.col("at")).alias("first")
     )
@@ -134,21 +193,48 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR,
     )
     named = written(named, "repeated-chunks")
 
-    def same(a: DataFrame, b: DataFrame):
-        return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["row"] == b["row"])
-
     # Both joins always move the documents by key, so the plan is the same at every size.
     named, once = named.hint("merge"), full
-    once = once.join(named, same(once, named)).select(full["doc_id"], full["row"], "text", "named")
+    once = once.join(named, _same(once, named)).select(full["doc_id"], full["row"], "text", "named")
     contents = once.mapInArrow(
-        _contents(window, divisor), "doc_id bigint, row bigint, chunk int, value binary, first boolean, content binary"
+        _contents(ranges), "doc_id bigint, row bigint, chunk int, value binary, first boolean, content binary"
     )
     contents = written(contents, "chunk-texts")
     first = contents.where("first").groupBy("value").agg(F.min("content").alias("kept"))
-    gone = contents.where("NOT first").join(first, "value").where("content = kept")
-    gone = gone.groupBy("doc_id", "row").agg(F.collect_set("chunk").alias("gone"))
-    gone = written(gone, "removed-chunks").hint("merge")
-    left = source.join(gone, same(source, gone), "left").select(source["doc_id"], "text", "gone")
-    return left.mapInArrow(
-        _without(window, divisor), "doc_id bigint, text string, n_lines bigint, removed_lines bigint, removed_chunks bigint"
+    gone = contents.where("NOT first").join(first, "value").where("content = kept").select("doc_id", "row", "chunk", "first")
+    marks = gone.union(contents.where("first").select("doc_id", "row", "chunk", "first"))
+    marks = marks.groupBy("doc_id", "row").agg(
+        F.collect_set(F.expr("CASE WHEN NOT first THEN chunk END")).alias("gone"),
+        F.collect_set(F.expr("CASE WHEN first THEN chunk END")).alias("first"),
     )
+    marks = written(marks, "removed-chunks").hint("merge")
+    return source.join(marks, _same(source, marks), "left").select(source["doc_id"], "text", "gone", "first")
+
+
+_COLUMNS = "doc_id bigint, text string, n_lines bigint, removed_lines bigint, removed_chunks bigint"
+
+
+def deduplicated(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, least_lines: int = LEAST_LINES) -> DataFrame:
+    """doc_id, text without repeated chunks, n_lines, removed_lines, removed_chunks of each row of ``docs`` (doc_id BIGINT, text STRING).
+
+    Lines are cut into chunks where the rolling hash says so. Of equal chunks of ``least_lines`` lines or more the
+    one in the smallest (doc_id, text hash, place) stays, others are removed after their bytes were compared with it.
+    A passage that no whole chunk fits into stays everywhere; :func:`without_repeats` finds those too.
+    Null texts stay null; null ids come after all others; rows equal in id and text are treated alike and keep
+    what the first of them keeps; a document that is all repeats has an empty text; an empty table gives no rows.
+    """
+    marked = _with_repeats(_source(docs), _chunks(window, divisor, least_lines), _ranges(window, divisor))
+    return marked.mapInArrow(_without(window, divisor), _COLUMNS)
+
+
+def without_repeats(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
+    """Columns and rows of :func:`deduplicated`, without any run of ``least_lines`` lines or more that was there before.
+
+    Every window of ``least_lines`` successive lines is an anchor, so a repeated run is found wherever it begins and
+    ends, and is as long as its lines agree. Of equal windows the one in the smallest (doc_id, text hash, place)
+    stays, the lines of others are removed after their bytes were compared with it, except lines that also belong to
+    a window which stays for others: what is removed is still there whole at its first place. ``removed_chunks``
+    counts the runs of removed lines.
+    """
+    marked = _with_repeats(_source(docs), _windows(least_lines), _window_ranges(least_lines))
+    return marked.mapInArrow(_without_windows(least_lines), _COLUMNS)

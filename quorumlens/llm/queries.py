@@ -107,7 +107,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("op10_line_chunks")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    return line_chunks.deduplicated(table(spark, folder, "documents"))
+    return line_chunks.without_repeats(table(spark, folder, "documents"))
 
 
 @register("op7_inferred_formats")

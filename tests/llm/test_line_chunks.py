@@ -64,3 +64,40 @@ def test_boundaries_resist_shifts():
 
 def test_empty(spark):
     assert line_chunks.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_short_passages_are_found_wherever_they_lie(spark):
+    """Against all runs of two or more lines, found by looking at every place."""
+    rnd = random.Random(11)
+    line = lambda: "line %d" % rnd.randrange(10**6)
+    shared = [[line() for _ in range(n)] for n in (2, 2, 3, 3, 4, 5, 6)]
+    rows = []
+    for i in range(120):
+        own = [line() for _ in range(rnd.randint(1, 12))]
+        at = rnd.randint(0, len(own))
+        own[at:at] = shared[i % len(shared)]
+        rows.append((i, "\n".join(own), 0))
+    # Overlapping passages: the kept copy of "b c" lies in 301, next to a repeat of "a b".
+    rows += [(300, "a\nb", 0), (301, "a\nb\nc", 0), (302, "b\nc", 0), (303, "\n" * 300, 0), (304, None, 0), (None, rows[0][1], 0), (305, "one", 0), (306, "one", 0)]
+    found = {r.doc_id: r for r in line_chunks.without_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    texts = {d: t.split("\n") for d, t, _ in ordered if t is not None}
+    places = {}
+    for doc, _, _ in ordered:
+        for k in range(len(texts.get(doc, [])) - 1):
+            places.setdefault(tuple(texts[doc][k : k + 2]), []).append((doc, k))
+    for doc, lines in texts.items():
+        gone, stays = set(), set()
+        for k in range(len(lines) - 1):
+            at = places[tuple(lines[k : k + 2])]
+            if len(at) > 1:
+                (stays if at[0] == (doc, k) else gone).update((k, k + 1))
+        kept = [x for k, x in enumerate(lines) if k not in gone or k in stays]
+        assert (found[doc].text, found[doc].n_lines) == ("\n".join(kept), len(lines)), doc
+        assert found[doc].removed_lines == len(lines) - len(kept)
+    assert found[304].text is None and found[None].text == "" and found[303].text == "\n"
+    assert [found[d].text for d in (300, 301, 302)] == ["a\nb", "b\nc", ""] and found[306].text == "one"
+    # Every later copy of a shared passage is gone, as short as it is.
+    for i in range(len(shared), 120):
+        assert not set(shared[i % len(shared)]) & set(found[i].text.split("\n")) and found[i].removed_chunks == 1
