@@ -30,8 +30,9 @@ TAILS = 8
 OWN_INPUTS = 1024
 SHARED_INPUTS = 64
 VOCABULARY = 50_257
-#: One in so many windows of every training document is trained on, in as many rounds.
-EVERY = 8
+#: One in so many windows of every training document is trained on; 1 is all of them.
+EVERY = 1
+#: Each training document belongs to one of so many rounds.
 ROUNDS = 4
 BATCH = 64
 RATE = 0.02
@@ -246,29 +247,29 @@ def _token_counts(ranks: dict[bytes, int]):
     return run
 
 
-def _training_windows(ranks: dict[bytes, int], vocabulary: Vocabulary, every: int, rounds: int):
-    schema = pa.schema([("turn", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("used", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, out, number = Subwords(ranks), Batches(schema), 0
-        for doc, text in rows_of(batches, "doc_id", "text"):
-            if held_out(doc):
-                continue
-            tokens = subwords.text(words_of(text))
-            lengths = np.asarray([len(tokens)])
-            # Windows at a fixed distance through the whole text, from a start that depends on the text.
-            first = zlib.crc32(tokens.tobytes()) % every
-            placed = windows(lengths)
-            n = len(placed[0])
-            chosen = np.arange(first % n if n < every else first, n, every)
-            x, y, used, _ = gathered(vocabulary, tokens, lengths, placed, chosen)
-            x, y, used = x.astype("<u2"), vocabulary.classes[y].astype("u1"), used.astype("u1")
-            for i in range(len(chosen)):
-                number += 1
-                yield from out.add((number % rounds, x[i].tobytes(), y[i].tobytes(), used[i].tobytes()))
-        yield from out.end()
-
-    return run
+def _steps(ranks: dict[bytes, int], vocabulary: Vocabulary, every: int, batches: Iterator[pa.RecordBatch]):
+    """Inputs, targets and scored places of the windows of training documents, ``BATCH`` windows at a time."""
+    subwords, kept = Subwords(ranks), []
+    for doc, text in rows_of(batches, "doc_id", "text"):
+        if held_out(doc):
+            continue
+        tokens = subwords.text(words_of(text))
+        lengths = np.asarray([len(tokens)])
+        # Windows at a fixed distance through the whole text, from a start that depends on the text.
+        first = zlib.crc32(tokens.tobytes()) % every
+        placed = windows(lengths)
+        n = len(placed[0])
+        chosen = np.arange(first % n if n < every else first, n, every)
+        for at in range(0, len(chosen), 4 * BATCH):
+            kept.append(gathered(vocabulary, tokens, lengths, placed, chosen[at : at + 4 * BATCH])[:3])
+            if sum(len(z[0]) for z in kept) >= BATCH:
+                x, y, used = (np.concatenate(z) for z in zip(*kept, strict=True))
+                whole = len(x) - len(x) % BATCH
+                for k in range(0, whole, BATCH):
+                    yield x[k : k + BATCH], y[k : k + BATCH], used[k : k + BATCH]
+                kept = [(x[whole:], y[whole:], used[whole:])] if whole < len(x) else []
+    if kept:
+        yield tuple(np.concatenate(z) for z in zip(*kept, strict=True))
 
 
 _CHUNK = 1024
@@ -286,20 +287,13 @@ def _shaped(like: dict[str, np.ndarray], flat: np.ndarray) -> dict[str, np.ndarr
     return out
 
 
-def _training(weights: dict[str, np.ndarray], rate: float):
+def _training(ranks: dict[bytes, int], vocabulary: Vocabulary, every: int, weights: dict[str, np.ndarray], rate: float):
     schema = pa.schema([("chunk", pa.int32()), ("seen", pa.int64()), ("values", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def steps():
-            for batch in batches:
-                cut = lambda n, t: np.frombuffer(b"".join(batch.column(n).to_pylist()), t).reshape(-1, WINDOW)
-                x, y, used = cut("x", "<u2"), cut("y", "u1"), cut("used", "u1")
-                for at in range(0, len(x), BATCH):
-                    part = slice(at, at + BATCH)
-                    yield x[part].astype(np.int64), y[part].astype(np.int64), used[part]
-
         own = {k: v.copy() for k, v in weights.items()}
-        seen = _adam(own, steps(), rate)
+        steps = ((x, vocabulary.classes[y], used) for x, y, used in _steps(ranks, vocabulary, every, batches))
+        seen = _adam(own, steps, rate)
         if seen:
             flat, out = _flat(own), Batches(schema)
             for k, at in enumerate(range(0, len(flat), _CHUNK)):
@@ -315,16 +309,23 @@ def _averaged(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "values": [mean.astype(np.float32).tobytes()]})
 
 
-def train(examples: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: float = RATE) -> dict[str, np.ndarray]:
+def of_round(source: DataFrame, turn: int, rounds: int) -> DataFrame:
+    """The documents of one round; each belongs to exactly one."""
+    return source.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == turn)
+
+
+def train(
+    source: DataFrame, ranks: dict[bytes, int], vocabulary: Vocabulary, every: int = EVERY, rounds: int = ROUNDS, rate: float = RATE
+) -> dict[str, np.ndarray]:
     """Weights after rounds of parallel training.
 
-    In each round every task trains from the same weights on its part of the round's windows; the
-    weights, cut into chunks, are then averaged by the number of windows. Only the average reaches the driver.
+    In each round every task trains from the same weights on its part of the round's documents, which it encodes
+    itself; the weights, cut into chunks, are then averaged by the number of windows. Only the average reaches the driver.
     """
     weights = start_weights(vocabulary)
     for turn in range(rounds):
-        part = examples.where(F.col("turn") == turn).select("x", "y", "used")
-        trained = part.mapInArrow(_training(weights, rate / (1 + turn)), "chunk int, seen bigint, values binary")
+        training = _training(ranks, vocabulary, every, weights, rate / (1 + turn))
+        trained = of_round(source, turn, rounds).mapInArrow(training, "chunk int, seen bigint, values binary")
         mean = trained.groupBy("chunk").applyInPandas(_averaged, "chunk int, values binary").collect()
         if mean:
             flat = np.concatenate([np.frombuffer(r["values"], np.float32) for r in sorted(mean, key=lambda r: r.chunk)])
@@ -389,7 +390,7 @@ def scores(
     ``frequent`` tokens, of which there are at most ``frequent``, are looked up in the task, all others
     are joined to the whole table of counts. The model reads the subwords of the lower-cased words and predicts
     the next one's class; a token's probability is its class's times its share of the class in the training counts.
-    It is trained on every ``every``-th window of each training document. Null texts are empty and
+    It is trained on every ``every``-th window of each training document, by default on all. Null texts are empty and
     score their end only; null ids count as an empty id; repeated rows are scored repeatedly; without training
     documents all counts are 0.
     """
@@ -405,8 +406,7 @@ def scores(
     for r in counts.mapInArrow(_token_counts(ranks), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect():
         tokens[r.token] = r.n
     vocabulary = Vocabulary.of(tokens)
-    examples = source.mapInArrow(_training_windows(ranks, vocabulary, every, rounds), "turn int, x binary, y binary, used binary")
-    weights = train(written(examples, "training-windows"), vocabulary, rounds)
+    weights = train(source, ranks, vocabulary, every, rounds)
 
     often = counts.where((F.col("n") * frequent >= size) | (F.col("word") == b"")).collect()
     known = spark.sparkContext.broadcast({bytes(r.word): float(np.log10(r.n + 1)) for r in often})

@@ -124,3 +124,20 @@ def test_training_helps_on_texts_held_out(spark):
 
 def test_no_rows(spark):
     assert lm.scores(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_every_token_of_training_documents_is_learned_from_once(spark):
+    """With the settings that the query uses."""
+    rows = corpus() + [(900, None, 0), (None, "the THE", 0), (901, " ".join(["long text"] * 9000), 0)]
+    source = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "CAST(text AS BINARY) AS text")
+    ranks, v = lm.read_ranks(lm.TOKENIZER), vocabulary()
+    learned, expected = np.zeros(lm.VOCABULARY, int), np.zeros(lm.VOCABULARY, int)
+    for turn in range(lm.ROUNDS):
+        for x, y, used in lm._steps(ranks, v, lm.EVERY, lm.of_round(source, turn, lm.ROUNDS).toArrow().to_batches()):
+            assert x.shape == y.shape == used.shape and len(x) <= lm.BATCH
+            np.add.at(learned, y[used.astype(bool)], 1)
+    subwords = lm.Subwords(ranks)
+    for doc, text, _ in rows:
+        if not lm.held_out(doc):
+            np.add.at(expected, subwords.text(lm.words_of((text or "").encode())), 1)
+    assert expected.sum() > 10_000 and (learned == expected).all()
