@@ -20,21 +20,22 @@ from quorumlens.llm.token_shards import END, TOKENIZER, Encoder, read_ranks
 from quorumlens.session import written
 
 #: Tokens of a context window, and how far the next window starts behind it.
-WINDOW = 16
-STRIDE = 12
+WINDOW = 64
+STRIDE = 48
 WIDTH = 16
-#: Output classes. The most frequent tokens are classes of their own, the rest shares ``TAILS`` classes.
-CLASSES = 64
-TAILS = 8
-#: Tokens with input vectors of their own; others share by id.
-OWN_INPUTS = 1024
-SHARED_INPUTS = 64
+#: Classes of the first level of the output. The most frequent tokens are classes of their own; the rest is cut into
+#: ``TAILS`` classes of growing size, whose members are told apart by a second level.
+CLASSES = 128
+TAILS = 64
+#: Members of the first tail class, and how much larger each next one is (the last one has what is left).
+LEAST_MEMBERS = 4
+GROWTH = 1.121
 VOCABULARY = 50_257
 #: One in so many windows of every training document is trained on; 1 is all of them.
 EVERY = 1
 #: Each training document belongs to one of so many rounds.
 ROUNDS = 4
-BATCH = 64
+BATCH = 16
 RATE = 0.02
 #: A word is frequent when it is one of so many tokens or more; there are no more frequent words than this.
 FREQUENT = 200_000
@@ -62,35 +63,42 @@ def held_out(doc: int | None) -> bool:
 
 @dataclass
 class Vocabulary:
-    """Input number, class and log10 share of its class of every token id."""
+    """Rank by count (the input number), class and log10 share of its class of every token id.
+
+    ``first`` has the first rank of each class and, at its end, the number of ids; ``start`` has the natural
+    logarithm of the share by rank.
+    """
 
     inputs: np.ndarray
     classes: np.ndarray
     share: np.ndarray
     prior: np.ndarray
+    first: np.ndarray
+    start: np.ndarray
 
     @classmethod
     def of(cls, counts: np.ndarray) -> Vocabulary:
         order = np.lexsort((np.arange(len(counts)), -counts))
-        inputs = OWN_INPUTS + np.arange(len(counts)) % SHARED_INPUTS
-        inputs[order[:OWN_INPUTS]] = np.arange(OWN_INPUTS)
+        inputs = np.empty(len(counts), np.int64)
+        inputs[order] = np.arange(len(counts))
         weight = counts + 1.0
-        classes = np.empty(len(counts), np.int64)
         single = CLASSES - TAILS
-        classes[order[:single]] = np.arange(single)
-        tail = order[single:]
-        mass = np.cumsum(weight[tail])
-        classes[tail] = single + np.minimum(TAILS - 1, (mass - weight[tail]) * TAILS // mass[-1])
+        sizes = np.round(LEAST_MEMBERS * GROWTH ** np.arange(TAILS - 1)).astype(np.int64)
+        first = np.concatenate([np.arange(single + 1), single + np.cumsum(sizes), [len(counts)]])
+        classes = (np.searchsorted(first, np.arange(len(counts)), "right") - 1)[inputs]
         total = np.bincount(classes, weight, CLASSES)
         share = np.log10(weight / total[classes])
-        return cls(inputs.astype(np.int32), classes.astype(np.int32), share, np.log(np.maximum(total, 1.0) / weight.sum()))
+        start = (share * np.log(10))[order].astype(np.float32)
+        return cls(inputs.astype(np.int32), classes.astype(np.int32), share, np.log(np.maximum(total, 1.0) / weight.sum()), first, start)
 
 
 def start_weights(vocabulary: Vocabulary, seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     normal = lambda *n: (rng.standard_normal(n) * 0.3 / np.sqrt(n[-1])).astype(np.float32)
-    weights = {"e": normal(OWN_INPUTS + SHARED_INPUTS + 1, WIDTH) * 3, "p": normal(WINDOW, WIDTH)}
+    weights = {"e": normal(VOCABULARY + 1, WIDTH) * 3, "p": normal(WINDOW, WIDTH)}
     weights |= {k: normal(WIDTH, WIDTH) for k in ("q", "k", "v", "o")}
+    # Within its class a token starts with its share.
+    weights["m"] = np.zeros((VOCABULARY, WIDTH), np.float32)
     return weights | {"c": normal(WIDTH, CLASSES), "b": vocabulary.prior.astype(np.float32)}
 
 
@@ -105,6 +113,7 @@ def attend(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
     a = q @ k.transpose(0, 2, 1)
     a *= e.dtype.type(WIDTH**-0.5)
     a += _MASK
+    a -= a.max(axis=2, keepdims=True)
     np.exp(a, out=a)
     a /= a @ np.ones((WINDOW, 1), e.dtype)
     c = a @ v
@@ -132,15 +141,43 @@ def forward(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
     return logits - normalised(logits.copy())[:, None], *rest
 
 
-def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, used: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean loss over the positions in ``used``."""
+def by_class(vocabulary: Vocabulary, classes: np.ndarray, used: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Used places of each class of several members, with the first rank of the class and its end."""
+    at = np.flatnonzero(used & (classes >= CLASSES - TAILS))
+    at = at[np.argsort(classes[at], kind="stable")]
+    found, begin = np.unique(classes[at], return_index=True)
+    for c, places in zip(found.tolist(), np.split(at, begin[1:]), strict=False):
+        yield places, int(vocabulary.first[c]), int(vocabulary.first[c + 1])
+
+
+def member_logs(w: dict[str, np.ndarray], vocabulary: Vocabulary, h: np.ndarray, start: int, end: int) -> np.ndarray:
+    """log probability, given the hidden states ``h``, of each member of the class of these ranks."""
+    logits = h @ w["m"][start:end].T
+    logits += vocabulary.start[start:end]
+    logits -= logits.max(axis=1, keepdims=True)
+    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    return logits
+
+
+def _gradients(w: dict[str, np.ndarray], x, y, used, ranks=None, vocabulary: Vocabulary | None = None) -> dict[str, np.ndarray | list]:
+    """Like :func:`gradients`, with lists of (rows, values) for ``e`` and ``m``."""
     logits, e, q, k, v, a, c, h = forward(w, x)
     flat = lambda m: m.reshape(-1, WIDTH)
+    scale = np.float32(1 / max(1, used.sum()))
     d = np.exp(logits)
     d[np.arange(len(d)), y.ravel()] -= 1
-    d *= (used.ravel() / max(1, used.sum())).astype(np.float32)[:, None]
-    g = {"c": flat(h).T @ d, "b": d.sum(axis=0)}
-    dh = (d @ w["c"].T).reshape(e.shape)
+    d *= (used.ravel() * scale).astype(np.float32)[:, None]
+    g = {"c": flat(h).T @ d, "b": d.sum(axis=0), "m": []}
+    dh = d @ w["c"].T
+    if ranks is not None:
+        ranks, hidden = ranks.ravel(), flat(h)
+        for at, start, end in by_class(vocabulary, y.ravel(), used.ravel().astype(bool)):
+            dm = np.exp(member_logs(w, vocabulary, hidden[at], start, end))
+            dm[np.arange(len(at)), ranks[at] - start] -= 1
+            dm *= scale
+            g["m"].append((slice(start, end), dm.T @ hidden[at]))
+            dh[at] += dm @ w["m"][start:end]
+    dh = dh.reshape(e.shape)
     dc = (flat(dh) @ w["o"].T).reshape(e.shape)
     g["o"] = flat(c).T @ flat(dh)
     da = dc @ v.transpose(0, 2, 1)
@@ -153,26 +190,40 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, used: np.n
         de += (flat(part) @ w[name].T).reshape(e.shape)
     g["p"] = de.sum(axis=0)
     one = flat(de)
-    g["e"] = np.stack([np.bincount(x.ravel(), one[:, j], len(w["e"])) for j in range(WIDTH)], axis=1).astype(np.float32)
+    rows, at = np.unique(x.ravel(), return_inverse=True)
+    at = at.ravel()
+    g["e"] = [(rows, np.stack([np.bincount(at, one[:, j], len(rows)) for j in range(WIDTH)], axis=1).astype(np.float32))]
+    return g
+
+
+def gradients(w: dict[str, np.ndarray], x, y, used, ranks=None, vocabulary: Vocabulary | None = None) -> dict[str, np.ndarray]:
+    """Gradients of the mean loss over the positions in ``used``; without ``ranks`` the loss of the classes ``y`` only."""
+    g = _gradients(w, x, y, used, ranks, vocabulary)
+    for name in ("e", "m"):
+        parts, g[name] = g[name], np.zeros_like(w[name])
+        for rows, values in parts:
+            g[name][rows] = values
     return g
 
 
-def _adam(w: dict[str, np.ndarray], batches: Iterator[tuple], rate: float) -> int:
-    """Trains ``w`` in place; returns how many windows it has seen."""
+def _adam(w: dict[str, np.ndarray], vocabulary: Vocabulary, batches: Iterator[tuple], rate: float) -> int:
+    """Trains ``w`` in place; returns how many windows it has seen. Vectors of tokens move in steps that concern them."""
     m = {k: np.zeros_like(v) for k, v in w.items()}
     s = {k: np.zeros_like(v) for k, v in w.items()}
     seen = 0
-    for step, (x, y, used) in enumerate(batches, 1):
+    for step, (x, y, used, ranks) in enumerate(batches, 1):
         seen += len(x)
-        for k, g in gradients(w, x, y, used).items():
-            m[k] += 0.1 * (g - m[k])
-            s[k] += 0.02 * (g * g - s[k])
-            scale = np.float32(rate / (1 - 0.9**step))
-            w[k] -= (scale * m[k] / (np.sqrt(s[k] / (1 - 0.98**step)) + 1e-8)).astype(np.float32)
+        scale = np.float32(rate / (1 - 0.9**step))
+        for k, g in _gradients(w, x, y, used, ranks, vocabulary).items():
+            for rows, part in g if isinstance(g, list) else [(slice(None), g)]:
+                mean, square = m[k][rows], s[k][rows]
+                m[k][rows] = mean = mean + np.float32(0.1) * (part - mean)
+                s[k][rows] = square = square + np.float32(0.02) * (part * part - square)
+                w[k][rows] -= (scale * mean / (np.sqrt(square / (1 - 0.98**step)) + 1e-8)).astype(np.float32)
     return seen
 
 
-_FIRST = OWN_INPUTS + SHARED_INPUTS  # input before the first token
+_FIRST = VOCABULARY  # input before the first token
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,13 +256,17 @@ def score_tokens(w: dict[str, np.ndarray], vocabulary: Vocabulary, tokens: np.nd
     total = np.zeros(len(lengths))
     placed = windows(lengths)
     n = len(placed[0])
-    for at in range(0, n, 192):
-        part = slice(at, at + 192)
+    for at in range(0, n, 48):
+        part = slice(at, at + 48)
         x, y, used, owner = gathered(vocabulary, tokens, lengths, placed, part)
-        logits = attend(w, x)[0]
-        own = logits.ravel()[np.arange(0, logits.size, CLASSES) + vocabulary.classes[y].ravel()]
-        own = (own - normalised(logits)).reshape(y.shape) * np.log10(np.e)
-        own = np.where(used, own + vocabulary.share[y], 0.0).sum(axis=1)
+        logits, *_, h = attend(w, x)
+        classes = vocabulary.classes[y].ravel()
+        own = logits.ravel()[np.arange(0, logits.size, CLASSES) + classes]
+        own = own - normalised(logits)
+        ranks, hidden = vocabulary.inputs[y].ravel(), h.reshape(-1, WIDTH)
+        for places, start, end in by_class(vocabulary, classes, used.ravel()):
+            own[places] += member_logs(w, vocabulary, hidden[places], start, end)[np.arange(len(places)), ranks[places] - start]
+        own = np.where(used, own.reshape(y.shape), 0.0).sum(axis=1) * np.log10(np.e)
         total += np.bincount(owner, own, len(lengths))
     return total
 
@@ -292,12 +347,14 @@ def _training(ranks: dict[bytes, int], vocabulary: Vocabulary, every: int, weigh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {k: v.copy() for k, v in weights.items()}
-        steps = ((x, vocabulary.classes[y], used) for x, y, used in _steps(ranks, vocabulary, every, batches))
-        seen = _adam(own, steps, rate)
+        steps = _steps(ranks, vocabulary, every, batches)
+        seen = _adam(own, vocabulary, ((x, vocabulary.classes[y], used, vocabulary.inputs[y]) for x, y, used in steps), rate)
         if seen:
-            flat, out = _flat(own), Batches(schema)
+            flat, before, out = _flat(own), _flat(weights), Batches(schema)
             for k, at in enumerate(range(0, len(flat), _CHUNK)):
-                yield from out.add((k, seen, flat[at : at + _CHUNK].tobytes()))
+                part = flat[at : at + _CHUNK]
+                if (part != before[at : at + _CHUNK]).any():
+                    yield from out.add((k, seen, part.tobytes()), 4 * _CHUNK)
             yield from out.end()
 
     return run
@@ -320,16 +377,18 @@ def train(
     """Weights after rounds of parallel training.
 
     In each round every task trains from the same weights on its part of the round's documents, which it encodes
-    itself; the weights, cut into chunks, are then averaged by the number of windows. Only the average reaches the driver.
+    itself; the weights, cut into chunks, are then averaged by the number of windows over the tasks that changed them.
+    Only the average reaches the driver.
     """
     weights = start_weights(vocabulary)
     for turn in range(rounds):
         training = _training(ranks, vocabulary, every, weights, rate / (1 + turn))
         trained = of_round(source, turn, rounds).mapInArrow(training, "chunk int, seen bigint, values binary")
         mean = trained.groupBy("chunk").applyInPandas(_averaged, "chunk int, values binary").collect()
-        if mean:
-            flat = np.concatenate([np.frombuffer(r["values"], np.float32) for r in sorted(mean, key=lambda r: r.chunk)])
-            weights = _shaped(weights, flat)
+        flat = _flat(weights)
+        for r in mean:
+            flat[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r["values"], np.float32)
+        weights = _shaped(weights, flat)
     return weights
 
 
@@ -389,7 +448,7 @@ def scores(
     Counts of all words of all training documents give the base score: words that make up at least one in
     ``frequent`` tokens, of which there are at most ``frequent``, are looked up in the task, all others
     are joined to the whole table of counts. The model reads the subwords of the lower-cased words and predicts
-    the next one's class; a token's probability is its class's times its share of the class in the training counts.
+    the next one: its class, and which member of the class it is, both from the hidden state.
     It is trained on every ``every``-th window of each training document, by default on all. Null texts are empty and
     score their end only; null ids count as an empty id; repeated rows are scored repeatedly; without training
     documents all counts are 0.

@@ -141,3 +141,51 @@ def test_every_token_of_training_documents_is_learned_from_once(spark):
         if not lm.held_out(doc):
             np.add.at(expected, subwords.text(lm.words_of((text or "").encode())), 1)
     assert expected.sum() > 10_000 and (learned == expected).all()
+
+
+def test_context_tells_members_of_a_class_apart():
+    """Two rare tokens of one class, each after its own token: their odds depend on the context, and gradients agree."""
+    v = vocabulary()
+    start, end = int(v.first[lm.CLASSES - 1]), int(v.first[lm.CLASSES])
+    ids = np.argsort(v.inputs)
+    a, b = int(ids[start + 5]), int(ids[end - 1])
+    assert v.classes[a] == v.classes[b] and len(set(v.inputs.tolist())) == lm.VOCABULARY
+    w = lm.start_weights(v)
+    tokens = np.asarray([ids[3], a, ids[9], b] * 40)
+    lengths = np.asarray([len(tokens)])
+    x, y, used, _ = lm.gathered(v, tokens, lengths, lm.windows(lengths))
+    batch = (x, v.classes[y], used, v.inputs[y])
+    lm._adam(w, v, iter([batch] * 60), 0.02)
+    right = lm.score_tokens(w, v, np.asarray([ids[3], a, ids[9], b]), np.asarray([4]))[0]
+    wrong = lm.score_tokens(w, v, np.asarray([ids[3], b, ids[9], a]), np.asarray([4]))[0]
+    assert right > wrong + 1
+
+    w = {k: z.astype(np.float64) for k, z in w.items()}
+    g = lm.gradients(w, *batch, v)
+
+    def loss():
+        logits, *_, h = lm.forward(w, x)
+        own = logits[np.arange(len(logits)), v.classes[y].ravel()]
+        hidden = h.reshape(-1, lm.WIDTH)
+        for at, first, last in lm.by_class(v, v.classes[y].ravel(), used.ravel()):
+            own[at] += lm.member_logs(w, v, hidden[at], first, last)[np.arange(len(at)), v.inputs[y].ravel()[at] - first]
+        return -own[used.ravel()].sum() / used.sum()
+
+    for name, at in (("m", (v.inputs[a], 2)), ("m", (start, 3)), ("e", (3, 1)), ("v", (2, 2)), ("o", (1, 4))):
+        w[name][at] += 1e-4
+        up = loss()
+        w[name][at] -= 2e-4
+        down = loss()
+        w[name][at] += 1e-4
+        assert g[name][at] == pytest.approx((up - down) / 2e-4, rel=2e-2, abs=2e-5)
+
+
+def test_every_token_has_its_own_probability():
+    v = vocabulary()
+    w = lm.start_weights(v)
+    w["m"] = np.random.default_rng(4).normal(size=w["m"].shape).astype(np.float32)
+    each = [lm.score_tokens(w, v, np.asarray([t]), np.asarray([1]))[0] for t in range(0, lm.VOCABULARY, 997)]
+    logits, *_, h = lm.forward(w, np.full((1, lm.WINDOW), lm._FIRST))
+    full = np.concatenate([logits[0, c] + lm.member_logs(w, v, h[0, :1], v.first[c], v.first[c + 1])[0] for c in range(lm.CLASSES)])
+    assert np.isclose(np.exp(full.astype(float)).sum(), 1, atol=1e-4)
+    assert np.allclose(each, full[v.inputs[::997]] / math.log(10), atol=1e-3)
