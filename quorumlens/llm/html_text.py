@@ -18,7 +18,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[a-zA-Z/][^<]*\Z",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、—–()\"“”«»]")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -93,13 +93,19 @@ def _furniture(name: str, attributes: str, up: _Element | None) -> bool:
         return True
     if name in ("html", "body", "main", "article") or not attributes:
         return False
+    # Words name furniture on boxes, not on a heading or paragraph; ids in an article name its sections.
+    named = name not in _HEADING and name != "p"
+    inside = False
+    while named and up is not None and not inside:
+        inside, up = up.name in ("article", "main"), up.up
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id", "role") and _FURNITURE.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", value)):
+        if named and (key in ("class", "role") or key == "id" and not inside):
+            if _FURNITURE.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", value)):
+                return True
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes.lower()))
+    return False
 
 
 def _label(name: str, attributes: str) -> str:

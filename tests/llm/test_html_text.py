@@ -56,3 +56,25 @@ def test_rows(spark):
     text = PAGES["article"][1]
     assert found == sorted([(1, "u", "", 0), (None, None, "x", 1), (2, "v", text, len(text)), (2, "v", text, len(text))], key=str)
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        f'<p title="the hidden cost">{BODY}</p>',
+        f"<p data-x='a hidden=b'>{BODY}</p>",
+        f"<h1 class=article-header>{BODY}</h1>",
+        f"<h2 id=search>{BODY}</h2>",
+        f"<p class=notice>{BODY}</p>",
+        f"<section id=related-work><p>{BODY}</p></section>",
+    ],
+)
+def test_parts_of_an_article_stay(part):
+    assert html_text.main_text(f"<body><article>{part}<p>{MORE}</p></article></body>") == f"{BODY.strip()}\n\n{MORE.strip()}"
+
+
+@pytest.mark.parametrize("start", ["<p hidden>", "<p HIDDEN=''>", "<p id=x hidden />", "<p aria-hidden='true'>", "<p style='display: none'>", "<div class=related>"])
+def test_hidden_parts_and_boxes_go(start):
+    name = start[1:].split()[0].split(">")[0]
+    end = "" if start.endswith("/>") else f"{BODY}</{name}>"
+    assert html_text.main_text(f"<body><article>{start}{end}<p>{MORE}</p></article><div id=related><p>{BODY}</p></div></body>") == MORE.strip()
