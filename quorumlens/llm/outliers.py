@@ -267,7 +267,9 @@ def judged(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     """Statistics and verdict of each row: ``docs`` without its text, with n_words ... base_failed, distance, kept.
 
     ``docs`` has text, lang, source and any other columns. A row fails the base rules, or its statistic vector
-    lies beyond the cutoff of its language and source. Estimates use the rows that pass the base rules. A null
+    lies beyond the cutoff of its language and source. Estimates use the rows that pass the base rules. A language
+    and source with fewer than ``LEAST_ROWS`` such rows is not estimated by itself: those of a language are pooled,
+    and over all languages where the pool is still too small. C-steps are ``steps``, whether or not they have settled. A null
     text has no words, null languages and sources are groups of their own, repeated rows count as often as they
     occur, an empty table gives no rows. Columns with the names of results are replaced.
     """
