@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlens.llm import attention_lm, credentials, html_text, line_chunks, minhash, mixing, outliers, tiling, token_shards, warc
+from quorumlens.llm import attention_lm, credentials, html_text, line_chunks, minhash, mixing, outliers, resampling, tiling, token_shards, warc
 from quorumlens.llm.common import n_words
 from quorumlens.session import scratch_path, written
 
@@ -118,3 +118,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @register("op4_attention_lm")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return attention_lm.scores(table(spark, folder, "documents"))
+
+
+@register("op12_target_resampling")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
