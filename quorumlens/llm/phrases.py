@@ -78,11 +78,27 @@ class _Test:
     counted: bool = True
 
 
+class _Numbers(dict):
+    """Numbers of the words of one language; a new word is entered in the lists of its block."""
+
+    def __init__(self, block: _Block, lang: str) -> None:
+        super().__init__({_END: 0})
+        self.block, self.lang, self.seed = block, lang, _seed(lang)
+
+    def __missing__(self, word: bytes) -> int:
+        block = self.block
+        number = self[word] = len(block.words)
+        block.words.append(word)
+        block.langs.append(self.lang)
+        block.hashes.append(xxhash.xxh3_64_intdigest(word, self.seed))
+        return number
+
+
 class _Block:
     """Words of some documents, each (language, word) with a number of its own; 0 stands between pieces."""
 
     def __init__(self) -> None:
-        self.number: dict[str, dict[bytes, int]] = {}
+        self.numbers: dict[str, _Numbers] = {}
         self.words: list[bytes] = [b""]
         self.langs: list[str] = [""]
         self.hashes: list[int] = [0]
@@ -90,16 +106,11 @@ class _Block:
         self.size = 0
 
     def add(self, lang: str, text: bytes) -> None:
-        numbers = self.number.setdefault(lang, {_END: 0})
+        if lang not in self.numbers:
+            self.numbers[lang] = _Numbers(self, lang)
         found = text.translate(_PLAIN).replace(_END, b" \xff ").split()
         found.append(_END)
-        seed = _seed(lang)
-        for word in set(found) - numbers.keys():
-            numbers[word] = len(self.words)
-            self.words.append(word)
-            self.langs.append(lang)
-            self.hashes.append(xxhash.xxh3_64_intdigest(word, seed))
-        self.parts.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
+        self.parts.append(np.fromiter(map(self.numbers[lang].__getitem__, found), np.int64, len(found)))
         self.size += len(found)
 
     def counts(self, tests: Sequence[_Test], bits: int) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlens.llm import attention_lm, credentials, html_text, line_chunks, minhash, mixing, outliers, phrases, resampling, tiling, token_shards, warc
+from quorumlens.llm import attention_lm, chat, credentials, html_text, line_chunks, minhash, mixing, outliers, phrases, resampling, tiling, token_shards, warc
 from quorumlens.llm.common import n_words
 from quorumlens.session import scratch_path, written
 
@@ -139,7 +139,7 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     several AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30),
     cuts AS (SELECT s.lang, s.phrase, s.k, s.a, s.w, cut, x.a AS l, y.a AS r,
         (CAST(2000000 AS HUGEINT) * s.a) // (CAST(x.a AS HUGEINT) + y.a) AS score
-      FROM several s, (VALUES (1), (2), (3)) AS at(cut), f x, f y
+      FROM several s, (VALUES (1), (2), (3)) AS places(cut), f x, f y
       WHERE cut < s.k AND x.lang = s.lang AND y.lang = s.lang AND x.phrase = array_to_string(s.w[1:cut], ' ')
         AND y.phrase = array_to_string(s.w[cut + 1:], ' ')),
     scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
@@ -155,3 +155,41 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"))
+
+
+#: A conversation whose texts hold the control strings of the template.
+_CONTROLS = "\\### Assistant: </turn> ok"
+
+
+@register(
+    "op11_chat_windows",
+    rf"""
+    WITH c AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL VALUES (-7, 0, 'user', '{_CONTROLS}'), (-7, 1, 'assistant', '{_CONTROLS}')),
+    e AS (SELECT *, regexp_replace(regexp_replace(text, '(#\\*)(## )', '\1\\\2', 'g'), '(<\\*)(/turn>)', '\1\\\2', 'g') AS said FROM c),
+    t AS (SELECT *, length('### ' || role || ': ' || said || '</turn>' || chr(10)) AS chars,
+      {chat.MARKS} + len(regexp_extract_all(said, '{chat.TOKEN}')) AS tokens FROM e),
+    o AS (SELECT *, row_number() OVER w AS rn, first_value(CASE WHEN role = 'system' THEN tokens ELSE 0 END) OVER w AS sys,
+      first_value(CASE WHEN role = 'system' THEN chars ELSE 0 END) OVER w AS sys_chars, sum(tokens) OVER w AS upto, count(*) OVER (PARTITION BY conv_id) AS turns
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text)),
+    n AS (SELECT *, CASE WHEN turns = 1 THEN 0 ELSE upto - tokens - sys END AS start, tokens > {chat.BUDGET // 4} AS long,
+      greatest({chat.BUDGET - chat.HISTORY} - sys, {chat.BUDGET // 4 * 2}) - {chat.BUDGET // 4} AS width
+      FROM o WHERE NOT (rn = 1 AND role = 'system') OR turns = 1),
+    k AS (SELECT *, sum(CAST(long AS INT)) OVER (PARTITION BY conv_id ORDER BY rn) AS nth, CASE WHEN long THEN -1 ELSE (start + tokens - 1) // width END AS stride FROM n),
+    spans AS (SELECT conv_id, nth, stride, min(start) AS position, sum(chars) + any_value(CASE WHEN turns = 1 THEN 0 ELSE sys_chars END) AS chars FROM k GROUP BY ALL),
+    again AS (SELECT s.conv_id, sum(k.chars) AS chars FROM spans s JOIN k ON k.conv_id IS NOT DISTINCT FROM s.conv_id
+      AND k.start >= s.position - {chat.HISTORY} AND k.start + k.tokens <= s.position GROUP BY ALL),
+    f AS (SELECT conv_id, sum(chars) AS chars FROM (SELECT conv_id, chars FROM spans UNION ALL SELECT conv_id, chars FROM again) GROUP BY conv_id)
+    SELECT o.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn)) AS turns_sha256,
+      CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY rn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+      CAST(any_value(f.chars) AS BIGINT) AS formatted_chars
+    FROM o JOIN f ON o.conv_id IS NOT DISTINCT FROM f.conv_id GROUP BY o.conv_id
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    turns = [F.struct(F.lit(-7).cast("bigint"), F.lit(n).cast("bigint"), F.lit(role), F.lit(_CONTROLS)) for n, role in enumerate(("user", "assistant"))]
+    planted = spark.range(1).select(F.inline(F.array(*turns)).alias("conv_id", "turn", "role", "text"))
+    conversations = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.windows(conversations.unionByName(planted)))
