@@ -129,23 +129,23 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     "op13_phrase_mining",
     r"""
     WITH pieces AS (
-      SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), w -> w <> '') AS w FROM (
+      SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM (
         SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
-    runs AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), i -> array_to_string(w[i : i + k - 1], ' '))) AS phrase
+    runs AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase
       FROM pieces, (VALUES (1), (2), (3), (4)) AS widths(k) WHERE len(w) >= k),
     f AS (SELECT lang, k, phrase, count(*) AS a FROM runs GROUP BY ALL),
     totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
-    several AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30),
-    cuts AS (SELECT s.lang, s.phrase, s.k, s.a, s.w, cut, x.a AS l, y.a AS r,
-        (CAST(2000000 AS HUGEINT) * s.a) // (CAST(x.a AS HUGEINT) + y.a) AS score
-      FROM several s, (VALUES (1), (2), (3)) AS places(cut), f x, f y
-      WHERE cut < s.k AND x.lang = s.lang AND y.lang = s.lang AND x.phrase = array_to_string(s.w[1:cut], ' ')
-        AND y.phrase = array_to_string(s.w[cut + 1:], ' ')),
+    often AS MATERIALIZED (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w, lang || chr(10) || phrase AS key FROM f WHERE a >= 30),
+    several AS (SELECT * FROM often WHERE k > 1),
+    parts AS MATERIALIZED (SELECT lang, phrase, k, a, cut, lang || chr(10) || array_to_string(w[1:cut], ' ') AS first,
+      lang || chr(10) || array_to_string(w[cut + 1:], ' ') AS rest FROM several, (VALUES (1), (2), (3)) AS places(cut) WHERE cut < k),
+    lefts AS MATERIALIZED (SELECT p.*, x.a AS l FROM parts p JOIN often x ON x.key = p.first),
+    cuts AS (SELECT p.*, x.a AS r, (CAST(2000000 AS HUGEINT) * p.a) // (CAST(p.l AS HUGEINT) + x.a) AS score FROM lefts p JOIN often x ON x.key = p.rest),
     scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
     inside AS (SELECT lang, a, unnest(list_concat(
         CASE WHEN k = 4 THEN [array_to_string(w[1:3], ' '), array_to_string(w[2:4], ' ')] ELSE [] END,
-        list_transform(range(1, k), i -> array_to_string(w[i : i + 1], ' ')))) AS phrase FROM several WHERE k > 2),
+        list_transform(range(1, k), lambda i: array_to_string(w[i : i + 1], ' ')))) AS phrase FROM several WHERE k > 2),
     around AS (SELECT lang, phrase, max(a) AS longer FROM inside GROUP BY ALL),
     kept AS (SELECT s.* FROM scored s LEFT JOIN around USING (lang, phrase)
       WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * s.a)
