@@ -2,12 +2,12 @@
 
 A sample of the documents proposes frequent phrases. One pass over all documents then counts, exactly, every
 phrase whose two maximal parts the sample holds for frequent: the proposed ones and their negative border. Where
-a phrase of the border turns out frequent, phrases that contain it may have been missed, and a further pass counts
-those; passes follow until no border phrase is left. The result does not depend on the sample.
+a phrase of the border turns out frequent, phrases that contain it may have been missed; an expansion pass counts
+all of these, at every length, so that nothing stays open. The result does not depend on the sample.
 
 Which parts are held for frequent, tasks look up in a bitmap of fixed size. A wrong hit there makes them count a
-phrase too many, which the exact count then removes. Building the result runs jobs: one for words, two over the
-sample, one full pass, and at most two more.
+phrase too many, which the exact count then removes. Building the result runs jobs: one pass for words, two over
+the sample, one full pass, and one expansion pass if the border fails.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ LOWERED = 0.4
 BITS = 1 << 26
 
 #: Words of a task's texts that are counted together before they leave the task.
-_BLOCK = 1_500_000
+_BLOCK = 400_000
 #: A byte that no UTF-8 text holds stands between pieces.
 _END = b"\xff"
 
@@ -70,11 +70,14 @@ def _held(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
 
 @dataclass
 class _Test:
-    """Which phrases of ``width`` words to count: both maximal parts ``known``, one of them ``new`` if that is given."""
+    """Which phrases of ``width`` words to count: with both maximal parts ``known`` (or followed so far, if None).
+
+    With ``missed``, only those that hold a phrase that some ``missed`` of this or a smaller width has.
+    """
 
     width: int
     known: Broadcast | None = None
-    new: Broadcast | None = None
+    missed: Broadcast | None = None
     counted: bool = True
 
 
@@ -121,20 +124,28 @@ class _Block:
             n[0] = 0
             yield from self._rows(np.flatnonzero(n)[None, :], n[n > 0])
             return
-        # The number of the phrase of one word less that starts at a place, -1 where none does that matters.
-        label = np.where(words > 0, words, -1)
+        # The number of the phrase of one word less that starts at a place, -1 where none does that matters,
+        # and whether that phrase holds a missed one.
+        label, holds = np.where(words > 0, words, -1), np.zeros(len(words), bool)
         for test in tests:
             width = test.width
             place = np.flatnonzero((label[:-1] >= 0) & (label[1:] >= 0))
             key = label[place] << 32 | words[place + width - 1]
             _, first, inverse, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            phrase = np.stack([words[place[first] + k] for k in range(width)])
+            start = place[first]
+            phrase = np.stack([words[start + k] for k in range(width)])
             parts = _joined(hashes, phrase[:-1]), _joined(hashes, phrase[1:])
-            known = _held(test.known.value, parts[0], bits) & _held(test.known.value, parts[1], bits)
+            known = np.ones(len(n), bool)
+            if test.known is not None:
+                known = _held(test.known.value, parts[0], bits) & _held(test.known.value, parts[1], bits)
             label = np.full(len(label) - 1, -1, np.int64)
             label[place] = np.where(known, np.arange(len(n)), -1)[inverse]
-            if test.new is not None:
-                known &= _held(test.new.value, parts[0], bits) | _held(test.new.value, parts[1], bits)
+            if test.missed is not None:
+                anew = _held(test.missed.value, parts[0], bits) | _held(test.missed.value, parts[1], bits)
+                anew |= holds[start] | holds[start + 1]
+                holds = np.zeros(len(label), bool)
+                holds[place] = anew[inverse]
+                known &= anew
             if test.counted:
                 yield from self._rows(phrase[:, known], n[known])
 
@@ -234,29 +245,31 @@ def frequent(
 
     # The full pass counts what the sample proposed and the negative border.
     found = written(_counted(texts, [_Test(w, held[w - 1]) for w in range(2, longest + 1)], bits, least), "phrase-counts")
-    grown = None
+    inner = found.where(F.col("n_words") < longest)
+    missed = written(inner.mapInArrow(_missing(held, bits), _KINDS), "phrases-missed")
+    if missed.isEmpty():
+        return single.unionByName(found), totals
+    # A phrase that was not counted holds a frequent phrase of the border, whose own parts the sample had: the
+    # expansion follows all frequent pairs and counts every longer phrase around a missed one, so it closes.
+    pairs = _bitmap(found.where("n_words = 2"), bits)
+    tests = [_Test(2, held[1], counted=False)]
     for width in range(3, longest + 1):
-        shorter = found.where(F.col("n_words") == width - 1)
-        # Frequent border phrases, and what the last expansion found, may open longer phrases.
-        missed = shorter.mapInArrow(_missing(held[width - 1], bits), _KINDS)
-        missed = missed if grown is None else missed.unionByName(grown).dropDuplicates(["lang", "phrase"])
-        if missed.isEmpty():
-            grown = None
-            continue
-        held[width - 1] = _bitmap(shorter, bits)
-        tests = [_Test(w, held[w - 1], counted=False) for w in range(2, width)]
-        tests.append(_Test(width, held[width - 1], _bitmap(missed, bits)))
-        grown = written(_counted(texts, tests, bits, least), "phrase-expansion")
-        found = found.unionByName(grown).dropDuplicates(["lang", "phrase"])
-    return single.unionByName(found), totals
-
-
-def _missing(bitmap: Broadcast, bits: int) -> Callable:
-    """Rows whose phrase is not in the bitmap."""
+        border = _bitmap(missed.where(F.col("n_words") == width - 1), bits)
+        tests.append(_Test(width, pairs if width == 3 else None, border))
+    grown = written(_counted(texts, tests, bits, least), "phrase-expansion")
+    return single.unionByName(found.unionByName(grown).dropDuplicates(["lang", "phrase"])), totals
+
+
+def _missing(held: dict[int, Broadcast], bits: int) -> Callable:
+    """Rows whose phrase is not in the bitmap of its width."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(~_held(bitmap.value, _hashes(batch), bits)))
+            hashes, width = _hashes(batch), batch.column("n_words").to_numpy()
+            outside = np.zeros(batch.num_rows, bool)
+            for w, bitmap in held.items():
+                outside |= (width == w) & ~_held(bitmap.value, hashes, bits)
+            yield batch.filter(pa.array(outside))
 
     return run
 
