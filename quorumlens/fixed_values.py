@@ -140,3 +140,35 @@ REFUSAL_WORDS = ["cannot", "not allowed", "privacy", "refuse", "sorry"]
 # --- columns whose values may be listed ---------------------------------------------------------
 
 DISCOVERABLE_COLUMNS = ["event_type", "event_name", "channel", "product_type", "currency"]
+
+# --- labels of the text chunks for retrieval ---------------------------------------------------
+
+CHUNK_LABELS = {
+    "product": "Product Term: ",
+    "business": "Business Term: ",
+    "definition": "Definition: ",
+    "metric": "Metric: ",
+    "category": "Category: ",
+    "pattern": "SQL Pattern: ",
+    "description": "Description: ",
+    "example": "Example SQL: ",
+    "rule": "Business Rule: ",
+    "question": "Question Pattern: ",
+    "filters": "Key Filters: ",
+    "aggregation": "Aggregation: ",
+    "table": "Table: ",
+    "guidelines": "Query Guidelines for ",
+    "grain": ":\n- Default time grain: ",
+    "privacy": "\n- Privacy: k-anonymity minimum ",
+    "identifiers": " accounts\n- No identifiers in output: ",
+    "row_limit": "\n- Result row limit: ",
+    "column": "Column: ",
+    "type": "Type: ",
+    "categorical": "Categorical: Yes",
+    "allowed": "Possible values: ",
+    "enum_value": "Enum Value: ",
+    "meaning": "'\nMeaning: ",
+    "enum": "Enum: ",
+    "values": "Values: ",
+    "note": "Schema Note: ",
+}

@@ -155,7 +155,7 @@ def refusal(upper: Column, strict: bool = False) -> Column:
         F.lit("Query must start with SELECT or WITH. Got: "), F.left(upper, F.lit(20)), F.lit("...")
     )
     rules.append((~starts, got))
-    for (pattern, description), needed in zip(fixed.SQL_DANGEROUS, _NEEDED):
+    for (pattern, description), needed in zip(fixed.SQL_DANGEROUS, _NEEDED, strict=True):
         text = f"Potentially dangerous SQL pattern detected: {description}"
         rules.append((_has(upper, pattern, needed), F.lit(text)))
     return _first_match(rules, F.lit(None).cast("string"))

@@ -28,6 +28,8 @@ class GovernancePolicy:
     #: Columns that tell single rows apart; they may be aggregated, not listed.
     row_level: tuple[str, ...] = ("event_id", "event_ts", "event_amount", "balance_after")
     require_aggregation: bool = True
+    #: Column of the persons or accounts that a group of guarded SQL must have ``k`` of; None leaves groups as they are.
+    entity: str | None = "account_id"
 
     def forbidden_in(self, columns: Iterable[str]) -> list[str]:
         """Columns of a result that are identifiers, compared without case."""
@@ -42,18 +44,23 @@ class GovernancePolicy:
         return df
 
     def check_origins(self, df: DataFrame) -> DataFrame:
-        """Refuse a result whose values come from identifiers, under any name; no job is started.
+        """Refuse a result whose values or conditions give away identifiers or single rows; no job is started.
 
-        An identifier may only be counted. A row-level column may be aggregated, or cut to a period.
+        An identifier may be counted and joined with the like column of another table, under any name; no
+        condition may compare it with anything else. A row-level column may be summed up or cut to a period
+        of a day or more; the smallest, the largest, a list or a histogram of it show single rows.
         """
         blocked = {name.lower() for name in self.forbidden}
         listed = {name.lower() for name in self.row_level}
-        for column, found in lineage.origins(df).items():
-            for name, aggregated in sorted(found):
+        shown, compared = lineage.trace(df)
+        for column, found in shown.items():
+            for name, how in sorted(found):
                 if name in blocked:
                     raise PolicyViolation(f"PRIVACY VIOLATION: {column} shows values of {name}")
-                if self.require_aggregation and name in listed and not aggregated:
+                if self.require_aggregation and name in listed and how in (lineage.PLAIN, lineage.EXTREME):
                     raise PolicyViolation(f"row-level results are not allowed; {column} lists {name}")
+        for name in sorted(compared & blocked):
+            raise PolicyViolation(f"PRIVACY VIOLATION: a condition picks rows by {name}")
         return df
 
     def check_aggregated(self, df: DataFrame) -> DataFrame:

@@ -6,11 +6,13 @@ document (glossary, metrics, SQL patterns, business rules, question templates).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorumlens import fixed_values as fixed
 
 _SCHEMA_DOCUMENT = """
   table_name string, `table` string, source string, description string,
@@ -35,13 +37,39 @@ _KNOWLEDGE_DOCUMENT = """
 """
 
 
-def read_schema_document(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document; both known layouts are read."""
-    return spark.read.schema(_SCHEMA_DOCUMENT).json(path, multiLine=True)
+def read_schema_document(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per document, which is a file or, with ``lines``, a line; both known layouts are read."""
+    return spark.read.schema(_SCHEMA_DOCUMENT).json(path, multiLine=not lines)
 
 
-def read_knowledge_document(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_KNOWLEDGE_DOCUMENT).json(path, multiLine=True)
+def read_knowledge_document(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per document, which is a file or, with ``lines``, a line."""
+    return spark.read.schema(_KNOWLEDGE_DOCUMENT).json(path, multiLine=not lines)
+
+
+def sections(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """section and value (VARIANT) of each top-level entry of each document, known to a reader or not."""
+    reader = spark.read.format("json").option("singleVariantColumn", "document").option("multiLine", not lines)
+    exploded = spark.tvf.variant_explode(F.col("document").outer())
+    return reader.load(path).lateralJoin(exploded).select(F.col("key").alias("section"), "value")
+
+
+def unknown_sections(sections: DataFrame, known: Sequence[str]) -> DataFrame:
+    """section, name and text of the entries of sections that none of the readers knows, so that nothing gets lost.
+
+    An object or a list gives one row an entry, none if it is empty; anything else one row with the section's name.
+    """
+    other = sections.filter(~F.col("section").isin(list(known))).withColumnRenamed("value", "body")
+    entries = other.lateralJoin(sections.sparkSession.tvf.variant_explode_outer(F.col("body").outer()))
+    name = F.coalesce("key", F.col("pos").cast("string"), "section")
+    plain = ~F.schema_of_variant("body").rlike("^(OBJECT|ARRAY)")
+    return entries.filter(F.col("pos").isNotNull() | plain).select("section", name.alias("name"), F.coalesce("value", "body").cast("string").alias("text"))
+
+
+def unknown_chunks(found: DataFrame) -> DataFrame:
+    """content and metadata of :func:`unknown_sections`."""
+    text = F.concat(F.col("section"), F.lit(" / "), F.col("name"), F.lit(": "), F.col("text"))
+    return _chunk(found, text, "other", section=F.col("section"), name=F.col("name"))
 
 
 # --- schema document ------------------------------------------------------------------------------
@@ -140,15 +168,48 @@ def match_questions(questions: DataFrame, knowledge: DataFrame, column: str) ->
     return keyed.join(templates, "key_", "left").drop("key_")
 
 
+def _tokens(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+)"), F.lit(1)))
+
+
+def match_templates(
+    questions: DataFrame, templates: DataFrame, question: str, pattern: str, least: float = 0.6
+) -> DataFrame:
+    """Each question with its best template: ``pattern``, n_shared and coverage, null when none covers enough.
+
+    Coverage is the share of a template's distinct words (a-z and digits, without case) that the question has; the
+    best template has the highest one, then the most words, then the first text. Templates are posted under their
+    rarest words only: one that is covered by ``least`` shares a word of its first n - ceil(least n) + 1, so frequent
+    words bring no pairs. Questions with equal text are matched once. Other columns of ``questions`` stay.
+    """
+    listed = templates.select(F.col(pattern).alias("t_")).filter(F.col("t_").isNotNull()).distinct()
+    listed = listed.withColumn("words_", _tokens(F.col("t_"))).filter(F.size("words_") > 0)
+    posted = listed.select("t_", F.explode("words_").alias("word_"))
+    often = posted.groupBy("word_").agg(F.count(F.lit(1)).alias("often_"))
+    rarest = posted.join(often, "word_").groupBy("t_").agg(F.sort_array(F.collect_list(F.struct("often_", "word_"))).alias("by_rarity_"))
+    needed = F.ceil(F.lit(least) * F.size("by_rarity_")).cast("int")
+    prefix = F.slice("by_rarity_", F.lit(1), F.size("by_rarity_") - needed + 1)
+    posts = rarest.select("t_", F.transform("by_rarity_", lambda x: x["word_"]).alias("words_"), F.explode(prefix).alias("post_"))
+    posts = posts.select("t_", "words_", F.col("post_.word_").alias("word_"))
+
+    asked = questions.select(F.col(question).alias("q_")).filter(F.col("q_").isNotNull()).distinct()
+    asked = asked.withColumn("own_", _tokens(F.col("q_")))
+    met = asked.withColumn("word_", F.explode("own_")).join(posts, "word_")
+    shared = F.size(F.array_intersect("own_", "words_"))
+    coverage = shared / F.size("words_")
+    pairs = met.select("q_", "t_", shared.alias("n_shared"), coverage.alias("coverage")).distinct()
+    order = F.struct(-F.col("coverage"), -F.col("n_shared"), F.col("t_"))
+    best = F.min_by(F.struct(F.col("t_").alias(pattern), "n_shared", "coverage"), order).alias("best_")
+    found = pairs.filter(F.col("coverage") >= least).groupBy("q_").agg(best).select("q_", "best_.*")
+    return questions.join(found, F.col(question) == F.col("q_"), "left").drop("q_")
+
+
 # --- text chunks for retrieval --------------------------------------------------------------------
 
 
-def _lines(**labelled: Column) -> Column:
-    """'Label: value' lines; the keyword's underscores become blanks."""
-    return F.concat_ws(
-        "\n",
-        *[F.concat(F.lit(f"{k.replace('_', ' ')}: "), v) for k, v in labelled.items()],
-    )
+def _lines(*parts: tuple[str, Column]) -> Column:
+    """Lines of a label and its value; a line without a value goes."""
+    return F.concat_ws("\n", *[F.concat(F.lit(label), value) for label, value in parts])
 
 
 def _chunk(df: DataFrame, text: Column, kind: str, **metadata: Column) -> DataFrame:
@@ -162,19 +223,22 @@ def knowledge_chunks(knowledge: DataFrame) -> DataFrame:
     """content and metadata of every glossary entry, metric, pattern, rule and question template."""
     c = F.col
     terms = glossary(knowledge)
-    product = _lines(Product_Term=c("term"), Definition=c("definition"))
-    business = _lines(Business_Term=c("term"), Definition=c("definition"))
+    label = fixed.CHUNK_LABELS
+    product = _lines((label["product"], c("term")), (label["definition"], c("definition")))
+    business = _lines((label["business"], c("term")), (label["definition"], c("definition")))
     metric = _lines(
-        Metric=c("name"),
-        Category=c("category"),
-        Definition=c("definition"),
-        SQL_Pattern=c("sql"),
+        (label["metric"], c("name")),
+        (label["category"], c("category")),
+        (label["definition"], c("definition")),
+        (label["pattern"], c("sql")),
+    )
+    pattern = _lines(
+        (label["pattern"], c("name")), (label["description"], c("description")), (label["example"], c("sql"))
     )
-    pattern = _lines(SQL_Pattern=c("name"), Description=c("description"), Example_SQL=c("sql"))
     question = _lines(
-        Question_Pattern=c("question_pattern"),
-        Key_Filters=F.coalesce("key_filters", F.lit("None")),
-        Aggregation=c("aggregation"),
+        (label["question"], c("question_pattern")),
+        (label["filters"], F.coalesce("key_filters", F.lit("None"))),
+        (label["aggregation"], c("aggregation")),
     )
     parts = [
         _chunk(
@@ -188,7 +252,7 @@ def knowledge_chunks(knowledge: DataFrame) -> DataFrame:
         _chunk(sql_patterns(knowledge), pattern, "sql_pattern", name=c("name")),
         _chunk(
             business_rules(knowledge),
-            _lines(Business_Rule=c("rule")),
+            _lines((label["rule"], c("rule"))),
             "business_rule",
             index=c("position"),
         ),
@@ -207,47 +271,49 @@ def column_chunks(schema: DataFrame) -> DataFrame:
 
 def schema_chunks(schema: DataFrame) -> DataFrame:
     """content and metadata of the table, its hints, columns, enum values and notes."""
-    c = F.col
+    c, label = F.col, fixed.CHUNK_LABELS
     table = F.coalesce("table_name", "table", F.lit("events"))
     guidelines = F.concat(
-        F.lit("Query Guidelines for "),
+        F.lit(label["guidelines"]),
         table,
-        F.lit(":\n- Default time grain: "),
+        F.lit(label["grain"]),
         F.coalesce("query_hints.default_time_grain", F.lit("month")),
-        F.lit("\n- Privacy: k-anonymity minimum "),
+        F.lit(label["privacy"]),
         F.coalesce("query_hints.privacy.k_anonymity_min_distinct_accounts", F.lit(10)),
-        F.lit(" accounts\n- No identifiers in output: "),
+        F.lit(label["identifiers"]),
         F.initcap(
             F.coalesce("query_hints.privacy.no_identifier_output", F.lit(True)).cast("string")
         ),
-        F.lit("\n- Result row limit: "),
+        F.lit(label["row_limit"]),
         F.coalesce("query_hints.cost_controls.result_row_limit", F.lit(200)),
     )
     listed = columns(schema)
     column_text = F.concat_ws(
         "\n",
-        _lines(Column=c("name"), Type=c("type"), Description=c("description")),
-        F.when(c("is_categorical"), "Categorical: Yes"),
-        F.concat(F.lit("Possible values: "), F.array_join("allowed_values", ", ")),
+        _lines(
+            (label["column"], c("name")), (label["type"], c("type")), (label["description"], c("description"))
+        ),
+        F.when(c("is_categorical"), label["categorical"]),
+        F.concat(F.lit(label["allowed"]), F.array_join("allowed_values", ", ")),
     )
     enum_text = F.concat(
-        F.lit("Enum Value: "),
+        F.lit(label["enum_value"]),
         c("enum"),
         F.lit(" = '"),
         c("value"),
-        F.lit("'\nMeaning: "),
+        F.lit(label["meaning"]),
         c("meaning"),
     )
     valued = enums(schema).filter(c("meaning").isNotNull())
     bare = enums(schema).filter(c("meaning").isNull()).groupBy("enum")
     bare_values = bare.agg(F.array_join(F.sort_array(F.collect_set("value")), ", ").alias("values"))
     parts = [
-        _chunk(schema, _lines(Table=table, Description=c("description")), "table_overview", table=table),
+        _chunk(schema, _lines((label["table"], table), (label["description"], c("description"))), "table_overview", table=table),
         _chunk(schema.filter(c("query_hints").isNotNull()), guidelines, "query_hints", table=table),
         _chunk(listed, column_text, "column", column_name=c("name"), column_type=c("type")),
         _chunk(valued, enum_text, "enum", enum_name=c("enum"), value=c("value")),
-        _chunk(bare_values, _lines(Enum=c("enum"), Values=c("values")), "enum", enum_name=c("enum")),
-        _chunk(notes(schema), _lines(Schema_Note=c("note")), "note", index=c("position")),
+        _chunk(bare_values, _lines((label["enum"], c("enum")), (label["values"], c("values"))), "enum", enum_name=c("enum")),
+        _chunk(notes(schema), _lines((label["note"], c("note"))), "note", index=c("position")),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -7,7 +7,9 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quorumlens import threshold
 from quorumlens.functions import textguard
 from quorumlens.operators import triage
 from quorumlens.plans.schema import EVENT_STRUCT
@@ -25,6 +27,8 @@ _STRFTIME = (
     f"RETURN date_format(t, {_PATTERN})"
 )
 
+_BROKEN = "_corrupt_record"
+
 #: A table of events answers to both names.
 VIEW_NAMES = ("events", "sample_events")
 
@@ -44,6 +48,22 @@ def read_csv(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
     return register(reader.schema(EVENT_STRUCT).csv(path))
 
 
+def read_csv_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(events, rejected) of CSV with a header: rows of the declared types, and the text of lines that are not such rows.
+
+    A line with too few or too many fields, or with a value that is not of its column's type, is rejected whole.
+    Blank lines are skipped. Only the accepted rows are registered.
+    """
+    broken = T.StructField(_BROKEN, T.StringType())
+    options = {"header": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN, "columnPruning": False}
+    reader = spark.read.options(**options)
+    rows = reader.schema(T.StructType([*EVENT_STRUCT.fields, broken])).csv(path)
+    # Always true; without it only the columns that a query uses would be read, and only their values checked.
+    whole = F.xxhash64(*EVENT_STRUCT.names) >= F.lit(-(1 << 63))
+    good = rows.filter(F.col(_BROKEN).isNull() & whole).drop(_BROKEN)
+    return register(good), rows.filter(F.col(_BROKEN).isNotNull() & whole).select(F.col(_BROKEN).alias("line"))
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return register(spark.read.parquet(path))
 
@@ -70,15 +90,17 @@ def query(
 ) -> DataFrame:
     """Run guarded SQL in Spark's dialect over the registered views; the whole result is given.
 
-    The text is checked first, then the result's columns, where their values come from, and that it shows
-    no raw rows. A quoted event file stands for the events, and ``strftime`` is known. Errors of the
+    The text is checked first, then the result's columns, where their values come from, what its conditions
+    compare, and that it shows no raw rows. Groups of fewer than ``policy.k`` entities are left out, at every
+    grouping of the text. A quoted event file stands for the events, and ``strftime`` is known. Errors of the
     analysis are raised, not turned into an empty result.
     """
     text = _QUOTED_FILE.sub(VIEW_NAMES[0], check_sql(spark, sql))
     if re.search(r"\bstrftime\s*\(", text, re.IGNORECASE):
         spark.sql(_STRFTIME)
     result = spark.sql(text)
-    return policy.check_origins(policy.check_aggregated(policy.check_columns(result)))
+    policy.check_origins(policy.check_aggregated(policy.check_columns(result)))
+    return result if policy.entity is None else threshold.with_threshold(result, policy.entity, policy.k)
 
 
 def query_pandas(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("expressions", "semantic", "profiles", "texts", "search", "log", "agents", "streams")
+_MODULES = ("expressions", "semantic", "profiles", "texts", "search", "log", "agents", "streams", "knowledge")
 
 
 def all_queries() -> tuple[dict, dict]:

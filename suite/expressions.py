@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from quorumlens.functions import terms, textguard
 from quorumlens.operators import profiling
 from quorumlens.plans.definition import Filter, TimeRange
-from quorumlens.plans.schema import EVENTS, grain
+from quorumlens.plans.schema import EVENT_STRUCT, EVENTS, grain
 from quorumlens.policy import GovernancePolicy
+from quorumlens.session import scratch_path
 from quorumlens.sources import events as event_source
 from suite import bindings as b
 from suite.registry import register
@@ -240,9 +241,11 @@ def truncate_text(spark, folder):
 
 @register(
     "json_from_text",
-    """SELECT id, CASE k % 5 WHEN 0 THEN k WHEN 1 THEN k END::BIGINT AS n,
-         CASE k % 5 WHEN 1 THEN 'DIGITAL' END AS channel, k % 5 IN (0, 1) AS parsed
-       FROM query_log""",
+    """WITH bodies AS (SELECT id, trim(CASE WHEN contains(final_response, '```json')
+             THEN regexp_extract(final_response, '(?s)```json(.*?)```', 1) ELSE final_response END) AS body FROM query_log)
+       SELECT id, CASE WHEN json_valid(body) THEN CAST(json_extract(body, '$.n') AS BIGINT) END AS n,
+         CASE WHEN json_valid(body) THEN json_extract_string(body, '$.channel') END AS channel, json_valid(body) AS parsed
+       FROM bodies""",
     "query_log",
 )
 def json_from_text(spark, folder):
@@ -479,6 +482,92 @@ def sql_passthrough_window(spark, folder):
     return event_source.query(spark, _WINDOW.format(t="events"))
 
 
+@register(
+    "sql_bounded_export",
+    """WITH days AS (SELECT event_date, COUNT(*) AS n FROM bank_orders GROUP BY event_date HAVING COUNT(DISTINCT account_id) >= 2)
+       SELECT strftime(event_date, '%Y-%m-%d') AS day, n, (SELECT COUNT(*) FROM days) AS total_rows, true AS truncated
+       FROM days ORDER BY event_date LIMIT 20""",
+    "bank_orders",
+)
+def sql_bounded_export(spark, folder):
+    """The first rows of a query as a local table, and how many there were."""
+    event_source.register(b.bank_orders(spark, folder))
+    text = "SELECT date_format(event_date, 'yyyy-MM-dd') AS day, COUNT(*) AS n FROM events GROUP BY event_date ORDER BY event_date"
+    frame = event_source.query_pandas(spark, text, GovernancePolicy(k=2, max_rows=20))
+    marks = {c: F.lit(frame.attrs[c]) for c in ("total_rows", "truncated")}
+    return spark.createDataFrame(frame).withColumns(marks)
+
+
+_SMALL = """SELECT {day} AS day, event_name, channel, COUNT(*) AS n, CAST(SUM(event_amount) AS DOUBLE) AS total
+            FROM {t} GROUP BY event_date, event_name, channel {having} ORDER BY day, event_name, channel"""
+
+
+@register(
+    "sql_threshold",
+    _SMALL.format(day="strftime(event_date, '%Y-%m-%d')", t="bank_events", having="HAVING COUNT(DISTINCT account_id) >= 5"),
+    "bank_events",
+)
+def sql_threshold(spark, folder):
+    """The text names no threshold; small groups are removed all the same."""
+    event_source.register(b.bank_events(spark, folder))
+    return event_source.query(spark, _SMALL.format(day="date_format(event_date, 'yyyy-MM-dd')", t="events", having=""))
+
+
+@register(
+    "sql_threshold_steps",
+    """WITH daily AS (SELECT event_date, channel, COUNT(*) AS n FROM bank_events WHERE event_type = 'money_movement'
+           GROUP BY event_date, channel HAVING COUNT(DISTINCT account_id) >= 40),
+         active AS (SELECT channel, account_id, COUNT(*) AS events FROM bank_events GROUP BY channel, account_id),
+         per_account AS (SELECT channel, CAST(AVG(events) AS DOUBLE) AS events FROM active
+           GROUP BY channel HAVING COUNT(DISTINCT account_id) >= 40)
+       SELECT d.channel, COUNT(*) AS days, CAST(SUM(d.n) AS BIGINT) AS n, round(MAX(p.events), 9) AS per_account
+       FROM daily d JOIN per_account p ON d.channel = p.channel GROUP BY d.channel""",
+    "bank_events",
+)
+def sql_threshold_steps(spark, folder):
+    """Groupings in steps, of which one passes by single accounts on its way."""
+    event_source.register(b.bank_events(spark, folder))
+    return event_source.query(
+        spark,
+        """WITH moved AS (SELECT event_date, channel FROM events WHERE event_type = 'money_movement'),
+             daily AS (SELECT event_date, channel, COUNT(*) AS n FROM moved GROUP BY event_date, channel),
+             active AS (SELECT channel, account_id, COUNT(*) AS events FROM events GROUP BY channel, account_id),
+             per_account AS (SELECT channel, AVG(events) AS events FROM active GROUP BY channel)
+           SELECT d.channel, COUNT(*) AS days, SUM(d.n) AS n, round(MAX(p.events), 9) AS per_account
+           FROM daily d JOIN per_account p ON d.channel = p.channel GROUP BY d.channel""",
+        GovernancePolicy(k=40),
+    )
+
+
+_BROKEN_LINES = "event_id % 97 = 0"
+
+
+@register(
+    "csv_checked",
+    f"""SELECT event_type, COUNT(*) AS n, CAST(SUM(event_amount) AS DOUBLE) AS total FROM bank_events GROUP BY event_type
+       UNION ALL SELECT 'rejected: ' || kind, COUNT(*), NULL FROM (
+         SELECT unnest(['few', 'many', 'value']) AS kind FROM bank_events WHERE {_BROKEN_LINES}) GROUP BY kind""",
+    "bank_events",
+)
+def csv_checked(spark, folder):
+    """The events written as CSV and read again, with lines in between that are no events."""
+    rows = b.bank_events(spark, folder).select(*EVENT_STRUCT.names)
+    path = scratch_path(spark, "csv")
+    rows.write.option("header", True).csv(path)
+    field = F.concat(F.lit("x"), F.col("event_id").cast("string"))
+    ends = [",few", ",few" * 20, ",not a time" + "," * (len(EVENT_STRUCT) - 2)]
+    lines = rows.filter(_BROKEN_LINES).select(F.explode(F.array(*[F.concat(field, F.lit(e)) for e in ends])).alias("line"))
+    # The first line of every CSV file is a header.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    header = F.when(first, F.lit(",".join(EVENT_STRUCT.names) + "\n")).otherwise("")
+    lines.select(F.concat(header, "line").alias("line")).write.mode("append").text(path)
+    good, rejected = event_source.read_csv_checked(spark, path)
+    kind = F.when(F.col("line").contains("not a time"), "value").when(F.col("line").contains(",few,few"), "many").otherwise("few")
+    counted = rejected.groupBy(F.concat(F.lit("rejected: "), kind).alias("event_type")).agg(F.count(F.lit(1)).alias("n"))
+    amounts = good.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_amount").alias("total"))
+    return amounts.unionByName(counted.withColumn("total", F.lit(None).cast("decimal(28,2)")))
+
+
 @register(
     "governed_limit",
     """SELECT event_date, channel, COUNT(*) AS n FROM bank_orders GROUP BY 1, 2

@@ -187,6 +187,22 @@ def test_unknown_forms_of_a_definition_are_errors(bank, spec):
         "SELECT channel, MAX(x) AS m FROM (SELECT channel, concat(account_id, 'x') AS x FROM events) GROUP BY channel",
         "SELECT channel AS x, COUNT(*) AS n FROM events GROUP BY channel UNION SELECT account_id, COUNT(*) FROM events GROUP BY 1",
         "SELECT COUNT(*) AS n, (SELECT MAX(account_id) FROM events) AS m FROM events",
+        "SELECT date_format(event_ts, 'yyyy-MM-dd HH:mm:ss') AS t, COUNT(*) AS n FROM events GROUP BY 1",
+        "SELECT date_trunc('minute', event_ts) AS t, COUNT(*) AS n FROM events GROUP BY 1",
+        "SELECT event_date, MAX(event_id) AS e, SUM(event_amount) AS s FROM events GROUP BY event_date",
+        "SELECT histogram_numeric(event_amount, 1000) AS h FROM events",
+        "SELECT collect_list(event_amount) AS h FROM events",
+        "SELECT channel, max_by(event_amount, event_ts) AS a FROM events GROUP BY channel",
+        "SELECT SUM(event_amount) AS s FROM events WHERE account_id = 'A1'",
+        "SELECT SUM(event_amount) AS s FROM events WHERE channel = 'DIGITAL' AND NOT (customer_id <> 'C1')",
+        "SELECT SUM(event_amount) AS s FROM (SELECT account_id AS a, event_amount FROM events) WHERE a LIKE 'A1%'",
+        "SELECT SUM(event_amount) FILTER (WHERE account_id = 'A1') AS s FROM events",
+        "SELECT COUNT(CASE WHEN account_id = 'A1' THEN 1 END) AS n FROM events",
+        "SELECT channel, COUNT(*) AS n FROM events GROUP BY channel HAVING MAX(account_id) = 'A1'",
+        "SELECT SUM(e.event_amount) AS s FROM events e JOIN (VALUES ('A1')) v(x) ON e.account_id = v.x",
+        "SELECT SUM(event_amount) AS s FROM events WHERE account_id IN ('A1', 'A2')",
+        "WITH t AS (SELECT * FROM events WHERE account_id = 'A1') SELECT channel, COUNT(*) AS n FROM t GROUP BY channel",
+        "SELECT COUNT(*) AS n, (SELECT SUM(event_amount) FROM events WHERE channel = 'BATCH') AS m FROM events",
     ],
 )
 def test_identifiers_do_not_leave_under_other_names(spark, bank, sql):
@@ -201,6 +217,13 @@ def test_identifiers_do_not_leave_under_other_names(spark, bank, sql):
         "SELECT channel, COUNT(DISTINCT account_id) AS n, SUM(event_amount) AS s FROM events GROUP BY channel",
         "SELECT date_format(event_ts, 'yyyy-MM') AS month, COUNT(*) AS n FROM events GROUP BY 1",
         "WITH t AS (SELECT channel, COUNT(DISTINCT account_id) AS n FROM events GROUP BY channel) SELECT * FROM t WHERE n > 1",
+        "SELECT MIN(event_date) AS first, MAX(event_date) AS last, COUNT(DISTINCT CASE WHEN event_amount > 0 THEN account_id END) AS n FROM events",
+        "SELECT a.channel, COUNT(*) AS n FROM events a JOIN (SELECT DISTINCT account_id AS x FROM events) b ON a.account_id = b.x GROUP BY a.channel",
+        "SELECT channel, COUNT(*) AS n FROM events WHERE account_id IS NOT NULL GROUP BY channel",
+        "SELECT channel, COUNT(*) AS n FROM events WHERE account_id IN (SELECT account_id FROM events WHERE event_amount > 0) GROUP BY channel",
+        "SELECT channel, SUM(event_amount) / (SELECT SUM(event_amount) FROM events) AS share FROM events GROUP BY channel",
+        "SELECT AVG(n) AS average FROM (SELECT account_id, COUNT(*) AS n FROM events GROUP BY account_id)",
+        "SELECT date_trunc('month', event_ts) AS m, COUNT(*) AS n FROM events GROUP BY 1",
     ],
 )
 def test_aggregates_are_answered_in_full(spark, bank, sql):
@@ -208,6 +231,38 @@ def test_aggregates_are_answered_in_full(spark, bank, sql):
     assert event_source.query(spark, sql).count() > 0
 
 
+@pytest.mark.parametrize(
+    "sql, expected",
+    [
+        ("SELECT channel, COUNT(*) AS n FROM events GROUP BY channel", [("DIGITAL", 38)]),
+        ("SELECT month(event_date) AS m, COUNT(*) AS n FROM events GROUP BY 1", [(1, 16), (3, 18)]),
+        ("WITH t AS (SELECT channel FROM events) SELECT channel, COUNT(*) AS n FROM t GROUP BY channel", [("DIGITAL", 38)]),
+        ("SELECT COUNT(*) AS n FROM events WHERE channel = 'BATCH'", []),
+        ("SELECT SUM(n) AS n FROM (SELECT channel, COUNT(*) AS n FROM events GROUP BY channel)", [(38,)]),
+        ("SELECT channel, COUNT(DISTINCT customer_id) AS n FROM events GROUP BY channel HAVING COUNT(*) > 0", [("DIGITAL", 4)]),
+        ("SELECT 'all' AS k, COUNT(*) AS n FROM events UNION SELECT channel, COUNT(*) FROM events GROUP BY channel", [("DIGITAL", 38), ("all", 40)]),
+        ("SELECT MAX(n) AS n FROM (SELECT account_id, COUNT(*) AS n FROM events GROUP BY account_id)", [(8,)]),
+        ("SELECT c, COUNT(*) AS n FROM (SELECT channel AS c, COUNT(*) AS x FROM events GROUP BY account_id, channel) GROUP BY c", [("DIGITAL", 8)]),
+    ],
+)
+def test_groups_of_few_entities_are_removed_from_any_text(spark, bank, sql, expected):
+    event_source.register(bank)
+    assert rows(event_source.query(spark, sql)) == expected
+
+
+def test_groups_are_whole_without_an_entity(spark, bank):
+    event_source.register(bank)
+    policy = GovernancePolicy(entity=None)
+    assert event_source.query(spark, "SELECT channel, COUNT(*) AS n FROM events GROUP BY channel", policy).count() == 3
+
+
+def test_a_grouping_that_cannot_be_counted_is_refused(spark, bank):
+    event_source.register(bank)
+    twice = "SELECT channel, COUNT(*) AS n FROM (SELECT channel FROM events UNION SELECT event_name FROM events) GROUP BY channel"
+    with pytest.raises(PolicyViolation):
+        event_source.query(spark, twice)
+
+
 def test_local_result_says_what_was_cut(spark, bank):
     event_source.register(bank)
     frame = event_source.query_pandas(spark, "SELECT channel, event_date, COUNT(*) AS n FROM events GROUP BY 1, 2 ORDER BY 2, 1", GovernancePolicy(max_rows=3))

@@ -59,6 +59,15 @@ def test_csv(spark, files):
     assert spark.table("by_file").columns[0] == "event_id"
 
 
+def test_lines_that_are_no_events_are_rejected(spark, tmp_path):
+    lines = CSV + "\nE3,2024-01-02\nE4" + ",x" * 20 + "\nE5,not a time,2024-01-02,A,C,S,m,d,B,1.0,CAD,2.0\nE6,2024-01-02 09:00:00,2024-01-02,A,C,S,m,d,B,much,CAD,2.0\n"
+    (tmp_path / "e.csv").write_text(lines)
+    good, rejected = events.read_csv_checked(spark, str(tmp_path / "e.csv"))
+    assert [r.event_id for r in good.orderBy("event_id").collect()] == ["E1", "E2"] and good.count() == 2
+    assert sorted(r.line[:2] for r in rejected.collect()) == ["E3", "E4", "E5", "E6"] and rejected.count() == 4
+    assert spark.table("events").count() == 2 and good.select("channel").distinct().count() == 1
+
+
 def test_parquet_round_trip(spark, files, bank):
     path = str(files / "events")
     bank.withColumn("month", F.date_format("event_date", "yyyy-MM")).write.partitionBy("month").parquet(path)
@@ -126,6 +135,38 @@ def test_knowledge_document(spark, files):
     assert "Question Pattern: how big?\nKey Filters: None\nAggregation: SUM(amount)" in chunks
 
 
+def test_sections_that_no_reader_knows(spark, tmp_path):
+    document = KNOWLEDGE | {"owners": {"a": "x", "b": [1, 2]}, "tags": ["p", {"q": 1}], "version": 3, "empty": {}, "none": None}
+    (tmp_path / "k.json").write_text(json.dumps(document, indent=1))
+    found = catalog.sections(spark, str(tmp_path / "k.json"))
+    assert {r.section for r in found.collect()} == document.keys()
+    known = ["glossary", "metrics", "sql_patterns", "business_rules", "question_mapping"]
+    other = catalog.unknown_sections(found, known)
+    assert rows(other.filter("section <> 'none'")) == [
+        ("owners", "a", "x"), ("owners", "b", "[1,2]"), ("tags", "0", "p"), ("tags", "1", '{"q":1}'), ("version", "version", "3"),
+    ]
+    chunks = {r.content: r.metadata for r in catalog.unknown_chunks(other).collect()}
+    assert chunks["owners / a: x"] == {"type": "other", "section": "owners", "name": "a"}
+
+
+def test_documents_a_line(spark, tmp_path):
+    (tmp_path / "k.json").write_text("\n".join(json.dumps(KNOWLEDGE) for _ in range(3)))
+    assert catalog.read_knowledge_document(spark, str(tmp_path / "k.json"), lines=True).count() == 3
+
+
+def test_templates_are_ranked_by_coverage(spark):
+    templates = spark.createDataFrame(
+        [("How much money was deposited?",), ("How much money was withdrawn",), ("the fees",), ("the the",), ("??",), (None,)], "t string"
+    )
+    asked = ["how MUCH was deposited today", "fees, the fees!", "how much money", "nothing", None, "the"]
+    questions = spark.createDataFrame([(i, q) for i, q in enumerate(asked)] + [(9, asked[0])], "n int, q string")
+    got = {r.n: (r.t, r.n_shared, r.coverage) for r in catalog.match_templates(questions, templates, "q", "t").collect()}
+    assert got == {
+        0: ("How much money was deposited?", 4, 0.8), 9: ("How much money was deposited?", 4, 0.8), 1: ("the fees", 2, 1.0),
+        2: ("How much money was deposited?", 3, 0.6), 3: (None, None, None), 4: (None, None, None), 5: ("the the", 1, 1.0),
+    }
+
+
 def test_describe(spark):
     df = spark.createDataFrame([(2, None), (1, "x")], "n int, t string")
     assert rows(catalog.describe(df)) == [(0, "n", "int"), (1, "t", "string")]
