@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quorumlens.functions import terms
-from quorumlens.operators import privacy
+from quorumlens.operators import privacy, ranks
 from quorumlens.policy import GovernancePolicy
 
 CHECK_SCHEMA = "check string, status string, message string, details string"
@@ -83,36 +83,30 @@ def outliers(
 ) -> DataFrame:
     """Rows far from the rest of their group.
 
-    ``iqr`` uses exact quartiles and is meant for finished results, whose groups are small.
-    ``zscore`` needs only counts and sums, which combine before the shuffle, so it suits any size.
+    ``iqr`` uses exact quartiles, found by :func:`ranks.quantiles` in a few jobs while this is called; a group of
+    any size is spread over all tasks. ``zscore`` needs counts and sums only and starts no job. Rows without a
+    value are left out; NaN and infinities count for no quartile and lie outside.
     """
     value = F.col(column).cast("double")
     known = result.filter(F.col(column).isNotNull())
     if method == "iqr":
         reach = 1.5 if factor is None else factor
-        stats = known.groupBy(*dims).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-        q1, q3 = F.col("q")[0], F.col("q")[1]
-        bounds = stats.select(
-            *dims,
-            (q1 - F.lit(reach) * (q3 - q1)).alias("low"),
-            (q3 + F.lit(reach) * (q3 - q1)).alias("high"),
-        )
+        bounds = ranks.quantiles(known, value, dims, (0.25, 0.75))
+        q1, q3 = F.col("quantiles")[0], F.col("quantiles")[1]
     elif method == "zscore":
         reach = 3.0 if factor is None else factor
-        stats = known.groupBy(*dims).agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("sd"))
-        bounds = stats.select(
-            *dims,
-            (F.col("m") - F.lit(reach) * F.col("sd")).alias("low"),
-            (F.col("m") + F.lit(reach) * F.col("sd")).alias("high"),
-        )
+        bounds = known.groupBy(*dims).agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("sd"))
     else:
         raise ValueError(f"unknown outlier method: {method}")
-    outside = (value < F.col("low")) | (value > F.col("high"))
-    if dims:
-        return known.join(bounds, list(dims)).filter(outside)
-    low = bounds.select("low").scalar()
-    high = bounds.select("high").scalar()
-    return known.withColumn("low", low).withColumn("high", high).filter(outside)
+    low, high = (q1 - F.lit(reach) * (q3 - q1), q3 + F.lit(reach) * (q3 - q1)) if method == "iqr" else (
+        F.col("m") - F.lit(reach) * F.col("sd"), F.col("m") + F.lit(reach) * F.col("sd")
+    )
+    bounds = bounds.select(*dims, low.alias("low"), high.alias("high"))
+    if not dims:
+        low, high = bounds.select("low").scalar(), bounds.select("high").scalar()
+        return known.withColumn("low", low).withColumn("high", high).filter((value < F.col("low")) | (value > F.col("high")))
+    joined = ranks.with_group(known, bounds, dims, ("low", "high"))
+    return joined.filter((value < F.col("low")) | (value > F.col("high")))
 
 
 def percentages_in_range(result: DataFrame, columns: Sequence[str]) -> DataFrame:

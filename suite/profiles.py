@@ -187,18 +187,22 @@ def account_fanout(spark, folder):
     return profiling.account_fanout(b.bank_orders(spark, folder), "customer_id", "account_id")
 
 
+_EVENT_COLUMNS = [
+    ("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"), ("value", "double"), ("props", "string"),
+]
+
+
 @register(
     "schema_doc",
-    """WITH s AS (SELECT * FROM events ORDER BY event_id LIMIT 3)
-       SELECT CAST(0 AS BIGINT) AS position, 'event_id' AS "column", 'bigint' AS type,
-         string_agg(event_id, ' | ' ORDER BY event_id) AS samples FROM s
-       UNION ALL SELECT 1, 'user_id', 'bigint', string_agg(user_id, ' | ' ORDER BY event_id) FROM s
-       UNION ALL SELECT 2, 'event_type', 'string', string_agg(event_type, ' | ' ORDER BY event_id) FROM s
-       UNION ALL SELECT 3, 'props', 'string', string_agg(props, ' | ' ORDER BY event_id) FROM s""",
+    "WITH s AS (SELECT * FROM events ORDER BY event_id LIMIT 3) "
+    + " UNION ALL ".join(
+        f"""SELECT CAST({i} AS BIGINT) AS position, '{name}' AS "column", '{kind}' AS type,
+              string_agg(CAST({name} AS VARCHAR), ' | ' ORDER BY event_id) AS samples FROM s"""
+        for i, (name, kind) in enumerate(_EVENT_COLUMNS)
+    ),
 )
 def schema_doc(spark, folder):
-    rows = b.table(spark, folder, "events").select("event_id", "user_id", "event_type", "props")
-    return catalog.describe_with_samples(rows, "event_id")
+    return catalog.describe_with_samples(b.table(spark, folder, "events"), "event_id")
 
 
 # --- data quality of a result -------------------------------------------------------------------------
@@ -219,21 +223,25 @@ _RESULT = """result AS (SELECT event_date, event_name, SUM(event_amount) AS tota
   FROM bank_events GROUP BY 1, 2)"""
 
 
-@register(
-    "dq_has_data",
-    """SELECT 'has_data' AS "check", 'warning' AS status,
-         'Query returned no results - likely due to privacy thresholds '
-           || '(fewer than 1000000 distinct accounts in each bucket)' AS message,
-         'k_anonymity_filter' AS details
-       FROM (SELECT COUNT(*) AS n FROM (SELECT channel FROM bank_events GROUP BY channel
-             HAVING COUNT(DISTINCT account_id) >= 1000000)) WHERE n = 0""",
-    "bank_events",
-)
+_HIDDEN = "SELECT channel FROM events GROUP BY channel HAVING COUNT(DISTINCT account_id) >= "
+
+
+def _has_data(k: int) -> str:
+    return f"""SELECT 'has_data' AS "check", CASE WHEN n = 0 THEN 'warning' ELSE 'pass' END AS status,
+        CASE WHEN n = 0 THEN 'Query returned no results - likely due to privacy thresholds (fewer than {k} distinct accounts in each bucket)'
+          ELSE 'Query returned ' || n || ' rows' END AS message,
+        CASE WHEN n = 0 THEN 'k_anonymity_filter' END AS details
+      FROM (SELECT COUNT(*) AS n FROM (SELECT channel FROM bank_events GROUP BY channel HAVING COUNT(DISTINCT account_id) >= {k}))"""
+
+
+@register("dq_has_data", f"{_has_data(1000000)} UNION ALL {_has_data(5)}", "bank_events")
 def dq_has_data(spark, folder):
-    policy = GovernancePolicy(k=1000000)
-    result = patterns.safe_summary(b.bank_events(spark, folder), ["channel"], policy)
-    text = "SELECT channel FROM events GROUP BY channel HAVING COUNT(DISTINCT account_id) >= 1000000"
-    return quality.report(result, text, policy).filter(F.col("check") == "has_data")
+    def check(k):
+        policy = GovernancePolicy(k=k)
+        result = patterns.safe_summary(b.bank_events(spark, folder), ["channel"], policy)
+        return quality.report(result, f"{_HIDDEN}{k}", policy).filter(F.col("check") == "has_data")
+
+    return check(1000000).unionByName(check(5))
 
 
 @register(
@@ -305,10 +313,28 @@ def dq_outliers(spark, folder):
     return found.select("product_type", "month", "net_flow")
 
 
+@register(
+    "dq_outliers_raw",
+    """WITH q AS (SELECT event_type, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3
+           FROM (SELECT event_type, CAST(event_amount AS DOUBLE) AS v FROM bank_events WHERE event_amount IS NOT NULL) GROUP BY 1)
+       SELECT event_type, event_id, CAST(event_amount AS DOUBLE) AS event_amount, round(q1 - 1.5 * (q3 - q1), 6) AS low,
+         round(q3 + 1.5 * (q3 - q1), 6) AS high
+       FROM bank_events JOIN q USING (event_type)
+       WHERE event_amount < q1 - 1.5 * (q3 - q1) OR event_amount > q3 + 1.5 * (q3 - q1)""",
+    "bank_events",
+)
+def dq_outliers_raw(spark, folder):
+    """Exact quartiles of a raw table, of which one event type holds most rows."""
+    found = quality.outliers(b.bank_events(spark, folder), "event_amount", ["event_type"])
+    bounds = [F.round(c, 6).alias(c) for c in ("low", "high")]
+    return found.select("event_type", "event_id", "event_amount", *bounds)
+
+
 @register(
     "dq_reconcile",
     """SELECT CAST(SUM(p) AS DOUBLE) AS sum_of_parts,
-         (SELECT CAST(SUM(event_amount) AS DOUBLE) FROM bank_orders) AS total, true AS reconciles
+         (SELECT CAST(SUM(event_amount) AS DOUBLE) FROM bank_orders) AS total,
+         SUM(p) = (SELECT SUM(event_amount) FROM bank_orders) AS reconciles
        FROM (SELECT SUM(event_amount) AS p FROM bank_orders GROUP BY channel, product_type)""",
     "bank_orders",
 )

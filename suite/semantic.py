@@ -481,8 +481,10 @@ def k_anon_rollup(spark, folder):
 
 @register(
     "forbidden_columns",
-    """SELECT 'orders' AS table_name, 'account_id' AS forbidden, COUNT(*) AS n_rows FROM orders
-       UNION ALL SELECT 'orders', 'customer_id', COUNT(*) FROM orders""",
+    """SELECT 'orders' AS table_name, k AS forbidden, (SELECT COUNT(*) FROM bank_orders) AS n_rows
+       FROM (SELECT unnest(json_keys(to_json(x))) AS k FROM (SELECT * FROM bank_orders LIMIT 1) x)
+       WHERE lower(k) IN ('customer_id', 'account_id')""",
+    "bank_orders",
 )
 def forbidden_columns(spark, folder):
     rows = b.bank_orders(spark, folder)

@@ -1,9 +1,11 @@
 from decimal import Decimal
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quorumlens import GovernancePolicy
-from quorumlens.operators import profiling, quality
+from quorumlens.operators import profiling, quality, ranks
 from tests.conftest import rows
 
 RESULT = "channel string, total double, unique_customers bigint"
@@ -120,3 +122,44 @@ def test_reconcile_and_percentages(spark, bank):
     assert quality.reconcile(bank, ["channel"], "event_amount").first().reconciles
     df = spark.createDataFrame([(-0.1,), (50.0,), (100.0,), (100.1,)], "pct double")
     assert rows(quality.percentages_in_range(df, ["pct"])) == [("pct", 2)]
+
+
+# --- order statistics -----------------------------------------------------------------------------------
+
+
+def test_quantiles_equal_the_definition_for_any_group(spark):
+    rng = np.random.default_rng(4)
+    values = {
+        "hot": np.round(rng.lognormal(3, 4, 4000), 2), "one": np.array([7.0]), "same": np.full(50, -2.5),
+        "two": np.array([1.0, 2.0]), "wide": np.array([-1.7e308, -1e-300, 0.0, 5e-324, 1.7e308]), None: rng.standard_normal(77),
+    }
+    data = [(g, float(v)) for g, vs in values.items() for v in vs] + [("one", None), ("one", float("nan")), ("none", None), ("two", float("inf"))]
+    df = spark.createDataFrame(data, "g string, v double").repartition(5)
+    shares = (0.0, 0.25, 0.5, 0.75, 1.0)
+    got = {r.g: r.quantiles for r in ranks.quantiles(df, F.col("v"), ["g"], shares).collect()}
+    assert got.keys() == values.keys()
+    for g, vs in values.items():
+        at = np.sort(vs)
+        for share, q in zip(shares, got[g], strict=True):
+            place = share * (len(at) - 1)
+            low, part = int(np.floor(place)), place - np.floor(place)
+            expected = (1 - part) * at[low] + part * at[int(np.ceil(place))]
+            assert q == pytest.approx(expected, rel=1e-12)
+
+
+def test_quantiles_without_groups_and_without_rows(spark):
+    df = spark.range(1, 102)
+    assert ranks.quantiles(df, F.col("id"), [], (0.25, 0.5)).first().quantiles == [26.0, 51.0]
+    assert rows(ranks.quantiles(df.limit(0), F.col("id"), [], (0.5,))) == []
+
+
+def test_outliers_find_rows_of_a_null_group(spark):
+    data = [(None, float(i)) for i in range(20)] + [(None, 500.0), ("a", 1.0), ("a", float("nan"))]
+    found = quality.outliers(spark.createDataFrame(data, "g string, v double"), "v", ["g"])
+    assert {str(r.v) for r in found.collect()} == {"500.0", "nan"}
+
+
+def test_outliers_hold_no_percentile(spark):
+    df = spark.range(100).withColumn("g", F.col("id") % 3)
+    plan = quality.outliers(df, "id", ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan.lower()
