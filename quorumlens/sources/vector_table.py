@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quorumlens.session import written
 
 VECTOR_STRUCT = T.StructType(
     [
@@ -22,41 +22,39 @@ VECTOR_STRUCT = T.StructType(
 
 KNOWLEDGE, SCHEMA, HISTORY = "knowledge", "schema", "query_history"
 
+#: Metadata key of the hash of what a document was embedded from.
+HASH = "content_hash"
+
 
 def collection_counts(docs: DataFrame) -> DataFrame:
     return docs.groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
 
 
-def dense_numbers(df: DataFrame, group: str, order: str, pieces: int = 64) -> DataFrame:
-    """Add ``number``: 0, 1, 2, … inside each group, in the order of a unique numeric column.
+def dense_numbers(df: DataFrame, group: str, order: str) -> DataFrame:
+    """Add ``number``: 0, 1, 2, … inside each group, in the order of a column; null comes first.
 
-    A group is cut along quantiles of the order column, so that one holding most of the rows is still
-    numbered by many tasks: position inside a piece plus the rows of the group's earlier pieces. The
-    quantiles only decide how even the pieces are; any cut gives the same numbers.
+    The rows are dealt to sampled ranges of (group, order), as many as the data needs, and written sorted, so a
+    group with most of the rows spans many ranges. A row's number is its place among the group's rows in its range
+    plus the group's rows in earlier ranges; only counts by range and group are added up. The input is read once,
+    while this is called. Rows equal in the order column are numbered in the order in which they arrive.
     """
-    probabilities = [i / pieces for i in range(1, pieces)]
-    cuts = sorted(set(df.stat.approxQuantile(order, probabilities, 0.01)))
-    piece = reduce(
-        lambda total, cut: total + (F.col(order) > F.lit(cut)).cast("int"), cuts, F.lit(0)
-    )
-    rows = df.withColumn("piece_", piece)
-    sizes = rows.groupBy(group, "piece_").agg(F.count(F.lit(1)).alias("n_"))
-    # at most ``pieces`` rows per group
-    earlier = Window.partitionBy(group).orderBy("piece_").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        group, "piece_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("offset_")
-    )
-    inside = F.row_number().over(Window.partitionBy(group, "piece_").orderBy(order))
-    return (
-        rows.withColumn("inside_", inside)
-        .join(offsets, [group, "piece_"])
-        .withColumn("number", F.col("offset_") + F.col("inside_") - 1)
-        .drop("piece_", "inside_", "offset_")
-    )
+    rows = df.repartitionByRange(group, order).sortWithinPartitions(group, order)
+    rows = written(rows.withColumn("at_", F.monotonically_increasing_id()), "numbered")
+    # The upper bits of "at_" number the ranges in order, the lower 33 the rows of a range.
+    piece = F.shiftright("at_", 33)
+    sizes = rows.groupBy(F.col(group).alias("of_"), piece.alias("in_")).agg(F.count(F.lit(1)).alias("n_"), F.min("at_").alias("first_"))
+    earlier = Window.partitionBy("of_").orderBy("in_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("before_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)))
+    joined = rows.join(offsets, F.col(group).eqNullSafe(F.col("of_")) & (piece == F.col("in_")))
+    numbered = joined.withColumn("number", F.col("before_") + F.col("at_") - F.col("first_"))
+    return numbered.drop("at_", "of_", "in_", "n_", "first_", "before_")
 
 
 def with_default_ids(new: DataFrame, existing: DataFrame, order: str) -> DataFrame:
-    """Give new documents the ids ``<collection>_<n>``, counting on from the stored documents."""
+    """Give new documents the ids ``<collection>_<n>``, counting on from the number of stored documents.
+
+    After a removal such an id may be taken; :meth:`VectorTable.append` refuses it.
+    """
     start = collection_counts(existing).withColumnRenamed("n", "start_")
     numbered = dense_numbers(new, "collection", order)
     numbered = numbered.join(start, "collection", "left")
@@ -85,8 +83,16 @@ class VectorTable:
         return docs if collection is None else docs.filter(F.col("collection") == collection)
 
     def append(self, docs: DataFrame) -> None:
+        """Add documents; an id that is stored already, or comes twice, is refused and nothing is added."""
         names = VECTOR_STRUCT.fieldNames()
-        docs.select(*names).write.mode("append").partitionBy("collection").parquet(self.path)
+        new = written(docs.select(*names), "new-documents")
+        key = ["collection", "doc_id"]
+        twice = new.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key)
+        stored = self.read().select(*key).join(new.select(*key), key, "left_semi")
+        taken = [f"{r.collection}/{r.doc_id}" for r in twice.union(stored).limit(5).collect()]
+        if taken:
+            raise ValueError(f"ids are taken: {', '.join(taken)}")
+        new.write.mode("append").partitionBy("collection").parquet(self.path)
 
     def replace(self, docs: DataFrame) -> None:
         """Replace exactly the collections that occur in ``docs``."""
@@ -119,28 +125,64 @@ class VectorTable:
         found = self.counts().filter(F.col("collection").isin(list(needed)) & (F.col("n") > 0))
         return found.count() == len(needed)
 
+    def sync(self, chunks: DataFrame, collection: str, embed: Column) -> DataFrame:
+        """Bring a collection to the state of ``chunks`` (doc_id, content, metadata); returns n_chunks by ``change``.
+
+        A hash of content and metadata is kept with each document. Comparing it on both sides tells what was
+        ``added``, ``changed``, ``removed`` or is the ``same``; only added and changed chunks are embedded, by the
+        column ``embed`` over ``content``, and the others keep their vectors. Without a change nothing is written.
+        Of chunks with one doc_id, the one with the greatest content counts; chunks without doc_id are left out.
+        """
+        entries = F.array_sort(F.map_entries(F.coalesce("metadata", F.create_map().cast("map<string,string>"))))
+        mark = F.sha2(F.to_json(F.struct(F.coalesce("content", F.lit("")).alias("content"), entries.alias("metadata"))), 256)
+        first = F.max_by(F.struct("content", "metadata"), F.struct("content", F.to_json("metadata"))).alias("chunk")
+        single = chunks.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(first).select("doc_id", "chunk.*")
+        new = written(single.withColumn("hash_", mark), "chunks")
+        stored = self.read(collection)
+        old = stored.select(F.col("doc_id").alias("old_"), F.col("metadata")[HASH].alias("was_"))
+        change = (
+            F.when(F.col("old_").isNull(), "added").when(F.col("doc_id").isNull(), "removed")
+            .when(F.col("was_").eqNullSafe(F.col("hash_")), "same").otherwise("changed")
+        )
+        compared = new.select("doc_id", "hash_").join(old, F.col("doc_id") == F.col("old_"), "full")
+        compared = written(compared.select(F.coalesce("doc_id", "old_").alias("doc_id"), change.alias("change")), "changes")
+        todo = compared.filter("change IN ('added', 'changed')").select("doc_id")
+        if not compared.filter("change <> 'same'").isEmpty():
+            own = F.map_concat(F.coalesce("metadata", F.create_map().cast("map<string,string>")), F.create_map(F.lit(HASH), F.col("hash_")))
+            made = new.join(todo, "doc_id", "left_semi").select(
+                "doc_id", "content", own.alias("metadata"), embed.cast("array<float>").alias("embedding"), F.lit(collection).alias("collection")
+            )
+            kept = stored.join(compared.filter("change = 'same'").select("doc_id"), "doc_id", "left_semi")
+            state = written(made.unionByName(kept.select(*made.columns)), "synced")
+            if state.isEmpty():
+                self.delete(collection)
+            else:
+                self.replace(state)
+        return compared.groupBy("change").agg(F.count(F.lit(1)).alias("n_chunks"))
+
     def build_index(
         self, knowledge: DataFrame, schema: DataFrame, embed: Column, force: bool = False
     ) -> DataFrame:
         """Embed and store both chunk tables unless they are there; returns status and counts.
 
-        ``embed`` is the caller's column expression or pandas UDF over ``content``.
+        ``embed`` is the caller's column expression or pandas UDF over ``content``. To follow later changes of
+        the chunks, :meth:`sync` embeds only what changed.
         """
         status = "already_indexed"
         if force or not self.is_indexed():
             status = "indexed"
-            parts = []
-            for name, chunks in ((KNOWLEDGE, knowledge), (SCHEMA, schema)):
-                # the chunks of one document are few
-                number = F.row_number().over(Window.partitionBy(F.lit(name)).orderBy("content")) - 1
-                parts.append(
-                    chunks.select(
-                        F.concat(F.lit(f"{name}_"), number.cast("string")).alias("doc_id"),
-                        "content",
-                        "metadata",
-                        embed.cast("array<float>").alias("embedding"),
-                        F.lit(name).alias("collection"),
-                    )
+            parts = [
+                chunks.select("content", "metadata", F.lit(name).alias("collection"))
+                for name, chunks in ((KNOWLEDGE, knowledge), (SCHEMA, schema))
+            ]
+            numbered = dense_numbers(parts[0].unionByName(parts[1]), "collection", "content")
+            self.replace(
+                numbered.select(
+                    F.concat("collection", F.lit("_"), F.col("number").cast("string")).alias("doc_id"),
+                    "content",
+                    "metadata",
+                    embed.cast("array<float>").alias("embedding"),
+                    "collection",
                 )
-            self.replace(parts[0].unionByName(parts[1]))
+            )
         return self.counts().withColumn("status", F.lit(status))

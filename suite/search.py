@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quorumlens.functions import vectors
-from quorumlens.operators import retrieval
+from quorumlens.operators import inverted_file, retrieval
+from quorumlens.session import scratch_path
 from quorumlens.sources import vector_table
 from suite import bindings as b
 from suite.registry import register
@@ -135,15 +136,56 @@ def retrieval_summary(spark, folder):
     return retrieval.summary(_dual(spark, folder), "type")
 
 
+def _every_twentieth(spark, folder):
+    docs = b.docs(spark, folder)
+    queries = docs.filter(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "embedding", "label")
+    return queries, docs.select("doc_id", "embedding")
+
+
+_TWENTIETH = """pairs AS (
+  SELECT q.doc_id AS query_id, q.label, d.doc_id,
+    round(1 - least(1.0, greatest(-1.0, list_dot_product(q.embedding, d.embedding)
+      / (sqrt(list_dot_product(q.embedding, q.embedding)) * sqrt(list_dot_product(d.embedding, d.embedding))))), 9)
+      AS distance
+  FROM docs q, docs d WHERE q.doc_id % 20 = 0)"""
+
+
 @register("vector_ann")
 def vector_ann(spark, folder):
-    """Every document's nearest documents by hashing; both sides are the whole table."""
+    """Every document's nearest documents by an inverted file; both sides are the whole table."""
     docs = b.docs(spark, folder).select("doc_id", "embedding")
-    queries = docs.withColumnRenamed("doc_id", "query_id")
-    hits = retrieval.ann(queries, docs, 5, bits=5, tables=6)
+    hits = inverted_file.search(docs.withColumnRenamed("doc_id", "query_id"), docs, 5)
     return _scored(hits, "query_id", "doc_id", "rank")
 
 
+@register(
+    "vector_ann_exact",
+    f"""WITH {_TWENTIETH} SELECT query_id, doc_id, rank, {_SCORE} FROM
+         (SELECT *, {_rank('query_id')} AS rank FROM pairs) WHERE rank <= 5""",
+    "docs",
+)
+def vector_ann_exact(spark, folder):
+    """The same lists, opened as far as the bounds of the cells demand for the exact result."""
+    queries, docs = _every_twentieth(spark, folder)
+    return _scored(inverted_file.search(queries, docs, 5, exact=True), "query_id", "doc_id", "rank")
+
+
+@register(
+    "vector_ann_recall",
+    f"""WITH {_TWENTIETH} SELECT label, COUNT(DISTINCT query_id) AS n_queries, COUNT(*) AS n_exact, COUNT(*) AS n_found_at_0_9
+         FROM (SELECT *, {_rank('query_id')} AS rank FROM pairs) WHERE rank <= 5 GROUP BY label""",
+    "docs",
+)
+def vector_ann_recall(spark, folder):
+    """Per label: true neighbours by exact search, and as many again if at least 0.9 of them were found, else how many."""
+    queries, docs = _every_twentieth(spark, folder)
+    exact = retrieval.topk(queries, docs, 5)
+    counted = inverted_file.recall(inverted_file.search(queries, docs, 5), exact).join(queries.select("query_id", "label"), "query_id")
+    sums = counted.groupBy("label").agg(F.count(F.lit(1)).alias("n_queries"), F.sum("n_exact").alias("n_exact"), F.sum("n_found").alias("n"))
+    reached = F.when(10 * F.col("n") >= 9 * F.col("n_exact"), F.col("n_exact")).otherwise(F.col("n"))
+    return sums.select("label", "n_queries", "n_exact", reached.alias("n_found_at_0_9"))
+
+
 @register(
     "vec_append_ids",
     """SELECT vec_id, collection || '_' || (n + ROW_NUMBER() OVER (PARTITION BY collection ORDER BY vec_id) - 1)
@@ -158,6 +200,40 @@ def vec_append_ids(spark, folder):
     return vector_table.with_default_ids(new, stored, "vec_id").select("vec_id", "doc_id")
 
 
+_PARAGRAPHS = """paragraphs AS (SELECT doc_id, doc_id || ':' || i AS id, part AS content FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS part, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)
+  WHERE part <> ''),
+states AS (
+  SELECT 1 AS run, id, content FROM paragraphs WHERE doc_id % 10 <> 3
+  UNION ALL SELECT run, id, content || CASE WHEN doc_id % 10 = 5 THEN ' (edited)' ELSE '' END
+    FROM paragraphs, (VALUES (2), (3)) AS runs(run) WHERE doc_id % 10 <> 4)"""
+
+
+@register(
+    "index_sync",
+    f"""WITH {_PARAGRAPHS}
+       SELECT CAST(coalesce(n.run, o.run + 1) AS BIGINT) AS run,
+         CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' WHEN o.content = n.content THEN 'same' ELSE 'changed' END AS change,
+         COUNT(*) AS n_chunks
+       FROM states n FULL JOIN states o ON n.id = o.id AND n.run = o.run + 1
+       WHERE coalesce(n.run, o.run + 1) <= 3 GROUP BY 1, 2""",
+)
+def index_sync(spark, folder):
+    """Paragraphs of the documents, indexed in three states: a tenth comes, a tenth goes, a tenth is edited, nothing changes."""
+    documents = b.table(spark, folder, "documents")
+    part = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "content")).filter("content <> ''")
+    chunks = part.select(
+        F.col("doc_id").alias("source"), F.concat_ws(":", "doc_id", "i").alias("doc_id"), "content", F.create_map(F.lit("type"), F.lit("paragraph")).alias("metadata")
+    )
+    first = chunks.filter("source % 10 <> 3")
+    edited = F.when(F.col("source") % 10 == 5, F.concat("content", F.lit(" (edited)"))).otherwise(F.col("content"))
+    second = chunks.filter("source % 10 <> 4").withColumn("content", edited)
+    table = vector_table.VectorTable(spark, scratch_path(spark, "index"))
+    embed = F.array(F.length("content").cast("float"), F.lit(1.0).cast("float"))
+    runs = [table.sync(state, "paragraphs", embed).withColumn("run", F.lit(n)) for n, state in enumerate((first, second, second), 1)]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
 @register(
     "vec_collection_counts",
     "SELECT collection, COUNT(*) AS n FROM docs GROUP BY collection",

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quorumlens.functions import vectors
-from quorumlens.operators import retrieval
+from quorumlens.operators import inverted_file, retrieval
 from quorumlens.sources import vector_table
 from quorumlens.sources.vector_table import VectorTable
 from tests.conftest import rows
@@ -149,10 +149,10 @@ def test_unindexed(spark):
 # --- collections --------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("pieces", [2, 7, 64])
-def test_dense_numbers_of_a_hot_group(spark, pieces):
+@pytest.mark.parametrize("files", [1, 7, 64])
+def test_dense_numbers_of_a_hot_group(spark, files):
     df = spark.range(500).select(F.col("id"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("g"))
-    got = vector_table.dense_numbers(df.repartition(7), "g", "id", pieces).orderBy("id").collect()
+    got = vector_table.dense_numbers(df.repartition(files), "g", "id").orderBy("id").collect()
     for group in ("a", "b"):
         assert [r.number for r in got if r.g == group] == list(range(sum(r.g == group for r in got)))
 
@@ -182,6 +182,113 @@ def test_vector_table(spark, tmp_path):
     assert rows(table.read()) == []
 
 
+def test_dense_numbers_of_text_and_null(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", None), (None, "y"), ("a", "x"), (None, "b")], "g string, o string")
+    got = rows(vector_table.dense_numbers(df, "g", "o"))
+    assert got == rows(spark.createDataFrame([("a", None, 0), ("a", "x", 1), ("a", "x", 2), (None, "b", 0), (None, "y", 1)], "g string, o string, number long"))
+
+
+def test_a_taken_id_is_refused(spark, tmp_path):
+    table = VectorTable(spark, str(tmp_path / "vectors"))
+
+    def docs(*ids):
+        return spark.createDataFrame(
+            [(i, i, {"k": "v"}, [1.0], "c") for i in ids],
+            "doc_id string, content string, metadata map<string,string>, embedding array<float>, collection string",
+        )
+
+    table.append(docs("c_0", "c_1"))
+    for more in (docs("c_1"), docs("c_2", "c_2")):
+        with pytest.raises(ValueError, match="c/c_"):
+            table.append(more)
+    table.append(docs("c_2"))
+    assert rows(table.counts()) == [("c", 3)]
+
+
+def test_sync_embeds_only_what_changed(spark, tmp_path):
+    table = VectorTable(spark, str(tmp_path / "vectors"))
+    made = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<float>")
+    def embed(content):
+        made.add(len(content))
+        return content.map(lambda t: [float(len(t)), 1.0])
+
+    def chunks(**texts):
+        data = [(i, t, {"of": "x"}) for i, t in texts.items()]
+        return spark.createDataFrame(data, "doc_id string, content string, metadata map<string,string>")
+
+    def sync(df):
+        before = made.value
+        changes = {r.change: r.n_chunks for r in table.sync(df, "notes", embed("content")).collect()}
+        return changes, made.value - before
+
+    assert sync(chunks(a="one", b="two")) == ({"added": 2}, 2)
+    assert sync(chunks(a="one", b="two")) == ({"same": 2}, 0)
+    assert sync(chunks(a="one", b="three", c="new")) == ({"same": 1, "changed": 1, "added": 1}, 2)
+    assert {(r.doc_id, r.content, tuple(r.embedding)) for r in table.read("notes").collect()} == {
+        ("a", "one", (3.0, 1.0)), ("b", "three", (5.0, 1.0)), ("c", "new", (3.0, 1.0)),
+    }
+    assert sync(chunks(c="new").unionByName(chunks(c="aaa"))) == ({"removed": 2, "same": 1}, 0)
+    assert sync(chunks(c="new").limit(0)) == ({"removed": 1}, 0)
+    assert rows(table.read("notes")) == [] and sync(chunks(c="new").limit(0)) == ({}, 0)
+
+
+# --- inverted file ------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def groups(spark):
+    """Vectors around forty directions, one of them with a third of all rows, and copies."""
+    rng = np.random.default_rng(5)
+    centers = rng.standard_normal((40, 12))
+    of = np.where(rng.random(1500) < 0.33, 0, rng.integers(0, 40, 1500))
+    d = (centers[of] + 0.4 * rng.standard_normal((1500, 12))).astype(np.float32)
+    d[200:260] = d[3]
+    return d, _vectors(spark, d, "doc_id").repartition(6)
+
+
+def test_inverted_file_finds_the_wanted_share(spark, groups):
+    d, docs = groups
+    queries = docs.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    hits = inverted_file.search(queries, docs, 5, list_rows=32)
+    exact = retrieval.topk(queries, docs, 5)
+    counted = inverted_file.recall(hits, exact).agg(F.sum("n_exact").alias("n"), F.sum("n_found").alias("found")).first()
+    assert counted.n == 5 * 75 and counted.found >= 0.9 * counted.n
+    assert hits.groupBy("query_id").count().agg(F.max("count")).first()[0] == 5
+
+
+def test_inverted_file_opened_by_bounds_is_exact(spark, groups):
+    d, docs = groups
+    queries = docs.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    hits = inverted_file.search(queries, docs, 5, exact=True, target=0.3, list_rows=32)
+    expected = {(int(q), doc, rank) for q, doc, rank in _brute(d[::20].astype(float), d.astype(float), 5)}
+    assert {(r.query_id // 20, r.doc_id, r.rank) for r in hits.collect()} == expected
+
+
+def test_inverted_file_compares_few_pairs_at_any_size(spark, groups):
+    d, docs = groups
+    asked = docs.withColumnRenamed("doc_id", "query_id")
+    pairs = []
+    for n in (300, 1500):
+        some, queries = docs.filter(f"doc_id < {n}"), asked.filter(f"query_id < {n}")
+        cells = inverted_file.fit(some, list_rows=32)
+        assert len(cells) == -(-n // 32)
+        pairs.append(inverted_file.compared(queries, some, cells, 2).first().n_pairs)
+    assert pairs[1] < 10 * pairs[0]
+
+
+def test_inverted_file_edge_cases(spark):
+    docs = _vectors(spark, [[1, 0], [0, 0], [-1, 0]], "doc_id").union(spark.createDataFrame([(9, None)], "d bigint, e array<float>"))
+    queries = _vectors(spark, [[1, 0], [0, 0]], "query_id")
+    for exact in (False, True):
+        found = inverted_file.search(queries, docs, 5, exact=exact).select("query_id", "doc_id", "rank")
+        assert rows(found) == [(0, 0, 1), (0, 2, 2)]
+        assert rows(inverted_file.search(queries, docs.limit(0), 5, exact=exact)) == []
+        assert rows(inverted_file.search(queries.limit(0), docs, 5, exact=exact)) == []
+    assert rows(inverted_file.search(queries, docs, 0)) == []
+
+
 @pytest.mark.parametrize("bound", [4096, 1])
 def test_unequal_lengths_are_an_error(spark, bound):
     docs = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0, 0.0, 1.0])], "doc_id bigint, embedding array<float>")
