@@ -158,35 +158,48 @@ def result_summary(result: DataFrame, order: Sequence[str], n: int = 3) -> DataF
 class LogTable:
     """Keyed log on plain Parquet with one writer at a time.
 
-    A write appends its changes as one ``version``; nothing else is read or rewritten, so its cost
-    depends on the changes only. A read overlays the newest full copy with the later changes.
-    ``compact`` stores the overlay as a new full copy. A job that fails half-way leaves no committed
-    files of its version, and a repeated version replaces itself.
+    A write appends its changes as one ``version`` and reads nothing but folder names, so its cost depends on the
+    changes only. A read overlays the newest full copy with the later changes; older folders are not opened.
+    ``compact`` stores the overlay as a new full copy and removes what no reader of the copy before needs. A job
+    that fails half-way leaves no committed files of its version, and a repeated version replaces itself.
     """
 
-    def __init__(self, spark: SparkSession, path: str, struct: T.StructType = LOG_STRUCT):
-        self.spark, self.path, self.struct = spark, path, struct
-
-    def _stored(self, part: str) -> DataFrame:
+    def __init__(
+        self, spark: SparkSession, path: str, struct: T.StructType = LOG_STRUCT, order: Sequence[str] = ("version", "created_at")
+    ):
+        """``order`` says which row of an id counts: the last one written, or with created_at first, the newest one."""
+        self.spark, self.path, self.struct, self.order = spark, path, struct, order
+
+    def _folder(self, part: str):
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
+        return root, root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def versions(self, part: str) -> list[int]:
+        """Versions that are stored, from the names of their folders."""
+        root, files = self._folder(part)
+        if not files.exists(root):
+            return []
+        names = [f.getPath().getName() for f in files.listStatus(root)]
+        return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+    def _stored(self, part: str, versions: Sequence[int]) -> DataFrame:
         struct = T.StructType([*self.struct.fields, T.StructField("version", T.LongType())])
+        if not versions:
+            return self.spark.createDataFrame([], struct)
         folder = f"{self.path}/{part}"
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        if root.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(root):
-            return self.spark.read.schema(struct).parquet(folder)
-        return self.spark.createDataFrame([], struct)
-
-    def _newest(self, part: str) -> int:
-        return self._stored(part).agg(F.max("version")).first()[0] or 0
+        reader = self.spark.read.schema(struct).option("basePath", folder)
+        return reader.parquet(*[f"{folder}/version={v}" for v in versions])
 
     def current_version(self) -> int:
-        return max(self._newest("changes"), self._newest("full"))
+        return max([0, *self.versions("changes"), *self.versions("full")])
 
     def read(self) -> DataFrame:
-        full = self._newest("full")
-        base = self._stored("full").filter(F.col("version") == full).drop("version")
-        changes = self._stored("changes").filter(F.col("version") > full)
-        keyed = base.withColumn("version", F.lit(full).cast("bigint"))
-        return upsert(keyed, changes, "id", ["version", "created_at"]).drop("version")
+        full = max([0, *self.versions("full")])
+        base = self._stored("full", [full] if full else [])
+        changes = self._stored("changes", [v for v in self.versions("changes") if v > full])
+        if self.order[0] == "version":
+            return upsert(base, changes, "id", self.order).drop("version")
+        return latest_per_key(base.unionByName(changes), "id", self.order).drop("version")
 
     def _write(self, df: DataFrame, part: str, version: int) -> None:
         (
@@ -204,8 +217,39 @@ class LogTable:
         self._write(changes, "changes", number)
         return number
 
-    def compact(self) -> int:
-        """Store the present rows as one full copy that later reads start from."""
+    def compact(self, keep: int = 1) -> int:
+        """Store the present rows as one full copy that later reads start from.
+
+        The ``keep`` full copies before it stay, with the changes after the oldest of them, for reads that have
+        begun; older folders are removed.
+        """
         number = self.current_version()
         self._write(self.read(), "full", number)
+        copies = self.versions("full")
+        oldest = copies[max(0, len(copies) - 1 - keep)]
+        for part, gone in (("full", lambda v: v < oldest), ("changes", lambda v: v <= oldest)):
+            root, files = self._folder(part)
+            for version in filter(gone, self.versions(part)):
+                files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(root, f"version={version}"), True)
         return number
+
+    def version_of(self, stream: str, batch: int) -> int:
+        """The version of a batch of a stream: a new one at first, the same when the batch is replayed.
+
+        Empty folders named by batch and version keep it, of the last two batches of each stream.
+        """
+        root, files = self._folder("streams")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        files.mkdirs(path(root, stream))
+        given = {}
+        for folder in files.listStatus(root):
+            for mark in files.listStatus(folder.getPath()):
+                number, version = map(int, mark.getPath().getName().split("-"))
+                given[folder.getPath().getName(), number] = version
+        if (stream, batch) not in given:
+            given[stream, batch] = max([self.current_version(), *given.values()]) + 1
+            files.mkdirs(path(root, f"{stream}/{batch}-{given[stream, batch]}"))
+            for (name, number), version in given.items():
+                if name == stream and number < batch - 1:
+                    files.delete(path(root, f"{stream}/{number}-{version}"), True)
+        return given[stream, batch]

@@ -16,7 +16,8 @@ from quorumlens.functions import textguard
 from quorumlens.operators import triage
 from quorumlens.operators.privacy import ENTITIES
 from quorumlens.session import scratch_path
-from quorumlens.sources.log_table import LogTable
+from quorumlens.sources import sessions as sessions_source
+from quorumlens.sources.log_table import LOG_STRUCT, LogTable
 
 Batch = Callable[[DataFrame, int], None]
 
@@ -32,7 +33,7 @@ def read_files(
 
 
 def read_sessions(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """Stream of session documents."""
+    """Stream of session documents that appear below a folder, as :func:`sessions.write` writes them."""
     return spark.readStream.schema(ddl).json(path)
 
 
@@ -144,19 +145,50 @@ def _flat(df: DataFrame) -> DataFrame:
 # --- sinks ----------------------------------------------------------------------------------------
 
 
-def upsert_batches(log: LogTable) -> Batch:
+def upsert_batches(log: LogTable, stream: str = "stream") -> Batch:
     """foreachBatch sink that merges each batch into a log table.
 
-    The batch number is the table version, so a batch that is replayed after a failure replaces its
-    own earlier result.
+    The log gives every batch of a stream a version of its own, so a batch that is replayed after a failure replaces
+    its own earlier result, and no stream replaces another one's.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        log.upsert(batch, version=batch_id + 1)
+        log.upsert(batch, version=log.version_of(stream, batch_id))
 
     return merge
 
 
+def merge_sessions(documents: DataFrame, log: LogTable, name: str, replays: str = "1 day") -> None:
+    """Take in the session documents that are available now; a document that comes again within ``replays`` is left out.
+
+    Replays are told by session and time of the document, and remembered by the time at which they come in, so no
+    document is too late. With a log that is ordered by created_at, the newest document of a session is its log
+    row, in whichever order they come. ``name`` names the stream: its progress is kept beside the log and goes on
+    with the next call.
+    """
+    rows = log_rows(documents).withColumn("came_", F.current_timestamp()).withWatermark("came_", replays)
+    fresh = rows.dropDuplicatesWithinWatermark(["id", "created_at"]).drop("came_")
+    writer = fresh.writeStream.option("checkpointLocation", f"{log.path}/progress/{name}").trigger(availableNow=True)
+    writer.foreachBatch(upsert_batches(log, name)).start().awaitTermination()
+
+
+def log_rows(documents: DataFrame) -> DataFrame:
+    """Rows of the query log from session documents; works on tables and on streams."""
+    traces = F.coalesce("traces", F.array().cast(documents.schema["traces"].dataType))
+    errors = sessions_source.error_texts(traces, F.col("errors"))
+    known = {
+        "id": F.col("session_id"),
+        "question": F.coalesce("question", F.lit("")),
+        "agent_traces_json": F.to_json(traces),
+        "latency_ms": F.aggregate(traces, F.lit(0.0), lambda n, t: n + F.coalesce(t["duration_ms"], F.lit(0.0))),
+        "total_tokens": F.aggregate(traces, F.lit(0), lambda n, t: n + F.coalesce(t["tokens_used"], F.lit(0))),
+        "error_count": F.size(errors),
+        "created_at": F.col("timestamp"),
+    }
+    named = documents.filter("session_id IS NOT NULL AND timestamp IS NOT NULL")
+    return named.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in LOG_STRUCT.fields])
+
+
 def _result(spark: SparkSession, schema: T.StructType, out: str) -> DataFrame:
     """What was written; an empty table when there was no batch to write."""
     path = spark._jvm.org.apache.hadoop.fs.Path(out)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quorumlens import fixed_values as fixed
 from quorumlens.operators import evaluation
+from quorumlens.session import scratch_path
+from quorumlens.sources import sessions
 from suite import bindings as b
 from suite.bindings import sql_list
 from suite.registry import register
@@ -74,6 +76,78 @@ _FLAGS = "flags AS (SELECT session_id, " + ", ".join(
 ) + " FROM traces GROUP BY session_id)"
 
 
+def session_documents(spark, folder):
+    """One session document a conversation; ``conv`` is its number."""
+    size = F.length("text")
+    error = F.when(size % 7 == 0, F.concat(F.lit("code "), (size % 3).cast("string")))
+    number = F.col("conv_id")
+    at = F.timestamp_add("MINUTE", number.cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    trace = F.struct(
+        F.col("role").alias("agent_name"),
+        F.lit("completed").alias("action"),
+        at.alias("timestamp"),
+        size.cast("double").alias("duration_ms"),
+        F.expr("length(text) div 4").cast("int").alias("tokens_used"),
+        F.lit(None).cast("string").alias("input_summary"),
+        F.lit(None).cast("string").alias("output_summary"),
+        error.alias("error"),
+        F.create_map(F.lit("turn"), F.col("turn").cast("string")).alias("details"),
+    )
+    rows = b.table(spark, folder, "conversations").groupBy(number.alias("conv"), at.alias("timestamp"))
+    by_turn = lambda x, y: F.sign(x["turn"] - y["turn"]).cast("int")
+    gathered = rows.agg(F.array_sort(F.collect_list(F.struct("turn", trace.alias("trace"))), by_turn).alias("turns"))
+    traces = F.transform("turns", lambda t: t["trace"])
+    texts = F.transform(F.filter(traces, lambda t: t["error"].isNotNull()), lambda t: F.concat(t["agent_name"], F.lit(": "), t["error"]))
+    return gathered.select(
+        "conv",
+        F.concat(F.lit("s"), F.col("conv").cast("string")).alias("session_id"),
+        F.concat(F.lit("question of "), F.col("conv").cast("string")).alias("question"),
+        "timestamp",
+        traces.alias("traces"),
+        texts.alias("errors"),
+    )
+
+
+@register(
+    "session_written",
+    """SELECT strftime(TIMESTAMP '2024-01-01' + to_minutes(CAST(conv_id AS INT)), '%Y-%m-%d') AS date, role AS agent_name,
+         'document' AS kind, COUNT(*) AS n, CAST(SUM(length(text)) AS DOUBLE) AS duration_ms, CAST(SUM(length(text) // 4) AS BIGINT) AS tokens
+       FROM conversations GROUP BY 1, 2
+       UNION ALL SELECT '2024-01-01', 'none', 'rejected', COUNT(DISTINCT conv_id), NULL, NULL FROM conversations WHERE conv_id % 5 = 0""",
+)
+def session_written(spark, folder):
+    """Session documents written as JSON and read again, beside lines that are no documents."""
+    path = scratch_path(spark, "sessions")
+    documents = session_documents(spark, folder)
+    sessions.write(documents.drop("conv"), path)
+    torn = documents.filter("conv % 5 = 0").select(F.concat(F.lit('{"session_id": "'), "session_id", F.lit('", "traces": [{')).alias("line"))
+    torn.write.mode("append").text(f"{path}/date=2024-01-01")
+    good, rejected = sessions.read_checked(spark, path)
+    flat = good.select("date", F.inline("traces"))
+    read = flat.groupBy(F.col("date").cast("string").alias("date"), "agent_name").agg(
+        F.lit("document").alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("duration_ms"), F.sum("tokens_used").alias("tokens")
+    )
+    left = rejected.filter(F.col("text").startswith('{"session_id"')).groupBy(F.col("date").cast("string").alias("date"), F.lit("none").alias("agent_name")).agg(
+        F.lit("rejected").alias("kind"), F.count(F.lit(1)).alias("n")
+    )
+    return read.unionByName(left.withColumns({"duration_ms": F.lit(None).cast("double"), "tokens": F.lit(None).cast("bigint")}))
+
+
+@register(
+    "session_all_errors",
+    """SELECT 's' || conv_id % 40 AS session_id, COUNT(DISTINCT conv_id) AS n_documents, array_to_string(list_sort(list_distinct(list(
+         CASE WHEN length(text) % 7 = 0 THEN role || ': code ' || (length(text) % 3) END))), '|') AS errors
+       FROM conversations GROUP BY 1 HAVING COUNT(*) FILTER (length(text) % 7 = 0) > 0
+       UNION ALL SELECT 's' || conv_id % 40, COUNT(DISTINCT conv_id), '' FROM conversations GROUP BY 1
+       HAVING COUNT(*) FILTER (length(text) % 7 = 0) = 0""",
+)
+def session_all_errors(spark, folder):
+    """Errors of all documents of a session, each text once; forty sessions share the documents."""
+    documents = session_documents(spark, folder).withColumn("session_id", F.concat(F.lit("s"), F.col("conv") % 40))
+    found = sessions.errors_by_session(documents)
+    return found.select("session_id", "n_documents", F.array_join("errors", "|").alias("errors"))
+
+
 @register(
     "stage_status",
     f"WITH {_FLAGS} "

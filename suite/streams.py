@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quorumlens.session import scratch_path
+from quorumlens.sources import log_table, sessions
 from quorumlens.streaming import jobs
 from suite import bindings as b
-from suite.texts import REDACTED_SQL
+from suite.agents import session_documents
+from suite.texts import INTENT, REDACTED_SQL, SCOPED
 from suite.registry import register
 
 DELAY = "10 minutes"
@@ -148,6 +151,50 @@ def stream_redact(spark, folder):
     return jobs.drain(jobs.redact(documents, "text"), "redact")
 
 
+_QUESTIONS = "(SELECT conv_id || '-' || turn AS id, text AS question, CAST(NULL AS TIMESTAMP) AS created_at FROM conversations WHERE role = 'user')"
+
+
+@register(
+    "stream_triage",
+    f"""WITH {SCOPED.replace('FROM query_log', f'FROM {_QUESTIONS}')}
+       SELECT id, status, reason, confidence, status <> 'out_of_scope' AS allowed, {INTENT} ELSE 'metric_query' END AS intent
+       FROM verdicts JOIN (SELECT id, lower(question) AS q FROM {_QUESTIONS}) USING (id)""",
+)
+def stream_triage(spark, folder):
+    """Scope and intent of the questions of a stream of conversations."""
+    said = _stream(spark, folder, "conversations").filter("role = 'user'")
+    questions = said.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("question"))
+    return jobs.drain(jobs.classify(questions, "question").select("id", "scope.*", "intent"), "triage")
+
+
+@register(
+    "stream_log_merge",
+    """SELECT 's' || conv_id AS id, 'question of ' || conv_id || CASE WHEN conv_id % 3 = 0 THEN ', again' ELSE '' END AS question,
+         CAST(SUM(length(text)) AS DOUBLE) AS latency_ms, CAST(SUM(length(text) // 4) AS BIGINT) AS total_tokens,
+         COUNT(DISTINCT CASE WHEN length(text) % 7 = 0 THEN role || ': code ' || (length(text) % 3) END) AS error_count,
+         strftime(TIMESTAMP '2024-01-01' + to_minutes(CAST(conv_id AS INT) + CASE WHEN conv_id % 3 = 0 THEN 7 ELSE 0 END), '%Y-%m-%d %H:%M') AS created
+       FROM conversations GROUP BY conv_id""",
+)
+def stream_log_merge(spark, folder):
+    """Session documents streamed into the log: all of them, some again, some in a newer form, and all once more by a new stream."""
+    path = scratch_path(spark, "sessions")
+    first = session_documents(spark, folder)
+    again = first.filter("conv % 4 = 1")
+    newer = first.filter("conv % 3 = 0").withColumns(
+        {"question": F.concat("question", F.lit(", again")), "timestamp": F.col("timestamp") + F.expr("INTERVAL 7 MINUTES")}
+    )
+    log = log_table.LogTable(spark, scratch_path(spark, "log"), order=("created_at", "version"))
+    sessions.write(first.drop("conv"), path)
+    documents = jobs.read_sessions(spark, path, sessions.SESSION_DDL)
+    jobs.merge_sessions(documents, log, "daily")
+    sessions.write(newer.unionByName(again).drop("conv"), path)
+    jobs.merge_sessions(documents, log, "daily")
+    log.compact()
+    jobs.merge_sessions(documents, log, "repeat")
+    created = log_table.display_time(F.col("created_at")).alias("created")
+    return log.read().select("id", "question", "latency_ms", "total_tokens", "error_count", created)
+
+
 @register(
     "stream_k_anon",
     f"""SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start,

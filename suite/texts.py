@@ -17,7 +17,7 @@ def _count_sql(words: list[str], text: str) -> str:
     return f"len(list_filter({sql_list(words)}, lambda w: contains({text}, w)))"
 
 
-_SCOPED = f"""scoped AS (
+SCOPED = f"""scoped AS (
   SELECT id, question, created_at, list_filter({sql_list(fixed.SCOPE_OUT_KEYWORDS)}, lambda w: contains(q, w))[1] AS off,
     {_count_sql(fixed.SCOPE_IN_KEYWORDS, 'q')} + {_count_sql(fixed.SCOPE_PATTERNS, 'q')} AS hits,
     len(list_filter({sql_list(fixed.SCOPE_INTERROGATIVES)}, lambda w: starts_with(q, w))) > 0 AS asks
@@ -39,7 +39,7 @@ verdicts AS (
 
 @register(
     "scope_triage",
-    f"WITH {_SCOPED} SELECT id, status, reason, confidence, status <> 'out_of_scope' AS allowed FROM verdicts",
+    f"WITH {SCOPED} SELECT id, status, reason, confidence, status <> 'out_of_scope' AS allowed FROM verdicts",
     "query_log",
 )
 def scope_triage(spark, folder):
@@ -48,7 +48,7 @@ def scope_triage(spark, folder):
 
 @register(
     "scope_summary",
-    f"""WITH {_SCOPED} SELECT CAST(created_at AS DATE) AS day, status, COUNT(*) AS n
+    f"""WITH {SCOPED} SELECT CAST(created_at AS DATE) AS day, status, COUNT(*) AS n
        FROM verdicts GROUP BY 1, 2""",
     "query_log",
 )
@@ -57,14 +57,14 @@ def scope_summary(spark, folder):
     return evaluation.counts_by_day(scoped, "created_at", F.col("scope.status").alias("status"))
 
 
-_INTENT = "CASE " + " ".join(
+INTENT = "CASE " + " ".join(
     f"WHEN {_count_sql(words, 'q')} > 0 THEN '{name}'" for name, words in fixed.INTENT_WORDS.items()
 )
 
 
 @register(
     "intent_classify",
-    f"""SELECT id, {_INTENT} ELSE 'metric_query' END AS intent
+    f"""SELECT id, {INTENT} ELSE 'metric_query' END AS intent
        FROM (SELECT id, lower(question) AS q FROM query_log)""",
     "query_log",
 )

@@ -82,6 +82,27 @@ def test_sessions_round_trip(spark, tmp_path):
     assert (flat.position, flat.agent_name, flat.details) == (0, "a", {"k": "v"})
 
 
+def test_session_lines_that_are_no_documents(spark, tmp_path):
+    day = tmp_path / "date=2024-05-06"
+    day.mkdir()
+    lines = ['{"session_id": "a", "errors": ["e"]}', '{"session_id": "b", "traces": [{', '["no object"]', '{"session_id": "c", "timestamp": "then"}']
+    (day / "x.json").write_text("\n".join(lines))
+    good, rejected = sessions.read_checked(spark, str(tmp_path))
+    assert rows(good.select("session_id")) == [("a",)] and good.count() == 1
+    assert sorted(r.text for r in rejected.collect()) == sorted(lines[1:]) and rejected.count() == 3
+
+
+def test_errors_of_all_documents_of_a_session(spark):
+    trace = "named_struct('agent_name', 'a', 'error', e)"
+    df = spark.sql(
+        f"""SELECT s AS session_id, timestamp'2024-01-01' AS timestamp, transform(t, e -> {trace}) AS traces, x AS errors
+            FROM VALUES ('s', array('1', NULL), array('late')), ('s', array('1', '2'), NULL), ('t', NULL, array()) AS v(s, t, x)"""
+    )
+    assert rows(sessions.errors_by_session(df).select("session_id", "n_documents", F.array_join("errors", "|"))) == [
+        ("s", 2, "a: 1|a: 2|late"), ("t", 1, ""),
+    ]
+
+
 # --- scores -------------------------------------------------------------------------------------------
 
 BLANK = {

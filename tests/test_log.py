@@ -82,6 +82,32 @@ def test_versioned_table(spark, tmp_path):
     assert table.compact() == 3 and rows(table.read().select("id", "question")) == expected
 
 
+def test_old_copies_are_removed_and_reads_open_only_what_counts(spark, tmp_path):
+    table = LogTable(spark, str(tmp_path / "log"))
+    for day in (1, 2, 3):
+        table.upsert(_log(spark, ("a", f"q{day}", day, None)))
+        table.compact()
+    assert table.versions("full") == [2, 3] and table.versions("changes") == [3]
+    table.upsert(_log(spark, ("b", "new", 4, None)))
+    files = [f.rsplit("log/", 1)[1].split("/part")[0] for f in table.read().inputFiles()]
+    assert sorted(files) == ["changes/version=4", "full/version=3"]
+    assert rows(table.read().select("id", "question")) == [("a", "q3"), ("b", "new")]
+
+
+def test_log_by_time_keeps_the_newest_row(spark, tmp_path):
+    table = LogTable(spark, str(tmp_path / "log"), order=("created_at", "version"))
+    table.upsert(_log(spark, ("a", "newer", 5, None)))
+    table.upsert(_log(spark, ("a", "older", 2, None), ("b", "x", 1, None)))
+    assert rows(table.read().select("id", "question")) == [("a", "newer"), ("b", "x")]
+
+
+def test_streams_get_versions_of_their_own(spark, tmp_path):
+    table = LogTable(spark, str(tmp_path / "log"))
+    assert [table.version_of("x", 0), table.version_of("y", 0), table.version_of("x", 0), table.version_of("x", 1)] == [1, 2, 1, 3]
+    table.upsert(_log(spark, ("a", "one", 1, None)), version=7)
+    assert [table.version_of("x", n) for n in (2, 3, 2)] == [8, 9, 8]
+
+
 # --- statistics ---------------------------------------------------------------------------------------
 
 STATS = "id string, self_score double, user_score int, latency_ms double, total_tokens int, error_count int"

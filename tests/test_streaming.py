@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from quorumlens.sources import sessions
 from quorumlens.sources.log_table import LogTable
 from quorumlens.streaming import jobs
 from tests.conftest import rows
@@ -115,3 +116,23 @@ def test_session_documents_as_a_stream(spark, tmp_path):
         (tmp_path / "in" / f"2024-01-01_s{i}.json").write_text(text)
     stream = jobs.read_sessions(spark, str(tmp_path / "in"), ddl)
     assert rows(jobs.drain(stream.select("session_id"), "sessions")) == [("s0",), ("s1",)]
+
+
+def test_session_stream_is_merged_once_and_newest_first(spark, tmp_path):
+    path, table = str(tmp_path / "in"), LogTable(spark, str(tmp_path / "log"), order=("created_at", "version"))
+
+    def put(*documents):
+        kinds = f"session_id string, question string, timestamp timestamp, traces array<{sessions.TRACE}>, errors array<string>"
+        rows_ = [(i, q, dt.datetime(2024, 1, 1, hour), None, errors) for i, q, hour, errors in documents]
+        sessions.write(spark.createDataFrame(rows_, kinds).coalesce(1), path)
+
+    put(("s1", "first", 1, ["e"]), ("s2", "two", 2, None), ("s1", "first", 1, ["e"]), (None, "nobody", 3, None))
+    stream = jobs.read_sessions(spark, path, sessions.SESSION_DDL)
+    jobs.merge_sessions(stream, table, "main")
+    put(("s1", "second", 5, []), ("s2", "early", 1, None))
+    put(("s1", "first", 1, ["e"]))
+    jobs.merge_sessions(stream, table, "main")
+    expected = [("s1", "second", 0), ("s2", "two", 0)]
+    assert rows(table.read().select("id", "question", "error_count")) == expected
+    jobs.merge_sessions(stream, table, "again")
+    assert rows(table.read().select("id", "question", "error_count")) == expected
