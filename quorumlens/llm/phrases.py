@@ -81,36 +81,42 @@ class _Test:
     counted: bool = True
 
 
+class _Words:
+    """Words of a block by number: spelling, language and hash. Number 0 stands between pieces."""
+
+    def __init__(self) -> None:
+        self.spelled: list[bytes] = [b""]
+        self.langs: list[str] = [""]
+        self.hashes: list[int] = [0]
+
+
 class _Numbers(dict):
-    """Numbers of the words of one language; a new word is entered in the lists of its block."""
+    """Numbers of the words of one language; a new word is entered in the words of its block."""
 
-    def __init__(self, block: _Block, lang: str) -> None:
+    def __init__(self, words: _Words, lang: str) -> None:
         super().__init__({_END: 0})
-        self.block, self.lang, self.seed = block, lang, _seed(lang)
+        self.words, self.lang, self.seed = words, lang, _seed(lang)
 
     def __missing__(self, word: bytes) -> int:
-        block = self.block
-        number = self[word] = len(block.words)
-        block.words.append(word)
-        block.langs.append(self.lang)
-        block.hashes.append(xxhash.xxh3_64_intdigest(word, self.seed))
+        number = self[word] = len(self.words.spelled)
+        self.words.spelled.append(word)
+        self.words.langs.append(self.lang)
+        self.words.hashes.append(xxhash.xxh3_64_intdigest(word, self.seed))
         return number
 
 
 class _Block:
-    """Words of some documents, each (language, word) with a number of its own; 0 stands between pieces."""
+    """The words of some documents as numbers. Nothing here refers back to the block, so it goes as soon as it is done."""
 
     def __init__(self) -> None:
+        self.words = _Words()
         self.numbers: dict[str, _Numbers] = {}
-        self.words: list[bytes] = [b""]
-        self.langs: list[str] = [""]
-        self.hashes: list[int] = [0]
         self.parts: list[np.ndarray] = []
         self.size = 0
 
     def add(self, lang: str, text: bytes) -> None:
         if lang not in self.numbers:
-            self.numbers[lang] = _Numbers(self, lang)
+            self.numbers[lang] = _Numbers(self.words, lang)
         found = text.translate(_PLAIN).replace(_END, b" \xff ").split()
         found.append(_END)
         self.parts.append(np.fromiter(map(self.numbers[lang].__getitem__, found), np.int64, len(found)))
@@ -118,7 +124,7 @@ class _Block:
 
     def counts(self, tests: Sequence[_Test], bits: int) -> Iterator[pa.RecordBatch]:
         """Exact counts within the block of the phrases that the tests let through; ``tests`` are of width 1, or of 2, 3 ..."""
-        words, hashes = np.concatenate(self.parts), np.array(self.hashes, np.uint64)
+        words, hashes = np.concatenate(self.parts), np.array(self.words.hashes, np.uint64)
         if tests[0].width == 1:
             n = np.bincount(words, minlength=len(hashes))
             n[0] = 0
@@ -150,7 +156,7 @@ class _Block:
                 yield from self._rows(phrase[:, known], n[known])
 
     def _rows(self, phrases: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        words, langs = pa.array(self.words, pa.binary()), pa.array(self.langs, pa.string())
+        words, langs = pa.array(self.words.spelled, pa.binary()), pa.array(self.words.langs, pa.string())
         width = len(phrases)
         for at in range(0, len(n), 200_000):
             part = phrases[:, at : at + 200_000]
