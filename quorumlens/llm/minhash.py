@@ -9,11 +9,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlens.llm.common import Batches, WordHashes, rows_of, shingle_hashes
-from quorumlens.session import written
+from quorumlens.session import discard, written
 
 COORDINATES = 96
 #: A linked pair is missed by the match threshold with this probability at most.
@@ -22,8 +22,10 @@ MISS = 1e-6
 SHARED = 4
 #: Rounds that compare documents with pivots of their lists before the rest is compared pair by pair.
 STAR_ROUNDS = 2
-#: Pivots of a list in each round.
+#: Pivots of a list and size band in each round.
 PIVOTS = 4
+#: Candidates that a node compares with in such a round, those with the most common lists.
+CANDIDATES = 3
 
 
 def match_threshold(coordinates: int, similarity: float, miss: float = MISS) -> int:
@@ -146,7 +148,7 @@ def components(nodes: DataFrame, links: DataFrame, name: str = "component") -> D
     label moves. Labels are written to the shared folder each round, and only their count comes to the driver.
     """
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = nodes.select("node", F.col("node").alias(name))
+    labels = written(nodes.select("node", F.col("node").alias(name)), "labels")
     moved = 1
     while moved:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min(name).alias("near"))
@@ -155,10 +157,12 @@ def components(nodes: DataFrame, links: DataFrame, name: str = "component") -> D
         )
         nearer = written(nearer, "labels")
         jump = nearer.select(F.col("node").alias("new"), F.col("new").alias("far"))
+        last = labels
         labels = written(nearer.join(jump, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias(name), "old"), "labels")
         moved = labels.where(F.col(name) != F.col("old")).limit(1).count()
-        labels = labels.drop("old")
-    return labels
+        discard(last, nearer)
+    discard(both)
+    return labels.drop("old")
 
 
 def _hooked(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -174,7 +178,14 @@ def _hooked(labels: DataFrame, links: DataFrame) -> DataFrame:
     # Two labels that point at each other meet in the smaller one.
     target = F.when(F.col("two") == F.col("component"), F.least("component", "one")).otherwise(F.coalesce("two", "one"))
     moved = labels.join(both.select("component", target.alias("to")), "component", "left")
-    return written(moved.select("node", F.coalesce("to", "component").alias("component")), "labels")
+    moved = written(moved.select("node", F.coalesce("to", "component").alias("component")), "labels")
+    discard(step, labels)
+    return moved
+
+
+def _band(n: Column, percent: int, shift: float = 0.0) -> Column:
+    """Number of a set's size band; sets whose sizes allow the similarity lie in one band or in neighbouring ones."""
+    return F.floor(F.ln(n) / (1.000001 * math.log(100 / percent)) + shift)
 
 
 class _Join:
@@ -219,9 +230,11 @@ def near_duplicates(
     1. Each class posts its node under every (coordinate, value) of its signature. Lists of one node are
        left out; a node with fewer than the threshold of other lists can match nobody and is skipped.
     2. Nodes keep the rarest lists only, as many as a pair above the threshold cannot miss together.
-    3. In a few rounds each list compares its nodes with some pivots, which joins large groups of near copies
-       without all their pairs. Where lists still hold nodes of different components, these are then joined pair
-       by pair, collisions are counted, and pairs with enough of them are compared.
+    3. In a few rounds each list and size band compares its nodes with some pivots, which joins large groups of near
+       copies without all their pairs; a node tries the few pivots with which it shares the most lists. Where lists
+       still hold nodes of different components, these are then joined pair by pair within neighbouring size bands,
+       collisions are counted, and pairs with enough of them are compared. Nodes with fewer such lists than a
+       similar pair shares are left out before.
     4. A pair needs enough equal coordinates and is confirmed on the full sets.
 
     Rows without words, text or doc_id are linked with nothing. Rows that repeat a doc_id are rows of
@@ -243,7 +256,7 @@ def near_duplicates(
     common = common.where(F.size("lists") >= least)
     prefix = F.slice("lists", 1, F.size("lists") - least + min(shared, least))
     posts = common.select(F.explode(prefix.getField("list")).alias("list"), "node")
-    posts = written(posts, "postings")
+    posts = written(posts.join(sets.select("node", "n"), "node"), "postings")
 
     nodes = posts.select("node").distinct()
     wanted = sets.join(nodes, "node", "left_semi").select("node", "digest")
@@ -254,33 +267,48 @@ def near_duplicates(
 
     labels = written(nodes.select("node", F.col("node").alias("component")), "labels")
     links: list[DataFrame] = []
+    need = min(shared, least)
     seeds = [int(x) for x in np.random.default_rng(11).integers(0, 1 << 62, star_rounds * pivots)]
     for turn in range(star_rounds + 1):
         open_ = posts.join(labels, "node")
         split = open_.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        open_ = written(open_.join(split.where("low <> high").select("list"), "list"), "open-lists")
+        open_ = open_.join(split.where("low <> high").select("list"), "list")
+        # Nodes of different components that are similar share ``need`` lists, and both components make these open.
+        held = open_.groupBy("node").count().where(F.col("count") >= need).select("node")
+        open_ = written(open_.join(held, "node", "left_semi"), "open-lists")
         if turn < star_rounds:
             # The node nearest to a seed in the exclusive-or sense: each seed prefers another node, in all lists alike.
             own = seeds[turn * pivots : (turn + 1) * pivots]
             nearest = [F.min(F.col("node").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)) for x in own]
-            star = open_.groupBy("list").agg(F.array_distinct(F.array(*nearest)).alias("pivots"))
-            pairs = open_.join(star, "list").select(F.explode("pivots").alias("a"), F.col("node").alias("b")).where("a <> b")
+            # Bands are shifted from round to round, so that sizes beside a border meet too.
+            banded = open_.withColumn("band", _band(F.col("n"), percent, turn / star_rounds))
+            star = banded.groupBy("list", "band").agg(F.array_distinct(F.array(*nearest)).alias("pivots"))
+            pairs = banded.join(star, ["list", "band"]).select(F.explode("pivots").alias("a"), F.col("node").alias("b")).where("a <> b")
         else:
-            other = open_.select("list", F.col("node").alias("b"), F.col("component").alias("cb"))
-            pairs = open_.join(other, "list").where("node < b AND component <> cb").select(F.col("node").alias("a"), "b")
-        pairs = pairs.groupBy("a", "b").count().where(F.col("count") >= min(shared, least))
+            # The smaller set of a pair is posted in its band, the larger one in its own and in the one below.
+            small = open_.select("list", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), _band(F.col("n"), percent).alias("band"))
+            large = open_.select("list", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+            large = large.withColumn("band", F.explode(F.array(_band(F.col("nb"), percent), _band(F.col("nb"), percent) - 1)))
+            fits = (F.struct("na", "a") < F.struct("nb", "b")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("ca") != F.col("cb"))
+            pairs = small.join(large, ["list", "band"]).where(fits).select("a", "b")
+        pairs = pairs.groupBy("a", "b").count().where(F.col("count") >= need)
         if turn < star_rounds:
             left, right = (labels.select(F.col("node").alias(x), F.col("component").alias("c" + x)) for x in "ab")
             pairs = pairs.join(left, "a").join(right, "b").where("ca <> cb")
+            best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("count"), "a"))
+            pairs = pairs.withColumn("place", best).where(F.col("place") <= CANDIDATES)
             # One confirmed link is enough to join a component, so each tries its best one.
             matched = join.matched(pairs, "cb").groupBy("cb").agg(F.max_by(F.struct("a", "b"), F.struct("matches", "a", "b")).alias("best"))
             matched = matched.select("best.a", "best.b")
         else:
             matched = join.matched(pairs)
         links.append(written(join.confirmed(matched), "confirmed"))
+        discard(open_)
         if turn < star_rounds:
             labels = _hooked(labels, links[-1])
+    discard(labels, texts)
     labels = components(nodes, reduce(DataFrame.union, links))
+    discard(posts, *links)
 
     found = labels.where("component <> node")
     placed = named.select("doc_id", "digest").distinct().join(sets.select("digest", "node"), "digest")

@@ -273,10 +273,11 @@ def judged(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     text has no words, null languages and sources are groups of their own, repeated rows count as often as they
     occur, an empty table gives no rows. Columns with the names of results are replaced.
     """
-    clash = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"}
-    docs = docs.drop(*clash, *VECTOR, *_FACTOR)
-    rows = written(_measured(docs).drop("text"), "text-statistics")
-    return _verdict(rows, estimates(rows, steps))
+    results = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"]
+    own = [c for c in docs.columns if c.lower() not in (*results, "text")]
+    plain = docs.select(F.struct(*own).alias("_doc"), "lang", "source", "text")
+    rows = written(_measured(plain).drop("text"), "text-statistics")
+    return _verdict(rows, estimates(rows, steps)).select("_doc.*", *results)
 
 
 def kept(docs: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -284,7 +285,9 @@ def kept(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     rows = written(_measured(docs.select("lang", "source", "text")).select("lang", "source", "base_failed", *VECTOR), "text-statistics")
     groups = estimates(rows, steps)
     numbered = _measured(docs.select(F.struct(*docs.columns).alias("_doc"), "lang", "source", "text")).drop("text")
-    return _verdict(numbered, groups).where("kept").select("_doc.*")
+    # One number for both reasons, so that no part of the condition is worked out a second time before the join.
+    reason = F.coalesce("distance", F.lit(0.0)) + F.col("base_failed").cast("int") * (2.0 * CUTOFF)
+    return _verdict(numbered, groups).where(reason <= CUTOFF).select("_doc.*")
 
 
 def oracle_sql(steps: int = STEPS) -> str:

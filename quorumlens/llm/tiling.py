@@ -158,13 +158,13 @@ def _compare(items: list[tuple[int, np.ndarray]], percent: int, shortest: int):
     return run
 
 
-def _clean(items: list[tuple[int, np.ndarray]], percent: int, shortest: int):
+def _clean(items: list[tuple[int, np.ndarray]], percent: int, shortest: int, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _finder(items, percent, shortest)
         for batch in batches:
-            texts = batch.column("_text")
+            texts = batch.column(column)
             kept = [next(find(texts[i].as_py()), None) is None for i in range(batch.num_rows)]
-            yield batch.drop_columns(["_text"]).filter(pa.array(kept, pa.bool_()))
+            yield batch.drop_columns([column]).filter(pa.array(kept, pa.bool_()))
 
     return run
 
@@ -221,8 +221,14 @@ def contaminated(
 def decontaminated(
     docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, shortest: int = TILE, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, as they are; one pass over them for each block, no shuffle."""
+    """The rows of ``docs`` that hold no benchmark item, as they are; one pass over them for each block, no shuffle.
+
+    Other columns may have any names. A null or empty text holds no item, repeated rows go or stay together, and
+    an empty table or benchmark changes nothing.
+    """
+    taken = {c.lower() for c in docs.columns}
+    fresh = next(n for n in (f"text_{i}" for i in range(len(taken) + 1)) if n not in taken)
     for block in _blocks(benchmark, block_words):
-        texts = docs.select(*docs.columns, F.col("text").cast("binary").alias("_text"))
-        docs = texts.mapInArrow(_clean(block, percent, shortest), docs.schema)
+        texts = docs.select(*docs.columns, F.col("text").cast("binary").alias(fresh))
+        docs = texts.mapInArrow(_clean(block, percent, shortest, fresh), docs.schema)
     return docs

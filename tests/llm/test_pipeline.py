@@ -6,8 +6,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from quorumlens.llm import mixing, token_shards
+from quorumlens.llm import mixing, outliers, token_shards
 from quorumlens.session import scratch_path
 from tests.llm.test_minhash import brute as brute_groups
 from tests.llm.test_tiling import brute as brute_items
@@ -88,3 +90,44 @@ def test_empty_table(spark, made):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+CLASHES = (
+    "key copies _copy members size row place hash _hash _rank _text text_0 _lang _source _doc det m1 l11 z1 group distance kept base_failed "
+    "n_words node n list band component component_id digest signature ticket gap shard slot"
+).split()
+
+
+def test_stages_keep_columns_of_any_name(spark, made):
+    folder, rows, _ = made
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    own = docs.withColumns({c: F.concat(F.lit(c + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        found = stage(spark, own, folder)
+        assert found.columns == own.columns, name
+        plain = sorted(map(str, stage(spark, docs, folder).collect()))
+        assert sorted(map(str, found.select(*COLUMNS).collect())) == plain, name
+        wrong = [f"coalesce({c}, '') <> '{c}:' || coalesce(CAST(doc_id AS STRING), 'none')" for c in CLASHES]
+        assert found.where(" OR ".join(wrong)).count() == 0, name
+
+
+def test_statistics_beside_columns_of_the_same_names(spark, made):
+    docs = spark.read.parquet(f"{made[0]}/documents.parquet")
+    own = docs.withColumns({c: F.lit(7) for c in CLASHES})
+    plain, found = outliers.judged(docs), outliers.judged(own)
+    assert sorted(map(str, found.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+    assert found.select("_lang", "det", "l11").distinct().collect() == [(7, 7, 7)]
+
+
+def test_repeated_rows_and_documents_without_text(spark, made):
+    folder, rows, _ = made
+    odd = [(1, None, "en", "s0", 0), (2, "", "en", "s0", 0), (None, None, None, None, None)]
+    docs = spark.createDataFrame(odd * 3 + [rows[3]] * 4 + [rows[4]] * 2, SCHEMA)
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        counts[name] = Counter(r["doc_id"] for r in stage(spark, docs, folder).collect())
+    assert counts["quality_rules"] == {rows[3][0]: 4, rows[4][0]: 2}
+    assert counts["near_dedup"] == {1: 1, 2: 1, None: 1, rows[3][0]: 1, rows[4][0]: 1}
+    assert counts["decontaminate"] == {1: 3, 2: 3, None: 3, rows[3][0]: 4, rows[4][0]: 2}
+    again = Counter(r["doc_id"] for r in corpus_pipeline.source_mix(spark, docs.repartition(7), folder).collect())
+    assert counts["source_mix"] == again and set(again) <= {1, 2, None, rows[3][0], rows[4][0]}
