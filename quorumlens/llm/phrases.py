@@ -37,12 +37,12 @@ COVERED = 80
 #: One document in so many is in the sample.
 SAMPLE = 4
 #: Share of the expected sample count from which on the sample proposes a phrase.
-LOWERED = 0.4
+LOWERED = 0.7
 #: Bits of the bitmap of one phrase length.
 BITS = 1 << 26
 
 #: Words of a task's texts that are counted together before they leave the task.
-_BLOCK = 400_000
+_BLOCK = 800_000
 #: A byte that no UTF-8 text holds stands between pieces.
 _END = b"\xff"
 
