@@ -42,7 +42,7 @@ LOWERED = 0.7
 BITS = 1 << 26
 
 #: Words of a task's texts that are counted together before they leave the task.
-_BLOCK = 800_000
+_BLOCK = 400_000
 #: A byte that no UTF-8 text holds stands between pieces.
 _END = b"\xff"
 
