@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quorumlens.functions import vectors
 from quorumlens.operators import retrieval as r
-from quorumlens.session import written
+from quorumlens.session import discard, written
 
 #: Documents of a list on average, as long as ``MOST_CELLS`` allows.
 LIST_ROWS = 256
@@ -96,6 +96,7 @@ def fit(
         new = np.array([moved.get(i, centroids[i]) for i in range(len(centroids))], np.float64)
         new = np.where(np.linalg.norm(new, axis=1, keepdims=True) > 0, new, centroids)
         centroids = r._unit_rows(new)
+    discard(sample)
     return Cells(centroids)
 
 

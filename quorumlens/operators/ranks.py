@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorumlens.session import written
+from quorumlens.session import discard, written
 
 #: Parts into which a round cuts the values between two bounds.
 PARTS = 256
@@ -58,6 +58,7 @@ def quantiles(df: DataFrame, value: Column, dims: Sequence[str], shares: Sequenc
     while not (open_ := open_.where("low < high")).isEmpty():
         open_ = written(_narrowed(counts, open_, n), "rank-bounds")
         found = found.unionByName(open_.where("low = high"))
+    discard(counts)
     ends = found.groupBy(*[f"h{i}" for i in range(n)], "want.share").agg(
         F.min_by("low", "want.rank").alias("lower"), F.max_by("low", "want.rank").alias("upper"), F.first("want.part").alias("part")
     )

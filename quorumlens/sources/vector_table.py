@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quorumlens.session import written
+from quorumlens.session import discard, written
 
 VECTOR_STRUCT = T.StructType(
     [
@@ -93,6 +93,7 @@ class VectorTable:
         if taken:
             raise ValueError(f"ids are taken: {', '.join(taken)}")
         new.write.mode("append").partitionBy("collection").parquet(self.path)
+        discard(new)
 
     def replace(self, docs: DataFrame) -> None:
         """Replace exactly the collections that occur in ``docs``."""
@@ -158,6 +159,8 @@ class VectorTable:
                 self.delete(collection)
             else:
                 self.replace(state)
+            discard(state)
+        discard(new)
         return compared.groupBy("change").agg(F.count(F.lit(1)).alias("n_chunks"))
 
     def build_index(
