@@ -11,7 +11,7 @@ QUERIES = entry.queries()
 
 #: Python is used for matrix products only.
 VECTOR_KEYS = {
-    "vector_topk", "vector_topk_blocks", "vector_topk_filtered", "vector_ann", "retrieve_dual",
+    "vector_topk", "vector_topk_blocks", "vector_topk_filtered", "vector_ann", "vector_ann_exact", "vector_ann_recall", "retrieve_dual",
     "retrieval_context", "retrieval_summary", "history_match", "history_context",
 }
 
