@@ -36,6 +36,8 @@ _INLINE = frozenset(
 _DEEPEST = 256
 _HEADING = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 _BOXES = frozenset(["div", "section", "ul", "ol", "table", "dl"])
+#: What the ratios of a path count if all its text lies in elements named like page furniture.
+NAMED_WEIGHT = 0.05
 #: End tags that a start tag implies: it closes open elements of these names up to a boundary.
 _CLOSES = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -46,7 +48,7 @@ _CLOSES = {
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
-#: Words of class, id and role that mark page furniture, in the language of web templates.
+#: Words of class, id and role that hint at page furniture, in the language of web templates.
 _FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|"
     r"footer|foot|sidebar|aside|complementary|contentinfo|widget\w*|related|recommend\w*|share|sharing|social|comments?|"
@@ -61,6 +63,7 @@ class _Element:
     label: str
     up: _Element | None
     dropped: bool
+    named: bool  # like page furniture, itself or an element around it
     depth: int
     chosen: bool = False  # holds selected text
     letters: int = 0
@@ -80,10 +83,16 @@ class _Path:
     letters: int = 0
     marks: int = 0
     nodes: int = 0
+    named: int = 0
     sizes: list[int] = field(default_factory=list)
 
 
-def _furniture(name: str, attributes: str, up: _Element | None) -> bool:
+def _value(m: re.Match) -> str:
+    return (m[2] or m[3] or m[4] or "").lower()
+
+
+def _dropped(name: str, attributes: str, up: _Element | None) -> bool:
+    """Elements that hold no article by their kind, or that are hidden."""
     if name in _DROPPED:
         # An article's own header holds its title.
         while name == "header" and up is not None:
@@ -93,21 +102,27 @@ def _furniture(name: str, attributes: str, up: _Element | None) -> bool:
         return True
     if name in ("html", "body", "main", "article") or not attributes:
         return False
-    # Words name furniture on boxes, not on a heading or paragraph; ids in an article name its sections.
-    named = name not in _HEADING and name != "p"
-    inside = False
-    while named and up is not None and not inside:
-        inside, up = up.name in ("article", "main"), up.up
     for m in _ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if named and (key in ("class", "role") or key == "id" and not inside):
-            if _FURNITURE.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", value)):
-                return True
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
+        key = m[1].lower()
+        if key == "hidden" or key == "aria-hidden" and _value(m) == "true" or key == "style" and re.search(r"display\s*:\s*none", _value(m)):
             return True
     return False
 
 
+def _named(name: str, attributes: str, up: _Element | None) -> bool:
+    """Elements with a name of page furniture: boxes, not headings and paragraphs; ids in an article name its sections."""
+    if not attributes or name in _HEADING or name in ("html", "body", "main", "article", "p"):
+        return False
+    inside = False
+    while up is not None and not inside:
+        inside, up = up.name in ("article", "main"), up.up
+    keys = ("class", "role") if inside else ("class", "role", "id")
+    return any(
+        m[1].lower() in keys and _FURNITURE.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", _value(m)))
+        for m in _ATTRIBUTE.finditer(attributes)
+    )
+
+
 def _label(name: str, attributes: str) -> str:
     first = next((m for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() == "class"), None) if attributes else None
     value = (first[2] or first[3] or first[4] or "") if first else ""
@@ -115,8 +130,8 @@ def _label(name: str, attributes: str) -> str:
 
 
 def _texts(page: str) -> list[_Text]:
-    """Text nodes outside furniture, with their root-to-leaf path and the block they belong to."""
-    here = _Element("", "", None, False, 0)
+    """Text nodes outside dropped elements, with their root-to-leaf path and the block they belong to."""
+    here = _Element("", "", None, False, False, 0)
     found: list[_Text] = []
     block, at, end = 0, 0, len(page)
 
@@ -163,11 +178,12 @@ def _texts(page: str) -> list[_Text]:
                 if up.name in names:
                     here = up.up
                 up = up.up
-        dropped = here.dropped or _furniture(name, attributes, here)
+        dropped = here.dropped or _dropped(name, attributes, here)
+        named = here.named or _named(name, attributes, here)
         own = _label(name, attributes)
         if here.depth >= _DEEPEST and here.up is not None:
             here = here.up
-        here = _Element(name, f"{here.label}/{own}" if here.label else own, here, dropped, here.depth + 1)
+        here = _Element(name, f"{here.label}/{own}" if here.label else own, here, dropped, named, here.depth + 1)
         if name in _RAW:
             stop = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             if stop is None:
@@ -188,21 +204,24 @@ def _smooth(values: list[float], width: int = 2) -> list[float]:
     return out
 
 
-def content_paths(texts: list[tuple[str, str]], share: float = 0.5) -> set[str]:
-    """Paths whose ratio is high, of (path, text) nodes in page order.
+def content_paths(texts: list[tuple[str, str, bool]], share: float = 0.5) -> set[str]:
+    """Paths whose ratio is high, of (path, text, named) nodes in page order.
 
     Each path has two ratios: letters a node, and punctuation marks a node, both weighted by the spread
     of its node lengths. They are smoothed in the order in which paths appear, scaled to at most 1, fused
-    by their product's root, and kept from ``share`` of the standard deviation of all fused ratios on.
+    by their product's root, lowered by the share of the nodes in elements named like page furniture, down to
+    :data:`NAMED_WEIGHT`, and kept from ``share`` of the standard deviation of all fused ratios, or a quarter of
+    their mean, on.
     """
     paths: dict[str, _Path] = {}
-    for path, value in texts:
+    for path, value, named in texts:
         size = len(value.split())
         if size:
             p = paths.setdefault(path, _Path())
             p.letters += sum(map(len, value.split()))
             p.marks += len(_PUNCTUATION.findall(value))
             p.nodes += 1
+            p.named += named
             p.sizes.append(size)
     if not paths:
         return set()
@@ -218,17 +237,18 @@ def content_paths(texts: list[tuple[str, str]], share: float = 0.5) -> set[str]:
 
     letters = scaled([p.letters / p.nodes * spread(p) for p in paths.values()])
     marks = scaled([(p.marks + 1) / p.nodes * spread(p) for p in paths.values()])
-    fused = [math.sqrt(a * b) for a, b in zip(letters, marks, strict=True)]
+    names = [1.0 - (1.0 - NAMED_WEIGHT) * p.named / p.nodes for p in paths.values()]
+    fused = [math.sqrt(a * b) * c for a, b, c in zip(letters, marks, names, strict=True)]
     mean = sum(fused) / len(fused)
     sigma = math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
-    least = min(share * sigma, max(fused))
+    least = min(max(share * sigma, mean / 4), max(fused))
     return {path for path, f in zip(paths, fused, strict=True) if f >= least}
 
 
 def main_text(page: str | None) -> str:
     """The article of a page: blocks in page order, two line ends between them."""
     texts = _texts(page or "")
-    selected = content_paths([(t.path, t.value) for t in texts])
+    selected = content_paths([(t.path, t.value, t.inside.named) for t in texts])
     if not selected:
         return ""
 
@@ -257,6 +277,8 @@ def main_text(page: str | None) -> str:
         chain = list(above(t.inside))
         if top is not None and not any(e is top for e in chain):
             continue
+        if t.inside.named and t.path not in selected:
+            continue
         boxes = [e for e in chain if e.depth > (top.depth if top is not None else 0) and e.name in _BOXES]
         if t.path not in selected and any(
             not e.chosen and (e.name in ("div", "section") or e.linked * 2 > e.letters) for e in boxes

@@ -38,9 +38,11 @@ def test_pages(name):
 
 
 def test_high_ratio_paths_win():
-    texts = [("b/ul/li/a", "Home")] * 5 + [("b/div/p", BODY), ("b/div/p", MORE)] + [("b/span", "one two")] * 3 + [("b/em", "x")] * 4
+    plain = lambda *texts: [(p, t, False) for p, t in texts]
+    texts = plain(*[("b/ul/li/a", "Home")] * 5, ("b/div/p", BODY), ("b/div/p", MORE), *[("b/span", "one two")] * 3, *[("b/em", "x")] * 4)
     assert html_text.content_paths(texts) >= {"b/div/p"}
-    assert "b/ul/li/a" not in html_text.content_paths([("b/ul/li/a", "Home")] * 5 + [("x/%d" % i, "y") for i in range(5)] + [("b/div/p", BODY)])
+    texts = plain(*[("b/ul/li/a", "Home")] * 5, *[("x/%d" % i, "y") for i in range(5)], ("b/div/p", BODY))
+    assert "b/ul/li/a" not in html_text.content_paths(texts)
 
 
 def test_long_and_deep():
@@ -78,3 +80,16 @@ def test_hidden_parts_and_boxes_go(start):
     name = start[1:].split()[0].split(">")[0]
     end = "" if start.endswith("/>") else f"{BODY}</{name}>"
     assert html_text.main_text(f"<body><article>{start}{end}<p>{MORE}</p></article><div id=related><p>{BODY}</p></div></body>") == MORE.strip()
+
+
+def test_ratios_decide_about_boxes_named_like_furniture(monkeypatch):
+    """A named box goes beside an article, but stays where the text of the page is in it."""
+    box = f"<div class='search-results'><h2>Head</h2><p>{BODY}</p><p>{MORE}</p></div>"
+    text = f"Head\n\n{BODY.strip()}\n\n{MORE.strip()}"
+    alone = f"<body><nav><a href=/>Home</a></nav><main>{box}</main></body>"
+    beside = f"<body><main><p>{MORE}</p><p>{BODY}</p></main><div class='search-results'><p>{BODY}</p></div></body>"
+    assert html_text.main_text(alone) == text
+    assert html_text.main_text(beside) == f"{MORE.strip()}\n\n{BODY.strip()}"
+    monkeypatch.setattr(html_text, "content_paths", lambda texts: {p for p, _, _ in texts})
+    assert html_text.main_text(beside) != f"{MORE.strip()}\n\n{BODY.strip()}"
+    assert html_text.main_text(PAGES["article"][0]) != PAGES["article"][1]
