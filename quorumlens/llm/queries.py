@@ -97,7 +97,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "shards")
     size = token_shards.write_shards(table(spark, folder, "documents"), path)
-    return token_shards.read_shards(spark, path, size=size).drop("tokens")
+    return token_shards.read_shards(spark, path, size=size, tokens=False)
 
 
 @register("op2_tag_path_text")

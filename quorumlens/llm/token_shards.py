@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlens.llm.common import Batches, mixed, rows_of
+from quorumlens.llm.common import mixed, rows_of
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that belongs to the vocabulary (fixed value).
@@ -35,11 +35,15 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def count(self, text: str) -> int:
+        return len(self.encoding.encode_ordinary(text))
+
     def ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.encoding.encode_ordinary(text), "<u2")
+        return np.frombuffer(self.encode(text), "<u2")
 
     def encode(self, text: str) -> bytes:
-        return self.ids(text).tobytes()
+        ids = self.encoding.encode_ordinary(text)
+        return struct.pack(f"<{len(ids)}H", *ids)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -71,7 +75,7 @@ def _counting(ranks: dict[bytes, int], length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, n = Encoder(ranks), 0
         for (text,) in rows_of(batches, "text"):
-            n += -(-(len(encoder.ids(text or "")) + 1) // length)
+            n += -(-(encoder.count(text or "") + 1) // length)
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": pa.array([n], pa.int64())})
 
@@ -125,7 +129,7 @@ def write_shards(
     end tokens. A first pass counts the sequences of every partition, a second one numbers them and sends each
     to the slot of the keyed permutation. ``docs`` must give the same partitions twice, as a table read
     from files does; a partition with other counts fails. Shard s holds the slots from s * per_shard on, in
-    order, as one file: a header, the tokens and one closing byte make the stride. Null and empty texts are a
+    order, as one file that one task writes: a header, the tokens and one closing byte make the stride. Null and empty texts are a
     single end token, rows without doc_id keep a mark of their own, and repeated rows are written repeatedly.
     """
     ranks = read_ranks(tokenizer)
@@ -141,7 +145,7 @@ def write_shards(
     placed = source.mapInArrow(_placing(ranks, length, first, size, key), "slot bigint, record binary")
     (
         placed.withColumn("shard", F.expr(f"CAST(slot DIV {per_shard} AS INT)"))
-        .repartition(shards, "shard")
+        .repartitionById(shards, F.col("shard"))
         .sortWithinPartitions("shard", "slot")
         .select("shard", F.col("record").cast("string").alias("record"))
         .write.option("lineSep", "\n")
@@ -151,49 +155,74 @@ def write_shards(
     return size
 
 
-READ = (
-    "slot bigint, shard bigint, byte_offset bigint, doc_id bigint, sequence bigint, n_tokens bigint, "
-    "checksum bigint, tokens array<int>"
-)
+NUMBERS = ("slot", "shard", "byte_offset", "doc_id", "sequence", "n_tokens", "checksum")
+READ = ", ".join(f"{n} bigint" for n in NUMBERS)
+#: Sequences of an Arrow batch of the reader.
+READ_ROWS = 2_000
 
 
 def stride(length: int = LENGTH) -> int:
     return struct.calcsize(_HEAD) + 2 * length + 1
 
 
-def _reading(length: int, per_shard: int, start: int):
-    schema = pa.schema(
-        [(n, pa.int64()) for n in ("slot", "shard", "byte_offset", "doc_id", "sequence", "n_tokens", "checksum")]
-        + [("tokens", pa.list_(pa.int32()))]
-    )
+def _reading(length: int, per_shard: int, start: int, tokens: bool):
+    record = np.dtype([("doc", "<i8"), ("k", "<i4"), ("n", "<i4"), ("ids", "<u2", (length,)), ("end", "u1")])
+    head = struct.calcsize(_HEAD)
+
+    def sequences(shard: int, content: memoryview) -> Iterator[pa.RecordBatch]:
+        if len(content) % record.itemsize:
+            raise ValueError(f"shard {shard} has {len(content)} bytes, no multiple of {record.itemsize}")
+        rows = np.frombuffer(content, record)
+        for first in range(max(0, start - shard * per_shard), len(rows), READ_ROWS):
+            part = rows[first : first + READ_ROWS]
+            places = np.arange(first, first + len(part))
+            offsets = places * record.itemsize
+            n = part["n"].astype(np.int64)
+            begins = offsets + head
+            sums = [zlib.crc32(content[a:b]) for a, b in zip(begins.tolist(), (begins + 2 * n).tolist(), strict=True)]
+            columns = [
+                pa.array(shard * per_shard + places),
+                pa.array(np.full(len(part), shard, np.int64)),
+                pa.array(offsets),
+                pa.array(part["doc"].astype(np.int64), mask=part["doc"] == _NO_ID),
+                pa.array(part["k"].astype(np.int64)),
+                pa.array(n),
+                pa.array(sums, pa.int64()),
+            ]
+            names = list(NUMBERS)
+            if tokens:
+                ids = part["ids"][np.arange(length) < n[:, None]].astype(np.int32)
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)))
+                names.append("tokens")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, step, head = Batches(schema), stride(length), struct.calcsize(_HEAD)
         for batch in batches:
             for i in range(batch.num_rows):
-                shard, content = batch.column("shard")[i].as_py(), memoryview(batch.column("content")[i].as_buffer())
-                if len(content) % step:
-                    raise ValueError(f"shard {shard} has {len(content)} bytes, no multiple of {step}")
-                for at in range(max(0, start - shard * per_shard) * step, len(content), step):
-                    doc, k, n = struct.unpack_from(_HEAD, content, at)
-                    data = content[at + head : at + head + 2 * n]
-                    row = (shard * per_shard + at // step, shard, at, None if doc == _NO_ID else doc, k, n, zlib.crc32(data))
-                    yield from out.add((*row, np.frombuffer(data, "<u2")), 4 * n)
-        yield from out.end()
+                yield from sequences(batch.column("shard")[i].as_py(), memoryview(batch.column("content")[i].as_buffer()))
 
     return run
 
 
 def read_shards(
-    spark: SparkSession, path: str, size: int, length: int = LENGTH, per_shard: int = PER_SHARD, start: int = 0
+    spark: SparkSession,
+    path: str,
+    size: int,
+    length: int = LENGTH,
+    per_shard: int = PER_SHARD,
+    start: int = 0,
+    tokens: bool = True,
 ) -> DataFrame:
     """Sequences of the shards from slot ``start`` on: slot, shard, byte_offset, doc_id, sequence, n_tokens, checksum, tokens.
 
     ``size`` is the number that was written. Shards before the start are not opened; a slot's place is its
-    number in the shard times the stride.
+    number in the shard times the stride. The checksum is the CRC-32 of a sequence's tokens; without ``tokens`` they
+    are read and summed up, but not returned.
     """
+    schema = f"{READ}, tokens array<int>" if tokens else READ
     if not size:
-        return spark.createDataFrame([], READ)
+        return spark.createDataFrame([], schema)
     files = spark.read.format("binaryFile").load(path)
     files = files.where(F.col("shard") >= start // per_shard).select("shard", "content")
-    return files.mapInArrow(_reading(length, per_shard, start), READ)
+    return files.mapInArrow(_reading(length, per_shard, start, tokens), schema)

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -50,6 +51,13 @@ def test_round_trip(spark, tmp_path, length, per_shard):
         ids = [*np.frombuffer(encoder.encode(text or ""), "<u2").tolist(), ts.END]
         expected += [(doc, k // length, ids[k : k + length]) for k in range(0, len(ids), length)]
     assert sorted(map(str, expected)) == sorted(str((r.doc_id, r.sequence, list(r.tokens))) for r in found)
+    assert all(r.checksum == zlib.crc32(np.asarray(r.tokens, "<u2").tobytes()) and r.n_tokens == len(r.tokens) for r in found)
+    plain = ts.read_shards(spark, path, size, length, per_shard, tokens=False).orderBy("slot").collect()
+    assert [tuple(r) for r in plain] == [tuple(r)[:-1] for r in found]
+    # The place of a sequence is the permutation of its running number: all numbers of a document's sequences differ by one.
+    number = {int(slot): i for i, slot in enumerate(ts.permuted(np.arange(size), size, ts.KEY))}
+    order = sorted(found, key=lambda r: number[r.slot])
+    assert all(b.sequence == 0 or (b.doc_id, b.sequence) == (a.doc_id, a.sequence + 1) for a, b in zip(order, order[1:]))
     later = ts.read_shards(spark, path, size, length, per_shard, start=size // 2).collect()
     assert sorted(r.slot for r in later) == list(range(size // 2, size))
 
