@@ -22,14 +22,11 @@ from quorumlens.sources.log_table import LOG_STRUCT, LogTable
 Batch = Callable[[DataFrame, int], None]
 
 
-def read_files(
-    spark: SparkSession, path: str, schema: T.StructType, pattern: str | None = None
-) -> DataFrame:
-    """Stream of Parquet files that appear below a folder."""
-    reader = spark.readStream.schema(schema)
-    if pattern is not None:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.parquet(path)
+def read_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Stream of the Parquet files of a table: those that appear below a folder, or one file."""
+    # A stream takes a plain path for a folder; a pattern may also name a file. This one matches the path alone.
+    start, last = path.rstrip("/")[:-1], path.rstrip("/")[-1]
+    return spark.readStream.schema(schema).parquet(f"{start}[{last}]")
 
 
 def read_sessions(spark: SparkSession, path: str, ddl: str) -> DataFrame:

@@ -21,7 +21,7 @@ DELAY = "10 minutes"
 
 def _stream(spark, folder, name):
     schema = b.table(spark, folder, name).schema
-    return jobs.read_files(spark, folder, schema, f"{name}.parquet")
+    return jobs.read_files(spark, f"{folder}/{name}.parquet", schema)
 
 
 def _events(spark, folder):

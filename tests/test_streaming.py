@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from quorumlens.sources import sessions
 from quorumlens.sources.log_table import LogTable
 from quorumlens.streaming import jobs
+from suite import all_queries
 from tests.conftest import rows
 from tests.test_log import _log
 
+QUERIES = all_queries()[0]
 EVENTS = "id int, ts timestamp, user string, kind string, value int"
 
 
@@ -83,6 +85,14 @@ def test_redaction_and_triage(spark, tmp_path):
     assert got.scope.status == "in_scope" and got.intent == "trend"
 
 
+@pytest.mark.parametrize("name, key", [("documents", "stream_redact"), ("conversations", "stream_triage"), ("events", "stream_counters")])
+def test_tables_of_several_files_are_streamed_whole(spark, folder, tmp_path, name, key):
+    """A table is a folder of files as soon as it is written by more than one task."""
+    spark.read.parquet(f"{folder}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    parts, whole = (rows(QUERIES[key](spark, path)) for path in (str(tmp_path), folder))
+    assert parts == whole and whole
+
+
 def test_batches_merge_into_the_log(spark, tmp_path):
     table = LogTable(spark, str(tmp_path / "log"))
     merge = jobs.upsert_batches(table)
