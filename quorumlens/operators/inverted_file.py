@@ -1,9 +1,11 @@
 """Inverted file for vector search: documents in cells around centroids, queries against the cells that matter.
 
 Cells come from Lloyd rounds over a bounded sample; their number follows the number of documents, so a list keeps
-its length as the table grows and the work of a query stays the same. Every document is in one list and moves
-once; a query moves to each cell it probes. How many cells that are is read off the data: a few documents are
-searched exactly, and as many nearest cells are probed as hold the wanted share of their true neighbours.
+its length as the table grows. How many cells a query probes is read off the data: a few documents are searched exactly,
+and as many nearest cells are probed as hold the wanted share of their true neighbours. On data without clusters that is
+a share of all cells, so neither a query nor its hits may travel once a cell: neighbouring cells stand on one shelf, and
+a query moves once to each shelf, with a bit for each of its cells. Few shelves of bounded size hold all lists, and a
+query has ``k`` hits of each shelf.
 
 The exact search probes first, which bounds the distance of each query's ``k``-th neighbour, and then opens the
 further cells that can hold something nearer: by the triangle inequality on unit vectors, |q - d| is at least
@@ -36,6 +38,12 @@ ROUNDS = 6
 #: Share of true neighbours that the probed cells are to hold, and documents that it is measured on.
 TARGET, MEASURED = 0.97, 256
 
+#: Shelves and query blocks that a table is cut into, unless they grow beyond ``BLOCK_BYTES`` of vectors or below
+#: ``LEAST_ROWS``; cells on a shelf.
+PIECES, LEAST_ROWS, BLOCK_BYTES, SHELF_CELLS = 8, 1024, 1 << 25, 1024
+#: Entries of a matrix of similarities that a task holds at once.
+ENTRIES = 1 << 20
+
 #: Slack for rounded distances in the exact search.
 _SLACK = 1e-6
 
@@ -60,9 +68,11 @@ def _distance(similarity: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * similarity))
 
 
-def _chunks(column: pd.Series) -> Iterator[np.ndarray]:
-    for start in range(0, len(column), r.CHUNK_ROWS):
-        yield r._unit_rows(r._stacked(column.iloc[start : start + r.CHUNK_ROWS]))
+def _chunks(column: pd.Series, width: int) -> Iterator[np.ndarray]:
+    """Unit rows of a column, as many at once as may be compared with ``width`` centroids."""
+    rows = max(1, min(r.CHUNK_ROWS, ENTRIES // max(1, width)))
+    for start in range(0, len(column), rows):
+        yield r._unit_rows(r._stacked(column.iloc[start : start + rows]))
 
 
 def fit(
@@ -113,7 +123,7 @@ def listed(docs: DataFrame, cells: Cells) -> DataFrame:
     @F.pandas_udf("cell int, residual double")
     def nearest(column: pd.Series) -> pd.DataFrame:
         cell, residual = [], []
-        for unit in _chunks(column):
+        for unit in _chunks(column, len(sent.value)):
             near = sent.value.similarities(unit)
             best = near.argmax(axis=1)
             top = near[np.arange(len(best)), best]
@@ -125,50 +135,154 @@ def listed(docs: DataFrame, cells: Cells) -> DataFrame:
     return known.withColumn("at_", nearest("embedding")).select(r.DOC, "embedding", "at_.cell", "at_.residual").filter("cell >= 0")
 
 
-def _probed(queries: DataFrame, cells: Cells, probes: int) -> DataFrame:
-    """query_id, embedding, cell: the ``probes`` nearest cells of each query."""
-    sent, most = queries.sparkSession.sparkContext.broadcast(cells), min(probes, len(cells))
+def _boundary(similar: np.ndarray, probes: int) -> np.ndarray:
+    """Similarity of the last of the ``probes`` nearest cells, one row a query."""
+    last = similar.shape[1] - min(probes, similar.shape[1])
+    return np.partition(similar, last, axis=1)[:, last : last + 1]
 
-    @F.pandas_udf("array<int>")
-    def nearest(column: pd.Series) -> pd.Series:
-        out = []
-        for unit in _chunks(column):
-            near = sent.value.similarities(unit)
-            order = np.argsort(-near, axis=1, kind="stable")[:, :most]
-            out += [row.tolist() if best > -1.5 else [] for row, best in zip(order, near.max(axis=1), strict=True)]
-        return pd.Series(out)
 
-    return queries.select(r.QUERY, "embedding", F.explode(nearest("embedding")).alias("cell"))
+def _probed(similar: np.ndarray, probes: int) -> np.ndarray:
+    """Which cells each query probes: the ``probes`` nearest, and those as near as the last of them."""
+    return (similar >= _boundary(similar, probes)) & (similar > -1.5)
 
 
-def _reachable(queries: DataFrame, cells: Cells, probes: int, radius: np.ndarray) -> DataFrame:
-    """query_id, embedding, cell: cells beyond the probed ones that may hold a nearer document than ``reach`` tells."""
-    sent = queries.sparkSession.sparkContext.broadcast((cells, radius))
-    most = min(probes, len(cells))
+def _reachable(similar: np.ndarray, probes: int, reach: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Which cells beyond the probed ones may hold a nearer document than ``reach`` tells.
 
-    @F.pandas_udf("array<int>")
-    def near(column: pd.Series, reach: pd.Series) -> pd.Series:
+    Cells about as near as the last probed one are opened again, as similarities differ in the last digits between runs.
+    """
+    may = _distance(similar) - radius[None, :] <= reach[:, None] + _SLACK
+    return may & (similar <= _boundary(similar, probes) + _SLACK) & (similar > -1.5) & (radius[None, :] >= 0)
+
+
+def _shelves(cells: Cells, sizes: np.ndarray, rows: int, most: int = SHELF_CELLS) -> list[np.ndarray]:
+    """The cells with documents, neighbours together, in groups of at most ``rows`` documents or of one cell.
+
+    A group with more is cut across the coordinate in which its centroids differ most, where half of its documents are.
+    """
+    todo, done = [np.flatnonzero(sizes)], []
+    while todo:
+        part = todo.pop()
+        if len(part) <= 1 or (sizes[part].sum() <= rows and len(part) <= most):
+            done += [part] if len(part) else []
+            continue
+        axis = cells.centroids[part].var(axis=0).argmax()
+        part = part[np.argsort(cells.centroids[part, axis], kind="stable")]
+        before = np.cumsum(sizes[part])
+        cut = min(len(part) - 1, int(np.searchsorted(before, before[-1] / 2)) + 1)
+        todo += [part[cut:], part[:cut]]
+    return done
+
+
+def _routed(queries: DataFrame, cells: Cells, shelves: list[np.ndarray], probes: int, radius: np.ndarray | None = None) -> DataFrame:
+    """query_id, embedding, shelf, bits: a row for each shelf with a cell that the query opens, and a bit for each cell on it.
+
+    With ``radius``, the cells are those that ``reach`` demands beyond the probed ones.
+    """
+    sent = queries.sparkSession.sparkContext.broadcast((cells, shelves, radius))
+
+    @F.pandas_udf("array<struct<shelf:int,bits:binary>>")
+    def opened(column: pd.Series, reach: pd.Series) -> pd.Series:
+        found, stands, radii = sent.value
         out, at = [], 0
-        found, radii = sent.value
-        for unit in _chunks(column):
+        for unit in _chunks(column, len(found)):
             similar = found.similarities(unit)
-            limit = reach.to_numpy()[at : at + len(unit), None]
-            done = np.argsort(-similar, axis=1, kind="stable")[:, :most]
-            open_ = _distance(similar) - radii[None, :] <= limit + _SLACK
-            np.put_along_axis(open_, done, False, axis=1)
-            open_ &= (similar > -1.5) & (radii[None, :] >= 0)
-            out += [np.flatnonzero(row).tolist() for row in open_]
+            limit = reach.to_numpy()[at : at + len(unit)]
+            open_ = _probed(similar, probes) if radii is None else _reachable(similar, probes, limit, radii)
+            own = [[] for _ in unit]
+            for number, stand in enumerate(stands):
+                part = open_[:, stand]
+                packed = np.packbits(part, axis=1)
+                for i in np.flatnonzero(part.any(axis=1)).tolist():
+                    own[i].append({"shelf": number, "bits": packed[i].tobytes()})
+            out += own
             at += len(unit)
         return pd.Series(out)
 
-    return queries.select(r.QUERY, "embedding", F.explode(near("embedding", "reach")).alias("cell"))
-
-
-def _found(probed: DataFrame, lists: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` of each query in each list it probes. A long list and its many queries are cut into blocks."""
-    blocks = r._bucket_blocks(probed, lists, ["cell"], r.BLOCK_ROWS)
-    schema = r._hit_type(probed, lists)
-    return r._search_cells(probed.join(blocks, "cell"), lists.join(blocks, "cell"), ["cell"], k, schema)
+    reach = F.lit(0.0) if radius is None else F.col("reach")
+    return queries.select(r.QUERY, "embedding", F.explode(opened("embedding", reach)).alias("at_")).select(r.QUERY, "embedding", "at_.*")
+
+
+def _block_rows(n: int, dimension: int) -> int:
+    """Rows of one side in a block: the side in ``PIECES``, within bounds."""
+    return max(1, min(BLOCK_BYTES // (8 * max(1, dimension)), max(LEAST_ROWS, math.ceil(n / PIECES))))
+
+
+def _merged(best: tuple[np.ndarray, np.ndarray], q: np.ndarray, rank: np.ndarray, distance: np.ndarray) -> None:
+    """Put hits (row of a query, rank of a document's id, distance) among the best ones of each query, in place."""
+    far, ids = best
+    rows, place = np.unique(q, return_inverse=True)
+    k = far.shape[1]
+    place = np.concatenate([place, np.repeat(np.arange(len(rows)), k)])
+    distance = np.concatenate([distance, far[rows].ravel()])
+    rank = np.concatenate([rank, ids[rows].ravel()])
+    order = np.lexsort((rank, distance, place))
+    first = np.searchsorted(place[order], np.arange(len(rows)))
+    chosen = order[first[:, None] + np.arange(k)]
+    far[rows], ids[rows] = distance[chosen], rank[chosen]
+
+
+def _compare(best: tuple[np.ndarray, np.ndarray], rows: np.ndarray, queries: np.ndarray, rank: np.ndarray, docs: np.ndarray) -> None:
+    """Compare some queries with some documents; only pairs that may enter a query's best hits are looked at further."""
+    far, _ = best
+    k = far.shape[1]
+    similar = queries @ docs.T
+    limit = 1.0 - far[rows, -1]
+    new = np.flatnonzero(np.isinf(limit))
+    if len(new) and len(rank) > k:
+        limit[new] = np.partition(similar[new], len(rank) - k, axis=1)[:, len(rank) - k]
+    q, d = np.nonzero(similar >= limit[:, None] - 10.0**-r.RANK_DIGITS)
+    if len(q):
+        distance = np.round(1.0 - np.clip(similar[q, d], -1.0, 1.0), r.RANK_DIGITS)
+        _merged(best, rows[q], rank[d], distance)
+
+
+def _searched(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Best ``k`` documents of each query on one shelf, among the cells whose bits are set."""
+    if left.empty or right.empty:
+        return pd.DataFrame({r.QUERY: left[r.QUERY][:0], r.DOC: right[r.DOC][:0], r.DISTANCE: []})
+    right = right.sort_values(r.DOC, kind="stable")
+    names, place = right[r.DOC].to_numpy(), right["place"].to_numpy()
+    queries, docs = r._unit_rows(r._stacked(left["embedding"])), r._unit_rows(r._stacked(right["embedding"]))
+    if queries.shape[1] != docs.shape[1]:
+        raise ValueError(f"queries have {queries.shape[1]} dimensions, documents {docs.shape[1]}")
+    bits = np.frombuffer(b"".join(left["bits"]), np.uint8).reshape(len(left), -1)
+    best = np.full((len(left), k), np.inf), np.full((len(left), k), len(names), np.int64)
+    for cell in np.unique(place):
+        asked = np.flatnonzero(bits[:, cell >> 3] & (128 >> (cell & 7)))
+        own = np.flatnonzero(place == cell)
+        for i in range(0, len(own), r.CHUNK_ROWS):
+            part = own[i : i + r.CHUNK_ROWS]
+            step = max(1, ENTRIES // len(part))
+            for j in range(0, len(asked), step):
+                rows = asked[j : j + step]
+                _compare(best, rows, queries[rows], part, docs[part])
+    q, at = np.nonzero(np.isfinite(best[0]))
+    return pd.DataFrame({r.QUERY: left[r.QUERY].to_numpy()[q], r.DOC: names[best[1][q, at]], r.DISTANCE: best[0][q, at]})
+
+
+def _found(routed: DataFrame, lists: DataFrame, shelves: list[np.ndarray], sizes: np.ndarray, blocks: tuple[int, int], k: int) -> DataFrame:
+    """Best ``k`` of each query on each shelf it comes to. A long list, and the many queries of a shelf, are cut into blocks."""
+    spark, (query_rows, doc_rows) = lists.sparkSession, blocks
+    asked = {x["shelf"]: x["n"] for x in routed.groupBy("shelf").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = {i: (math.ceil(n / query_rows), max(1, math.ceil(int(sizes[shelves[i]].sum()) / doc_rows))) for i, n in asked.items()}
+    schema = r._hit_type(routed, lists)
+    if not parts:
+        return spark.createDataFrame([], schema)
+    # One row a shelf and one a cell: as bounded as the centroids, which every task knows.
+    cut = spark.createDataFrame([(i, *n) for i, n in parts.items()], "shelf int, n_qblock int, n_dblock int")
+    at = [(int(c), i, place, *parts[i]) for i in parts for place, c in enumerate(shelves[i])]
+    stood = spark.createDataFrame(at, "cell int, shelf int, place int, n_qblock int, n_dblock int")
+    q = r._cells(routed.join(F.broadcast(cut), "shelf"), r.QUERY, "qblock", "dblock")
+    d = r._cells(lists.join(F.broadcast(stood), "cell"), r.DOC, "dblock", "qblock")
+    key = ["shelf", "qblock", "dblock"]
+    own = F.col("embedding").alias("embedding")
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _searched(left, right, k)
+
+    grouped = q.select(r.QUERY, *key, own, "bits").groupBy(*key)
+    return grouped.cogroup(d.select(r.DOC, *key, "place", "embedding").groupBy(*key)).applyInPandas(search, schema)
 
 
 def probes_needed(docs: DataFrame, cells: Cells, k: int, target: float = TARGET, measured: int = MEASURED) -> int:
@@ -208,31 +322,46 @@ def search(
     spark = docs.sparkSession
     known = r._smallest_ids(docs.select(r.DOC, "embedding").filter(F.col("embedding").isNotNull()), max(k, 1))
     asked = queries.select(r.QUERY, "embedding").filter(F.col("embedding").isNotNull())
-    cells = fit(known, list_rows, most_cells) if k > 0 else Cells(np.empty((0, 0)))
+    if k <= 0:
+        return r._ranked(spark.createDataFrame([], r._hit_type(asked, known)), 0)
+    known = written(known, "vector-known")
+    cells = fit(known, list_rows, most_cells)
     if not len(cells):
-        return r._ranked(spark.createDataFrame([], r._hit_type(asked, known)), max(k, 0))
+        return r._ranked(spark.createDataFrame([], r._hit_type(asked, known)), k)
     probes = probes_needed(known, cells, k, target)
     lists = written(listed(known, cells), "vector-lists")
-    first = _found(_probed(asked, cells, probes), lists.drop("residual"), k)
+    discard(known)
+    radius, sizes = np.full(len(cells), -1.0), np.zeros(len(cells), np.int64)
+    for x in lists.groupBy("cell").agg(F.max("residual").alias("r"), F.count(F.lit(1)).alias("n")).collect():
+        radius[x["cell"]], sizes[x["cell"]] = x["r"], x["n"]
+    lists, dimension = lists.drop("residual"), cells.centroids.shape[1]
+    blocks = _block_rows(asked.count(), dimension), _block_rows(int(sizes.sum()), dimension)
+    shelves = _shelves(cells, sizes, blocks[1])
+    first = _found(_routed(asked, cells, shelves, probes), lists, shelves, sizes, blocks, k)
     if not exact:
         return r._ranked(first, k)
-    first = written(first, "vector-first")
-    radius = np.full(len(cells), -1.0)
-    for x in lists.groupBy("cell").agg(F.max("residual").alias("r")).collect():
-        radius[x["cell"]] = x["r"]
+    first = written(r._ranked(first, k).select(r.QUERY, r.DOC, r.DISTANCE), "vector-first")
     # A query with fewer than k hits so far has to see every cell.
-    kth = r._ranked(first, k).groupBy(r.QUERY).agg(F.count(F.lit(1)).alias("n"), F.max(r.DISTANCE).alias("far"))
+    kth = first.groupBy(r.QUERY).agg(F.count(F.lit(1)).alias("n"), F.max(r.DISTANCE).alias("far"))
     reach = F.when(F.col("n") == k, F.sqrt(2 * F.col("far"))).otherwise(F.lit(4.0))
     limits = kth.select(r.QUERY, reach.alias("reach"))
     bounded = asked.join(limits, r.QUERY, "left").withColumn("reach", F.coalesce("reach", F.lit(4.0)))
-    more = _found(_reachable(bounded, cells, probes, radius), lists.drop("residual"), k)
-    return r._ranked(first.unionByName(more), k)
+    more = _found(_routed(bounded, cells, shelves, probes, radius), lists, shelves, sizes, blocks, k)
+    return r._ranked(first.unionByName(more).groupBy(r.QUERY, r.DOC).agg(F.min(r.DISTANCE).alias(r.DISTANCE)), k)
 
 
 def compared(queries: DataFrame, docs: DataFrame, cells: Cells, probes: int) -> DataFrame:
     """n_pairs: how many (query, document) pairs a search with so many probes compares."""
+    sent = queries.sparkSession.sparkContext.broadcast(cells)
+
+    @F.pandas_udf("array<int>")
+    def probed(column: pd.Series) -> pd.Series:
+        chunks = _chunks(column, len(sent.value))
+        return pd.Series([np.flatnonzero(row).tolist() for unit in chunks for row in _probed(sent.value.similarities(unit), probes)])
+
     sizes = listed(docs, cells).groupBy("cell").agg(F.count(F.lit(1)).alias("n_docs"))
-    asked = _probed(queries, cells, probes).groupBy("cell").agg(F.count(F.lit(1)).alias("n_queries"))
+    known = queries.filter(F.col("embedding").isNotNull())
+    asked = known.select(F.explode(probed("embedding")).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n_queries"))
     return asked.join(sizes, "cell").agg(F.coalesce(F.sum(F.col("n_docs") * F.col("n_queries")), F.lit(0)).alias("n_pairs"))
 
 

@@ -24,7 +24,7 @@ from quorumlens.functions import textguard, vectors
 MAX_SENT_QUERIES = 4096
 #: Rows of one side in one block of the blocked search.
 BLOCK_ROWS = 8192
-#: Documents compared at once inside a task; bounds the distance matrix to queries x this.
+#: Documents, and queries, compared at once inside a task; bounds the distance matrix to the square of this.
 CHUNK_ROWS = 1024
 #: Hits up to this number may be sent to every task.
 MAX_SENT_HITS = 1_000_000
@@ -64,12 +64,15 @@ def _stacked(column: pd.Series) -> np.ndarray:
 
 def _nearest(qids, queries: np.ndarray, dids, docs: np.ndarray, k: int) -> pd.DataFrame:
     """Best ``k`` documents of every query among one batch of documents."""
-    best = None
-    for start in range(0, len(docs), CHUNK_ROWS):
-        part = slice(start, start + CHUNK_ROWS)
-        found = _nearest_of_chunk(qids, queries, dids[part], docs[part], k)
-        best = found if best is None else _best(pd.concat([best, found]), k)
-    return best
+    done = []
+    for first in range(0, max(1, len(queries)), CHUNK_ROWS):
+        asked, best = slice(first, first + CHUNK_ROWS), None
+        for start in range(0, len(docs), CHUNK_ROWS):
+            part = slice(start, start + CHUNK_ROWS)
+            found = _nearest_of_chunk(qids[asked], queries[asked], dids[part], docs[part], k)
+            best = found if best is None else _best(pd.concat([best, found]), k)
+        done.append(best)
+    return done[0] if len(done) == 1 else pd.concat(done)
 
 
 def _nearest_of_chunk(qids, queries, dids, docs, k: int) -> pd.DataFrame:

@@ -278,6 +278,52 @@ def test_inverted_file_compares_few_pairs_at_any_size(spark, groups):
     assert pairs[1] < 10 * pairs[0]
 
 
+class _Kept:
+    """Keeps the hits that come to be ranked. Tasks, which are sent the module, get a text in its place."""
+
+    def __init__(self, ranked):
+        self.ranked, self.hits = ranked, None
+
+    def __call__(self, hits, k):
+        self.hits = hits
+        return self.ranked(hits, k)
+
+    def __reduce__(self):
+        return str, ()
+
+
+def test_hits_of_many_probed_cells_are_few(spark, monkeypatch):
+    """Without clusters a query probes most cells; it must not bring ``k`` hits of each of them."""
+    d = np.random.default_rng(8).standard_normal((1500, 16)).astype(np.float32)
+    docs, kept = _vectors(spark, d, "doc_id"), _Kept(retrieval._ranked)
+    monkeypatch.setattr(retrieval, "_ranked", kept)
+    queries = docs.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    hits = inverted_file.search(queries, docs, 5, list_rows=8)
+    assert hits.count() == 75 * 5
+    assert kept.hits.count() <= 75 * 5 * 2 * 8
+
+
+@pytest.mark.parametrize("rows_, cells", [(100, 7), (40, 3), (10**6, 1024)])
+def test_shelves_hold_every_cell_with_documents_once(rows_, cells):
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 30, 50)
+    sizes[7] = 500
+    shelves = inverted_file._shelves(inverted_file.Cells(rng.standard_normal((50, 4))), sizes, rows_, cells)
+    assert sorted(np.concatenate(shelves)) == np.flatnonzero(sizes).tolist()
+    assert all(len(x) == 1 or (sizes[x].sum() <= rows_ and len(x) <= cells) for x in shelves)
+
+
+def test_search_in_blocks_is_exact(spark, groups, monkeypatch):
+    """Shelves of a few rows, lists longer than a block, and matrices of a few rows."""
+    d, docs = groups
+    for name, value in (("LEAST_ROWS", 1), ("PIECES", 20), ("ENTRIES", 100)):
+        monkeypatch.setattr(inverted_file, name, value)
+    queries = docs.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    hits = inverted_file.search(queries, docs, 5, exact=True, target=0.3, list_rows=200)
+    expected = {(int(q), doc, rank) for q, doc, rank in _brute(d[::20].astype(float), d.astype(float), 5)}
+    assert {(r.query_id // 20, r.doc_id, r.rank) for r in hits.collect()} == expected
+
+
 def test_inverted_file_edge_cases(spark):
     docs = _vectors(spark, [[1, 0], [0, 0], [-1, 0]], "doc_id").union(spark.createDataFrame([(9, None)], "d bigint, e array<float>"))
     queries = _vectors(spark, [[1, 0], [0, 0]], "query_id")
