@@ -75,6 +75,18 @@ def _chunks(column: pd.Series, width: int) -> Iterator[np.ndarray]:
         yield r._unit_rows(r._stacked(column.iloc[start : start + rows]))
 
 
+def _units(column: pd.Series) -> np.ndarray:
+    """All unit rows of a column, without a second copy of them on the way."""
+    out, at = None, 0
+    for unit in _chunks(column, 1):
+        out = np.empty((len(column), unit.shape[1])) if out is None else out
+        if unit.shape[1] != out.shape[1]:
+            raise ValueError("the vectors have unequal lengths")
+        out[at : at + len(unit)] = unit
+        at += len(unit)
+    return out
+
+
 def fit(
     docs: DataFrame,
     list_rows: int = LIST_ROWS,
@@ -243,7 +255,7 @@ def _searched(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
         return pd.DataFrame({r.QUERY: left[r.QUERY][:0], r.DOC: right[r.DOC][:0], r.DISTANCE: []})
     right = right.sort_values(r.DOC, kind="stable")
     names, place = right[r.DOC].to_numpy(), right["place"].to_numpy()
-    queries, docs = r._unit_rows(r._stacked(left["embedding"])), r._unit_rows(r._stacked(right["embedding"]))
+    queries, docs = _units(left["embedding"]), _units(right["embedding"])
     if queries.shape[1] != docs.shape[1]:
         raise ValueError(f"queries have {queries.shape[1]} dimensions, documents {docs.shape[1]}")
     bits = np.frombuffer(b"".join(left["bits"]), np.uint8).reshape(len(left), -1)

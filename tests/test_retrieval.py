@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -324,6 +326,18 @@ def test_search_in_blocks_is_exact(spark, groups, monkeypatch):
     assert {(r.query_id // 20, r.doc_id, r.rank) for r in hits.collect()} == expected
 
 
+def test_comparing_many_queries_at_once_takes_little_memory():
+    rng = np.random.default_rng(4)
+    queries, docs = (retrieval._unit_rows(rng.standard_normal((n, 8))) for n in (8192, 1024))
+    tracemalloc.start()
+    found = retrieval._nearest(np.arange(8192), queries, np.arange(1024), docs, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    near = np.round(1 - queries @ docs.T, 9)
+    assert found.distance.tolist() == np.sort(near, axis=1)[:, :2].ravel().tolist()
+    assert peak < 64 << 20
+
+
 def test_inverted_file_edge_cases(spark):
     docs = _vectors(spark, [[1, 0], [0, 0], [-1, 0]], "doc_id").union(spark.createDataFrame([(9, None)], "d bigint, e array<float>"))
     queries = _vectors(spark, [[1, 0], [0, 0]], "query_id")
