@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -133,35 +134,46 @@ class VectorTable:
         ``added``, ``changed``, ``removed`` or is the ``same``; only added and changed chunks are embedded, by the
         column ``embed`` over ``content``, and the others keep their vectors. Without a change nothing is written.
         Of chunks with one doc_id, the one with the greatest content counts; chunks without doc_id are left out.
+
+        Ids and hashes are compared first, so texts move only where a part of a side is taken, and are written once.
+        ``chunks`` is read up to three times and has to give the same rows each time.
         """
         entries = F.array_sort(F.map_entries(F.coalesce("metadata", F.create_map().cast("map<string,string>"))))
         mark = F.sha2(F.to_json(F.struct(F.coalesce("content", F.lit("")).alias("content"), entries.alias("metadata"))), 256)
-        first = F.max_by(F.struct("content", "metadata"), F.struct("content", F.to_json("metadata"))).alias("chunk")
-        single = chunks.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(first).select("doc_id", "chunk.*")
-        new = written(single.withColumn("hash_", mark), "chunks")
-        stored = self.read(collection)
-        old = stored.select(F.col("doc_id").alias("old_"), F.col("metadata")[HASH].alias("was_"))
+        known = chunks.filter("doc_id IS NOT NULL").select("doc_id", "content", "metadata")
+        twice = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+        twice = written(twice, "repeated-ids")
+        if not twice.isEmpty():
+            first = F.max_by(F.struct("content", "metadata"), F.struct("content", F.to_json("metadata"))).alias("chunk")
+            best = known.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", "chunk.*")
+            known = known.join(twice, "doc_id", "left_anti").unionByName(best)
+        new, stored = known.withColumn("hash_", mark), self.read(collection)
+        old = stored.select(F.col("doc_id").alias("old_"), F.unhex(F.col("metadata")[HASH]).alias("was_"))
         change = (
             F.when(F.col("old_").isNull(), "added").when(F.col("doc_id").isNull(), "removed")
-            .when(F.col("was_").eqNullSafe(F.col("hash_")), "same").otherwise("changed")
+            .when(F.col("was_").eqNullSafe(F.col("is_")), "same").otherwise("changed")
         )
-        compared = new.select("doc_id", "hash_").join(old, F.col("doc_id") == F.col("old_"), "full")
+        compared = new.select("doc_id", F.unhex("hash_").alias("is_")).join(old, F.col("doc_id") == F.col("old_"), "full")
         compared = written(compared.select(F.coalesce("doc_id", "old_").alias("doc_id"), change.alias("change")), "changes")
-        todo = compared.filter("change IN ('added', 'changed')").select("doc_id")
-        if not compared.filter("change <> 'same'").isEmpty():
+        counted = compared.groupBy("change").agg(F.count(F.lit(1)).alias("n_chunks"))
+        found = {x["change"] for x in counted.collect()}
+        parts = []
+        if found & {"added", "changed"}:
+            todo = compared.filter("change IN ('added', 'changed')").select("doc_id")
             own = F.map_concat(F.coalesce("metadata", F.create_map().cast("map<string,string>")), F.create_map(F.lit(HASH), F.col("hash_")))
-            made = new.join(todo, "doc_id", "left_semi").select(
-                "doc_id", "content", own.alias("metadata"), embed.cast("array<float>").alias("embedding"), F.lit(collection).alias("collection")
-            )
-            kept = stored.join(compared.filter("change = 'same'").select("doc_id"), "doc_id", "left_semi")
-            state = written(made.unionByName(kept.select(*made.columns)), "synced")
-            if state.isEmpty():
-                self.delete(collection)
-            else:
-                self.replace(state)
-            discard(state)
-        discard(new)
-        return compared.groupBy("change").agg(F.count(F.lit(1)).alias("n_chunks"))
+            made = new.join(todo, "doc_id", "left_semi") if "same" in found else new
+            parts.append(made.select("doc_id", "content", own.alias("metadata"), embed.cast("array<float>").alias("embedding")))
+        if "same" in found:
+            same = compared.filter("change = 'same'").select("doc_id")
+            kept = stored.join(same, "doc_id", "left_semi") if found & {"removed", "changed"} else stored
+            parts.append(kept.select("doc_id", "content", "metadata", "embedding"))
+        if not parts:
+            self.delete(collection)
+        elif found != {"same"}:
+            # Files are staged beside the partition and take its place when all are there, so it can be read meanwhile.
+            self.replace(reduce(DataFrame.unionByName, parts).withColumn("collection", F.lit(collection)))
+        discard(twice)
+        return counted
 
     def build_index(
         self, knowledge: DataFrame, schema: DataFrame, embed: Column, force: bool = False

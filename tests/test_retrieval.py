@@ -236,6 +236,23 @@ def test_sync_embeds_only_what_changed(spark, tmp_path):
     assert rows(table.read("notes")) == [] and sync(chunks(c="new").limit(0)) == ({}, 0)
 
 
+def test_sync_writes_texts_once(spark, tmp_path, monkeypatch):
+    """Tables beside the collection hold ids, not texts; the collection is replaced while it is read."""
+    table, beside = VectorTable(spark, str(tmp_path / "v")), []
+    keep = vector_table.written
+    monkeypatch.setattr(vector_table, "written", lambda df, name: beside.append(df.columns) or keep(df, name))
+    embed = F.array(F.length("content").cast("float"))
+    states = [{str(i): f"text {i}" for i in range(300)}, {str(i): f"text {i + i % 3 // 2}" for i in range(30, 330)}]
+    states += [states[1], {**states[1], "x": "one more"}]
+    for state, expected in zip(
+        states, ({"added": 300}, {"removed": 30, "added": 30, "changed": 90, "same": 180}, {"same": 300}, {"added": 1, "same": 300}), strict=True
+    ):
+        some = spark.createDataFrame([(k, v, None) for k, v in state.items()], "doc_id string, content string, metadata map<string,string>")
+        assert dict(table.sync(some.repartition(5), "notes", embed).collect()) == expected
+        assert {(r.doc_id, r.content) for r in table.read("notes").collect()} == set(state.items())
+    assert beside and not any("content" in columns for columns in beside)
+
+
 # --- inverted file ------------------------------------------------------------------------------------
 
 
