@@ -56,6 +56,8 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 _PHRASES = pa.schema([("lang", pa.string()), ("n_words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 _KINDS = "lang string, n_words int, phrase string, n bigint"
+#: What is shuffled: phrase, line end, language. No phrase holds a line end, and a short row makes a small shuffle.
+_SENT = pa.schema([("key", pa.string()), ("n", pa.int64())])
 
 
 def _seed(lang: str) -> int:
@@ -173,24 +175,32 @@ def _joined(hashes: np.ndarray, phrases: np.ndarray) -> np.ndarray:
     return out
 
 
+def _keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    key = pc.binary_join_element_wise(batch.column("phrase"), batch.column("lang"), "\n")
+    return pa.RecordBatch.from_arrays([key, batch.column("n")], schema=_SENT)
+
+
 def _counting(tests: Sequence[_Test], bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _Block()
         for lang, text in rows_of(batches, "lang", "text"):
             block.add(lang, text)
             if block.size >= _BLOCK:
-                yield from block.counts(tests, bits)
+                yield from map(_keyed, block.counts(tests, bits))
                 block = _Block()
         if block.size:
-            yield from block.counts(tests, bits)
+            yield from map(_keyed, block.counts(tests, bits))
 
     return run
 
 
 def _counted(texts: DataFrame, tests: Sequence[_Test], bits: int, least: int) -> DataFrame:
     """lang, n_words, phrase, n of phrases that occur ``least`` times or more; blocks are added up before the shuffle."""
-    each = texts.mapInArrow(_counting(tests, bits), _KINDS)
-    return each.groupBy("lang", "n_words", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    each = texts.mapInArrow(_counting(tests, bits), "key string, n bigint")
+    enough = each.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    named = enough.withColumn("phrase", F.substring_index("key", "\n", 1))
+    lang = F.expr("substring(key, length(phrase) + 2)").alias("lang")
+    return named.select(lang, F.size(F.split("phrase", " ")).alias("n_words"), "phrase", "n")
 
 
 def _hashes(batch: pa.RecordBatch) -> np.ndarray:
