@@ -9,21 +9,21 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumlens.llm.common import Batches, WordHashes, rows_of, shingle_hashes
-from quorumlens.session import written
+from quorumlens.llm.common import Batches, WordHashes, mixed, rows_of, shingle_hashes
+from quorumlens.session import discard, written
 
-COORDINATES = 96
-#: A linked pair is missed by the match threshold with this probability at most.
+COORDINATES = 108
+#: A linked pair shares no list with this probability at most.
 MISS = 1e-6
-#: Shared prefix lists that a pair needs; each asks one more list of the prefix.
-SHARED = 4
+#: Columns of 64 bits that hold the parities of a set.
+PARITIES = 8
 #: Rounds that compare documents with pivots of their lists before the rest is compared pair by pair.
 STAR_ROUNDS = 2
 #: Pivots of a list in each round.
-PIVOTS = 4
+PIVOTS = 2
 
 
 def match_threshold(coordinates: int, similarity: float, miss: float = MISS) -> int:
@@ -36,6 +36,14 @@ def match_threshold(coordinates: int, similarity: float, miss: float = MISS) ->
     return coordinates
 
 
+def coordinates_of_list(coordinates: int, similarity: float, miss: float = MISS) -> int:
+    """Most coordinates that may make a list together: a linked pair shares one list at least with probability 1 - ``miss``."""
+    for size in range(coordinates, 0, -1):
+        if match_threshold(coordinates // size, similarity**size, miss):
+            return size
+    raise ValueError(f"{coordinates} coordinates are too few for similarity {similarity}")
+
+
 def _sets(width: int):
     """Function from a text (bytes or None) to its sorted distinct shingle hashes."""
     hashes = WordHashes()
@@ -63,17 +71,36 @@ def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
     return (found >> np.uint64(32)).astype(np.uint32)
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
+def lists(values: np.ndarray, size: int) -> np.ndarray:
+    """A number for each ``size`` coordinates, made of their place and their values."""
+    values = values[: len(values) - len(values) % size].reshape(-1, size)
+    out = mixed(np.arange(1, len(values) + 1, dtype=np.uint64))
+    for column in values.T:
+        out = mixed((out ^ column) * np.uint64(0x9E3779B97F4A7C15))
+    return out.view(np.int64)
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles in each of 64 * PARITIES bins is odd, as bits. Two sets differ in as many shingles as bits at least."""
+    odd = np.bincount((shingles >> np.uint64(32)).astype(np.int64) % (64 * PARITIES), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+_ODD = [f"odd{i}" for i in range(PARITIES)]
+_SKETCH = pa.schema(
+    [("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("lists", pa.binary()), *[(c, pa.int64()) for c in _ODD]]
+)
 
 
-def _sketches(width: int, coordinates: int):
+def _sketches(width: int, coordinates: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, out = _sets(width), Batches(_SKETCH)
         for doc, text in rows_of(batches, "doc_id", "text"):
             own = of(text)
-            row = (doc, len(own), None, None)
+            row = (doc, len(own), None, None, *[None] * PARITIES)
             if len(own):
-                row = (doc, len(own), xxhash.xxh3_128_digest(own.tobytes()), signature(own, coordinates).tobytes())
+                named = lists(signature(own, coordinates), size).tobytes()
+                row = (doc, len(own), xxhash.xxh3_128_digest(own.tobytes()), named, *parities(own).tolist())
             yield from out.add(row)
         yield from out.end()
 
@@ -81,31 +108,13 @@ def _sketches(width: int, coordinates: int):
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(list, node): coordinate and value as one number, and the set that has it."""
+    """(list, node): a list, and the set that has it."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            values = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(part.num_rows, -1)
-            place = np.arange(values.shape[1], dtype=np.int64) << np.int64(32)
-            lists = (values.astype(np.int64) | place).ravel()
-            nodes = np.repeat(part.column("node").to_numpy(zero_copy_only=False), values.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(nodes)], names=["list", "node"])
-
-
-def _matching(least: int, more: tuple[str, ...]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [
-                np.count_nonzero(np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32))
-                for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)
-            ]
-            keep = pa.array(np.asarray(found, np.int64) >= least)
-            names = ["a", "b", *more]
-            columns = [*map(batch.column, names), pa.array(found, pa.int64())]
-            out = pa.RecordBatch.from_arrays(columns, names=[*names, "matches"])
-            yield out.filter(keep)
-
-    return run
+            values = np.frombuffer(b"".join(part.column("lists").to_pylist()), np.int64)
+            nodes = np.repeat(part.column("node").to_numpy(zero_copy_only=False), len(values) // part.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(nodes)], names=["list", "node"])
 
 
 def _confirming(width: int, percent: int):
@@ -177,22 +186,30 @@ def _hooked(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(moved.select("node", F.coalesce("to", "component").alias("component")), "labels")
 
 
+def _apart() -> Column:
+    """Shingles in which the sets of the columns ``na``, ``xa`` and ``nb``, ``xb`` differ at least."""
+    odd = [F.bit_count(F.col("xa")[c].bitwiseXOR(F.col("xb")[c])) for c in _ODD]
+    return F.greatest(reduce(Column.__add__, odd), F.abs(F.col("na") - F.col("nb"))).cast("bigint")
+
+
 class _Join:
     """Comparison of candidate pairs of one table."""
 
-    def __init__(self, sets: DataFrame, texts: DataFrame, least: int, width: int, percent: int):
-        self.sets, self.texts = sets.select("node", "n", "signature"), texts
-        self.least, self.width, self.percent = least, width, percent
+    def __init__(self, sets: DataFrame, texts: DataFrame, width: int, percent: int):
+        self.sets, self.texts, self.width, self.percent = sets, texts, width, percent
+
+    def side(self, x: str) -> DataFrame:
+        """Sets as the first or second of a pair: ``x``, n and parities."""
+        return self.sets.select(F.col("node").alias(x), F.col("n").alias("n" + x), F.struct(*_ODD).alias("x" + x))
 
-    def matched(self, pairs: DataFrame, *more: str) -> DataFrame:
-        """Pairs (a, b) with enough equal coordinates and sizes that allow the similarity: a, b, ``more``, matches."""
-        sets = self.sets
-        left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
-        right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
-        fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent
-        both = pairs.select("a", "b", *more).join(left, "a").join(right, "b").where(fits)
-        schema = ", ".join(f"{c} bigint" for c in ("a", "b", *more, "matches"))
-        return both.select("a", "b", *more, "sa", "sb").mapInArrow(_matching(self.least, more), schema)
+    def fits(self) -> Column:
+        """Whether a pair may be similar enough. At this similarity two sets differ in so many shingles at most, so none is lost."""
+        return _apart() * (100 + self.percent) <= (F.col("na") + F.col("nb")) * (100 - self.percent)
+
+    def fitting(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that may be similar enough."""
+        both = pairs.select("a", "b").join(self.side("a"), "a").join(self.side("b"), "b")
+        return both.where(self.fits()).select("a", "b")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose full sets are similar enough."""
@@ -209,48 +226,42 @@ def near_duplicates(
     coordinates: int = COORDINATES,
     star_rounds: int = STAR_ROUNDS,
     pivots: int = PIVOTS,
-    shared: int = SHARED,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id BIGINT, text STRING).
 
     Documents are linked when 100 * |A & B| >= percent * |A | B| for their sets of distinct shingles of
     ``width`` lower-cased words (a shorter text is one shingle of all its words). Equal sets are one class.
 
-    1. Each class posts its node under every (coordinate, value) of its signature. Lists of one node are
-       left out; a node with fewer than the threshold of other lists can match nobody and is skipped.
-    2. Nodes keep the rarest lists only, as many as a pair above the threshold cannot miss together.
-    3. In a few rounds each list compares its nodes with some pivots, which joins large groups of near copies
-       without all their pairs. Where lists still hold nodes of different components, these are then joined pair
-       by pair, collisions are counted, and pairs with enough of them are compared.
-    4. A pair needs enough equal coordinates and is confirmed on the full sets.
+    1. Each class posts its node under its lists: each few coordinates of its signature with their values. So many
+       coordinates make a list as linked pairs still share one, but for :data:`MISS`. Lists of one node are left out.
+    2. In a few rounds each list compares its nodes with some pivots, which joins large groups of near copies
+       without all their pairs. Where lists still hold nodes of different components, these are joined pair by pair.
+    3. A pair must differ in few parities of its sets, which loses no pair, and is confirmed on the full sets.
 
     Rows without words, text or doc_id are linked with nothing. Rows that repeat a doc_id are rows of
     their own with one number; an empty table gives no rows.
     """
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    sketch = source.mapInArrow(_sketches(width, coordinates), "doc_id bigint, n bigint, digest binary, signature binary")
+    size = coordinates_of_list(coordinates, percent / 100)
+    sketch = source.mapInArrow(
+        _sketches(width, coordinates, size), "doc_id bigint, n bigint, digest binary, lists binary, " + ", ".join(f"{c} bigint" for c in _ODD)
+    )
     sketch = written(sketch, "sketches")
     named = sketch.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    sets = named.groupBy("digest").agg(
-        F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("signature").alias("signature")
-    )
+    sets = named.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n", "lists", *_ODD)])
     sets = written(sets, "sets")
-    least = match_threshold(coordinates, percent / 100)
 
-    posts = sets.select("node", "signature").mapInArrow(_postings, "list bigint, node bigint")
+    posts = sets.select("node", "lists").mapInArrow(_postings, "list bigint, node bigint")
     lengths = posts.groupBy("list").count().where("count > 1")
-    common = posts.join(lengths, "list").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("count", "list"))).alias("lists"))
-    common = common.where(F.size("lists") >= least)
-    prefix = F.slice("lists", 1, F.size("lists") - least + min(shared, least))
-    posts = common.select(F.explode(prefix.getField("list")).alias("list"), "node")
-    posts = written(posts, "postings")
+    posts = written(posts.join(lengths, "list", "left_semi"), "postings")
 
     nodes = posts.select("node").distinct()
-    wanted = sets.join(nodes, "node", "left_semi").select("node", "digest")
+    held = written(sets.join(nodes, "node", "left_semi").drop("lists"), "nodes")
+    nodes, wanted = held.select("node").distinct(), held.select("node", "digest")
     texts = source.join(wanted, source.doc_id == wanted.node).select("node", "text", "digest")
     texts = texts.mapInArrow(_texts(width), "node bigint, text binary").dropDuplicates(["node"])
     texts = written(texts, "texts")
-    join = _Join(sets, texts, least, width, percent)
+    join = _Join(held, texts, width, percent)
 
     labels = written(nodes.select("node", F.col("node").alias("component")), "labels")
     links: list[DataFrame] = []
@@ -265,22 +276,25 @@ def near_duplicates(
             nearest = [F.min(F.col("node").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)) for x in own]
             star = open_.groupBy("list").agg(F.array_distinct(F.array(*nearest)).alias("pivots"))
             pairs = open_.join(star, "list").select(F.explode("pivots").alias("a"), F.col("node").alias("b")).where("a <> b")
-        else:
-            other = open_.select("list", F.col("node").alias("b"), F.col("component").alias("cb"))
-            pairs = open_.join(other, "list").where("node < b AND component <> cb").select(F.col("node").alias("a"), "b")
-        pairs = pairs.groupBy("a", "b").count().where(F.col("count") >= min(shared, least))
-        if turn < star_rounds:
+            pairs = pairs.distinct()
             left, right = (labels.select(F.col("node").alias(x), F.col("component").alias("c" + x)) for x in "ab")
-            pairs = pairs.join(left, "a").join(right, "b").where("ca <> cb")
-            # One confirmed link is enough to join a component, so each tries its best one.
-            matched = join.matched(pairs, "cb").groupBy("cb").agg(F.max_by(F.struct("a", "b"), F.struct("matches", "a", "b")).alias("best"))
-            matched = matched.select("best.a", "best.b")
+            pairs = join.fitting(pairs.join(left, "a").join(right, "b").where("ca <> cb"))
         else:
-            matched = join.matched(pairs)
-        links.append(written(join.confirmed(matched), "confirmed"))
-        if turn < star_rounds:
+            left, right = (open_.withColumnsRenamed({"node": x, "component": "c" + x}).join(join.side(x), x) for x in "ab")
+            pairs = left.join(right, "list").where(join.fits()).where("a < b AND ca <> cb").select("a", "b").distinct()
+        links.append(written(join.confirmed(pairs), "confirmed"))
+        discard(open_)
+        if turn < star_rounds - 1:
             labels = _hooked(labels, links[-1])
-    labels = components(nodes, reduce(DataFrame.union, links))
+        elif turn < star_rounds:
+            # The rest is compared pair by pair, so no two labels of connected nodes may be left.
+            labels = components(nodes, reduce(DataFrame.union, links))
+    # What the last links join is few: the labels of all other nodes stay.
+    left, right = (labels.select(F.col("node").alias(x), F.col("component").alias("c" + x)) for x in "ab")
+    last = written(links[-1].join(left, "a").join(right, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "last-links")
+    joined = components(last.select(F.explode(F.array("a", "b")).alias("node")).distinct(), last, "to")
+    joined = joined.select(F.col("node").alias("component"), "to")
+    labels = labels.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
 
     found = labels.where("component <> node")
     placed = named.select("doc_id", "digest").distinct().join(sets.select("digest", "node"), "digest")

@@ -78,3 +78,21 @@ def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(29)] + [(33, 35), (35, 39)], "a bigint, b bigint")
     found = {r.node: r.component for r in minhash.components(nodes, links).collect()}
     assert all(found[i] == 0 for i in range(30)) and found[39] == 33 and found[31] == 31
+
+
+def test_near_copies_below_the_threshold_are_not_compared_in_pairs(spark, monkeypatch):
+    rnd = random.Random(5)
+    base = ["w%d" % i for i in range(200)]
+    rows = []
+    for doc in range(90):
+        own = list(base)
+        for at in rnd.sample(range(0, 200, 4), 10):
+            own[at] = "own%d-%d" % (doc, at)
+        rows.append((doc, " ".join(own)))
+    rows += [(100, rows[7][1] + " more"), (101, rows[60][1] + " more")]
+    compared = []
+    confirmed = minhash._Join.confirmed
+    monkeypatch.setattr(minhash._Join, "confirmed", lambda self, pairs: compared.append(pairs.count()) or confirmed(self, pairs))
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=2)
+    assert sorted(map(tuple, found.collect())) == sorted(brute(rows, 2))
+    assert sum(compared) < 5 * len(rows), compared
