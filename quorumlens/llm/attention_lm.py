@@ -27,6 +27,9 @@ WIDTH = 16
 #: ``TAILS`` classes of growing size, whose members are told apart by a second level.
 CLASSES = 128
 TAILS = 64
+#: So many tail classes of few members, and so many of them at a time, are compared in one product of matrices.
+SMALL = 32
+TOGETHER = 8
 #: Members of the first tail class, and how much larger each next one is (the last one has what is left).
 LEAST_MEMBERS = 4
 GROWTH = 1.121
@@ -66,7 +69,8 @@ class Vocabulary:
     """Rank by count (the input number), class and log10 share of its class of every token id.
 
     ``first`` has the first rank of each class and, at its end, the number of ids; ``start`` has the natural
-    logarithm of the share by rank.
+    logarithm of the share by rank, ``member`` the class by rank. ``groups`` are neighbouring classes of several members:
+    first class, first rank and its end, and for each class which of these ranks are its members (None for a class alone).
     """
 
     inputs: np.ndarray
@@ -75,6 +79,8 @@ class Vocabulary:
     prior: np.ndarray
     first: np.ndarray
     start: np.ndarray
+    member: np.ndarray
+    groups: list[tuple[int, int, int, np.ndarray | None]]
 
     @classmethod
     def of(cls, counts: np.ndarray) -> Vocabulary:
@@ -85,11 +91,18 @@ class Vocabulary:
         single = CLASSES - TAILS
         sizes = np.round(LEAST_MEMBERS * GROWTH ** np.arange(TAILS - 1)).astype(np.int64)
         first = np.concatenate([np.arange(single + 1), single + np.cumsum(sizes), [len(counts)]])
-        classes = (np.searchsorted(first, np.arange(len(counts)), "right") - 1)[inputs]
+        member = np.searchsorted(first, np.arange(len(counts)), "right") - 1
+        classes = member[inputs]
         total = np.bincount(classes, weight, CLASSES)
         share = np.log10(weight / total[classes])
         start = (share * np.log(10))[order].astype(np.float32)
-        return cls(inputs.astype(np.int32), classes.astype(np.int32), share, np.log(np.maximum(total, 1.0) / weight.sum()), first, start)
+        groups = []
+        for c in [*range(single, single + SMALL, TOGETHER), *range(single + SMALL, CLASSES)]:
+            n = TOGETHER if c < single + SMALL else 1
+            low, high = int(first[c]), int(first[c + n])
+            of = (member[low:high] == np.arange(c, c + n)[:, None]).astype(np.float32) if n > 1 else None
+            groups.append((c, low, high, of))
+        return cls(inputs.astype(np.int32), classes.astype(np.int32), share, np.log(np.maximum(total, 1.0) / weight.sum()), first, start, member, groups)
 
 
 def start_weights(vocabulary: Vocabulary, seed: int = 7) -> dict[str, np.ndarray]:
@@ -103,24 +116,42 @@ def start_weights(vocabulary: Vocabulary, seed: int = 7) -> dict[str, np.ndarray
 
 
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+_SEEN = np.tri(WINDOW, dtype=np.float32)
+#: Natural logarithms that are no further apart are exponentials of one common largest value without loss.
+_NEAR = 80
 
 
-def attend(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Class logits (windows * WINDOW, CLASSES) of the next token after each input, and what led there."""
-    e = w["e"][x] + w["p"]
+def hidden_states(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What leads from each input to its hidden state, which comes last; rows of ``a`` are still to be divided by ``total``."""
+    e = np.take(w["e"], x, axis=0)
+    e += w["p"]
     qkv = e.reshape(-1, WIDTH) @ np.concatenate([w["q"], w["k"], w["v"]], axis=1)
     q, k, v = (qkv[:, i * WIDTH : (i + 1) * WIDTH].reshape(e.shape) for i in range(3))
+    q *= e.dtype.type(WIDTH**-0.5)
     a = q @ k.transpose(0, 2, 1)
-    a *= e.dtype.type(WIDTH**-0.5)
-    a += _MASK
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a @ np.ones((WINDOW, 1), e.dtype)
+    top = a.max()
+    if top - a.min() > _NEAR:
+        a += _MASK
+        a -= a.max(axis=2, keepdims=True)
+        np.exp(a, out=a)
+    else:
+        a -= top
+        np.exp(a, out=a)
+        a *= _SEEN
+    total = a @ np.ones((WINDOW, 1), e.dtype)
     c = a @ v
-    h = e + (c.reshape(-1, WIDTH) @ w["o"]).reshape(e.shape)
-    logits = h.reshape(-1, WIDTH) @ w["c"]
+    c /= total
+    h = c.reshape(-1, WIDTH) @ w["o"]
+    h += e.reshape(-1, WIDTH)
+    return e, q, k, v, a, total, c, h.reshape(e.shape)
+
+
+def attend(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Class logits (windows * WINDOW, CLASSES) of the next token after each input, and what led there."""
+    states = hidden_states(w, x)
+    logits = states[-1].reshape(-1, WIDTH) @ w["c"]
     logits += w["b"]
-    return logits, e, q, k, v, a, c, h
+    return logits, *states
 
 
 def normalised(logits: np.ndarray) -> np.ndarray:
@@ -128,13 +159,30 @@ def normalised(logits: np.ndarray) -> np.ndarray:
     top = logits.max()
     logits -= top
     low = logits.min()
-    if low < -80:  # far apart: each row by its own largest value
+    if low < -_NEAR:  # far apart: each row by its own largest value
         own = logits.max(axis=1)
         return np.log(np.exp(logits - own[:, None]).sum(axis=1)) + own + top
     np.exp(logits, out=logits)
     return np.log(logits @ np.ones(CLASSES, logits.dtype)) + top
 
 
+def shares(logits: np.ndarray, scale: np.floating, of: np.ndarray | None = None) -> np.ndarray:
+    """Probabilities of each row, times ``scale``, in place of the logits; ``of`` is 1 for entries that have one, else 0."""
+    top = logits.max()
+    if top - logits.min() > _NEAR:
+        if of is not None:
+            logits[of == 0] = -np.inf
+        logits -= logits.max(axis=1, keepdims=True)
+        np.exp(logits, out=logits)
+    else:
+        logits -= top
+        np.exp(logits, out=logits)
+        if of is not None:
+            logits *= of
+    logits *= scale / (logits @ np.ones((logits.shape[1], 1), logits.dtype))
+    return logits
+
+
 def forward(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
     """Log class probabilities instead of logits."""
     logits, *rest = attend(w, x)
@@ -150,10 +198,15 @@ def by_class(vocabulary: Vocabulary, classes: np.ndarray, used: np.ndarray) -> I
         yield places, int(vocabulary.first[c]), int(vocabulary.first[c + 1])
 
 
-def member_logs(w: dict[str, np.ndarray], vocabulary: Vocabulary, h: np.ndarray, start: int, end: int) -> np.ndarray:
-    """log probability, given the hidden states ``h``, of each member of the class of these ranks."""
+def _member_logits(w: dict[str, np.ndarray], vocabulary: Vocabulary, h: np.ndarray, start: int, end: int) -> np.ndarray:
     logits = h @ w["m"][start:end].T
     logits += vocabulary.start[start:end]
+    return logits
+
+
+def member_logs(w: dict[str, np.ndarray], vocabulary: Vocabulary, h: np.ndarray, start: int, end: int) -> np.ndarray:
+    """log probability, given the hidden states ``h``, of each member of the class of these ranks."""
+    logits = _member_logits(w, vocabulary, h, start, end)
     logits -= logits.max(axis=1, keepdims=True)
     logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
     return logits
@@ -161,38 +214,60 @@ def member_logs(w: dict[str, np.ndarray], vocabulary: Vocabulary, h: np.ndarray,
 
 def _gradients(w: dict[str, np.ndarray], x, y, used, ranks=None, vocabulary: Vocabulary | None = None) -> dict[str, np.ndarray | list]:
     """Like :func:`gradients`, with lists of (rows, values) for ``e`` and ``m``."""
-    logits, e, q, k, v, a, c, h = forward(w, x)
+    e, q, k, v, a, total, c, h = hidden_states(w, x)
     flat = lambda m: m.reshape(-1, WIDTH)
-    scale = np.float32(1 / max(1, used.sum()))
-    d = np.exp(logits)
-    d[np.arange(len(d)), y.ravel()] -= 1
-    d *= (used.ravel() * scale).astype(np.float32)[:, None]
-    g = {"c": flat(h).T @ d, "b": d.sum(axis=0), "m": []}
-    dh = d @ w["c"].T
+    # Places that are not in use are context only: nothing is predicted there. The others stand by class.
+    places, classes = np.flatnonzero(used), y.ravel()
+    places = places[np.argsort(classes[places].astype(np.uint16), kind="stable")]
+    hidden, classes = np.take(flat(h), places, axis=0), classes[places]
+    scale = h.dtype.type(1 / max(1, len(places)))
+    d = hidden @ w["c"]
+    d += w["b"]
+    d = shares(d, scale)
+    d[np.arange(len(d)), classes] -= scale
+    g = {"c": hidden.T @ d, "b": np.ones(len(d), d.dtype) @ d, "m": []}
+    dhidden = d @ w["c"].T
     if ranks is not None:
-        ranks, hidden = ranks.ravel(), flat(h)
-        for at, start, end in by_class(vocabulary, y.ravel(), used.ravel().astype(bool)):
-            dm = np.exp(member_logs(w, vocabulary, hidden[at], start, end))
-            dm[np.arange(len(at)), ranks[at] - start] -= 1
-            dm *= scale
-            g["m"].append((slice(start, end), dm.T @ hidden[at]))
-            dh[at] += dm @ w["m"][start:end]
-    dh = dh.reshape(e.shape)
-    dc = (flat(dh) @ w["o"].T).reshape(e.shape)
-    g["o"] = flat(c).T @ flat(dh)
-    da = dc @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    de = dh.copy()
-    for name, part in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] = flat(e).T @ flat(part)
-        de += (flat(part) @ w[name].T).reshape(e.shape)
-    g["p"] = de.sum(axis=0)
-    one = flat(de)
-    rows, at = np.unique(x.ravel(), return_inverse=True)
-    at = at.ravel()
-    g["e"] = [(rows, np.stack([np.bincount(at, one[:, j], len(rows)) for j in range(WIDTH)], axis=1).astype(np.float32))]
+        ranks = ranks.ravel()[places]
+        n = np.bincount(classes, minlength=CLASSES)
+        begin = np.append(0, np.cumsum(n)).tolist()
+        for least, start, end, of in vocabulary.groups:
+            low, high = begin[least], begin[least + (1 if of is None else len(of))]
+            if low == high:
+                continue
+            one = hidden[low:high]
+            dm = shares(_member_logits(w, vocabulary, one, start, end), scale, None if of is None else of[classes[low:high] - least])
+            dm[np.arange(high - low), ranks[low:high] - start] -= scale
+            dhidden[low:high] += dm @ w["m"][start:end]
+            rows, values = slice(start, end), dm.T @ one
+            if of is not None and not n[least : least + len(of)].all():
+                # Classes without a place stay as they are.
+                moved = np.flatnonzero(n[vocabulary.member[start:end]])
+                rows, values = start + moved, values[moved]
+            g["m"].append((rows, values))
+    dh = np.zeros((x.size, WIDTH), h.dtype)
+    dh[places] = dhidden
+    g["o"] = flat(c).T @ dh
+    dc = (dh @ w["o"].T).reshape(e.shape)
+    dc /= total
+    # As rows of a and v make c, the sum of da * a over a row is that of dc * c.
+    ds = dc @ v.transpose(0, 2, 1)
+    ds -= np.einsum("ijk,ijk->ij", dc, c)[:, :, None]
+    ds *= a
+    dqkv = np.empty((*x.shape, 3 * WIDTH), h.dtype)
+    np.multiply(ds @ k, h.dtype.type(WIDTH**-0.5), out=dqkv[:, :, :WIDTH])
+    dqkv[:, :, WIDTH : 2 * WIDTH] = ds.transpose(0, 2, 1) @ q
+    dqkv[:, :, 2 * WIDTH :] = a.transpose(0, 2, 1) @ dc
+    dqkv = dqkv.reshape(-1, 3 * WIDTH)
+    g["q"], g["k"], g["v"] = np.split(flat(e).T @ dqkv, 3, axis=1)
+    de = dh
+    de += dqkv @ np.concatenate([w["q"], w["k"], w["v"]], axis=1).T
+    g["p"] = de.reshape(e.shape).sum(axis=0)
+    tokens = x.ravel().astype(np.uint16)
+    order = np.argsort(tokens, kind="stable")
+    tokens = tokens[order]
+    begin = np.append(0, 1 + np.flatnonzero(tokens[1:] != tokens[:-1]))
+    g["e"] = [(tokens[begin], np.add.reduceat(np.take(de, order, axis=0), begin, axis=0))]
     return g
 
 
@@ -208,22 +283,37 @@ def gradients(w: dict[str, np.ndarray], x, y, used, ranks=None, vocabulary: Voca
 
 def _adam(w: dict[str, np.ndarray], vocabulary: Vocabulary, batches: Iterator[tuple], rate: float) -> int:
     """Trains ``w`` in place; returns how many windows it has seen. Vectors of tokens move in steps that concern them."""
-    m = {k: np.zeros_like(v) for k, v in w.items()}
-    s = {k: np.zeros_like(v) for k, v in w.items()}
+    # All weights but those of tokens are parts of one vector, which moves at once.
+    names = [k for k in sorted(w) if k not in ("e", "m")]
+    moving = {"e": w["e"], "m": w["m"], "": np.concatenate([w[k].ravel() for k in names])}
+    ends = np.cumsum([w[k].size for k in names])
+    for k, part in zip(names, np.split(moving[""], ends[:-1]), strict=True):
+        w[k] = part.reshape(w[k].shape)
+    m = {k: np.zeros_like(v) for k, v in moving.items()}
+    s = {k: np.zeros_like(v) for k, v in moving.items()}
     seen = 0
     for step, (x, y, used, ranks) in enumerate(batches, 1):
         seen += len(x)
-        scale = np.float32(rate / (1 - 0.9**step))
-        for k, g in _gradients(w, x, y, used, ranks, vocabulary).items():
-            for rows, part in g if isinstance(g, list) else [(slice(None), g)]:
-                mean, square = m[k][rows], s[k][rows]
-                m[k][rows] = mean = mean + np.float32(0.1) * (part - mean)
-                s[k][rows] = square = square + np.float32(0.02) * (part * part - square)
-                w[k][rows] -= (scale * mean / (np.sqrt(square / (1 - 0.98**step)) + 1e-8)).astype(np.float32)
+        scale, spread = np.float32(rate / (1 - 0.9**step)), np.float32(1 / (1 - 0.98**step))
+        g = _gradients(w, x, y, used, ranks, vocabulary)
+        parts = [(k, *z) for k in ("e", "m") for z in g[k]] + [("", slice(None), np.concatenate([g[k].ravel() for k in names]))]
+        for k, rows, part in parts:
+            mean, square = m[k][rows], s[k][rows]
+            mean += np.float32(0.1) * (part - mean)
+            part *= part
+            part -= square
+            part *= np.float32(0.02)
+            square += part
+            m[k][rows], s[k][rows] = mean, square
+            square = np.sqrt(square * spread)
+            square += np.float32(1e-8)
+            moving[k][rows] -= scale * mean / square
     return seen
 
 
 _FIRST = VOCABULARY  # input before the first token
+#: Entries of a matrix of places and members.
+_ENTRIES = 1 << 18
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,18 +346,27 @@ def score_tokens(w: dict[str, np.ndarray], vocabulary: Vocabulary, tokens: np.nd
     total = np.zeros(len(lengths))
     placed = windows(lengths)
     n = len(placed[0])
-    for at in range(0, n, 48):
-        part = slice(at, at + 48)
-        x, y, used, owner = gathered(vocabulary, tokens, lengths, placed, part)
-        logits, *_, h = attend(w, x)
-        classes = vocabulary.classes[y].ravel()
-        own = logits.ravel()[np.arange(0, logits.size, CLASSES) + classes]
-        own = own - normalised(logits)
-        ranks, hidden = vocabulary.inputs[y].ravel(), h.reshape(-1, WIDTH)
-        for places, start, end in by_class(vocabulary, classes, used.ravel()):
-            own[places] += member_logs(w, vocabulary, hidden[places], start, end)[np.arange(len(places)), ranks[places] - start]
-        own = np.where(used, own.reshape(y.shape), 0.0).sum(axis=1) * np.log10(np.e)
-        total += np.bincount(owner, own, len(lengths))
+    for first in range(0, n, 768):
+        # Members are told apart for many windows at once.
+        kept = []
+        for at in range(first, min(n, first + 768), 16):
+            x, y, used, owner = gathered(vocabulary, tokens, lengths, placed, slice(at, min(at + 16, first + 768)))
+            places = np.flatnonzero(used)
+            hidden = np.take(hidden_states(w, x)[-1].reshape(-1, WIDTH), places, axis=0)
+            logits = hidden @ w["c"]
+            logits += w["b"]
+            y = y.ravel()[places]
+            own = logits[np.arange(len(y)), vocabulary.classes[y]]
+            own = own - normalised(logits)
+            kept.append((hidden, y, own, np.repeat(owner, used.sum(axis=1))))
+        hidden, y, own, owner = (np.concatenate(z) for z in zip(*kept, strict=True))
+        ranks = vocabulary.inputs[y]
+        for places, start, end in by_class(vocabulary, vocabulary.classes[y], np.True_):
+            most = max(1, _ENTRIES // (end - start))
+            for k in range(0, len(places), most):
+                at = places[k : k + most]
+                own[at] += member_logs(w, vocabulary, hidden[at], start, end)[np.arange(len(at)), ranks[at] - start]
+        total += np.bincount(owner, own, len(lengths)) * np.log10(np.e)
     return total
 
 

@@ -189,3 +189,39 @@ def test_every_token_has_its_own_probability():
     full = np.concatenate([logits[0, c] + lm.member_logs(w, v, h[0, :1], v.first[c], v.first[c + 1])[0] for c in range(lm.CLASSES)])
     assert np.isclose(np.exp(full.astype(float)).sum(), 1, atol=1e-4)
     assert np.allclose(each, full[v.inputs[::997]] / math.log(10), atol=1e-3)
+
+
+@pytest.mark.parametrize("far", [0.0, 300.0])
+def test_small_classes_are_compared_together(monkeypatch, far):
+    """As many products as groups of classes, with the gradients of each class by itself, also where logits are far apart."""
+    v, rng = vocabulary(), np.random.default_rng(6)
+    w = {k: a.astype(np.float64) for k, a in lm.start_weights(v).items()}
+    w["m"] = rng.normal(size=w["m"].shape)
+    w["m"][v.first[lm.CLASSES - lm.TAILS] :: 5, 0] += far
+    rank = rng.integers(0, v.first[lm.CLASSES - lm.TAILS + lm.SMALL], (lm.BATCH, lm.WINDOW))
+    y = np.argsort(v.inputs)[rank]
+    x, used = rng.integers(0, 50, y.shape), np.arange(lm.WINDOW) >= np.arange(lm.BATCH)[:, None]
+    products, plain = [], lm._member_logits
+    monkeypatch.setattr(lm, "_member_logits", lambda *a: products.append(a) or plain(*a))
+    g = lm.gradients(w, x, v.classes[y], used, rank, v)
+    assert 1 < len(products) <= lm.SMALL // lm.TOGETHER
+    hidden, expected = lm.attend(w, x)[-1].reshape(-1, lm.WIDTH), np.zeros_like(w["m"])
+    for at, start, end in lm.by_class(v, v.classes[y].ravel(), used.ravel()):
+        d = np.exp(lm.member_logs(w, v, hidden[at], start, end))
+        d[np.arange(len(at)), rank.ravel()[at] - start] -= 1
+        expected[start:end] = d.T @ hidden[at] / used.sum()
+    assert np.abs(expected).max() > 1e-3 and np.allclose(g["m"], expected, atol=1e-9)
+
+
+def test_attention_far_apart():
+    """Scores of attention that no common largest value fits are as those of each row by itself."""
+    v = vocabulary()
+    w = {k: a.astype(np.float64) for k, a in lm.start_weights(v).items()}
+    x = np.random.default_rng(7).integers(0, 500, (3, lm.WINDOW))
+    w["q"] *= 8000
+    e, q, k, _, a, total, c, _ = lm.hidden_states(w, x)
+    logits = np.where(np.tri(lm.WINDOW) > 0, q @ k.transpose(0, 2, 1), -np.inf)
+    assert logits.max() - logits[np.isfinite(logits)].min() > 80
+    expected = np.exp(logits - logits.max(axis=2, keepdims=True))
+    expected /= expected.sum(axis=2, keepdims=True)
+    assert np.allclose(a / total, expected, atol=1e-6) and np.allclose(c, expected @ (e @ w["v"]), atol=1e-5)
