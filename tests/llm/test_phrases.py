@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +93,55 @@ def test_counts_beyond_64_bits_in_products(spark):
     big = 9_000_000_000_000_000
     expr = f"(CAST(2000000 AS DECIMAL(10,0)) * CAST({big} AS DECIMAL(20,0))) div (CAST({big} AS DECIMAL(20,0)) + CAST(7 AS DECIMAL(20,0)))"
     assert spark.range(1).select(F.expr(expr)).first()[0] == 2_000_000 * big // (big + 7)
+
+
+def test_packed_hashes_keep_every_key_and_count():
+    rng = np.random.default_rng(1)
+    last = (1 << phrases._KEY_BITS) - 1
+    keys = np.concatenate([rng.integers(0, last, 5000, np.uint64), np.array([0, 0, 1, last, last], np.uint64)])
+    got = Counter()
+    for part in (keys[:3000], keys[3000:], keys[4990:]):
+        for batch in phrases._sent(*phrases._merged(phrases._packed(part, 30), 30)):
+            for r in batch.to_pylist():
+                packed = phrases._received(r["range"], [r["n"]], [r["packed"]])
+                found, n = phrases._merged(packed, 30)
+                assert len(found) == len(packed) and (found >> phrases._REST == r["range"]).all()
+                got.update(dict(zip(found.tolist(), n.tolist(), strict=True)))
+    assert got == Counter(np.concatenate([keys, keys[4990:]]).tolist())
+    many = phrases._merged(np.concatenate([phrases._packed(np.zeros(40, np.uint64), 30)] * 3), 30)
+    assert [z.tolist() for z in many] == [[0], [30]]
+
+
+@pytest.mark.parametrize("kept, block", [(4_000_000, 400_000), (50, 60)])
+def test_spellings_of_infrequent_words_and_pairs_stay_in_their_tasks(spark, monkeypatch, kept, block):
+    """Exact counts are taken of what the hashes leave over, which is all that is frequent and hardly more."""
+    monkeypatch.setattr(phrases, "_KEPT", kept)
+    monkeypatch.setattr(phrases, "_BLOCK", block)
+    monkeypatch.setattr(phrases, "_REMEMBERED", 5)
+    least, words, pairs, totals = 6, Counter(), Counter(), Counter()
+    documents = [*corpus(200, seed=4), (200, "rare" + " word".join(map(str, range(500))), "en"), (201, "", "xx")]
+    for _, text, lang in documents:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text.lower()):
+            found = re.findall(r"[^\x20\x09]+", piece)
+            words.update((lang or "und", w) for w in found)
+            pairs.update((lang or "und", f"{a} {b}") for a, b in zip(found, found[1:]))
+            totals[lang or "und"] += len(found)
+    texts = pa.RecordBatch.from_pylist([{"lang": lang or "und", "text": text.encode()} for _, text, lang in documents])
+    sent = pa.Table.from_batches(phrases._tallying(least)(iter([texts.slice(0, 90), texts.slice(90)])))
+    ranges = {(r, lang): sent.filter((pa.compute.equal(sent["range"], r)) if lang is None else pa.compute.equal(sent["lang"], lang)) for r, lang in zip(sent["range"].to_pylist(), sent["lang"].to_pylist())}
+    added = [r for k, t in ranges.items() for r in phrases._adding(least, phrases.BITS)(tuple(map(pa.scalar, k)), t).to_pylist()]
+    assert {r["lang"]: r["total"] for r in added if r["total"]} == {k: n for k, n in totals.items() if n}
+
+    bits = spark.createDataFrame([(r["at"], r["bit"]) for r in added if r["bit"] is not None], "at bigint, bit bigint")
+    common = phrases._bitmap_of(bits, phrases.BITS)
+    spelled = Counter()
+    for batch in phrases._counting([phrases._Test(w, own=common) for w in (1, 2)], phrases.BITS)(iter([texts])):
+        for r in batch.to_pylist():
+            spelled[r["lang"], r["phrase"]] += r["n"]
+    assert spelled == Counter({k: n for k, n in (words | pairs).items() if n >= least})
+    assert len(spelled) > 50 and len(words | pairs) > 2 * len(spelled)
+
+
+def test_texts_without_words(spark):
+    documents = spark.createDataFrame([(1, "", "en"), (2, None, None), (3, " . \n", "de")], KINDS).repartition(2)
+    assert phrases.collocations(documents, least=1).collect() == []
