@@ -125,9 +125,8 @@ def hidden_states(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray,
     """What leads from each input to its hidden state, which comes last; rows of ``a`` are still to be divided by ``total``."""
     e = np.take(w["e"], x, axis=0)
     e += w["p"]
-    qkv = e.reshape(-1, WIDTH) @ np.concatenate([w["q"], w["k"], w["v"]], axis=1)
+    qkv = e.reshape(-1, WIDTH) @ np.concatenate([w["q"] * e.dtype.type(WIDTH**-0.5), w["k"], w["v"]], axis=1)
     q, k, v = (qkv[:, i * WIDTH : (i + 1) * WIDTH].reshape(e.shape) for i in range(3))
-    q *= e.dtype.type(WIDTH**-0.5)
     a = q @ k.transpose(0, 2, 1)
     top = a.max()
     if top - a.min() > _NEAR:
@@ -163,7 +162,7 @@ def normalised(logits: np.ndarray) -> np.ndarray:
         own = logits.max(axis=1)
         return np.log(np.exp(logits - own[:, None]).sum(axis=1)) + own + top
     np.exp(logits, out=logits)
-    return np.log(logits @ np.ones(CLASSES, logits.dtype)) + top
+    return np.log(logits @ np.ones(logits.shape[1], logits.dtype)) + top
 
 
 def shares(logits: np.ndarray, scale: np.floating, of: np.ndarray | None = None) -> np.ndarray:
@@ -213,7 +212,7 @@ def member_logs(w: dict[str, np.ndarray], vocabulary: Vocabulary, h: np.ndarray,
 
 
 def _gradients(w: dict[str, np.ndarray], x, y, used, ranks=None, vocabulary: Vocabulary | None = None) -> dict[str, np.ndarray | list]:
-    """Like :func:`gradients`, with lists of (rows, values) for ``e`` and ``m``."""
+    """Like :func:`gradients`, with lists of (rows, values) for ``e`` and ``m``, and ``q``, ``k`` and ``v`` side by side."""
     e, q, k, v, a, total, c, h = hidden_states(w, x)
     flat = lambda m: m.reshape(-1, WIDTH)
     # Places that are not in use are context only: nothing is predicted there. The others stand by class.
@@ -259,7 +258,7 @@ def _gradients(w: dict[str, np.ndarray], x, y, used, ranks=None, vocabulary: Voc
     dqkv[:, :, WIDTH : 2 * WIDTH] = ds.transpose(0, 2, 1) @ q
     dqkv[:, :, 2 * WIDTH :] = a.transpose(0, 2, 1) @ dc
     dqkv = dqkv.reshape(-1, 3 * WIDTH)
-    g["q"], g["k"], g["v"] = np.split(flat(e).T @ dqkv, 3, axis=1)
+    g["qkv"] = flat(e).T @ dqkv
     de = dh
     de += dqkv @ np.concatenate([w["q"], w["k"], w["v"]], axis=1).T
     g["p"] = de.reshape(e.shape).sum(axis=0)
@@ -274,6 +273,7 @@ def _gradients(w: dict[str, np.ndarray], x, y, used, ranks=None, vocabulary: Voc
 def gradients(w: dict[str, np.ndarray], x, y, used, ranks=None, vocabulary: Vocabulary | None = None) -> dict[str, np.ndarray]:
     """Gradients of the mean loss over the positions in ``used``; without ``ranks`` the loss of the classes ``y`` only."""
     g = _gradients(w, x, y, used, ranks, vocabulary)
+    g["q"], g["k"], g["v"] = np.split(g.pop("qkv"), 3, axis=1)
     for name in ("e", "m"):
         parts, g[name] = g[name], np.zeros_like(w[name])
         for rows, values in parts:
@@ -284,11 +284,12 @@ def gradients(w: dict[str, np.ndarray], x, y, used, ranks=None, vocabulary: Voca
 def _adam(w: dict[str, np.ndarray], vocabulary: Vocabulary, batches: Iterator[tuple], rate: float) -> int:
     """Trains ``w`` in place; returns how many windows it has seen. Vectors of tokens move in steps that concern them."""
     # All weights but those of tokens are parts of one vector, which moves at once.
-    names = [k for k in sorted(w) if k not in ("e", "m")]
-    moving = {"e": w["e"], "m": w["m"], "": np.concatenate([w[k].ravel() for k in names])}
-    ends = np.cumsum([w[k].size for k in names])
-    for k, part in zip(names, np.split(moving[""], ends[:-1]), strict=True):
-        w[k] = part.reshape(w[k].shape)
+    own = {k: w[k] for k in ("b", "c", "o", "p")} | {"qkv": np.concatenate([w["q"], w["k"], w["v"]], axis=1)}
+    moving = {"e": w["e"], "m": w["m"], "": np.concatenate([z.ravel() for z in own.values()])}
+    ends = np.cumsum([z.size for z in own.values()])
+    parts = {k: part.reshape(own[k].shape) for k, part in zip(own, np.split(moving[""], ends[:-1]), strict=True)}
+    w["q"], w["k"], w["v"] = np.split(parts.pop("qkv"), 3, axis=1)
+    w |= parts
     m = {k: np.zeros_like(v) for k, v in moving.items()}
     s = {k: np.zeros_like(v) for k, v in moving.items()}
     seen = 0
@@ -296,7 +297,7 @@ def _adam(w: dict[str, np.ndarray], vocabulary: Vocabulary, batches: Iterator[tu
         seen += len(x)
         scale, spread = np.float32(rate / (1 - 0.9**step)), np.float32(1 / (1 - 0.98**step))
         g = _gradients(w, x, y, used, ranks, vocabulary)
-        parts = [(k, *z) for k in ("e", "m") for z in g[k]] + [("", slice(None), np.concatenate([g[k].ravel() for k in names]))]
+        parts = [(k, *z) for k in ("e", "m") for z in g[k]] + [("", slice(None), np.concatenate([g[k].ravel() for k in own]))]
         for k, rows, part in parts:
             mean, square = m[k][rows], s[k][rows]
             mean += np.float32(0.1) * (part - mean)
@@ -349,23 +350,27 @@ def score_tokens(w: dict[str, np.ndarray], vocabulary: Vocabulary, tokens: np.nd
     for first in range(0, n, 768):
         # Members are told apart for many windows at once.
         kept = []
-        for at in range(first, min(n, first + 768), 16):
-            x, y, used, owner = gathered(vocabulary, tokens, lengths, placed, slice(at, min(at + 16, first + 768)))
-            places = np.flatnonzero(used)
-            hidden = np.take(hidden_states(w, x)[-1].reshape(-1, WIDTH), places, axis=0)
+        x, y, used, owner = gathered(vocabulary, tokens, lengths, placed, slice(first, first + 768))
+        y, owner = y[used], np.repeat(owner, used.sum(axis=1))
+        classes, ranks = vocabulary.classes[y], vocabulary.inputs[y]
+        done = 0
+        for at in range(0, len(x), 16):
+            places = np.flatnonzero(used[at : at + 16])
+            hidden = np.take(hidden_states(w, x[at : at + 16])[-1].reshape(-1, WIDTH), places, axis=0)
             logits = hidden @ w["c"]
             logits += w["b"]
-            y = y.ravel()[places]
-            own = logits[np.arange(len(y)), vocabulary.classes[y]]
+            own = logits[np.arange(len(places)), classes[done : done + len(places)]]
             own = own - normalised(logits)
-            kept.append((hidden, y, own, np.repeat(owner, used.sum(axis=1))))
-        hidden, y, own, owner = (np.concatenate(z) for z in zip(*kept, strict=True))
-        ranks = vocabulary.inputs[y]
-        for places, start, end in by_class(vocabulary, vocabulary.classes[y], np.True_):
+            kept.append((hidden, own))
+            done += len(places)
+        hidden, own = (np.concatenate(z) for z in zip(*kept, strict=True))
+        for places, start, end in by_class(vocabulary, classes, np.True_):
             most = max(1, _ENTRIES // (end - start))
             for k in range(0, len(places), most):
                 at = places[k : k + most]
-                own[at] += member_logs(w, vocabulary, hidden[at], start, end)[np.arange(len(at)), ranks[at] - start]
+                logits = _member_logits(w, vocabulary, hidden[at], start, end)
+                own[at] += logits[np.arange(len(at)), ranks[at] - start]
+                own[at] -= normalised(logits)
         total += np.bincount(owner, own, len(lengths)) * np.log10(np.e)
     return total
 
