@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -47,8 +47,21 @@ FREQUENT = 200_000
 class Subwords(Encoder):
     """Ids of lower-cased words with a space before each."""
 
-    def words(self, words: list[bytes]) -> np.ndarray:
-        return self.ids("".join([" " + w.decode() for w in words]))
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__(ranks)
+        self.opens = np.zeros(VOCABULARY, bool)
+        self.opens[[i for token, i in ranks.items() if token[:1] == b" "]] = True
+
+    def words(self, words: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word by itself, and the number of the word that each id belongs to."""
+        text = "".join([" " + w.decode() for w in words])
+        if text[1:] == " ".join(text.split()):
+            # No id reaches across a space, so each word begins with the id that has one.
+            ids = self.ids(text)
+            return ids, np.cumsum(self.opens[ids]) - 1
+        # Other white space in a word is cut together with that around the word.
+        each = [self.ids(" " + w.decode()) for w in words]
+        return np.concatenate(each), np.repeat(np.arange(len(each)), [len(ids) for ids in each])
 
     def text(self, words: list[bytes]) -> np.ndarray:
         """The same with the end of the text."""
@@ -64,13 +77,17 @@ def held_out(doc: int | None) -> bool:
     return zlib.crc32(b"" if doc is None else str(doc).encode()) % 7 == 2
 
 
+_NOTHING = np.float32(-1e9)  # logarithm of a share that is none
+
+
 @dataclass
 class Vocabulary:
     """Rank by count (the input number), class and log10 share of its class of every token id.
 
     ``first`` has the first rank of each class and, at its end, the number of ids; ``start`` has the natural
-    logarithm of the share by rank, ``member`` the class by rank. ``groups`` are neighbouring classes of several members:
-    first class, first rank and its end, and for each class which of these ranks are its members (None for a class alone).
+    logarithm of the share by rank, ``small`` the class of each member of a small class. ``groups`` are neighbouring classes of several members:
+    first class, first rank and its end, and for each class ``start`` of its members and next to nothing for the other
+    ranks (None for a class alone).
     """
 
     inputs: np.ndarray
@@ -79,7 +96,7 @@ class Vocabulary:
     prior: np.ndarray
     first: np.ndarray
     start: np.ndarray
-    member: np.ndarray
+    small: np.ndarray
     groups: list[tuple[int, int, int, np.ndarray | None]]
 
     @classmethod
@@ -100,9 +117,9 @@ class Vocabulary:
         for c in [*range(single, single + SMALL, TOGETHER), *range(single + SMALL, CLASSES)]:
             n = TOGETHER if c < single + SMALL else 1
             low, high = int(first[c]), int(first[c + n])
-            of = (member[low:high] == np.arange(c, c + n)[:, None]).astype(np.float32) if n > 1 else None
-            groups.append((c, low, high, of))
-        return cls(inputs.astype(np.int32), classes.astype(np.int32), share, np.log(np.maximum(total, 1.0) / weight.sum()), first, start, member, groups)
+            own = np.where(member[low:high] == np.arange(c, c + n)[:, None], start[low:high], _NOTHING) if n > 1 else None
+            groups.append((c, low, high, own))
+        return cls(inputs.astype(np.int32), classes.astype(np.int32), share, np.log(np.maximum(total, 1.0) / weight.sum()), first, start, member[first[single] : first[single + SMALL]], groups)
 
 
 def start_weights(vocabulary: Vocabulary, seed: int = 7) -> dict[str, np.ndarray]:
@@ -115,34 +132,63 @@ def start_weights(vocabulary: Vocabulary, seed: int = 7) -> dict[str, np.ndarray
     return weights | {"c": normal(WIDTH, CLASSES), "b": vocabulary.prior.astype(np.float32)}
 
 
-_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 _SEEN = np.tri(WINDOW, dtype=np.float32)
-#: Natural logarithms that are no further apart are exponentials of one common largest value without loss.
-_NEAR = 80
+#: Sums of exponentials between these are taken as they are; others have their largest logit subtracted first.
+_LEAST, _MOST = 1e-20, 1e30
+
+
+def _sums(m: np.ndarray) -> np.ndarray:
+    return m @ np.ones((m.shape[-1], 1), m.dtype)
 
 
-def hidden_states(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """What leads from each input to its hidden state, which comes last; rows of ``a`` are still to be divided by ``total``."""
-    e = np.take(w["e"], x, axis=0)
+def _common(total: np.ndarray) -> bool:
+    return bool(total.min() > _LEAST and total.max() < _MOST)
+
+
+def exponentials(make: Callable[[], np.ndarray], seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of the logits that ``make`` returns and the sum of each row, but for a factor of the row.
+
+    ``seen`` is 1 for entries that count, else 0.
+    """
+    out = make()
+    with np.errstate(over="ignore", invalid="ignore"):  # what overflows is worked out anew
+        np.exp(out, out=out)
+        if seen is not None:
+            out *= seen
+        total = _sums(out)
+    if not _common(total):
+        out = make()
+        if seen is not None:
+            out = np.where(seen > 0, out, -np.inf)
+        out -= out.max(axis=-1, keepdims=True)
+        np.exp(out, out=out)
+        total = _sums(out)
+    return out, total
+
+
+def projections(w: dict[str, np.ndarray]) -> np.ndarray:
+    """What makes queries, keys and values, side by side, of inputs."""
+    return np.concatenate([w["q"] * w["q"].dtype.type(WIDTH**-0.5), w["k"], w["v"]], axis=1)
+
+
+def hidden_states(w: dict[str, np.ndarray], x: np.ndarray, least: int = 0) -> tuple[np.ndarray, ...]:
+    """What leads from each input to its hidden state, which comes last; rows of ``a`` are still to be divided by ``total``.
+
+    Places before ``least`` are context only and have no hidden state.
+    """
+    e = w["e"].take(x, axis=0)
     e += w["p"]
-    qkv = e.reshape(-1, WIDTH) @ np.concatenate([w["q"] * e.dtype.type(WIDTH**-0.5), w["k"], w["v"]], axis=1)
-    q, k, v = (qkv[:, i * WIDTH : (i + 1) * WIDTH].reshape(e.shape) for i in range(3))
-    a = q @ k.transpose(0, 2, 1)
-    top = a.max()
-    if top - a.min() > _NEAR:
-        a += _MASK
-        a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
-    else:
-        a -= top
-        np.exp(a, out=a)
-        a *= _SEEN
-    total = a @ np.ones((WINDOW, 1), e.dtype)
+    qkv = (e.reshape(-1, WIDTH) @ projections(w)).reshape(*x.shape, 3 * WIDTH)
+    q, k, v = (qkv[:, :, i * WIDTH : (i + 1) * WIDTH] for i in range(3))
+    q = q[:, least:]
+    # Products are faster with a copy that lies as they read it.
+    across = np.ascontiguousarray(k.transpose(0, 2, 1))
+    a, total = exponentials(lambda: q @ across, _SEEN[least:])
     c = a @ v
     c /= total
-    h = c.reshape(-1, WIDTH) @ w["o"]
-    h += e.reshape(-1, WIDTH)
-    return e, q, k, v, a, total, c, h.reshape(e.shape)
+    h = (c.reshape(-1, WIDTH) @ w["o"]).reshape(c.shape)
+    h += e[:, least:]
+    return e, q, k, v, a, total, c, h
 
 
 def attend(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -154,38 +200,19 @@ def attend(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def normalised(logits: np.ndarray) -> np.ndarray:
-    """log of the sum of exponentials of each row; overwrites the logits."""
-    top = logits.max()
-    logits -= top
-    low = logits.min()
-    if low < -_NEAR:  # far apart: each row by its own largest value
-        own = logits.max(axis=1)
-        return np.log(np.exp(logits - own[:, None]).sum(axis=1)) + own + top
-    np.exp(logits, out=logits)
-    return np.log(logits @ np.ones(logits.shape[1], logits.dtype)) + top
-
-
-def shares(logits: np.ndarray, scale: np.floating, of: np.ndarray | None = None) -> np.ndarray:
-    """Probabilities of each row, times ``scale``, in place of the logits; ``of`` is 1 for entries that have one, else 0."""
-    top = logits.max()
-    if top - logits.min() > _NEAR:
-        if of is not None:
-            logits[of == 0] = -np.inf
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-    else:
-        logits -= top
-        np.exp(logits, out=logits)
-        if of is not None:
-            logits *= of
-    logits *= scale / (logits @ np.ones((logits.shape[1], 1), logits.dtype))
-    return logits
+    """log of the sum of exponentials of each row."""
+    with np.errstate(over="ignore"):
+        total = _sums(np.exp(logits))
+    if not _common(total):
+        top = logits.max(axis=1, keepdims=True)
+        return np.log(_sums(np.exp(logits - top)))[:, 0] + top[:, 0]
+    return np.log(total)[:, 0]
 
 
 def forward(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
     """Log class probabilities instead of logits."""
     logits, *rest = attend(w, x)
-    return logits - normalised(logits.copy())[:, None], *rest
+    return logits - normalised(logits)[:, None], *rest
 
 
 def by_class(vocabulary: Vocabulary, classes: np.ndarray, used: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
@@ -197,9 +224,9 @@ def by_class(vocabulary: Vocabulary, classes: np.ndarray, used: np.ndarray) -> I
         yield places, int(vocabulary.first[c]), int(vocabulary.first[c + 1])
 
 
-def _member_logits(w: dict[str, np.ndarray], vocabulary: Vocabulary, h: np.ndarray, start: int, end: int) -> np.ndarray:
+def _member_logits(w: dict[str, np.ndarray], vocabulary: Vocabulary, h: np.ndarray, start: int, end: int, own=None) -> np.ndarray:
     logits = h @ w["m"][start:end].T
-    logits += vocabulary.start[start:end]
+    logits += vocabulary.start[start:end] if own is None else own
     return logits
 
 
@@ -211,62 +238,102 @@ def member_logs(w: dict[str, np.ndarray], vocabulary: Vocabulary, h: np.ndarray,
     return logits
 
 
+def _losses(make: Callable[[], np.ndarray], targets: np.ndarray, scale: np.floating) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the logits that ``make`` returns, but for a factor of each row, and these factors."""
+    d, total = exponentials(make)
+    d.reshape(-1)[np.arange(0, d.size, d.shape[1]) + targets] -= total[:, 0]
+    return d, scale / total
+
+
+def _put(table: np.ndarray, rows: np.ndarray | slice, values: np.ndarray) -> None:
+    """``table[rows] = values``; whole rows are copied as one item each, which is faster."""
+    item = np.dtype((np.void, table.itemsize * table.shape[1]))
+    table.view(item)[rows] = values.view(item)
+
+
+#: Rows of a block in products of long narrow matrices: many small products are faster than a large one.
+_BLOCK = 64
+
+
 def _gradients(w: dict[str, np.ndarray], x, y, used, ranks=None, vocabulary: Vocabulary | None = None) -> dict[str, np.ndarray | list]:
-    """Like :func:`gradients`, with lists of (rows, values) for ``e`` and ``m``, and ``q``, ``k`` and ``v`` side by side."""
+    """Like :func:`gradients`, with lists of (rows, values) for ``e`` and ``m``, ``q``, ``k`` and ``v`` side by side, ``b`` below ``c``."""
     e, q, k, v, a, total, c, h = hidden_states(w, x)
     flat = lambda m: m.reshape(-1, WIDTH)
+    blocks = lambda m: m.reshape(-1, _BLOCK, m.shape[1])
     # Places that are not in use are context only: nothing is predicted there. The others stand by class.
-    places, classes = np.flatnonzero(used), y.ravel()
-    places = places[np.argsort(classes[places].astype(np.uint16), kind="stable")]
-    hidden, classes = np.take(flat(h), places, axis=0), classes[places]
-    scale = h.dtype.type(1 / max(1, len(places)))
-    d = hidden @ w["c"]
-    d += w["b"]
-    d = shares(d, scale)
-    d[np.arange(len(d)), classes] -= scale
-    g = {"c": hidden.T @ d, "b": np.ones(len(d), d.dtype) @ d, "m": []}
-    dhidden = d @ w["c"].T
-    if ranks is not None:
-        ranks = ranks.ravel()[places]
-        n = np.bincount(classes, minlength=CLASSES)
-        begin = np.append(0, np.cumsum(n)).tolist()
-        for least, start, end, of in vocabulary.groups:
-            low, high = begin[least], begin[least + (1 if of is None else len(of))]
-            if low == high:
-                continue
-            one = hidden[low:high]
-            dm = shares(_member_logits(w, vocabulary, one, start, end), scale, None if of is None else of[classes[low:high] - least])
-            dm[np.arange(high - low), ranks[low:high] - start] -= scale
-            dhidden[low:high] += dm @ w["m"][start:end]
-            rows, values = slice(start, end), dm.T @ one
-            if of is not None and not n[least : least + len(of)].all():
-                # Classes without a place stay as they are.
-                moved = np.flatnonzero(n[vocabulary.member[start:end]])
-                rows, values = start + moved, values[moved]
-            g["m"].append((rows, values))
+    places, classes = used.ravel().nonzero()[0], y.ravel()
+    places = places.take(classes.take(places).astype(np.uint16).argsort(kind="stable"))
+    classes = classes.take(places)
+    n = len(places)
+    scale = h.dtype.type(1 / max(1, n))
+    g = {"cb": np.zeros((WIDTH + 1, CLASSES), h.dtype), "m": []}
     dh = np.zeros((x.size, WIDTH), h.dtype)
-    dh[places] = dhidden
+    if n:
+        # The last column is for ``b``; rows that fill the last block have no part in any sum.
+        hidden = np.zeros((-(-n // _BLOCK) * _BLOCK, WIDTH + 1), h.dtype)
+        hidden[:n, :WIDTH] = flat(h).take(places, axis=0)
+        hidden[:n, WIDTH] = 1
+        cb = np.concatenate([w["c"], w["b"][None]])
+        # Factors of rows go to the narrow side of a product.
+        filled = np.zeros(len(hidden), classes.dtype)
+        filled[:n] = classes
+        d, factors = _losses(lambda: (blocks(hidden) @ cb).reshape(-1, CLASSES), filled, scale)
+        g["cb"] = (blocks(hidden * factors).transpose(0, 2, 1) @ blocks(d)).sum(axis=0)
+        dhidden = (blocks(d) @ np.ascontiguousarray(w["c"].T)).reshape(-1, WIDTH)
+        dhidden *= factors
+        if ranks is not None:
+            ranks = ranks.ravel().take(places)
+            often = np.bincount(classes, minlength=CLASSES)
+            begin = [0, *often.cumsum().tolist()]
+            first = vocabulary.groups[0][1]
+            small = np.empty((len(vocabulary.small), WIDTH), h.dtype)
+            for least, start, end, own in vocabulary.groups:
+                low, high = begin[least], begin[least + (1 if own is None else len(own))]
+                if low == high:
+                    continue
+                one = hidden[low:high, :WIDTH]
+                if own is not None:
+                    own = own.take(classes[low:high] - least, axis=0)
+                logits = _member_logits(w, vocabulary, one, start, end, own)
+                dm, factors = _losses(logits.copy, ranks[low:high] - start, scale)
+                back = dm @ w["m"][start:end]
+                back *= factors
+                dhidden[low:high] += back
+                if own is None:
+                    g["m"].append((slice(start, end), dm.T @ (one * factors)))
+                else:
+                    np.matmul(dm.T, one * factors, out=small[start - first : end - first])
+            # Classes without a place stay as they are.
+            moved = np.flatnonzero(often.take(vocabulary.small))
+            g["m"].append((first + moved, small.take(moved, axis=0)))
+        _put(dh, places, dhidden[:n])
     g["o"] = flat(c).T @ dh
-    dc = (dh @ w["o"].T).reshape(e.shape)
-    dc /= total
-    # As rows of a and v make c, the sum of da * a over a row is that of dc * c.
-    ds = dc @ v.transpose(0, 2, 1)
-    ds -= np.einsum("ijk,ijk->ij", dc, c)[:, :, None]
+    # As rows of a and v make c, the sum of da * a over a row is that of dc * c; it is one more column of dc and row of v.
+    dc = np.empty((*x.shape, WIDTH + 1), h.dtype)
+    plain = dc[:, :, :WIDTH]
+    np.divide((dh @ w["o"].T).reshape(c.shape), total, out=plain)
+    np.negative(_sums(plain * c), out=dc[:, :, WIDTH:])
+    across = np.ones((len(x), WIDTH + 1, WINDOW), h.dtype)
+    across[:, :WIDTH] = v.transpose(0, 2, 1)
+    ds = dc @ across
     ds *= a
     dqkv = np.empty((*x.shape, 3 * WIDTH), h.dtype)
-    np.multiply(ds @ k, h.dtype.type(WIDTH**-0.5), out=dqkv[:, :, :WIDTH])
-    dqkv[:, :, WIDTH : 2 * WIDTH] = ds.transpose(0, 2, 1) @ q
-    dqkv[:, :, 2 * WIDTH :] = a.transpose(0, 2, 1) @ dc
+    np.matmul(ds, k, out=dqkv[:, :, :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[:, :, WIDTH : 2 * WIDTH])
+    np.matmul(a.transpose(0, 2, 1), plain, out=dqkv[:, :, 2 * WIDTH :])
     dqkv = dqkv.reshape(-1, 3 * WIDTH)
     g["qkv"] = flat(e).T @ dqkv
+    g["qkv"][:, :WIDTH] *= h.dtype.type(WIDTH**-0.5)
     de = dh
-    de += dqkv @ np.concatenate([w["q"], w["k"], w["v"]], axis=1).T
+    de += dqkv @ np.ascontiguousarray(projections(w).T)
     g["p"] = de.reshape(e.shape).sum(axis=0)
     tokens = x.ravel().astype(np.uint16)
-    order = np.argsort(tokens, kind="stable")
-    tokens = tokens[order]
-    begin = np.append(0, 1 + np.flatnonzero(tokens[1:] != tokens[:-1]))
-    g["e"] = [(tokens[begin], np.add.reduceat(np.take(de, order, axis=0), begin, axis=0))]
+    order = tokens.argsort(kind="stable")
+    tokens = tokens.take(order)
+    new = np.ones(len(tokens), bool)
+    np.not_equal(tokens[1:], tokens[:-1], out=new[1:])
+    begin = new.nonzero()[0]
+    g["e"] = [(tokens.take(begin).astype(np.int64), np.add.reduceat(de.take(order, axis=0), begin, axis=0))]
     return g
 
 
@@ -274,6 +341,8 @@ def gradients(w: dict[str, np.ndarray], x, y, used, ranks=None, vocabulary: Voca
     """Gradients of the mean loss over the positions in ``used``; without ``ranks`` the loss of the classes ``y`` only."""
     g = _gradients(w, x, y, used, ranks, vocabulary)
     g["q"], g["k"], g["v"] = np.split(g.pop("qkv"), 3, axis=1)
+    cb = g.pop("cb")
+    g["c"], g["b"] = cb[:-1], cb[-1]
     for name in ("e", "m"):
         parts, g[name] = g[name], np.zeros_like(w[name])
         for rows, values in parts:
@@ -283,38 +352,54 @@ def gradients(w: dict[str, np.ndarray], x, y, used, ranks=None, vocabulary: Voca
 
 def _adam(w: dict[str, np.ndarray], vocabulary: Vocabulary, batches: Iterator[tuple], rate: float) -> int:
     """Trains ``w`` in place; returns how many windows it has seen. Vectors of tokens move in steps that concern them."""
-    # All weights but those of tokens are parts of one vector, which moves at once.
-    own = {k: w[k] for k in ("b", "c", "o", "p")} | {"qkv": np.concatenate([w["q"], w["k"], w["v"]], axis=1)}
-    moving = {"e": w["e"], "m": w["m"], "": np.concatenate([z.ravel() for z in own.values()])}
-    ends = np.cumsum([z.size for z in own.values()])
-    parts = {k: part.reshape(own[k].shape) for k, part in zip(own, np.split(moving[""], ends[:-1]), strict=True)}
+    # All weights are parts of one table of vectors.
+    parts = {"e": w["e"], "m": w["m"], "cb": np.concatenate([w["c"], w["b"][None]])}
+    parts |= {"o": w["o"], "p": w["p"], "qkv": np.concatenate([w["q"], w["k"], w["v"]], axis=1)}
+    moving = np.concatenate([z.reshape(-1, WIDTH) for z in parts.values()])
+    ends = np.cumsum([z.size // WIDTH for z in parts.values()])
+    first = dict(zip(parts, [0, *ends.tolist()], strict=False))
+    parts = {k: z.reshape(parts[k].shape) for k, z in zip(parts, np.split(moving, ends[:-1]), strict=True)}
     w["q"], w["k"], w["v"] = np.split(parts.pop("qkv"), 3, axis=1)
-    w |= parts
-    m = {k: np.zeros_like(v) for k, v in moving.items()}
-    s = {k: np.zeros_like(v) for k, v in moving.items()}
+    cb = parts.pop("cb")
+    w |= parts | {"c": cb[:-1], "b": cb[-1]}
+    always = np.arange(first["cb"], len(moving))
+    m, s = np.zeros_like(moving), np.zeros_like(moving)
     seen = 0
     for step, (x, y, used, ranks) in enumerate(batches, 1):
         seen += len(x)
         scale, spread = np.float32(rate / (1 - 0.9**step)), np.float32(1 / (1 - 0.98**step))
         g = _gradients(w, x, y, used, ranks, vocabulary)
-        parts = [(k, *z) for k in ("e", "m") for z in g[k]] + [("", slice(None), np.concatenate([g[k].ravel() for k in own]))]
-        for k, rows, part in parts:
-            mean, square = m[k][rows], s[k][rows]
+        rows, values = [always], [g[k].reshape(-1, WIDTH) for k in ("cb", "o", "p", "qkv")]
+        moved = []
+        for k in ("e", "m"):
+            for at, part in g[k]:
+                if isinstance(at, slice):
+                    moved.append((slice(first[k] + at.start, first[k] + at.stop), part))
+                else:
+                    rows.append(at + first[k])
+                    values.append(part)
+        for at, part in [(np.concatenate(rows), np.concatenate(values)), *moved]:
+            mean, square = (z[at].copy() if isinstance(at, slice) else z.take(at, axis=0) for z in (m, s))
             mean += np.float32(0.1) * (part - mean)
             part *= part
             part -= square
             part *= np.float32(0.02)
             square += part
-            m[k][rows], s[k][rows] = mean, square
-            square = np.sqrt(square * spread)
+            _put(m, at, mean)
+            _put(s, at, square)
+            square *= spread
+            np.sqrt(square, out=square)
             square += np.float32(1e-8)
-            moving[k][rows] -= scale * mean / square
+            mean *= scale
+            mean /= square
+            _put(moving, at, (moving[at] if isinstance(at, slice) else moving.take(at, axis=0)) - mean)
     return seen
 
 
 _FIRST = VOCABULARY  # input before the first token
 #: Entries of a matrix of places and members.
 _ENTRIES = 1 << 18
+_SCORED_AT_ONCE = 64
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -336,8 +421,8 @@ def gathered(vocabulary: Vocabulary, tokens: np.ndarray, lengths: np.ndarray, pl
     place = start[:, None] + np.arange(WINDOW)
     inside = place < lengths[owner][:, None]
     at = np.where(inside, first[:, None] + place, 0)
-    y = tokens[at]
-    x = vocabulary.inputs[tokens[np.maximum(at - 1, 0)]]
+    y = np.take(tokens, at)
+    x = np.take(vocabulary.inputs, np.take(tokens, at - 1, mode="clip"))
     x[place == 0] = _FIRST
     return x, y, inside & (np.arange(WINDOW) >= least[:, None]), owner
 
@@ -346,32 +431,35 @@ def score_tokens(w: dict[str, np.ndarray], vocabulary: Vocabulary, tokens: np.nd
     """log10 probability of each document of ``lengths`` tokens."""
     total = np.zeros(len(lengths))
     placed = windows(lengths)
-    n = len(placed[0])
-    for first in range(0, n, 768):
-        # Members are told apart for many windows at once.
-        kept = []
-        x, y, used, owner = gathered(vocabulary, tokens, lengths, placed, slice(first, first + 768))
-        y, owner = y[used], np.repeat(owner, used.sum(axis=1))
-        classes, ranks = vocabulary.classes[y], vocabulary.inputs[y]
-        done = 0
-        for at in range(0, len(x), 16):
-            places = np.flatnonzero(used[at : at + 16])
-            hidden = np.take(hidden_states(w, x[at : at + 16])[-1].reshape(-1, WIDTH), places, axis=0)
-            logits = hidden @ w["c"]
-            logits += w["b"]
-            own = logits[np.arange(len(places)), classes[done : done + len(places)]]
-            own = own - normalised(logits)
-            kept.append((hidden, own))
-            done += len(places)
-        hidden, own = (np.concatenate(z) for z in zip(*kept, strict=True))
-        for places, start, end in by_class(vocabulary, classes, np.True_):
-            most = max(1, _ENTRIES // (end - start))
-            for k in range(0, len(places), most):
-                at = places[k : k + most]
-                logits = _member_logits(w, vocabulary, hidden[at], start, end)
-                own[at] += logits[np.arange(len(at)), ranks[at] - start]
-                own[at] -= normalised(logits)
-        total += np.bincount(owner, own, len(lengths)) * np.log10(np.e)
+    # First windows score all their places, the others none before the same one.
+    for least in (0, WINDOW - STRIDE):
+        chosen = np.flatnonzero(placed[2] == least)
+        for first in range(0, len(chosen), 768):
+            # Members are told apart for many windows at once.
+            kept = []
+            x, y, used, owner = gathered(vocabulary, tokens, lengths, placed, chosen[first : first + 768])
+            y, used = y[:, least:], used[:, least:]
+            classes = np.take(vocabulary.classes, y)
+            for at in range(0, len(x), _SCORED_AT_ONCE):
+                h = hidden_states(w, x[at : at + _SCORED_AT_ONCE], least)[-1]
+                # One small product for each window is faster than a large one.
+                logits = h @ w["c"]
+                logits += w["b"]
+                logits = logits.reshape(-1, CLASSES)
+                own = logits.reshape(-1).take(np.arange(0, logits.size, CLASSES) + classes[at : at + _SCORED_AT_ONCE].ravel())
+                own -= normalised(logits)
+                places = np.flatnonzero(used[at : at + _SCORED_AT_ONCE])
+                kept.append((h.reshape(-1, WIDTH).take(places, axis=0), own.take(places)))
+            hidden, own = (np.concatenate(z) for z in zip(*kept, strict=True))
+            owner, classes, ranks = np.repeat(owner, used.sum(axis=1)), classes[used], np.take(vocabulary.inputs, y[used])
+            for places, start, end in by_class(vocabulary, classes, np.True_):
+                most = max(1, _ENTRIES // (end - start))
+                for k in range(0, len(places), most):
+                    at = places[k : k + most]
+                    logits = _member_logits(w, vocabulary, hidden.take(at, axis=0), start, end)
+                    own[at] += logits[np.arange(len(at)), ranks[at] - start]
+                    own[at] -= normalised(logits)
+            total += np.bincount(owner, own, len(lengths)) * np.log10(np.e)
     return total
 
 
@@ -397,9 +485,13 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _token_counts(ranks: dict[bytes, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords, total = Subwords(ranks), np.zeros(VOCABULARY, np.int64)
-        for word, n in rows_of(batches, "word", "n"):
-            ids = [END] if word == b"" else subwords.words([word])
-            np.add.at(total, ids, n)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                n = dict(rows_of([batch.slice(at, 256)], "word", "n"))
+                total[END] += n.pop(b"", 0)
+                if n:
+                    ids, word = subwords.words(n.keys())
+                    np.add.at(total, ids, np.fromiter(n.values(), np.int64, len(n))[word])
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids])], names=["token", "n"])
 
@@ -452,7 +544,7 @@ def _training(ranks: dict[bytes, int], vocabulary: Vocabulary, every: int, weigh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {k: v.copy() for k, v in weights.items()}
         steps = _steps(ranks, vocabulary, every, batches)
-        seen = _adam(own, vocabulary, ((x, vocabulary.classes[y], used, vocabulary.inputs[y]) for x, y, used in steps), rate)
+        seen = _adam(own, vocabulary, ((x, np.take(vocabulary.classes, y), used, np.take(vocabulary.inputs, y)) for x, y, used in steps), rate)
         if seen:
             flat, before, out = _flat(own), _flat(weights), Batches(schema)
             for k, at in enumerate(range(0, len(flat), _CHUNK)):

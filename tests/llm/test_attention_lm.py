@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quorumlens.llm import attention_lm as lm
@@ -225,3 +226,65 @@ def test_attention_far_apart():
     expected = np.exp(logits - logits.max(axis=2, keepdims=True))
     expected /= expected.sum(axis=2, keepdims=True)
     assert np.allclose(a / total, expected, atol=1e-6) and np.allclose(c, expected @ (e @ w["v"]), atol=1e-5)
+
+
+def test_words_are_counted_many_at_a_time(monkeypatch):
+    """With the ids of each word by itself, also where a word holds white space that is not ASCII."""
+    ranks, calls, plain = lm.read_ranks(lm.TOKENIZER), [], lm.Subwords.ids
+    words = [f"{a}{i}" for i in range(300) for a in ("tion", "x-", "é", "'s", "\u4e16")]
+    odd = ["a\u00a0", "\u00a0", "\u2003b", "c\x85d", "e\x1cf"]
+
+    def counted(found):
+        batch = pa.RecordBatch.from_pydict({"word": pa.array([w.encode() for w in found] + [b""], pa.binary()), "n": [*range(1, len(found) + 2)]})
+        (out,) = lm._token_counts(ranks)(iter([batch]))
+        return dict(zip(out["token"].to_pylist(), out["n"].to_pylist()))
+
+    def each(found):
+        subwords, total = lm.Subwords(ranks), Counter({lm.END: len(found) + 1})
+        for n, w in enumerate(found, 1):
+            for i in plain(subwords, " " + w).tolist():
+                total[i] += n
+        return total
+
+    assert counted(words + odd) == each(words + odd)
+    monkeypatch.setattr(lm.Subwords, "ids", lambda self, text: calls.append(text) or plain(self, text))
+    assert counted(words) == each(words) and len(calls) < len(words) / 100
+
+
+@pytest.mark.parametrize("far", [1, 8000])
+def test_places_that_are_context_only_have_no_hidden_state(far):
+    v = vocabulary()
+    w = {k: a.astype(np.float64) for k, a in lm.start_weights(v).items()}
+    w["q"] *= far
+    x = np.random.default_rng(8).integers(0, 500, (3, lm.WINDOW))
+    least = lm.WINDOW - lm.STRIDE
+    some = lm.hidden_states(w, x, least)[-1]
+    short = lm.hidden_states({k: a.astype(np.float32) for k, a in w.items()}, x, least)[-1]
+    assert np.allclose(some, short, atol=1e-2)
+    assert some.shape == (3, lm.STRIDE, lm.WIDTH) and np.allclose(some, lm.hidden_states(w, x)[-1][:, least:])
+
+
+def test_steps_are_those_of_adam():
+    """Each weight moves as by its own gradient, and vectors of tokens in steps that concern them only."""
+    v, rng = vocabulary(), np.random.default_rng(9)
+    w = lm.start_weights(v)
+    own = {k: z.astype(np.float64) for k, z in w.items()}
+    m, s = ({k: np.zeros_like(z) for k, z in own.items()} for _ in range(2))
+    ids = np.argsort(v.inputs)
+    batches = []
+    for high in (lm.VOCABULARY, 70, lm.VOCABULARY):
+        y = ids[rng.integers(0, high, (lm.BATCH, lm.WINDOW))]
+        x, used = rng.integers(0, high, y.shape), rng.random(y.shape) < 0.7
+        batches.append((x, v.classes[y], used, v.inputs[y]))
+    lm._adam(w, v, iter(batches), 0.02)
+    for step, (x, classes, used, ranks) in enumerate(batches, 1):
+        g = lm.gradients(own, x, classes, used, ranks, v)
+        hit = np.bincount(classes[used], minlength=lm.CLASSES) * (np.arange(lm.CLASSES) >= lm.CLASSES - lm.TAILS) > 0
+        rows = {"e": np.unique(x), "m": np.flatnonzero(np.repeat(hit, np.diff(v.first)))}
+        for k in own:
+            at = rows.get(k, slice(None))
+            m[k][at] += 0.1 * (g[k][at] - m[k][at])
+            s[k][at] += 0.02 * (g[k][at] ** 2 - s[k][at])
+            own[k][at] -= 0.02 / (1 - 0.9**step) * m[k][at] / (np.sqrt(s[k][at] / (1 - 0.98**step)) + 1e-8)
+    for k in own:
+        assert (np.abs(w[k] - own[k]) > 1e-3).mean() < 1e-3, k
