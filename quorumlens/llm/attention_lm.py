@@ -1,4 +1,7 @@
-"""Causal self-attention language model on subword ids, trained and run in numpy inside Spark tasks."""
+"""Causal self-attention language model on subword ids, trained and run inside Spark tasks.
+
+The executors' JVM takes steps and scores where it has vectors (``AttentionLm.java``), else numpy does the same here.
+"""
 
 from __future__ import annotations
 
@@ -12,10 +15,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlens.llm.common import Batches, rows_of
+from quorumlens.llm.jvm import loaded
 from quorumlens.llm.token_shards import END, TOKENIZER, Encoder, read_ranks
 from quorumlens.session import written
 
@@ -498,13 +502,19 @@ def _token_counts(ranks: dict[bytes, int]):
     return run
 
 
-def _steps(ranks: dict[bytes, int], vocabulary: Vocabulary, every: int, batches: Iterator[pa.RecordBatch]):
+def _token_ids(ranks: dict[bytes, int] | None, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Ids of training documents: of rows (ids) without ``ranks``, else of rows (doc_id, text) of any documents."""
+    if ranks is None:
+        yield from (np.frombuffer(ids, "<u2") for (ids,) in rows_of(batches, "ids"))
+    else:
+        subwords = Subwords(ranks)
+        yield from (subwords.text(words_of(text)) for doc, text in rows_of(batches, "doc_id", "text") if not held_out(doc))
+
+
+def _steps(ranks: dict[bytes, int] | None, vocabulary: Vocabulary, every: int, batches: Iterator[pa.RecordBatch]):
     """Inputs, targets and scored places of the windows of training documents, ``BATCH`` windows at a time."""
-    subwords, kept = Subwords(ranks), []
-    for doc, text in rows_of(batches, "doc_id", "text"):
-        if held_out(doc):
-            continue
-        tokens = subwords.text(words_of(text))
+    kept = []
+    for tokens in _token_ids(ranks, batches):
         lengths = np.asarray([len(tokens)])
         # Windows at a fixed distance through the whole text, from a start that depends on the text.
         first = zlib.crc32(tokens.tobytes()) % every
@@ -538,12 +548,15 @@ def _shaped(like: dict[str, np.ndarray], flat: np.ndarray) -> dict[str, np.ndarr
     return out
 
 
-def _training(ranks: dict[bytes, int], vocabulary: Vocabulary, every: int, weights: dict[str, np.ndarray], rate: float):
+_TRAINED = "chunk int, seen bigint, values binary"
+
+
+def _training(vocabulary: Vocabulary, every: int, weights: dict[str, np.ndarray], rate: float):
     schema = pa.schema([("chunk", pa.int32()), ("seen", pa.int64()), ("values", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {k: v.copy() for k, v in weights.items()}
-        steps = _steps(ranks, vocabulary, every, batches)
+        steps = _steps(None, vocabulary, every, batches)
         seen = _adam(own, vocabulary, ((x, np.take(vocabulary.classes, y), used, np.take(vocabulary.inputs, y)) for x, y, used in steps), rate)
         if seen:
             flat, before, out = _flat(own), _flat(weights), Batches(schema)
@@ -562,76 +575,151 @@ def _averaged(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "values": [mean.astype(np.float32).tobytes()]})
 
 
+def by_eights(vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Members of classes of several, with eight places side by side: first place of each class and the end, place by rank (-1: alone)."""
+    sizes = np.diff(vocabulary.first)
+    sizes[: CLASSES - TAILS] = 0
+    first = np.concatenate([[0], np.cumsum(-(-sizes // 8) * 8)])
+    rank = np.arange(len(vocabulary.start))
+    member = np.searchsorted(vocabulary.first, rank, "right") - 1
+    return first, np.where(member < CLASSES - TAILS, -1, first[member] + rank - vocabulary.first[member])
+
+
+class Kernel:
+    """The steps of training and scores in the executors' JVM; the weights are one table, as AttentionLm.java has them."""
+
+    def __init__(self, java, vocabulary: Vocabulary):
+        self.java, self.vocabulary = java, vocabulary
+        self.first, place = by_eights(vocabulary)
+        self.tail = np.flatnonzero(place >= 0)
+        self.at = place[self.tail] // 8, slice(None), place[self.tail] % 8
+        start = np.full(self.first[-1], _NOTHING)
+        start[place[self.tail]] = vocabulary.start[self.tail]
+        numbers = (vocabulary.inputs, vocabulary.classes, place[vocabulary.inputs], self.first)
+        self.fixed = [z.astype("<i4").tobytes() for z in numbers] + [start.astype("<f4").tobytes()]
+
+    def table(self, w: dict[str, np.ndarray]) -> np.ndarray:
+        members = np.zeros((self.first[-1] // 8, WIDTH, 8), np.float32)
+        members[self.at] = w["m"][self.tail]
+        qkv = np.concatenate([w["q"], w["k"], w["v"]], axis=1)
+        return np.concatenate([z.ravel() for z in (w["e"], members, w["c"], w["b"], w["o"], w["p"], qkv)])
+
+    def weights(self, like: dict[str, np.ndarray], table: np.ndarray) -> dict[str, np.ndarray]:
+        sizes = (like["e"].size, self.first[-1] * WIDTH, *(like[k].size for k in "cbop"))
+        e, members, *cbop, qkv = np.split(table, np.cumsum(sizes))
+        out = {"e": e.reshape(like["e"].shape), "m": like["m"].copy()}
+        out["m"][self.tail] = members.reshape(-1, WIDTH, 8)[self.at]
+        out |= {k: z.reshape(like[k].shape) for k, z in zip("cbop", cbop, strict=True)}
+        out["q"], out["k"], out["v"] = np.split(qkv.reshape(WIDTH, 3 * WIDTH), 3, axis=1)
+        return out
+
+    def _of(self, w: dict[str, np.ndarray]):
+        return self.java.new(*self.fixed, self.table(w).astype("<f4").tobytes())
+
+    def trained(self, documents: DataFrame, w: dict[str, np.ndarray], every: int, rate: float) -> DataFrame:
+        return self.java.rows(documents.select("ids"), self._of(w).training(rate, every), _TRAINED)
+
+    def scored(self, documents: DataFrame, w: dict[str, np.ndarray]) -> DataFrame:
+        return self.java.rows(documents.select("row", "ids"), self._of(w).scoring(), _SCORED)
+
+
+def kernel(spark: SparkSession, vocabulary: Vocabulary) -> Kernel | None:
+    """None where only numpy can do it."""
+    java = loaded(spark, "AttentionLm")
+    return Kernel(java, vocabulary) if java is not None else None
+
+
+def round_of(rounds: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
+
+
 def of_round(source: DataFrame, turn: int, rounds: int) -> DataFrame:
-    """The documents of one round; each belongs to exactly one."""
-    return source.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == turn)
+    """The documents of one round, which may be in a column ``turn`` already; each belongs to exactly one."""
+    return source.where((F.col("turn") if "turn" in source.columns else round_of(rounds)) == turn)
 
 
 def train(
-    source: DataFrame, ranks: dict[bytes, int], vocabulary: Vocabulary, every: int = EVERY, rounds: int = ROUNDS, rate: float = RATE
+    encoded: DataFrame, vocabulary: Vocabulary, every: int = EVERY, rounds: int = ROUNDS, rate: float = RATE, java: Kernel | None = None
 ) -> dict[str, np.ndarray]:
     """Weights after rounds of parallel training.
 
-    In each round every task trains from the same weights on its part of the round's documents, which it encodes
-    itself; the weights, cut into chunks, are then averaged by the number of windows over the tasks that changed them.
+    In each round every task trains from the same weights on the ids of its part of the round's documents;
+    the weights, cut into chunks, are then averaged by the number of windows over the tasks that changed them.
     Only the average reaches the driver.
     """
     weights = start_weights(vocabulary)
     for turn in range(rounds):
-        training = _training(ranks, vocabulary, every, weights, rate / (1 + turn))
-        trained = of_round(source, turn, rounds).mapInArrow(training, "chunk int, seen bigint, values binary")
+        documents = of_round(encoded, turn, rounds).where(~F.col("held_out")).select("ids")
+        if java is not None:
+            trained = java.trained(documents, weights, every, rate / (1 + turn))
+        else:
+            trained = documents.mapInArrow(_training(vocabulary, every, weights, rate / (1 + turn)), _TRAINED)
         mean = trained.groupBy("chunk").applyInPandas(_averaged, "chunk int, values binary").collect()
-        flat = _flat(weights)
+        flat = java.table(weights) if java is not None else _flat(weights)
         for r in mean:
             flat[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r["values"], np.float32)
-        weights = _shaped(weights, flat)
+        weights = java.weights(weights, flat) if java is not None else _shaped(weights, flat)
     return weights
 
 
-_SCORED = (
-    "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double, "
-    "rare array<binary>"
+_ENCODED = (
+    "row bigint, doc_id bigint, held_out boolean, turn int, n_tokens bigint, n_known bigint, logs double, ids binary, "
+    "rare array<binary>, times array<int>"
 )
 
 
-def _scoring(ranks, weights, vocabulary: Vocabulary, frequent):
-    schema = pa.schema(
-        [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64())]
-        + [("logs", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary()))]
-    )
+def _encoding(ranks: dict[bytes, int], frequent):
+    """Ids of each row's tokens, and the counts of its words as far as ``frequent`` has them; other words with how often they come."""
+    fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("turn", pa.int32()), ("n_tokens", pa.int64())]
+    fields += [("n_known", pa.int64()), ("logs", pa.float64()), ("ids", pa.binary())]
+    schema = pa.schema([*fields, ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords, known, out = Subwords(ranks), frequent.value, Batches(schema, 4000, 4_000_000)
+        end = known.get(b"", 0.0)  # the most frequent token of all, unless nothing was learned
         row = TaskContext.get().partitionId() << 40
-        rows: list[tuple] = []
+        for doc, text, turn in rows_of(batches, "doc_id", "text", "turn"):
+            words = words_of(text)
+            logs = np.fromiter(map(known.get, words, repeat(np.nan)), float, len(words))
+            new = np.isnan(logs)
+            rare = Counter([words[i] for i in np.flatnonzero(new).tolist()])
+            n_known = len(words) - int(new.sum()) + (b"" in known)
+            ids = subwords.text(words).tobytes()
+            row += 1
+            yield from out.add(
+                (row, doc, held_out(doc), turn, len(words) + 1, n_known, float(logs[~new].sum()) + end, ids, list(rare), list(rare.values())),
+                len(ids) + 16 * len(rare),
+            )
+        yield from out.end()
+
+    return run
+
+
+_SCORED = "row bigint, score double"
+
+
+def _scoring(weights: dict[str, np.ndarray], vocabulary: Vocabulary):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[int] = []
         kept: list[np.ndarray] = []
 
-        def scored() -> Iterator[pa.RecordBatch]:
-            lengths = np.asarray([len(t) for t in kept])
-            for r, s in zip(rows, score_tokens(weights, vocabulary, np.concatenate(kept), lengths).tolist(), strict=True):
-                yield from out.add((*r[:6], s, r[6]), 16 * len(r[6]))
+        def scored() -> pa.RecordBatch:
+            found = score_tokens(weights, vocabulary, np.concatenate(kept), np.asarray([len(t) for t in kept]))
+            out = pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found)], names=["row", "score"])
             rows.clear()
             kept.clear()
+            return out
 
         held = 0
-        for doc, text in rows_of(batches, "doc_id", "text"):
-            words = words_of(text)
-            logs = np.fromiter(map(known.get, words, repeat(np.nan)), float, len(words))
-            new = np.isnan(logs)
-            rare = [words[i] for i in np.flatnonzero(new).tolist()]
-            end = known.get(b"", 0.0)  # the most frequent token of all, unless nothing was learned
-            row += 1
-            rows.append(
-                (row, doc, held_out(doc), len(words) + 1, len(words) - len(rare) + (b"" in known), float(logs[~new].sum()) + end, rare)
-            )
-            kept.append(subwords.text(words))
+        for row, ids in rows_of(batches, "row", "ids"):
+            rows.append(row)
+            kept.append(np.frombuffer(ids, "<u2"))
             held += len(kept[-1])
             if held >= 50_000:
-                yield from scored()
+                yield scored()
                 held = 0
         if rows:
-            yield from scored()
-        yield from out.end()
+            yield scored()
 
     return run
 
@@ -661,17 +749,26 @@ def scores(
     for r in counts.mapInArrow(_token_counts(ranks), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect():
         tokens[r.token] = r.n
     vocabulary = Vocabulary.of(tokens)
-    weights = train(source, ranks, vocabulary, every, rounds)
 
     often = counts.where((F.col("n") * frequent >= size) | (F.col("word") == b"")).collect()
     known = spark.sparkContext.broadcast({bytes(r.word): float(np.log10(r.n + 1)) for r in often})
-    scored = written(source.mapInArrow(_scoring(ranks, weights, vocabulary, known), _SCORED), "scored")
-    rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+    # Every text is encoded once; rounds and scores read the ids.
+    turns = source.withColumn("turn", round_of(rounds).cast("int"))
+    encoded = written(turns.mapInArrow(_encoding(ranks, known), _ENCODED), "encoded")
+    java = kernel(spark, vocabulary)
+    weights = train(encoded, vocabulary, every, rounds, java=java)
+    if java is not None:
+        scored = java.scored(encoded, weights)
+    else:
+        scored = encoded.select("row", "ids").mapInArrow(_scoring(weights, vocabulary), _SCORED)
+    scored = written(scored, "scored")
+
+    rare = encoded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("z")).select("row", F.col("z.rare").alias("word"), "z.times")
     rare = rare.join(counts, "word").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("found")
     )
     all_ = F.log10(F.lit(float(size + distinct + 1)))
-    return scored.drop("rare").join(rare, "row", "left").select(
+    return encoded.drop("ids", "rare", "times").join(scored, "row").join(rare, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
