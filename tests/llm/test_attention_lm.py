@@ -288,3 +288,75 @@ def test_steps_are_those_of_adam():
             own[k][at] -= 0.02 / (1 - 0.9**step) * m[k][at] / (np.sqrt(s[k][at] / (1 - 0.98**step)) + 1e-8)
     for k in own:
         assert (np.abs(w[k] - own[k]) > 1e-3).mean() < 1e-3, k
+
+
+def encoded(spark, rows):
+    """Rows as training and scores read them."""
+    source = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "CAST(text AS BINARY) AS text").coalesce(2)
+    turns = source.withColumn("turn", lm.round_of(lm.ROUNDS).cast("int"))
+    known = spark.sparkContext.broadcast({b"the": 1.0, b"": 2.0})
+    return lm.written(turns.mapInArrow(lm._encoding(lm.read_ranks(lm.TOKENIZER), known), lm._ENCODED), "encoded")
+
+
+def test_texts_are_encoded_once_for_all_rounds_and_scores(spark):
+    rows = corpus() + [(900, None, 0), (None, "the THE new", 0), (901, " ".join(["long text"] * 9000), 0), (902, "new the new", 0)]
+    frame, v, subwords = encoded(spark, rows), vocabulary(), lm.Subwords(lm.read_ranks(lm.TOKENIZER))
+    found = {r.doc_id: r for r in frame.collect()}
+    assert len(found) == len(rows) == len({r.row for r in found.values()})
+    learned, expected = np.zeros(lm.VOCABULARY, int), np.zeros(lm.VOCABULARY, int)
+    for doc, text, _ in rows:
+        words = lm.words_of((text or "").encode())
+        r, ids = found[doc], subwords.text(words)
+        assert bytes(r.ids) == ids.tobytes() and r.held_out == lm.held_out(doc)
+        rare = Counter(w for w in words if w != b"the")
+        assert Counter(dict(zip(map(bytes, r.rare), r.times, strict=True))) == rare
+        assert (r.n_tokens, r.n_known, r.logs) == (len(words) + 1, len(words) - rare.total() + 1, words.count(b"the") + 2.0)
+        if not r.held_out:
+            np.add.at(expected, ids, 1)
+    for turn in range(lm.ROUNDS):
+        documents = lm.of_round(frame, turn, lm.ROUNDS).where("NOT held_out").select("ids")
+        for _, y, used in lm._steps(None, v, lm.EVERY, documents.toArrow().to_batches()):
+            np.add.at(learned, y[used.astype(bool)], 1)
+    assert expected.sum() > 10_000 and (learned == expected).all()
+
+
+@pytest.mark.parametrize("every", [1, 3])
+def test_executors_train_and_score_as_numpy_does(spark, every):
+    """Texts of tokens of all classes, so that large classes and windows that are not full take part."""
+    v, rng = vocabulary(), np.random.default_rng(11)
+    subwords, ids = lm.Subwords(lm.read_ranks(lm.TOKENIZER)), np.argsort(v.inputs)
+    tokens = [subwords.encoding.decode_bytes([i]).decode(errors="replace") for i in ids[: lm.END] if i != lm.END]
+    rows = [(i, "".join(rng.choice(tokens[:: 1 + i % 40], n)), 0) for i, n in enumerate([0, 1, 2, 17, 63, 64, 65, 300, 900])]
+    frame = encoded(spark, rows)
+    java = lm.kernel(spark, v)
+    if java is None:
+        pytest.skip("no compiler or no vectors in this JVM")
+    own, plain = (lm.train(frame, v, every, 1, java=z) for z in (java, None))
+    start = lm.start_weights(v)
+    for k in start:
+        # Steps of weights whose gradients are next to nothing depend on the last digits of these.
+        apart = np.abs(own[k] - plain[k])
+        assert own[k].shape == plain[k].shape and np.median(apart) < 1e-4 and (apart > 1e-3).mean() < 1e-2, k
+        assert (plain[k] != start[k]).any()
+    documents = frame.select("row", "ids").collect()
+    kept = [np.frombuffer(r.ids, "<u2") for r in documents]
+    expected = lm.score_tokens(plain, v, np.concatenate(kept), np.asarray([len(t) for t in kept]))
+    scored = {r.row: r.score for r in java.scored(frame, plain).collect()}
+    assert np.allclose([scored[r.row] for r in documents], expected, rtol=1e-5)
+
+
+def test_executors_score_logits_far_apart(spark):
+    v, frame = vocabulary(), encoded(spark, [(1, "some words far apart, and a name: Zyxomma", 0), (2, None, 0)])
+    java = lm.kernel(spark, v)
+    if java is None:
+        pytest.skip("no compiler or no vectors in this JVM")
+    w = lm.start_weights(v)
+    w["m"][::3, 0] += 300
+    w["b"][::5] += 200
+    w["q"] *= 8000
+    assert all(np.array_equal(z, w[k]) for k, z in java.weights(w, java.table(w)).items())
+    documents = frame.select("row", "ids").collect()
+    kept = [np.frombuffer(r.ids, "<u2") for r in documents]
+    expected = lm.score_tokens(w, v, np.concatenate(kept), np.asarray([len(t) for t in kept]))
+    scored = {r.row: r.score for r in java.scored(frame, w).collect()}
+    assert expected.min() < -100 and np.allclose([scored[r.row] for r in documents], expected, rtol=1e-3)
