@@ -341,8 +341,9 @@ def test_executors_train_and_score_as_numpy_does(spark, every):
     documents = frame.select("row", "ids").collect()
     kept = [np.frombuffer(r.ids, "<u2") for r in documents]
     expected = lm.score_tokens(plain, v, np.concatenate(kept), np.asarray([len(t) for t in kept]))
-    scored = {r.row: r.score for r in java.scored(frame, plain).collect()}
-    assert np.allclose([scored[r.row] for r in documents], expected, rtol=1e-5)
+    for found in (java.scored(frame, plain), frame.select("row", "ids").mapInArrow(lm._scoring(plain, v), lm._SCORED)):
+        scored = {r.row: r.score for r in found.collect()}
+        assert np.allclose([scored[r.row] for r in documents], expected, rtol=1e-5)
 
 
 def test_executors_score_logits_far_apart(spark):
